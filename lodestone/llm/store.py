@@ -1,0 +1,36 @@
+"""Lineage cuts and sized choices shared by the operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a folder of our own only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not found:
+        found = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back; lost executors then cost no recomputation."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Like cut(), as Parquet: column reads are pruned, and the file is smaller than a checkpoint."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
