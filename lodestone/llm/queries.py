@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, pack, quality, secrets
+from . import decontaminate, langid, pack, quality, secrets, substring
 
 HEX_OF = lambda c: F.sha2(c, 256)
 
@@ -23,6 +23,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(documents(spark, sf_dir)).drop("kept_chars")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.contamination(documents(spark, sf_dir), benchmark)
@@ -38,4 +42,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", HEX_OF(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_rules, op8_decontamination, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_rules, op6_substring_dedup, op8_decontamination, op9_packing, op10_secrets)}
