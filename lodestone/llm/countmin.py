@@ -1,0 +1,96 @@
+"""Count-min sketches over 64-bit hashes, merged by ranges of cells and kept as one bit a cell.
+
+Each task sends, for ``ROWS`` hash functions, its sorted cell numbers, each at most
+twice, as compressed differences.  Merging adds the tasks' counts; what stays is
+whether a cell was counted twice or more.  Counts are never underestimated: a
+hash that occurs twice always passes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+
+from .blobs import packed, unpacked
+from .text import mix
+
+ROWS = 2
+SEGMENT = 1 << 20  # cells that are merged together
+FLUSH = 1 << 22  # hashes that a task sketches at once
+
+
+def cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
+    return (mix(h + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(cells - 1)).astype(np.uint32)
+
+
+def at_most_twice(x: np.ndarray) -> np.ndarray:
+    """A sorted array without third and later equal values."""
+    return x[np.concatenate([np.ones(min(2, len(x)), bool), x[2:] != x[:-2]])]
+
+
+def repeated_cells(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int) -> list[tuple[int, int, bytes]]:
+    """(row, segment, compressed bits) of the merged sketch of the hashes that a task's batches give."""
+    segment = min(SEGMENT, cells)
+
+    def partial(batches):
+        held: list[np.ndarray] = []
+
+        def flush():
+            h = np.concatenate(held)
+            held.clear()
+            out = []
+            for row in range(ROWS):
+                c = at_most_twice(np.sort(cell(h, row, cells)))
+                cuts = np.searchsorted(c, np.arange(0, cells + 1, segment))
+                out += [(row, s, packed(c[a:b], delta=1)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_pydict({"row": pa.array([x[0] for x in out], pa.int32()), "seg": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
+
+        for h in hashes(batches):
+            held.append(h)
+            if sum(map(len, held)) > FLUSH:
+                yield flush()
+        if held:
+            yield flush()
+
+    def merge(key, group):
+        row, seg = key[0].as_py(), key[1].as_py()
+        count = np.zeros(segment, np.uint8)
+        for blob in group.column("blob"):
+            (c,) = unpacked(blob.as_py())
+            c = c - np.uint32(seg * segment)
+            again = c[1:][c[1:] == c[:-1]]
+            count[c] = np.minimum(count[c] + 1, 2)
+            count[again] = 2
+        bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(count > 1).tobytes())
+        return pa.table({"row": pa.array([row], pa.int32()), "seg": pa.array([seg], pa.int32()), "bits": pa.array([bits], pa.binary())})
+
+    merged = df.mapInArrow(partial, "row int, seg int, blob binary").groupBy("row", "seg").applyInArrow(merge, "row int, seg int, bits binary")
+    got = merged.toArrow().to_pydict()
+    return list(zip(got["row"], got["seg"], got["bits"], strict=True))
+
+
+_held: dict[str, np.ndarray] = {}
+
+
+def bits_of(name: str, found: list[tuple[int, int, bytes]], cells: int) -> np.ndarray:
+    """The merged sketch as rows of bits; a worker keeps the last."""
+    if name not in _held:
+        _held.clear()
+        size = min(SEGMENT, cells) // 8
+        out = np.zeros((ROWS, cells // 8), np.uint8)
+        for row, seg, bits in found:
+            out[row, seg * size : (seg + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits, max_output_size=size), np.uint8)
+        _held[name] = out
+    return _held[name]
+
+
+def maybe_repeated(h: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for row in range(ROWS):
+        c = cell(h, row, cells)
+        ok &= (bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+    return ok

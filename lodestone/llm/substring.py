@@ -12,7 +12,7 @@
 
 The sketch has at least 1.5 cells a window and row, up to ``MAX_CELLS``; with more
 windows than that the work is done in slices of the hash space, each with its own
-sketch, so what is broadcast stays bounded (``ROWS * MAX_CELLS`` bits).
+sketch, so what is broadcast stays bounded (``MAX_CELLS`` bits a row of the sketch).
 
 Words are runs of other bytes than ASCII white space, unchanged.  A null or empty
 text has no words.  Rows with the same id are one rank: they take nothing from
@@ -27,15 +27,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import countmin
 from .blobs import packed, unpacked
 from .store import table
 from .text import Words, chunks, covered, mix, rolling
 
-WINDOW, ROWS = 13, 2
-SEGMENT = 1 << 20  # cells that are merged together
+WINDOW = 13
 MAX_CELLS = 1 << 29
 ENTRIES = 1 << 20  # windows that are grouped together
 FLUSH = 1 << 20
@@ -50,19 +49,10 @@ def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return at, mix(rolling(word, k, _S)[at]), (mix(rolling(word, k, _Q)[at]) >> np.uint64(32)).astype(np.uint32)
 
 
-def cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mix(h + np.uint64(row * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(cells - 1)).astype(np.uint32)
-
-
 def in_slice(h: np.ndarray, part: int, parts: int) -> np.ndarray:
     return h % np.uint64(parts) == part if parts > 1 else np.ones(len(h), bool)
 
 
-def at_most_twice(x: np.ndarray) -> np.ndarray:
-    """A sorted array without third and later equal values."""
-    return x[np.concatenate([np.ones(min(2, len(x)), bool), x[2:] != x[:-2]])]
-
-
 def plan(docs: DataFrame) -> tuple[int, int]:
     """(cells a row, slices) from the bytes of all texts; a word and its gap take six bytes or so."""
     windows = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
@@ -70,60 +60,6 @@ def plan(docs: DataFrame) -> tuple[int, int]:
     return 1 << max(16, int(1.5 * windows / parts).bit_length()), parts
 
 
-def sketch(docs: DataFrame, k: int, cells: int, part: int, parts: int) -> list[tuple[int, int, bytes]]:
-    """(row, segment, compressed bits) of the merged sketch: which cells were counted twice or more."""
-    segment = min(SEGMENT, cells)
-
-    def partial(batches):
-        held: list[np.ndarray] = []
-
-        def flush():
-            h = np.concatenate(held) if held else np.empty(0, np.uint64)
-            held.clear()
-            out = []
-            for row in range(ROWS):
-                c = at_most_twice(np.sort(cell(h, row, cells)))
-                cuts = np.searchsorted(c, np.arange(0, cells + 1, segment))
-                out += [(row, s, packed(c[a:b], delta=1)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_pydict({"row": pa.array([x[0] for x in out], pa.int32()), "seg": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
-
-        for chunk in chunks(batches):
-            _, h, _ = window_hashes(Words(chunk, lower=False), k)
-            held.append(h[in_slice(h, part, parts)])
-            if sum(map(len, held)) > 4 * FLUSH:
-                yield flush()
-        if held:
-            yield flush()
-
-    def merge(key, group):
-        row, seg = key[0].as_py(), key[1].as_py()
-        count = np.zeros(segment, np.int32)
-        for blob in group.column("blob"):
-            (c,) = unpacked(blob.as_py())
-            np.add.at(count, c - np.uint32(seg * segment), 1)
-        bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(count > 1).tobytes())
-        return pa.table({"row": pa.array([row], pa.int32()), "seg": pa.array([seg], pa.int32()), "bits": pa.array([bits], pa.binary())})
-
-    merged = docs.select("text").mapInArrow(partial, "row int, seg int, blob binary").groupBy("row", "seg").applyInArrow(merge, "row int, seg int, bits binary")
-    got = merged.toArrow().to_pydict()
-    return list(zip(got["row"], got["seg"], got["bits"], strict=True))
-
-
-_unpacked_sketch: dict[str, np.ndarray] = {}
-
-
-def bits_of(name: str, found: list[tuple[int, int, bytes]], cells: int) -> np.ndarray:
-    """The merged sketch as rows of bits; one is kept a worker."""
-    if name not in _unpacked_sketch:
-        _unpacked_sketch.clear()
-        size = min(SEGMENT, cells) // 8
-        out = np.zeros((ROWS, cells // 8), np.uint8)
-        for row, seg, bits in found:
-            out[row, seg * size : (seg + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits, max_output_size=size), np.uint8)
-        _unpacked_sketch[name] = out
-    return _unpacked_sketch[name]
-
-
 def settled(h, h2, doc, tag, at):
     """Sorted entries, and which of them an equal window of a smaller document rules out."""
     order = np.lexsort((at, tag, doc, h2, h))
@@ -152,11 +88,17 @@ def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     shift = np.uint64(64 - segments.bit_length() + 1)
     out = None
     for part in range(parts):
-        found = docs.sparkSession.sparkContext.broadcast(sketch(docs, k, cells, part, parts))
+
+        def hashes(batches, part=part):
+            for chunk in chunks(batches):
+                h = window_hashes(Words(chunk, lower=False), k)[1]
+                yield h[in_slice(h, part, parts)]
+
+        found = docs.sparkSession.sparkContext.broadcast(countmin.repeated_cells(docs.select("text"), hashes, cells))
         name = uuid.uuid4().hex
 
         def candidates(batches, found=found, part=part, name=name):
-            bits = bits_of(name, found.value, cells)
+            bits = countmin.bits_of(name, found.value, cells)
             held: list[tuple[np.ndarray, ...]] = []
 
             def flush():
@@ -175,10 +117,7 @@ def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             for chunk in chunks(batches):
                 words = Words(chunk, lower=False)
                 at, h, h2 = window_hashes(words, k)
-                ok = in_slice(h, part, parts)
-                for row in range(ROWS):
-                    c = cell(h, row, cells)
-                    ok &= (bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+                ok = in_slice(h, part, parts) & countmin.maybe_repeated(h, bits, cells)
                 at, h, h2 = at[ok], h[ok], h2[ok]
                 ids = chunk.batch.column(0).fill_null(LAST).to_numpy()
                 tags = np.array([zlib.crc32(chunk.bytes_of(i)) & 0xFFFF for i in range(chunk.n)], np.uint16)
