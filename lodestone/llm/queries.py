@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, neardup, pack, quality, secrets, substring
+from . import decontaminate, langid, license, lm, neardup, pack, quality, secrets, substring
 
 HEX_OF = lambda c: F.sha2(c, 256)
 
@@ -13,6 +13,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(documents(spark, sf_dir)).drop("matches")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), k=4, percent=80)
 
@@ -31,6 +35,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", langid.held_out(parts=5, part=1).alias("held_out"))
+    return lm.score(docs, "held_out")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.contamination(documents(spark, sf_dir), benchmark)
@@ -46,4 +55,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", HEX_OF(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op8_decontamination, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets)}

@@ -171,3 +171,44 @@ def op10(docs):
             spans += own
         out[d] = (*n, sha(",".join(x for _, _, x in sorted(spans))))
     return out
+
+
+def op7(docs, rounds=200):
+    """Base score, and the score with weights from exact expectation-maximisation."""
+    from math import log2, log10
+
+    tokens = {d: [*words(t, True), None] for d, t in docs}
+    out_of = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
+    one, two = Counter(), Counter()
+    for d, w in tokens.items():
+        if not out_of[d]:
+            one.update(w)
+            two.update(zip([b"<s>", *w], w, strict=False))
+    n, v = sum(one.values()), len(one)
+    context = Counter(one)
+    context[b"<s>"] = sum(not x for x in out_of.values())
+    bucket = lambda c: int(log2(c)) + 1 if c else 0
+    weight = {b: [0.4, 0.5, 0.1] for b in range(65)}
+    weight[0] = [0, 0.8, 0.2]
+    cases = Counter()
+    for (a, b), c in two.items():
+        cases[c, context[a], one[b]] += c
+    by = defaultdict(list)
+    for (c2, cv, cw), k in cases.items():
+        by[bucket(cv - 1)].append(((c2 - 1) / max(1, cv - 1) if c2 > 1 else 0, (cw - 1) / (n - 1), 1 / (v + 1), k))
+    for b, own in by.items():
+        for _ in range(rounds):
+            total = [1e-3 * (b > 0), 1e-3, 1e-3]
+            for *p, k in own:
+                s = [x * y for x, y in zip(weight[b], p, strict=True)]
+                total = [t + k * x / sum(s) for t, x in zip(total, s, strict=True)]
+            weight[b] = [t / sum(total) for t in total]
+    out = {}
+    for d, w in tokens.items():
+        base = sum(log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        score = 0
+        for a, x in zip([b"<s>", *w], w, strict=False):
+            l2, l1, l0 = weight[bucket(context[a])]
+            score += log10((l2 * two[a, x] / context[a] if context[a] else 0) + l1 * one[x] / n + l0 / (v + 1))
+        out[d] = (out_of[d], len(w), sum(one[x] > 0 for x in w), n, base, score)
+    return out
