@@ -17,6 +17,8 @@ null ids are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,8 +29,9 @@ WINDOW = 8
 
 #: Rules of a line, as regular expressions that Java and RE2 read alike.
 ENDS_WELL = r"""[.!?:;,…"'”’»)\]][\x20\x09-\x0D]*$"""
-NAVIGATION = r"(?:[|»›•·>][^|»›•·>]*){3,}"
-BOILERPLATE = r"(?i)(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|sign in|log in|subscribe now|click here|enable javascript|read more|share this|skip to (?:main )?content|back to top|lorem ipsum)"
+SEPARATORS = "|»›•·>"
+NAVIGATION = 3  # separators in a line
+BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "sign in", "log in", "subscribe now", "click here", "enable javascript", "read more", "share this", "skip to content", "skip to main content", "back to top", "lorem ipsum")
 SHORT_LINE = 3  # words; a shorter line needs no end mark
 MAX_SYMBOLS = 20  # percent of a line's word characters
 MIN_KEPT = 50  # percent of a document's word characters
@@ -76,38 +79,52 @@ def _repeated(windows: Column) -> Column:
     return let(windows, found)
 
 
-def repeated_words(text: Column) -> Column:
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
-        return F.when(n > WINDOW, _repeated(hashes)).otherwise(F.lit(0).cast("long"))
+def counted_words(text: Column) -> Column:
+    """struct(n_words, n_repeat_words); a window's hash is that of its words' hashes."""
 
-    return let(words(text), of)
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(WINDOW))))
+        repeated = F.when(n > WINDOW, _repeated(hashes)).otherwise(F.lit(0).cast("long"))
+        return F.struct(n.cast("long").alias("n_words"), repeated.alias("n_repeat_words"))
 
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
-def good_line(line: Column) -> Column:
+
+def boilerplate(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+
+
+def good_line(line: Column, any_boilerplate: Column) -> Column:
     chars = word_chars(line)
     punctuated = line.rlike(ENDS_WELL) | (count_words(line) <= SHORT_LINE)
-    return punctuated & (symbols(line) * 100 <= chars * MAX_SYMBOLS) & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE)
+    navigation = F.length(line) - F.length(F.translate(line, SEPARATORS, "")) >= NAVIGATION
+    return punctuated & (symbols(line) * 100 <= chars * MAX_SYMBOLS) & ~navigation & ~(any_boilerplate & boilerplate(line))
+
+
+def good_lines(distinct: Column, text: Column) -> Column:
+    """Lines are only searched for boilerplate where the whole text has some."""
+    return let(boilerplate(text), lambda any_: F.filter(distinct, lambda line: good_line(line, any_)))
 
 
 def kept_lines(text: Column) -> Column:
-    return F.filter(F.array_distinct(lines_with_words(text)), good_line)
+    return good_lines(F.array_distinct(lines_with_words(text)), text)
 
 
 def measures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_kept: int = MIN_KEPT) -> DataFrame:
     """The columns ``keep``, the base measures, kept_chars, base_failed and kept."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = lines_with_words(t)
-    df = documents.select(
-        *keep,
-        count_words(t).alias("n_words"),
-        word_chars(t).alias("word_chars"),
-        symbols(t).alias("n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeated_words(t).alias("n_repeat_words"),
-        F.aggregate(kept_lines(t), F.lit(0).cast("long"), lambda n, line: n + word_chars(line)).alias("kept_chars"),
-    )
+
+    def of_lines(lines: Column) -> Column:
+        def of(distinct: Column) -> Column:
+            kept = F.aggregate(good_lines(distinct, t), F.lit(0).cast("long"), lambda n, line: n + word_chars(line))
+            return F.struct((F.size(lines) - F.size(distinct)).cast("long").alias("n_dup_lines"), kept.alias("kept_chars"))
+
+        return let(F.array_distinct(lines), of)
+
+    df = documents.select(*keep, word_chars(t).alias("word_chars"), symbols(t).alias("n_symbols"), counted_words(t).alias("_w"), let(lines_with_words(t), of_lines).alias("_l"))
+    df = df.select(*keep, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.kept_chars")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("kept_chars") >= min_kept * F.col("word_chars")))
 
