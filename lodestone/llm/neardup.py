@@ -19,7 +19,7 @@ documents share out of most sketches.
    that are in a pair.  Components of all verified links and classes follow.
 
 Empty and null texts have empty sets and link with nothing.  A null id links with
-nothing and is not kept.  Rows with the same id are one node.
+nothing and is kept.  Rows with the same id are one node.
 """
 
 from __future__ import annotations
@@ -206,4 +206,4 @@ def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     label = components(copies.unionByName(stars).unionByName(links))
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
