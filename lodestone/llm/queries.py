@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, license, lm, neardup, pack, quality, secrets, substring
+from . import decontaminate, langid, license, lm, neardup, pack, quality, secrets, substring, suffixdedup
 
 HEX_OF = lambda c: F.sha2(c, 256)
 
@@ -21,6 +21,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), k=4, percent=80)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.train(docs.where(~langid.held_out()))
@@ -55,4 +59,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", HEX_OF(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets)}
