@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from .store import cut, table
 
 LENGTH, END_ID = 4096, 2
-DIMS, BITS, HASHED = 4, 8, 4096
-CACHED_WORDS = 400_000
+DIMS, BITS, HASHED = 4, 8, 1024
+CACHED_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -35,6 +35,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The usual printable stand-ins of byte-level BPE, as a table for Latin-1 text."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
+
+
 class WordIds(dict):
     """ASCII-lower-cased word -> its ids as 16-bit bytes; at most ``CACHED_WORDS`` are kept."""
 
@@ -42,14 +49,25 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.stand_in = _byte_characters()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint16).tobytes()
-        self[word] = ids
+        self[word] = ids = self.encoded(word)
         return ids
 
+    def encoded(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,")
+        if core and core != word and core[-1:].isalnum():  # letters or digits and marks are never one piece
+            return self[core] + self[word[len(core) :]]
+        text = word.decode()
+        if text.isalpha() and max(text) <= "\xff":  # one run of letters, composed already: straight to the model
+            pieces = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.stand_in))
+            return np.array([p.id for p in pieces], np.uint16).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
     def of(self, text: str) -> bytes:
         data = text.encode()
         words = (data if b"<|" in data else data.lower()).split()  # special tokens are matched in their own case
