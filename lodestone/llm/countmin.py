@@ -20,7 +20,7 @@ from .text import mix
 
 ROWS = 2
 SEGMENT = 1 << 20  # cells that are merged together
-FLUSH = 1 << 22  # hashes that a task sketches at once
+FLUSH = 1 << 21  # hashes that a task sketches at once
 
 
 def cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:

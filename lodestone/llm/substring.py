@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import countmin
 from .blobs import packed, unpacked
-from .store import table
+from .spans import LAST, n_buckets, rows, tag_of, with_ranges
 from .text import Words, chunks, covered, mix, rolling
 
 WINDOW = 13
@@ -39,7 +38,6 @@ MAX_CELLS = 1 << 29
 ENTRIES = 1 << 20  # windows that are grouped together
 FLUSH = 1 << 20
 _S, _Q = 0xD1342543DE82EF95 | 1, 0xAF251AF3B0F025B5 | 1
-LAST = (1 << 63) - 1
 
 
 def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,11 +51,12 @@ def in_slice(h: np.ndarray, part: int, parts: int) -> np.ndarray:
     return h % np.uint64(parts) == part if parts > 1 else np.ones(len(h), bool)
 
 
-def plan(docs: DataFrame) -> tuple[int, int]:
-    """(cells a row, slices) from the bytes of all texts; a word and its gap take six bytes or so."""
-    windows = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+def plan(docs: DataFrame) -> tuple[int, int, int]:
+    """(bytes of all texts, cells a row, slices); a word and its gap take six bytes or so."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    windows = n_bytes / 6
     parts = max(1, -(-int(1.5 * windows) // MAX_CELLS))
-    return 1 << max(16, int(1.5 * windows / parts).bit_length()), parts
+    return n_bytes, 1 << max(16, int(1.5 * windows / parts).bit_length()), parts
 
 
 def settled(h, h2, doc, tag, at):
@@ -70,20 +69,10 @@ def settled(h, h2, doc, tag, at):
     return (h, h2, doc, tag, at), doc > least
 
 
-def removal_rows(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
-    order = np.lexsort((at, tag, doc))
-    doc, tag, at = doc[order], tag[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.empty(0, int)
-    ends = [*new[1:].tolist(), len(doc)][: len(new)]
-    return doc[new].tolist(), tag[new].tolist(), [packed(at[a:b], delta=1) for a, b in zip(new.tolist(), ends, strict=True)]
-
-
-REMOVALS = "seg int, doc long, tag int, blob binary"
-
-
 def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """doc, tag, blob: first words of windows to remove (doc: the id, tag: crc32 of the text, 16 bits)."""
-    cells, parts = plan(docs)
+    """Rows of (bucket, blob): ranges of words to remove."""
+    n_bytes, cells, parts = plan(docs)
+    buckets = n_buckets(n_bytes)
     segments = max(1, 1 << max(0, (cells // ENTRIES).bit_length() - 2))
     shift = np.uint64(64 - segments.bit_length() + 1)
     out = None
@@ -104,15 +93,16 @@ def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             def flush():
                 entry, gone = settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held.clear()
-                doc, tag, blob = removal_rows(entry[2][gone], entry[3][gone], entry[4][gone])
-                seg = [-1] * len(doc)
+                key, blob = rows(entry[2][gone], entry[3][gone], entry[4][gone], entry[4][gone] + k, buckets)
+                key = [segments + b for b in key]
                 h, h2, d, t, at = (x[~gone] for x in entry)
                 where = (h >> shift).astype(np.int64) if segments > 1 else np.zeros(len(h), np.int64)
                 cuts = np.searchsorted(where, np.arange(segments + 1))
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     own = slice(cuts[s], cuts[s + 1])
-                    seg.append(s), doc.append(None), tag.append(None), blob.append(packed(h[own], h2[own], d[own], t[own], at[own], delta=1))
-                return pa.RecordBatch.from_pydict({"seg": pa.array(seg, pa.int32()), "doc": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int32()), "blob": pa.array(blob, pa.binary())})
+                    key.append(s)
+                    blob.append(packed(h[own], h2[own], d[own], t[own], at[own], delta=1))
+                return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(key), pa.int32()), "key": pa.array(key, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
             for chunk in chunks(batches):
                 words = Words(chunk, lower=False)
@@ -120,7 +110,7 @@ def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                 ok = in_slice(h, part, parts) & countmin.maybe_repeated(h, bits, cells)
                 at, h, h2 = at[ok], h[ok], h2[ok]
                 ids = chunk.batch.column(0).fill_null(LAST).to_numpy()
-                tags = np.array([zlib.crc32(chunk.bytes_of(i)) & 0xFFFF for i in range(chunk.n)], np.uint16)
+                tags = np.array([tag_of(chunk.bytes_of(i)) for i in range(chunk.n)], np.uint16)
                 d = words.doc[at]
                 held.append((h, h2, ids[d], tags[d], (at - words.first[d]).astype(np.int32)))
                 if sum(len(x[0]) for x in held) > FLUSH:
@@ -128,26 +118,24 @@ def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             if held:
                 yield flush()
 
-        one = docs.select("doc_id", "text").mapInArrow(candidates, REMOVALS)
-        out = one if out is None else out.unionByName(one.withColumn("seg", F.when(F.col("seg") >= 0, F.col("seg") + part * segments).otherwise(-1)))
-    out = table(out, "windows")
+        one = docs.select("doc_id", "text").mapInArrow(candidates, "part int, key long, blob binary")
+        out = one if out is None else out.unionByName(one)
 
-    def group(key, rows):
-        entry, gone = settled(*(np.concatenate(x) for x in zip(*(unpacked(b.as_py()) for b in rows.column("blob")), strict=True)))
-        doc, tag, blob = removal_rows(entry[2][gone], entry[3][gone], entry[4][gone])
-        return pa.table({"doc": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int32()), "blob": pa.array(blob, pa.binary())})
+    def group(key, found):
+        number, blobs = key[1].as_py(), found.column("blob").to_pylist()
+        if number >= segments:  # settled by a task already
+            return pa.table({"bucket": pa.array([number - segments] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        entry, gone = settled(*(np.concatenate(x) for x in zip(*(unpacked(b) for b in blobs), strict=True)))
+        bucket, blob = rows(entry[2][gone], entry[3][gone], entry[4][gone], entry[4][gone] + k, buckets)
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
-    across = out.where("seg >= 0").select("seg", "blob").groupBy("seg").applyInArrow(group, "doc long, tag int, blob binary")
-    return out.where("seg < 0").select("doc", "tag", "blob").unionByName(across)
+    return out.groupBy("part", "key").applyInArrow(group, "bucket long, blob binary")
 
 
 def dedup(documents: DataFrame, k: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """The columns ``keep``, n_words, n_removed, kept_sha256 (with_text: and kept_text, words joined by a space)."""
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    tag = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    gone = removals(docs, k).groupBy("doc", "tag").agg(F.collect_list("blob").alias("_gone"))
-    own = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "tag": tag})
-    both = own.join(gone, ["doc", "tag"], "left").select(*dict.fromkeys([*keep, "text"]), "_gone")
+    both = with_ranges(docs, removals(docs.select("doc_id", "text"), k), keep)
 
     def run(batches):
         for chunk in chunks(batches):
@@ -155,15 +143,13 @@ def dedup(documents: DataFrame, k: int = WINDOW, keep: tuple[str, ...] = ("doc_i
             gone = chunk.batch.column(chunk.batch.schema.get_field_index("_gone")).to_pylist()
             removed, sha, texts = [], [], []
             for d in range(chunk.n):
-                a, b = words.first[d], words.first[d + 1]
                 tokens = chunk.bytes_of(d).split()
-                mask = np.zeros(b - a, bool)
+                n = len(tokens)
                 if gone[d]:
-                    at = np.unique(np.concatenate([unpacked(x)[0] for x in gone[d]])).astype(np.int64)
-                    mask = covered(b - a, at, at + k)
+                    mask = covered(n, *unpacked(gone[d]))
                     tokens = [w for w, g in zip(tokens, mask.tolist(), strict=True) if not g]
                 left = b" ".join(tokens)
-                removed.append(int(mask.sum()))
+                removed.append(n - len(tokens))
                 sha.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode() if with_text else None)
             own = [chunk.batch.column(chunk.batch.schema.get_field_index(c)) for c in keep]

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import countmin
 from .blobs import packed, unpacked
-from .store import table
+from .spans import LAST, n_buckets, rows, tag_of, with_ranges
 from .suffix import common_prefixes, suffix_array
 from .text import U64, Chunk, chunks, covered, mix, powers, prefix_hash, span_hash
 
@@ -44,7 +43,6 @@ LENGTH, GRAM, CORES = 400, 64, 4
 SHARD = 3 << 19
 HOLD = 24 << 20
 MAX_CELLS = 1 << 28
-LAST = (1 << 63) - 1
 _R = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_R, -1, 1 << 64)
 
@@ -105,17 +103,17 @@ def ranges(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Removals:
-    """Ranges by document; as rows (doc, tag, blob)."""
+    """Ranges to remove, gathered document by document."""
 
     def __init__(self):
-        self.by: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
     def add(self, doc: int, tag: int, low, high) -> None:
-        self.by[doc, tag].append((np.atleast_1d(low), np.atleast_1d(high)))
+        low, high = np.atleast_1d(low), np.atleast_1d(high)
+        self.parts.append((np.full(len(low), doc, np.int64), np.full(len(low), tag, np.int32), low, high))
 
-    def rows(self) -> tuple[list[int], list[int], list[bytes]]:
-        blobs = [packed(*(np.concatenate(x).astype(np.int32) for x in zip(*v, strict=True))) for v in self.by.values()]
-        return [d for d, _ in self.by], [t for _, t in self.by], blobs
+    def rows(self, buckets: int) -> tuple[list[int], list[bytes]]:
+        return rows(*(np.concatenate(x) for x in zip(*self.parts, strict=True)), buckets) if self.parts else ([], [])
 
 
 def repeated_starts(segments: list[bytes], place: np.ndarray, many: np.ndarray, length: int) -> list[np.ndarray]:
@@ -165,10 +163,11 @@ def aligned_starts(segments: list[bytes], anchor: np.ndarray, many: np.ndarray,
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, tag, blob: ranges to remove (doc: the id, tag: crc32 of the text, 16 bits)."""
+    """Rows of (bucket, blob): ranges of bytes to remove."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = 2 * n_bytes // (length - gram + 1)
     cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(1.5 * CORES * anchors).bit_length()))
+    buckets = n_buckets(n_bytes)
     shards = int(1 + anchors * 2 * length * 0.3 // SHARD)
 
     def hashes(batches):
@@ -193,15 +192,15 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 doc, tag, low = places[0]
                 by[h % shards].append((h, anchor, doc, tag, low, len(places) > 1, body))
             held.clear()
-            doc, tag, blob = gone.rows()
-            shard = [-1] * len(doc)
+            key, blob = gone.rows(buckets)
+            key = [shards + b for b in key]
             squeeze = zstandard.ZstdCompressor(level=3)
-            for s, rows in by.items():
-                h, anchor, d, t, low, many, bodies = zip(*rows, strict=True)
+            for s, own in by.items():
+                h, anchor, d, t, low, many, bodies = zip(*own, strict=True)
                 head = packed(np.array(h, U64), np.array(anchor, np.int32), np.array(d, np.int64), np.array(t, np.int32), np.array(low, np.int64), np.array(many, np.uint8), np.array([len(b) for b in bodies], np.int32))
-                shard.append(s), doc.append(None), tag.append(None)
+                key.append(s)
                 blob.append(len(head).to_bytes(8, "little") + head + squeeze.compress(b"".join(bodies)))
-            return pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int64()), "doc": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int32()), "blob": pa.array(blob, pa.binary())})
+            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
         for chunk in chunks(batches):
             x = Anchors(chunk, length, gram)
@@ -214,7 +213,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             for i in wanted.tolist():
                 d, low = int(x.doc[i]), int(x.low[i])
                 if d not in tags:
-                    tags[d] = zlib.crc32(chunk.bytes_of(d)) & 0xFFFF
+                    tags[d] = tag_of(chunk.bytes_of(d))
                 body = body_of[low : x.high[i]]
                 entry = held.setdefault((body, int(x.at[i]) - low), (int(x.hash[i]), []))
                 size += 0 if entry[1] else len(body)
@@ -225,9 +224,9 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         if held:
             yield flush()
 
-    out = table(docs.mapInArrow(segments, "shard long, doc long, tag int, blob binary"), "segments")
-
     def sort(key, group):
+        if key[0].as_py() >= shards:  # settled by a task already
+            return pa.table({"bucket": pa.array([key[0].as_py() - shards] * group.num_rows, pa.int64()), "blob": group.column("blob")})
         merged: dict[tuple[bytes, int], tuple[int, list[tuple[int, int, int]], list[bool]]] = {}
         for blob in group.column("blob").to_pylist():
             cut = 8 + int.from_bytes(blob[:8], "little")
@@ -249,62 +248,57 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             by[h].append((body, anchor, places[0], len(places) > 1 or any(many)))
         numbers: dict[tuple[int, int], int] = {}
 
-        def settle(rows, starts):
-            for (_, _, (doc, tag, low), many), s in zip(rows, starts, strict=True):
+        def settle(own, starts):
+            for (_, _, (doc, tag, low), many), s in zip(own, starts, strict=True):
                 if not many and len(s):
                     a, b = ranges(s + low, length)
                     gone.add(doc, tag, a, b)
 
-        def batch(rows):
-            place = np.array([(numbers.setdefault(p[:2], len(numbers)) << 36) + p[2] for _, _, p, _ in rows], np.int64)
-            settle(rows, repeated_starts([r[0] for r in rows], place, np.array([r[3] for r in rows]), length))
+        def batch(own):
+            place = np.array([(numbers.setdefault(p[:2], len(numbers)) << 36) + p[2] for _, _, p, _ in own], np.int64)
+            settle(own, repeated_starts([r[0] for r in own], place, np.array([r[3] for r in own]), length))
 
         held, size = [], 0
-        for rows in by.values():
-            if len(rows) < 2 or all(r[3] for r in rows):
+        for own in by.values():
+            if len(own) < 2 or all(r[3] for r in own):
                 continue
-            own = sum(len(r[0]) for r in rows)
-            if own > SHARD:
-                settle(rows, aligned_starts([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows], np.int64), length, gram))
+            n = sum(len(r[0]) for r in own)
+            if n > SHARD:
+                settle(own, aligned_starts([r[0] for r in own], np.array([r[1] for r in own]), np.array([r[3] for r in own], np.int64), length, gram))
                 continue
-            if size + own > SHARD:
+            if size + n > SHARD and held:
                 batch(held)
                 held, size = [], 0
-            held += rows
-            size += own
+            held += own
+            size += n
         if held:
             batch(held)
-        doc, tag, blob = gone.rows()
-        return pa.table({"doc": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int32()), "blob": pa.array(blob, pa.binary())})
+        bucket, blob = gone.rows(buckets)
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
-    across = out.where("shard >= 0").select("shard", "blob").groupBy("shard").applyInArrow(sort, "doc long, tag int, blob binary")
-    return out.where("shard < 0").select("doc", "tag", "blob").unionByName(across)
+    return docs.mapInArrow(segments, "key long, blob binary").groupBy("key").applyInArrow(sort, "bucket long, blob binary")
 
 
 def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",), with_bytes: bool = False) -> DataFrame:
     """The columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (with_bytes: and kept_bytes, which may split characters)."""
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    tag = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    gone = removals(docs.select("doc_id", "text"), length, gram).groupBy("doc", "tag").agg(F.collect_list("blob").alias("_gone"))
-    own = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "tag": tag})
-    both = own.join(gone, ["doc", "tag"], "left").select(*dict.fromkeys([*keep, "text"]), "_gone")
+    both = with_ranges(docs, removals(docs.select("doc_id", "text"), length, gram), keep)
 
     def run(batches):
         for chunk in chunks(batches):
             gone = chunk.batch.column(chunk.batch.schema.get_field_index("_gone")).to_pylist()
-            rows = []
+            out = []
             for d in range(chunk.n):
                 data = chunk.data[chunk.offsets[d] : chunk.offsets[d + 1]]
                 mask = np.zeros(len(data), bool)
                 if gone[d]:
-                    low, high = (np.concatenate(x) for x in zip(*(unpacked(b) for b in gone[d]), strict=True))
-                    mask = covered(len(data), low, high)
+                    mask = covered(len(data), *unpacked(gone[d]))
                 left = data[~mask].tobytes()
                 spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum())
-                rows.append((len(data), int(mask.sum()), spans, hashlib.sha256(left).hexdigest(), *[left] * with_bytes))
+                out.append((len(data), int(mask.sum()), spans, hashlib.sha256(left).hexdigest(), *[left] * with_bytes))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_bytes]
             own = [chunk.batch.column(chunk.batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * with_bytes])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * with_bytes])
 
     schema = T.StructType([documents.schema[c] for c in keep]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     return both.mapInArrow(run, schema.add("kept_bytes", "binary") if with_bytes else schema)

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U64 = np.uint64
+pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what a worker has freed
 _R, _S = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _pow: dict[int, np.ndarray] = {}
 
