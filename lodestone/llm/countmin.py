@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .blobs import packed, unpacked
@@ -76,15 +77,16 @@ def repeated_cells(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], I
 _held: dict[str, np.ndarray] = {}
 
 
-def bits_of(name: str, found: list[tuple[int, int, bytes]], cells: int) -> np.ndarray:
-    """The merged sketch as rows of bits; a worker keeps the last."""
+def bits_of(name: str, found: Broadcast, cells: int) -> np.ndarray:
+    """The merged sketch as rows of bits; a worker keeps the last, and not the broadcast's own value."""
     if name not in _held:
         _held.clear()
         size = min(SEGMENT, cells) // 8
         out = np.zeros((ROWS, cells // 8), np.uint8)
-        for row, seg, bits in found:
+        for row, seg, bits in found.value:
             out[row, seg * size : (seg + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits, max_output_size=size), np.uint8)
         _held[name] = out
+        vars(found).pop("_value", None)  # it would be read again if need be
     return _held[name]
 
 

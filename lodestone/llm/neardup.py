@@ -3,18 +3,20 @@
 A document's set is its distinct word shingles, hashed to 64 bits.  Its sketch is
 the bottom k of the set in one order of the hashes, with k = n - ceil(s * n) + 1
 for a set of n and similarity s: two sets of similarity s or more always share a
-retained value, so the inverted lists lose no link.  The order puts hashes from
-crowded cells of a small count sketch last, which keeps passages that many
-documents share out of most sketches.
+retained value, so the inverted lists lose no link.  In that order come first the
+values that no other set has, by a count-min sketch of all sets (they need no
+posting), and last those from crowded cells of a small count sketch, so that
+passages that many documents share stay out of most sketches.  A set with more
+than k - 1 values of its own is similar to no other and takes no further part.
 
 1. Equal sets are one class (128-bit fingerprint); its smallest id stands for it.
-2. Stars: in the lists of each class's three smallest values every class is
-   compared with the list's first.  This gathers large groups of near copies by
-   as many comparisons as they have members.
+2. Stars: in the lists of each class's three smallest shared values every class is
+   compared with the one that has the least of its own.  This gathers large groups
+   of near copies by as many comparisons as they have members.
 3. Lists: values kept by two or more classes of different components so far give
-   pairs; the number of shared values and the two sizes bound the overlap of the
-   full sets from above (union-sketch filter); pairs within reach are verified.
-   Values kept once are dropped before the shuffle by a count-min sketch.
+   pairs.  The values that each has alone, the number of retained values in common
+   and the two sizes bound the overlap of the full sets from above (union-sketch
+   filter); pairs within reach are verified.
 4. Verification compares full sets, recomputed from the texts of the documents
    that are in a pair.  Components of all verified links and classes follow.
 
@@ -30,7 +32,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import countmin
 from .blobs import packed, unpacked
@@ -84,26 +87,43 @@ def heat(docs: DataFrame, k: int) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / (2 * total.mean() + 2)) + 1)).astype(np.uint8)
 
 
+def shared_values(docs: DataFrame, k: int) -> tuple[Broadcast, str, int]:
+    """The count-min sketch of all sets' values: a broadcast of its bits, a name for it, and its cells."""
+    n_values = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(1.5 * n_values).bit_length()))
+
+    def hashes(batches):
+        for chunk in chunks(batches):
+            yield shingle_sets(Words(chunk), k)[1]
+
+    return docs.sparkSession.sparkContext.broadcast(countmin.repeated_cells(docs.select("text"), hashes, cells)), uuid.uuid4().hex, cells
+
+
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, fp (of the set), stars (smallest values), kept (the sketch), written to the shared folder."""
+    """doc_id, n, r (values that others may have), fp (of the set), stars, kept (the sketch without its own values); written to the shared folder."""
     classes = docs.sparkSession.sparkContext.broadcast(heat(docs, k))
+    found, name, cells = shared_values(docs, k)
 
     def run(batches):
-        hot = classes.value
+        hot, bits = classes.value, countmin.bits_of(name, found, cells)
         for chunk in chunks(batches):
             indptr, h = shingle_sets(Words(chunk), k)
             n = np.diff(indptr)
-            size = n - (percent * n + 99) // 100 + 1
+            fp = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(indptr[:-1], indptr[1:], strict=True)]
             doc = np.repeat(np.arange(chunk.n), n)
+            shared = countmin.maybe_repeated(h, bits, cells)
+            r = np.bincount(doc[shared], minlength=chunk.n)
+            size = np.maximum(0, r - (percent * n + 99) // 100 + 1)  # of the sketch, without the n - r own values
+            shared &= size[doc] > 0
+            h, doc = h[shared], doc[shared]
+            first = np.searchsorted(doc, np.arange(chunk.n))
+            stars = h[np.arange(len(h)) - first[doc] < STARS].view(np.int64)
             order = np.lexsort((h, hot[(h & np.uint64(HEAT_CELLS - 1)).astype(np.int64)], doc))
-            rank = np.arange(len(h)) - indptr[:-1][doc]
-            kept = h[order][rank < size[doc]].view(np.int64)
-            stars = h[rank < STARS].view(np.int64)
+            kept = h[order][np.arange(len(h)) - first[doc] < size[doc]].view(np.int64)
             lists = lambda x, c: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(x))
-            fp = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(indptr[:-1], indptr[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists(stars, np.minimum(n, STARS)), lists(kept, np.minimum(n, size))], names=["doc_id", "n", "fp", "stars", "kept"])
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(fp, pa.binary()), lists(stars, np.where(size > 0, np.minimum(r, STARS), 0)), lists(kept, size)], names=["doc_id", "n", "r", "fp", "stars", "kept"])
 
-    return table(docs.mapInArrow(run, "doc_id long, n long, fp binary, stars array<long>, kept array<long>"), "sketches")
+    return table(docs.mapInArrow(run, "doc_id long, n long, r long, fp binary, stars array<long>, kept array<long>"), "sketches")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -151,42 +171,29 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return table(both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "links")
 
 
+def reachable(a: str, b: str, percent: int) -> Column:
+    """Whether sets of a.n and b.n values, of which others may have a.r and b.r, can be similar enough."""
+    need = F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
+    near = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    return near & (F.least(f"{a}.r", f"{b}.r") >= need)
+
+
 def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    values = classes.select(F.explode("stars").alias("value"), "doc_id", "n")
-    first = values.groupBy("value").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("value", F.col("first.doc_id").alias("u"), F.col("first.n").alias("m"))
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("u") != F.col("doc_id"))
-    return values.join(first, "value").where(near).select("u", F.col("doc_id").alias("v")).distinct()
+    values = classes.select(F.explode("stars").alias("value"), "doc_id", "n", "r")
+    hub = F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "doc_id", "n", "r"))
+    first = values.groupBy("value").agg(hub.alias("hub"), F.count("*").alias("c")).where("c > 1").select("value", "hub.*")
+    both = values.alias("x").join(first.alias("y"), "value").where(reachable("x", "y", percent) & (F.col("x.doc_id") != F.col("y.doc_id")))
+    return both.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct()
 
 
 def list_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components (column comp) whose sketches allow the similarity."""
-    n_values = classes.agg(F.sum(F.size("kept"))).first()[0] or 0
-    cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(1.5 * n_values).bit_length()))
-    flat = lambda batch, c: batch.column(batch.schema.get_field_index(c)).flatten().to_numpy().view(np.uint64)
-
-    def hashes(batches):
-        for batch in batches:
-            yield flat(batch, "kept")
-
-    found = classes.sparkSession.sparkContext.broadcast(countmin.repeated_cells(classes.select("kept"), hashes, cells))
-    name = uuid.uuid4().hex
-
-    def postings(batches):
-        bits = countmin.bits_of(name, found.value, cells)
-        for batch in batches:
-            h = flat(batch, "kept")
-            row = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
-            ok = countmin.maybe_repeated(h, bits, cells)
-            at = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), *(batch.column(i).take(at) for i in range(3))], names=["value", "id", "n", "comp"])
-
-    lists = table(classes.select("doc_id", "n", "comp", "kept").mapInArrow(postings, "value long, id long, n long, comp long"), "postings")
+    lists = table(classes.select(F.explode("kept").alias("value"), F.col("doc_id").alias("id"), "n", "r", "comp"), "postings")
     mixed = lists.groupBy("value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("value")
     lists = table(lists.join(mixed, "value", "left_semi"), "mixed")
     need = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     rest = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")  # noqa: E731  what a sketch leaves out
-    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    both = lists.alias("x").join(lists.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & near)
+    both = lists.alias("x").join(lists.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & reachable("x", "y", percent))
     shared = both.groupBy(F.col("x.id").alias("u"), F.col("y.id").alias("v")).agg(F.count("*").alias("c"), F.first(need - F.greatest(rest("x.n"), rest("y.n"))).alias("least"))
     return shared.where("c >= least").select("u", "v")
 

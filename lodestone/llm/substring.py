@@ -87,7 +87,7 @@ def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         name = uuid.uuid4().hex
 
         def candidates(batches, found=found, part=part, name=name):
-            bits = countmin.bits_of(name, found.value, cells)
+            bits = countmin.bits_of(name, found, cells)
             held: list[tuple[np.ndarray, ...]] = []
 
             def flush():

@@ -178,7 +178,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     name = uuid.uuid4().hex
 
     def segments(batches):
-        bits = countmin.bits_of(name, found.value, cells)
+        bits = countmin.bits_of(name, found, cells)
         held: dict[tuple[bytes, int], tuple[int, list[tuple[int, int, int]]]] = {}
         size = 0
 
