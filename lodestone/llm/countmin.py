@@ -90,6 +90,11 @@ def bits_of(name: str, found: Broadcast, cells: int) -> np.ndarray:
     return _held[name]
 
 
+def release() -> None:
+    """Drop the bits that a worker keeps, where other work begins."""
+    _held.clear()
+
+
 def maybe_repeated(h: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
     ok = np.ones(len(h), bool)
     for row in range(ROWS):

@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import countmin
 from .store import cut, table
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS, HASHED = 4, 8, 1024
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 
 def default_tokenizer() -> str:
@@ -124,6 +125,7 @@ def tokenized(documents: DataFrame, tokenizer: str | None = None, end_id: int =
     path = tokenizer or default_tokenizer()
 
     def run(batches):
+        countmin.release()
         words, project = _words(path), _projection()
         end = np.array([end_id], np.uint16).tobytes()
         for batch in batches:

@@ -40,7 +40,7 @@ from .suffix import common_prefixes, suffix_array
 from .text import U64, Chunk, chunks, covered, mix, powers, prefix_hash, span_hash
 
 LENGTH, GRAM, CORES = 400, 64, 4
-SHARD = 3 << 19
+SHARD = 1 << 20
 HOLD = 24 << 20
 MAX_CELLS = 1 << 28
 _R = 0x9E3779B97F4A7C15 | 1
@@ -82,8 +82,7 @@ class Anchors:
 
     def cores(self) -> tuple[np.ndarray, np.ndarray]:
         """(anchor number, hash) of the cores that their rows hold."""
-        side = self.length - self.gram
-        cuts = [side * j // CORES for j in range(CORES + 1)]
+        cuts = core_cuts(self.length, self.gram)
         who, out = [], []
         for j in range(CORES if len(self.at) else 0):
             low, high = self.at - cuts[j], self.at + self.length - cuts[j + 1]
@@ -144,21 +143,38 @@ def repeated_starts(segments: list[bytes], place: np.ndarray, many: np.ndarray,
     return [x - b for x, b in zip(np.split(hit, np.searchsorted(hit, begin[1:-1])), begin.tolist(), strict=False)]
 
 
-def aligned_starts(segments: list[bytes], anchor: np.ndarray, many: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
-    """The same for segments of one anchor, by hashes of the strings at each distance from it."""
-    size = np.array([len(s) for s in segments])
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    prefix = prefix_hash(np.frombuffer(b"".join(segments), np.uint8), _R)
+def core_cuts(length: int, gram: int) -> list[int]:
+    return [(length - gram) * j // CORES for j in range(CORES + 1)]
+
+
+def sharing(segments: list[tuple], length: int, gram: int) -> list[tuple]:
+    """Those of one anchor's segments (body, anchor, ...) that have a core in common with another."""
+    cuts = core_cuts(length, gram)
+    keep: set[int] = set()
+    for j in range(CORES):
+        by: dict[bytes, int] = {}
+        for i, (body, anchor, *_) in enumerate(segments):
+            low, high = anchor - cuts[j], anchor + length - cuts[j + 1]
+            if low >= 0 and high <= len(body):
+                first = by.setdefault(body[low:high], i)
+                if first != i:
+                    keep |= {first, i}
+    return [segments[i] for i in sorted(keep)]
+
+
+def aligned_starts(segments: list[bytes], anchor: list[int], many: list[bool], length: int, gram: int) -> list[np.ndarray]:
+    """The same for segments of one anchor, by the strings themselves at each distance from it."""
     out: list[list[int]] = [[] for _ in segments]
     for a in range(length - gram + 1):
-        ok = np.flatnonzero((anchor >= a) & (anchor - a + length <= size))
-        if not len(ok):
-            continue
-        low = begin[ok] + anchor[ok] - a
-        _, which, count = np.unique(span_hash(prefix, low, low + length, _R), return_inverse=True, return_counts=True)
-        count = count + np.bincount(which, many[ok])  # a segment at many places counts twice
-        for i in ok[count[which] > 1].tolist():
-            out[i].append(int(anchor[i] - a))
+        by: dict[bytes, list[int]] = defaultdict(list)
+        for i, body in enumerate(segments):
+            low = anchor[i] - a
+            if low >= 0 and low + length <= len(body):
+                by[body[low : low + length]].append(i)
+        for own in by.values():
+            if len(own) > 1 or many[own[0]]:
+                for i in own:
+                    out[i].append(anchor[i] - a)
     return [np.array(x, np.int64) for x in out]
 
 
@@ -166,7 +182,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     """Rows of (bucket, blob): ranges of bytes to remove."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = 2 * n_bytes // (length - gram + 1)
-    cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(1.5 * CORES * anchors).bit_length()))
+    cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(6 * CORES * anchors).bit_length()))
     buckets = n_buckets(n_bytes)
     shards = int(1 + anchors * 2 * length * 0.3 // SHARD)
 
@@ -260,11 +276,12 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
         held, size = [], 0
         for own in by.values():
-            if len(own) < 2 or all(r[3] for r in own):
+            own = sharing(own, length, gram)
+            if all(r[3] for r in own):
                 continue
             n = sum(len(r[0]) for r in own)
             if n > SHARD:
-                settle(own, aligned_starts([r[0] for r in own], np.array([r[1] for r in own]), np.array([r[3] for r in own], np.int64), length, gram))
+                settle(own, aligned_starts([r[0] for r in own], [r[1] for r in own], [r[3] for r in own], length, gram))
                 continue
             if size + n > SHARD and held:
                 batch(held)

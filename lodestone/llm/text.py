@@ -7,6 +7,8 @@ byte ranges of the UTF-8 text; their 64-bit hashes come from one running sum.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,11 @@ import pyarrow as pa
 
 CHUNK = 1 << 20
 U64 = np.uint64
-pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what a worker has freed
+
+# Workers live long and share an executor's memory with its JVM: what is freed goes back at once.
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):  # not glibc
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
 _R, _S = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _pow: dict[int, np.ndarray] = {}
 
@@ -34,11 +40,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1); kept for usual chunks only."""
     have = _pow.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK + 1), base, U64)
+        out = np.full(max(n, CHUNK + 2), base, U64)
         out[0] = 1
-        have = _pow[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if len(have) == CHUNK + 2:
+            _pow[base] = have
     return have[:n]
 
 
