@@ -171,11 +171,15 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return table(both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "links")
 
 
+def need(a: str, b: str, percent: int) -> Column:
+    """How many values similar sets of a.n and b.n values have in common at least."""
+    return F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
+
+
 def reachable(a: str, b: str, percent: int) -> Column:
     """Whether sets of a.n and b.n values, of which others may have a.r and b.r, can be similar enough."""
-    need = F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
     near = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return near & (F.least(f"{a}.r", f"{b}.r") >= need)
+    return near & (F.least(f"{a}.r", f"{b}.r") >= need(a, b, percent))
 
 
 def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -187,15 +191,22 @@ def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def list_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components (column comp) whose sketches allow the similarity."""
-    lists = table(classes.select(F.explode("kept").alias("value"), F.col("doc_id").alias("id"), "n", "r", "comp"), "postings")
+    """Pairs of different components (column comp) whose sketches allow the similarity.
+
+    A pair shares a value among the first n - need + 1 of both sets, so only such
+    places in the lists make pairs; then all values retained by both are counted.
+    """
+    lists = table(classes.select(F.posexplode("kept").alias("pos", "value"), F.col("doc_id").alias("id"), "n", "r", "comp").withColumn("rank", F.col("n") - F.col("r") + F.col("pos")).drop("pos"), "postings")
     mixed = lists.groupBy("value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("value")
     lists = table(lists.join(mixed, "value", "left_semi"), "mixed")
-    need = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    early = (F.col("x.n") - F.col("x.rank") >= need("x", "y", percent)) & (F.col("y.n") - F.col("y.rank") >= need("x", "y", percent))
+    both = lists.alias("x").join(lists.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & reachable("x", "y", percent) & early)
+    pairs = both.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    kept = classes.select("doc_id", "n", "kept")
     rest = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")  # noqa: E731  what a sketch leaves out
-    both = lists.alias("x").join(lists.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & reachable("x", "y", percent))
-    shared = both.groupBy(F.col("x.id").alias("u"), F.col("y.id").alias("v")).agg(F.count("*").alias("c"), F.first(need - F.greatest(rest("x.n"), rest("y.n"))).alias("least"))
-    return shared.where("c >= least").select("u", "v")
+    least = need("x", "y", percent) - F.greatest(rest("x.n"), rest("y.n"))
+    sketched = pairs.join(kept.alias("x"), F.col("u") == F.col("x.doc_id")).join(kept.alias("y"), F.col("v") == F.col("y.doc_id"))
+    return sketched.where(F.size(F.array_intersect("x.kept", "y.kept")) >= least).select("u", "v")
 
 
 def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
