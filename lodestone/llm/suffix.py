@@ -37,7 +37,7 @@ class Buckets:
     def spread(self, sa: np.ndarray, at: np.ndarray, to: np.ndarray, step: int) -> None:
         """Put the entries, in order, into their buckets, next to what is there."""
         c = self.t[at]
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(np.uint16), kind="stable")  # a radix sort
         at, c = at[order], c[order]
         new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         count = np.diff(np.append(new, len(c)))
@@ -94,36 +94,47 @@ class Buckets:
         return sa
 
 
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; only suffixes that still tie are sorted again."""
+def doubled(t: np.ndarray, place: np.ndarray, enough: int) -> np.ndarray:
+    """Suffix array by doubling; only suffixes that still tie are sorted again.
+
+    ``place`` tells where each character begins in the text that t stands for; suffixes
+    that tie over ``enough`` characters of it may stay in any order.
+    """
     n = len(t)
-    sa = np.argsort(t, kind="stable")
+    sa = np.argsort(t)
     new = np.concatenate([[True], t[sa][1:] != t[sa][:-1]])
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[sa] = first
+    reach = np.append(place, place[-1] + enough)
     k = 1
     while True:
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
-        if not len(at):
+        suffix = sa[at]
+        short = reach[np.minimum(suffix + k, n)] - place[suffix] < enough
+        if not short.any():
             return sa
+        at, suffix = at[np.isin(rank[suffix], rank[suffix[short]])] if not short.all() else at, suffix
         suffix = sa[at]
         follow = suffix + k
-        second = np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
-        order = np.lexsort((second, rank[suffix]))
-        suffix, second = suffix[order], second[order]
+        key = rank[suffix] * (n + 1) + np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        suffix, key = suffix[order], key[order]
         sa[at] = suffix
-        own = rank[suffix]
-        fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
         rank[suffix] = np.maximum.accumulate(np.where(fresh, at, 0))
         new[at] = fresh
         k *= 2
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Of characters with a unique least one, 0, at the end."""
+def suffix_array(t: np.ndarray, enough: int | None = None) -> np.ndarray:
+    """Of characters with a unique least one, 0, at the end.
+
+    Suffixes that share ``enough`` characters (default: all) may stay in any order.
+    """
+    enough = enough or len(t)
     b = Buckets(t)
     lms = b.lms
     if len(lms) < 2:
@@ -140,16 +151,15 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     same = length[a] == length[c]
     at, step = np.flatnonzero(same), 0
     while len(at):
-        at = at[step < length[a[at]]]
         differ = t[a[at] + step] != t[c[at] + step]
         same[at[differ]] = False
-        at = at[~differ]
         step += 1
+        at = at[~differ & (step < length[a[at]])]
     name = np.empty(len(t), np.int64)
     name[ordered] = np.concatenate([[0], np.cumsum(~same)])
     names = name[lms]
     if same.any():
-        ordered = lms[doubled(names)]
+        ordered = lms[doubled(names, lms, enough)]
     return b.induce(ordered)
 
 

@@ -129,7 +129,7 @@ def repeated_starts(segments: list[bytes], place: np.ndarray, many: np.ndarray,
         t[b : b + len(s)] += 1
     of = np.repeat(np.arange(len(segments)), size + 1)
     n = len(of)
-    sa = suffix_array(t)
+    sa = suffix_array(t, length)
     shares = common_prefixes(t, sa, length, prefix_hash(t, _R), powers(_INVERSE, len(t) + 1))
     order = sa[sa < n]  # all but the sentinel
     order = order[order + length <= begin[of[order]] + size[of[order]]]

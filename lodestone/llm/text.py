@@ -20,7 +20,8 @@ U64 = np.uint64
 # Workers live long and share an executor's memory with its JVM: what is freed goes back at once.
 pa.set_memory_pool(pa.system_memory_pool())
 with contextlib.suppress(OSError, AttributeError):  # not glibc
-    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+    ctypes.CDLL(None).mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    ctypes.CDLL(None).mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: chunks reuse their memory
 _R, _S = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _pow: dict[int, np.ndarray] = {}
 
