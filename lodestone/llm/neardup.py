@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
             doc = np.repeat(np.arange(chunk.n), n)
             shared = countmin.maybe_repeated(h, bits, cells)
             r = np.bincount(doc[shared], minlength=chunk.n)
-            size = np.maximum(0, r - (percent * n + 99) // 100 + 1)  # of the sketch, without the n - r own values
+            size = np.clip(r - (percent * n + 99) // 100 + 1, 0, r)  # of the sketch, without the n - r own values
             shared &= size[doc] > 0
             h, doc = h[shared], doc[shared]
             first = np.searchsorted(doc, np.arange(chunk.n))

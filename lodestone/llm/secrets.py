@@ -41,6 +41,15 @@ IDENTIFIERS = b" ".join(
 )
 
 
+SEPARATED = re.compile("[_=/+-]+")
+
+
+def mixed(piece: str) -> bool:
+    """Not a word, a number or a capitalised name, as the pieces of an identifier are."""
+    letters = any(c.isalpha() for c in piece)
+    return letters and (any(c.isdigit() for c in piece) or piece[1:] not in (piece[1:].lower(), piece[1:].upper()))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base matches."""
     low = text.lower()
@@ -78,8 +87,7 @@ class Novelty:
                     break
                 taken = b
                 word = m[0]
-                mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
-                if not mixed or any(x < b and a < y for x, _, y in base):
+                if not any(map(mixed, SEPARATED.split(word))) or any(x < b and a < y for x, _, y in base):
                     continue
                 if self.cost(text[max(0, a - self.around) : a], word, text[b : b + self.around]) >= self.novelty:
                     yield a, 3, b
