@@ -27,8 +27,8 @@ WHITE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: Rules of a line, as regular expressions that Java and RE2 read alike.
-ENDS_WELL = r"""[.!?:;,…"'”’»)\]][\x20\x09-\x0D]*$"""
+#: Rules of a line.
+END_MARKS = ".!?:;,…\"'”’»)]"
 SEPARATORS = "|»›•·>"
 NAVIGATION = 3  # separators in a line
 BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "sign in", "log in", "subscribe now", "click here", "enable javascript", "read more", "share this", "skip to content", "skip to main content", "back to top", "lorem ipsum")
@@ -42,11 +42,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WHITE), lambda w: w != "")
+    """Of a text that has one; otherwise one empty word."""
+    return F.split(F.trim(text, F.lit(WHITE_CHARS)), WHITE)
 
 
 def count_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.when(F.trim(text, F.lit(WHITE_CHARS)) == "", 0).otherwise(F.size(words(text))).cast("long")
 
 
 def word_chars(text: Column) -> Column:
@@ -58,7 +59,7 @@ def symbols(text: Column) -> Column:
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, WHITE_CHARS, "") != "")
+    return F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(WHITE_CHARS)) != "")
 
 
 def _repeated(windows: Column) -> Column:
@@ -79,16 +80,23 @@ def _repeated(windows: Column) -> Column:
     return let(windows, found)
 
 
+def _joined(h: Column, step: int) -> Column:
+    """Hashes of h[i] and h[i + step] together."""
+    n = F.size(h) - step
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+
+
 def counted_words(text: Column) -> Column:
-    """struct(n_words, n_repeat_words); a window's hash is that of its words' hashes."""
+    """struct(n_words, n_repeat_words); windows of eight are hashed as pairs of pairs of pairs of word hashes."""
 
     def of(h: Column) -> Column:
         n = F.size(h)
-        hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(WINDOW))))
-        repeated = F.when(n > WINDOW, _repeated(hashes)).otherwise(F.lit(0).cast("long"))
+        windows = let(_joined(h, 1), lambda two: let(_joined(two, 2), lambda four: _joined(four, 4)))
+        repeated = F.when(n > WINDOW, _repeated(windows)).otherwise(F.lit(0).cast("long"))
         return F.struct(n.cast("long").alias("n_words"), repeated.alias("n_repeat_words"))
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+    none = F.struct(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_repeat_words"))
+    return F.when(word_chars(text) == 0, none).otherwise(let(F.transform(words(text), lambda w: F.xxhash64(w)), of))
 
 
 def boilerplate(text: Column) -> Column:
@@ -96,35 +104,44 @@ def boilerplate(text: Column) -> Column:
     return reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
 
 
-def good_line(line: Column, any_boilerplate: Column) -> Column:
-    chars = word_chars(line)
-    punctuated = line.rlike(ENDS_WELL) | (count_words(line) <= SHORT_LINE)
-    navigation = F.length(line) - F.length(F.translate(line, SEPARATORS, "")) >= NAVIGATION
-    return punctuated & (symbols(line) * 100 <= chars * MAX_SYMBOLS) & ~navigation & ~(any_boilerplate & boilerplate(line))
+def separators(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, SEPARATORS, ""))
+
 
+def bad_line(line: Column, flags: Column) -> Column:
+    """flags: n_symbols, n_separators and boilerplate of the whole text; lines are only searched for what it has."""
+    unmarked = (F.instr(F.lit(END_MARKS), F.right(F.rtrim(line, F.lit(WHITE_CHARS)), F.lit(1))) == 0) & (count_words(line) > SHORT_LINE)
+    symbolic = (flags["n_symbols"] > 0) & (symbols(line) * 100 > word_chars(line) * MAX_SYMBOLS)
+    navigation = (flags["n_separators"] >= NAVIGATION) & (separators(line) >= NAVIGATION)
+    return unmarked | symbolic | navigation | (flags["boilerplate"] & boilerplate(line))
 
-def good_lines(distinct: Column, text: Column) -> Column:
-    """Lines are only searched for boilerplate where the whole text has some."""
-    return let(boilerplate(text), lambda any_: F.filter(distinct, lambda line: good_line(line, any_)))
+
+def flags_of(text: Column) -> Column:
+    return F.struct(symbols(text).alias("n_symbols"), separators(text).alias("n_separators"), boilerplate(text).alias("boilerplate"), word_chars(text).alias("word_chars"))
 
 
 def kept_lines(text: Column) -> Column:
-    return good_lines(F.array_distinct(lines_with_words(text)), text)
+    return let(flags_of(text), lambda flags: F.filter(F.array_distinct(lines_with_words(text)), lambda line: ~bad_line(line, flags)))
 
 
-def measures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_kept: int = MIN_KEPT) -> DataFrame:
-    """The columns ``keep``, the base measures, kept_chars, base_failed and kept."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def line_measures(text: Column) -> Column:
+    """struct(n_dup_lines, kept_chars, word_chars, n_symbols); what is kept is what repeated and bad lines leave."""
+    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + word_chars(line))
+
+    def of(lines: Column, distinct: Column, flags: Column) -> Column:
+        n_dup = F.size(lines) - F.size(distinct)
+        repeated = F.when(n_dup == 0, F.lit(0).cast("long")).otherwise(chars(lines) - chars(distinct))
+        kept = flags["word_chars"] - repeated - chars(F.filter(distinct, lambda line: bad_line(line, flags)))
+        return F.struct(n_dup.cast("long").alias("n_dup_lines"), kept.alias("kept_chars"), flags["word_chars"].alias("word_chars"), flags["n_symbols"].alias("n_symbols"))
 
-    def of_lines(lines: Column) -> Column:
-        def of(distinct: Column) -> Column:
-            kept = F.aggregate(good_lines(distinct, t), F.lit(0).cast("long"), lambda n, line: n + word_chars(line))
-            return F.struct((F.size(lines) - F.size(distinct)).cast("long").alias("n_dup_lines"), kept.alias("kept_chars"))
+    return let(flags_of(text), lambda flags: let(lines_with_words(text), lambda lines: let(F.array_distinct(lines), lambda distinct: of(lines, distinct, flags))))
 
-        return let(F.array_distinct(lines), of)
 
-    df = documents.select(*keep, word_chars(t).alias("word_chars"), symbols(t).alias("n_symbols"), counted_words(t).alias("_w"), let(lines_with_words(t), of_lines).alias("_l"))
-    df = df.select(*keep, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.kept_chars")
+def measures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_kept: int = MIN_KEPT) -> DataFrame:
+    """The columns ``keep``, the base measures, kept_chars, base_failed and kept."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = documents.select(*keep, counted_words(t).alias("_w"), line_measures(t).alias("_l"))
+    df = df.select(*keep, "_w.n_words", "_l.word_chars", "_l.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.kept_chars")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("kept_chars") >= min_kept * F.col("word_chars")))
 

@@ -5,7 +5,7 @@ corpus would be a row), language id, scoring, packing and secret scans (learned,
 or compressed).  Tests compare those with brute force.
 """
 
-from .quality import BOILERPLATE, ENDS_WELL, MAX_SYMBOLS, MIN_KEPT, NAVIGATION, SEPARATORS, SHORT_LINE
+from .quality import BOILERPLATE, END_MARKS, MAX_SYMBOLS, MIN_KEPT, NAVIGATION, SEPARATORS, SHORT_LINE
 
 GAP = r"[\x20\x09-\x0D]"
 _quote = lambda x: x.replace("'", "''")
@@ -14,7 +14,7 @@ _words = lambda x: f"list_filter(regexp_split_to_array({x},'{GAP}+'), lambda x:
 _chars = lambda x: f"length(regexp_replace({x},'{GAP}','','g'))"
 _count = lambda x, cls: f"length(regexp_replace({x},'[^{cls}]','','g'))"
 
-_good = f"""((regexp_matches(l,'{_quote(ENDS_WELL)}') or len({_words('l')})<={SHORT_LINE}) and {_count('l', '#*$%&|<>')}*100<={_chars('l')}*{MAX_SYMBOLS}
+_good = f"""((contains('{_quote(END_MARKS)}',right(regexp_replace(l,'{GAP}+$',''),1)) or len({_words('l')})<={SHORT_LINE}) and {_count('l', '#*$%&|<>')}*100<={_chars('l')}*{MAX_SYMBOLS}
   and {_count('l', SEPARATORS)}<{NAVIGATION} and not ({' or '.join(f"contains(lower(l),'{b}')" for b in BOILERPLATE)}))"""
 
 OP2 = f"""with recursive
