@@ -116,7 +116,9 @@ def doubled(t: np.ndarray, place: np.ndarray, enough: int) -> np.ndarray:
         short = reach[np.minimum(suffix + k, n)] - place[suffix] < enough
         if not short.any():
             return sa
-        at, suffix = at[np.isin(rank[suffix], rank[suffix[short]])] if not short.all() else at, suffix
+        wanted = np.zeros(n, bool)  # groups with a suffix that does not reach far enough yet
+        wanted[rank[suffix[short]]] = True
+        at = at[wanted[rank[suffix]]]
         suffix = sa[at]
         follow = suffix + k
         key = rank[suffix] * (n + 1) + np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)

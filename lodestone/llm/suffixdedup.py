@@ -40,6 +40,7 @@ from .suffix import common_prefixes, suffix_array
 from .text import U64, Chunk, chunks, covered, mix, powers, prefix_hash, span_hash
 
 LENGTH, GRAM, CORES = 400, 64, 4
+FINE = 4 * CORES  # cores by which a shard chooses what it sorts
 SHARD = 1 << 20
 HOLD = 24 << 20
 MAX_CELLS = 1 << 28
@@ -93,8 +94,7 @@ class Anchors:
 
 
 def ranges(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings that begin at these places, as ranges of bytes."""
-    start = np.unique(start)
+    """Strings that begin at these places, ascending, as ranges of bytes."""
     if not len(start):
         return start, start
     new = np.flatnonzero(np.diff(start) > 1)
@@ -143,23 +143,32 @@ def repeated_starts(segments: list[bytes], place: np.ndarray, many: np.ndarray,
     return [x - b for x, b in zip(np.split(hit, np.searchsorted(hit, begin[1:-1])), begin.tolist(), strict=False)]
 
 
-def core_cuts(length: int, gram: int) -> list[int]:
-    return [(length - gram) * j // CORES for j in range(CORES + 1)]
+def core_cuts(length: int, gram: int, cores: int = CORES) -> list[int]:
+    return [(length - gram) * j // cores for j in range(cores + 1)]
 
 
 def sharing(segments: list[tuple], length: int, gram: int) -> list[tuple]:
-    """Those of one anchor's segments (body, anchor, ...) that have a core in common with another."""
-    cuts = core_cuts(length, gram)
-    keep: set[int] = set()
-    for j in range(CORES):
+    """Those of one anchor's segments (body, anchor, (doc, tag, low), many) that have a core in common with another.
+
+    Each is cut to the strings around the cores that it shares.
+    """
+    cuts = core_cuts(length, gram, FINE)
+    first, last = [FINE] * len(segments), [-1] * len(segments)
+    for j in range(FINE):
         by: dict[bytes, int] = {}
         for i, (body, anchor, *_) in enumerate(segments):
             low, high = anchor - cuts[j], anchor + length - cuts[j + 1]
             if low >= 0 and high <= len(body):
-                first = by.setdefault(body[low:high], i)
-                if first != i:
-                    keep |= {first, i}
-    return [segments[i] for i in sorted(keep)]
+                other = by.setdefault(body[low:high], i)
+                if other != i:
+                    for x in (i, other):
+                        first[x], last[x] = min(first[x], j), max(last[x], j)
+    out = []
+    for i, (body, anchor, (doc, tag, at), many) in enumerate(segments):
+        if last[i] >= 0:
+            low, high = max(0, anchor - cuts[last[i] + 1]), min(len(body), anchor + length - cuts[first[i]])
+            out.append((body[low:high], anchor - low, (doc, tag, at + low), many))
+    return out
 
 
 def aligned_starts(segments: list[bytes], anchor: list[int], many: list[bool], length: int, gram: int) -> list[np.ndarray]:
@@ -175,7 +184,7 @@ def aligned_starts(segments: list[bytes], anchor: list[int], many: list[bool], l
             if len(own) > 1 or many[own[0]]:
                 for i in own:
                     out[i].append(anchor[i] - a)
-    return [np.array(x, np.int64) for x in out]
+    return [np.array(x[::-1], np.int64) for x in out]
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
