@@ -48,7 +48,8 @@ def clusters(docs: DataFrame, n_docs: int, least: int = 20, per_cluster: int = 1
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 
     rows = docs.select("source_iri", F.coalesce("text", F.lit("")).alias("text"))
-    stages = [RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\W+"), HashingTF(inputCol="w", outputCol="f", numFeatures=dims * 16), Normalizer(inputCol="f", outputCol="v"), KMeans(featuresCol="v", predictionCol="cluster", k=max(2, round(n_docs / per_cluster)), seed=42)]
+    k = max(2, min(round(n_docs / per_cluster), rows.select("text").distinct().count()))  # no more centres than texts
+    stages = [RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\W+"), HashingTF(inputCol="w", outputCol="f", numFeatures=dims * 16), Normalizer(inputCol="f", outputCol="v"), KMeans(featuresCol="v", predictionCol="cluster", k=k, seed=42)]
     return Pipeline(stages=stages).fit(rows).transform(rows).select("source_iri", "cluster")
 
 
