@@ -55,7 +55,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack.pack(docs)
+    return pack.pack(docs, cached_words=250_000)  # workers hold what earlier stages left as well
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -27,7 +27,7 @@ from .store import cut, table
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS, HASHED = 4, 8, 1024
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -44,12 +44,12 @@ def _byte_characters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """ASCII-lower-cased word -> its ids as 16-bit bytes; at most ``CACHED_WORDS`` are kept."""
+    """ASCII-lower-cased word -> its ids as 16-bit bytes; about ``most`` are kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
         self.stand_in = _byte_characters()
         if self.tokenizer.get_vocab_size() > 1 << 16:
@@ -72,14 +72,14 @@ class WordIds(dict):
     def of(self, text: str) -> bytes:
         data = text.encode()
         words = (data if b"<|" in data else data.lower()).split()  # special tokens are matched in their own case
-        if len(self) > CACHED_WORDS:
+        if len(self) > self.most:
             self.clear()
         return b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(maxsize=1)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
+def _words(path: str, most: int) -> WordIds:
+    return WordIds(path, most)
 
 
 @lru_cache(maxsize=1)
@@ -120,13 +120,13 @@ def curve_keys(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
     return hilbert(cells, bits)
 
 
-def tokenized(documents: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def tokenized(documents: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, cached_words: int = CACHED_WORDS) -> DataFrame:
     """row, doc_id, n, key, ids (16-bit, with the end id), written to the shared folder."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
         countmin.release()
-        words, project = _words(path), _projection()
+        words, project = _words(path, cached_words), _projection()
         end = np.array([end_id], np.uint16).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -155,9 +155,9 @@ def places(tokens: DataFrame) -> DataFrame:
     return ranged.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(bases), "part").select("row", (F.col("base") + F.col("before")).alias("first_token"))
 
 
-def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (with_ids: and ids, as array<int>)."""
-    tokens = tokenized(documents, tokenizer, end_id)
+    tokens = tokenized(documents, tokenizer, end_id, cached_words)
     placed = tokens.select("row", "doc_id", "ids").join(places(tokens), "row").drop("row")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
