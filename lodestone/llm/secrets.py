@@ -8,6 +8,13 @@ text, and the marginal compressed bytes of the candidate are what it adds to
 the compressed size of the context alone.  Candidates that cost at least
 ``novelty`` bytes a character are incompressible there and are reported.
 
+A candidate runs to its true end, dots inside it included, and is measured in pieces
+short enough that their literals are not entropy-coded; one incompressible piece is
+enough to report it whole.  The search goes on from what was reported to the candidates
+that adjoin it (nothing but punctuation and white space between), and over the whole
+body of a PEM private key, so its other lines are found although no sensitive word
+stands near them.  The short last line of such a block is taken too.
+
 Whole texts are searched; offsets count code points, ends are exclusive.  A null
 or empty text has no spans.  Repeated rows are each scanned.  No row moves.
 """
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +40,14 @@ SENSITIVE_STEMS = ("bearer", "authoriz", "credential", "key", "secret", "pass",
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?i:bearer|authorization|credential|private[ _-]?key|access[ _-]?key|secret|passphrase|passwd|password|token|api[ _-]?key|client[ _-]?id|session[ _-]?id|cookie|signature)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,256}")
+CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]+(?:\.+[A-Za-z0-9+/_=-]+)*")  # a maximal run without dots around it
+SHORTEST = 16
+PIECE = 48  # zstandard writes fewer than 64 literals as they are, so that a cost does not depend on the alphabet
+#: What may stand between the lines or pieces of one secret, and a last line that is shorter than a candidate.
+ADJOINS = re.compile(r"\W*")
+TAIL = re.compile(r"[^\S\r\n]*\r?\n[^\S\r\n]*([A-Za-z0-9+/_=.]+)[^\S\r\n]*(?=[\r\n]|\Z)")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----")
+PEM_END = "-----END"
 #: Identifiers of configuration and source code: text that is no secret however odd it looks.
 IDENTIFIERS = b" ".join(
     b"access_key_id secret_access_key authorization bearer client_id client_secret session_id private_key public_key passphrase password username api_key api_token endpoint hostname localhost connection_string database_url "
@@ -75,22 +90,76 @@ class Novelty:
         size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False).compress(x))
         return (size(before.encode() + candidate.encode()) - size(before.encode())) / len(candidate)
 
+    def novel(self, text: str, a: int, b: int) -> bool:
+        """Whether text[a:b] has a piece that costs ``novelty``: of the whole in even cuts, or between its dots."""
+        word, before, after = text[a:b], text[max(0, a - self.around) : a], text[b : b + self.around]
+        cuts = [(len(word) * i // n, len(word) * (i + 1) // n) for n in [-(-len(word) // PIECE)] for i in range(n)]
+        cuts += [m.span() for m in re.finditer(rf"[^.]{{{SHORTEST},{PIECE}}}", word) if m[0] != word]
+        seen: set[str] = set()
+        for i, j in cuts:
+            piece = word[i:j]
+            if piece in seen:
+                continue
+            seen.add(piece)
+            if self.cost((before + word[max(0, i - self.around) : i])[-self.around :], piece, after) >= self.novelty:
+                return True
+        return False
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
         low = text.lower()
         if not any(x in low for x in SENSITIVE_STEMS):
             return
+        blocks = {m.end(): m.start() for m in PEM.finditer(text)} if "PRIVATE KEY" in text else {}
+        starts = sorted(blocks)
+        tops = [blocks[e] for e in starts]
+        bases = merged(base)
         taken = 0
         for s in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(s.end(), taken), s.end() + self.reach + 256):
+            k = bisect_right(tops, s.start()) - 1
+            at, limit = s.end(), s.end() + self.reach
+            if k >= 0 and s.end() <= starts[k]:  # the first line of a private key: all of its body is meant
+                end = text.find(PEM_END, starts[k])
+                at, limit = starts[k], end - 1 if end >= 0 else starts[k] + self.reach
+            at = max(at, taken)
+            while at <= limit and (m := CANDIDATE.search(text, at, len(text))):
                 a, b = m.span()
-                if a > s.end() + self.reach:
+                if a > limit:
                     break
-                taken = b
-                word = m[0]
-                if not any(map(mixed, SEPARATED.split(word))) or any(x < b and a < y for x, _, y in base):
+                at = taken = b
+                if b - a < SHORTEST:  # the rest was dots
                     continue
-                if self.cost(text[max(0, a - self.around) : a], word, text[b : b + self.around]) >= self.novelty:
+                if not covered(bases, a, b):
+                    word = m[0]
+                    if not any(map(mixed, SEPARATED.split(word))) or not self.novel(text, a, b):
+                        continue
                     yield a, 3, b
+                # The next line or piece is as near as the first: on to it.
+                if (tail := TAIL.match(text, b)) and len(tail[1]) < SHORTEST and alone(text, a):
+                    if not covered(bases, *tail.span(1)):
+                        yield tail.start(1), 3, tail.end(1)
+                    at = taken = tail.end()
+                limit = max(limit, ADJOINS.match(text, at).end())
+
+
+def alone(text: str, a: int) -> bool:
+    """Whether only white space stands before a on its line."""
+    return not text[max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1 : a].strip()
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def covered(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a:b lies in one of the merged spans."""
+    k = bisect_right(spans, (a, 1 << 62)) - 1
+    return k >= 0 and b <= spans[k][1]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
