@@ -14,6 +14,7 @@ enough to report it whole.  The search goes on from what was reported to the can
 that adjoin it (nothing but punctuation and white space between), and over the whole
 body of a PEM private key, so its other lines are found although no sensitive word
 stands near them.  The short last line of such a block is taken too.
+Copies of a candidate, cut or with other text attached, do not explain it.
 
 Whole texts are searched; offsets count code points, ends are exclusive.  A null
 or empty text has no spans.  Repeated rows are each scanned.  No row moves.
@@ -41,6 +42,7 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?i:bearer|authorization|credential|private[ _-]?key|access[ _-]?key|secret|passphrase|passwd|password|token|api[ _-]?key|client[ _-]?id|session[ _-]?id|cookie|signature)", re.ASCII)
 CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]+(?:\.+[A-Za-z0-9+/_=-]+)*")  # a maximal run without dots around it
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 SHORTEST = 16
 PIECE = 48  # zstandard writes fewer than 64 literals as they are, so that a cost does not depend on the alphabet
 #: What may stand between the lines or pieces of one secret, and a last line that is shorter than a candidate.
@@ -92,7 +94,9 @@ class Novelty:
 
     def novel(self, text: str, a: int, b: int) -> bool:
         """Whether text[a:b] has a piece that costs ``novelty``: of the whole in even cuts, or between its dots."""
-        word, before, after = text[a:b], text[max(0, a - self.around) : a], text[b : b + self.around]
+        word = text[a:b]
+        far = self.around + 4 * SHORTEST  # a copy at the edge is seen with enough of it to be known
+        before, after = without_copies(word, text[max(0, a - far) : a])[-self.around :], without_copies(word, text[b : b + far])[: self.around]
         cuts = [(len(word) * i // n, len(word) * (i + 1) // n) for n in [-(-len(word) // PIECE)] for i in range(n)]
         cuts += [m.span() for m in re.finditer(rf"[^.]{{{SHORTEST},{PIECE}}}", word) if m[0] != word]
         seen: set[str] = set()
@@ -141,6 +145,18 @@ class Novelty:
                 limit = max(limit, ADJOINS.match(text, at).end())
 
 
+def without_copies(word: str, context: str) -> str:
+    """The context less the runs that have SHORTEST characters in a row in common with the word."""
+    found = [m for m in RUN.finditer(context)]
+    if not found:
+        return context
+    grams = {word[i : i + SHORTEST] for i in range(len(word) - SHORTEST + 1)}
+    for m in reversed(found):
+        if any(m[0][i : i + SHORTEST] in grams for i in range(len(m[0]) - SHORTEST + 1)):
+            context = f"{context[: m.start()]} {context[m.end() :]}"
+    return context
+
+
 def alone(text: str, a: int) -> bool:
     """Whether only white space stands before a on its line."""
     return not text[max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1 : a].strip()

@@ -160,3 +160,17 @@ def test_candidates_run_to_their_end():
     hidden = f"www.example.com.configuration.{long[:24]}"
     assert novel(f"credential {hidden} here") == [hidden]
     assert novel("password................... 7") == novel("the token aB3dE................ 7") == []
+
+
+@pytest.mark.parametrize("between", [" then again bearer ", "\nretry 1: bearer ", " is x-session=", f" {'of the same ' * 13} token "])
+def test_copies_do_not_explain_a_secret(between):
+    key, other = random_text(32, BASE64[:62], 5), random_text(32, BASE64[:62], 6)
+    text = f"bearer {key}{between}{key} and credential {other}"
+    found = novel(text)
+    assert len(found) == 3 and found[0] == key and found[1].endswith(key) and found[2] == other
+    left = secrets.masked(text, list(secrets.Novelty().spans(text, [])))
+    assert key not in left and other not in left
+
+
+def test_surroundings_still_explain():
+    assert novel("bearer " + "-=" * 40) == []
