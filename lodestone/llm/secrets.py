@@ -14,7 +14,8 @@ enough to report it whole.  The search goes on from what was reported to the can
 that adjoin it (nothing but punctuation and white space between), and over the whole
 body of a PEM private key, so its other lines are found although no sensitive word
 stands near them.  The short last line of such a block is taken too.
-Copies of a candidate, cut or with other text attached, do not explain it.
+Whatever its letters or digits are, a candidate is measured; only those made of dictionary
+words alone (with up to four digits) are not.  Copies of a candidate, cut or with other text attached, do not explain it.
 
 Whole texts are searched; offsets count code points, ends are exclusive.  A null
 or empty text has no spans.  Repeated rows are each scanned.  No row moves.
@@ -31,6 +32,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, types as T
 
+from .words import WORDS
+
 # The base patterns, by kind, in the order in which ties are written.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -58,13 +61,15 @@ IDENTIFIERS = b" ".join(
 )
 
 
-SEPARATED = re.compile("[_=/+-]+")
+SEPARATED = re.compile("[_=/+.-]+")
 
 
-def mixed(piece: str) -> bool:
-    """Not a word, a number or a capitalised name, as the pieces of an identifier are."""
-    letters = any(c.isalpha() for c in piece)
-    return letters and (any(c.isdigit() for c in piece) or piece[1:] not in (piece[1:].lower(), piece[1:].upper()))
+def worded(candidate: str) -> bool:
+    """Nothing but dictionary words, and up to four digits beside them."""
+    pieces = [p for p in SEPARATED.split(candidate) if p]
+    numbers = [p for p in pieces if p.isdigit()]
+    words = all(p.lower() in WORDS and p[1:] in (p[1:].lower(), p[1:].upper()) for p in pieces if not p.isdigit())
+    return words and (len(numbers) < len(pieces) or not pieces) and sum(map(len, numbers)) <= 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -133,12 +138,11 @@ class Novelty:
                 if b - a < SHORTEST:  # the rest was dots
                     continue
                 if not covered(bases, a, b):
-                    word = m[0]
-                    if not any(map(mixed, SEPARATED.split(word))) or not self.novel(text, a, b):
+                    if worded(m[0]) or not self.novel(text, a, b):
                         continue
                     yield a, 3, b
                 # The next line or piece is as near as the first: on to it.
-                if (tail := TAIL.match(text, b)) and len(tail[1]) < SHORTEST and alone(text, a):
+                if (tail := TAIL.match(text, b)) and len(tail[1]) < SHORTEST and alone(text, a) and not worded(tail[1]):
                     if not covered(bases, *tail.span(1)):
                         yield tail.start(1), 3, tail.end(1)
                     at = taken = tail.end()

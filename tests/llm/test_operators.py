@@ -174,3 +174,17 @@ def test_copies_do_not_explain_a_secret(between):
 
 def test_surroundings_still_explain():
     assert novel("bearer " + "-=" * 40) == []
+
+
+@pytest.mark.parametrize("n", [16, 32, 64, 100, 1600])
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789ABCDEF"])
+@pytest.mark.parametrize("word", ["client_id", "credential", "bearer"])
+def test_keys_of_one_case_or_of_digits(n, alphabet, word):
+    key = random_text(n, alphabet, n)
+    pattern = alphabet == "0123456789" and n >= 24  # a base span, not searched again
+    assert novel(f"the {word} is {key} here") == ([] if pattern else [key])
+
+
+def test_dictionary_words_are_no_secrets():
+    assert novel("bearer configuration_option_number_1 text") == novel("the token is PRIVATE-PUBLIC-OPTION/2024 now") == novel("cookie ================ here") == []
+    assert novel("the token is 1234-5678-9012-3456 now") == ["1234-5678-9012-3456"]
