@@ -7,6 +7,13 @@ subsequence of anchors is kept, and the gaps between them are aligned in the sam
 way, until a gap has no such words.  Coverage is the share of template words
 aligned; stretches with ``coverage`` or more are reported, left to right.
 
+Templates are notices, standard headers and full texts (``-text``).  A full text is aligned
+again from where it seems to begin, and its ends are where they are most like it.  Where the
+longest common subsequence of a window, an upper bound too, falls short by so many words,
+the next one tried starts so many words later: a step brings in no more than it passes.  Of
+templates of one sort that cover the same stretch, as versions of one license do, the one
+most like it stays.
+
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  A
 null, empty or wordless text has no matches.  Each row is scanned by itself, whole;
 no row moves, and the templates are a fixed parameter.
@@ -17,6 +24,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +32,7 @@ from pyspark.sql import DataFrame, types as T
 
 from .text import NOT_ALNUM, Chunk, Words, chunks
 
-# The usual wording of license notices.
+# The usual wording of license notices and headers.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -36,7 +44,21 @@ TEMPLATES = {
     "MIT": "Released under the MIT License",
     "MIT-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL-1.0-header": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "CC0-1.0-header": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
+#: Full texts, without lines that name a holder.
+TEMPLATES |= {f"{p.stem}-text": p.read_text() for p in sorted(Path(__file__).with_name("licenses").glob("*.txt"))}
 COVERAGE = 0.8
 SLACK = 1.25  # words of text that may hold one word of template
 
@@ -87,6 +109,42 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """The length of the longest common subsequence, a bit for each place in b."""
+    places: dict[bytes, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    left = full
+    for w in a:
+        if m := places.get(w):
+            hit = left & m
+            left = (left + hit | left - hit) & full
+    return len(b) - left.bit_count()
+
+
+def trimmed(pairs: list[tuple[int, int]], size: int, need: int) -> list[tuple[int, int]]:
+    """Pairs without stray ones at the ends: 2 * pairs / (words from first to last + size) is at its highest."""
+    like = lambda i, j: 2 * (j - i) / (pairs[j - 1][0] - pairs[i][0] + 1 + size)
+    n = len(pairs)
+    first = max(range(n - need + 1), key=lambda i: (like(i, n), -i))
+    return pairs[first : max(range(first + need, n + 1), key=lambda j: (like(first, j), j))]
+
+
+def sort_of(name: str) -> str:
+    return next((x for x in ("-header", "-text") if name.endswith(x)), "")
+
+
+def best(found: list[tuple], length: dict[str, int]) -> list[tuple]:
+    """Matches, less those that share half of their words with a better one of their sort."""
+    like = lambda m: (2 * m[3] / (m[2] - m[1] + length[m[0]]), m[3])
+    kept: list[tuple] = []
+    for m in sorted(found, key=lambda m: (*like(m), m[0]), reverse=True):
+        if not any(sort_of(m[0]) == sort_of(k[0]) and m[0] != k[0] and 2 * (min(m[2], k[2]) - max(m[1], k[1])) >= min(m[2] - m[1], k[2] - k[1]) for k in kept):
+            kept.append(m)
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, slack: float = SLACK):
         self.templates = {name: tokens(t) for name, t in sorted(templates.items())}
@@ -97,7 +155,14 @@ class Scanner:
         h = Words(one, NOT_ALNUM, lower=False).hashes()
         order = np.argsort(h)
         self.hash = h[order]
-        self.member = {name: np.array([w in set(t) for w in vocabulary])[order] for name, t in self.templates.items()}
+        counts = {name: Counter(t) for name, t in self.templates.items()}
+        self.count = {name: np.array([c[w] for w in vocabulary])[order] for name, c in counts.items()}
+        self.member = {name: c > 0 for name, c in self.count.items()}
+        self.length = {name: len(t) for name, t in self.templates.items()}
+
+    @staticmethod
+    def text(words: Words, a: int, b: int) -> list[bytes]:
+        return [words.data[x:y].tobytes() for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
 
     def scan(self, chunk: Chunk) -> tuple[np.ndarray, list[list[tuple]]]:
         """Word counts, and each row's matches (name, first word, end word, aligned, coverage)."""
@@ -116,14 +181,27 @@ class Scanner:
             for s in np.flatnonzero((count >= need) & known & self.member[name][at]).tolist() if len(h) else []:
                 if s < done:
                     continue
-                text = [words.data[x:y].tobytes() for x, y in zip(words.start[s : last[s]].tolist(), words.end[s : last[s]].tolist(), strict=True)]
-                pairs = align(text, template)
-                if len(pairs) >= need and pairs[0][0] == 0:
-                    d = words.doc[s]
-                    a, b = s - words.first[d], s - words.first[d] + pairs[-1][0] + 1
+                whole = sort_of(name) == "-text"
+                if whole:  # more than align() can find, as each template word counts as often as it stands there
+                    most = np.minimum(np.bincount(at[s : last[s]][known[s : last[s]]], minlength=len(self.hash)), self.count[name]).sum()
+                    if most < need:
+                        done = min(s + int(need - most), int(words.first[words.doc[s] + 1]))  # the next row's words are no part of that bound
+                        continue
+                pairs = align(text := self.text(words, s, last[s]), template)
+                if whole and len(pairs) < need:
+                    done = min(s + max(1, need - common(text, template)), int(words.first[words.doc[s] + 1]))
+                elif len(pairs) >= need and (whole or pairs[0][0] == 0):
+                    d, at0 = words.doc[s], s
+                    if whole:
+                        pairs = trimmed(pairs, len(template), need)
+                        begin = s + max(0, pairs[0][0] - pairs[0][1])
+                        again = align(self.text(words, begin, last[begin]), template)
+                        if len(again) > len(pairs):
+                            pairs, at0 = trimmed(again, len(template), need), begin
+                    a, b = at0 - words.first[d] + pairs[0][0], at0 - words.first[d] + pairs[-1][0] + 1
                     found[d].append((name, int(a), int(b), len(pairs), len(pairs) / len(template)))
-                    done = s + pairs[-1][0] + 1
-        return words.count, found
+                    done = at0 + pairs[-1][0] + 1
+        return words.count, [best(f, self.length) for f in found]
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

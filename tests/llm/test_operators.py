@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from lodestone.llm import decontaminate, graph, license, neardup, pack, secrets, substring, suffixdedup
 from lodestone.llm.blobs import packed, unpacked
 from lodestone.llm.suffix import suffix_array
-from lodestone.llm.text import Words, chunks
+from lodestone.llm.text import Chunk, Words, chunks
 
 from . import brute
 
@@ -188,3 +188,48 @@ def test_keys_of_one_case_or_of_digits(n, alphabet, word):
 def test_dictionary_words_are_no_secrets():
     assert novel("bearer configuration_option_number_1 text") == novel("the token is PRIVATE-PUBLIC-OPTION/2024 now") == novel("cookie ================ here") == []
     assert novel("the token is 1234-5678-9012-3456 now") == ["1234-5678-9012-3456"]
+
+
+def license_names(texts):
+    texts = list(texts)
+    data = [t.encode() for t in texts]
+    chunk = Chunk(pa.RecordBatch.from_pydict({"text": texts}), np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]).astype(np.int64))
+    return [{m[0]: m for m in f} for f in license.Scanner(license.TEMPLATES).scan(chunk)[1]]
+
+
+def test_altered_full_license_texts():
+    r = random.Random(3)
+    texts = {n: t for n, t in license.TEMPLATES.items() if n.endswith("-text")}
+    assert len(texts) >= 20
+    altered = []
+    for t in texts.values():
+        w = t.split()
+        for i in range(0, len(w) - 1, 31):
+            w[i] = "Acme"  # other names
+        k = r.randrange(len(w) // 2)
+        del w[k : k + len(w) // 12]  # a clause
+        lead = " ".join(r.choices(["the", "of", "work", "we", "read", "software", "and"], k=300))
+        altered.append(f"{lead} qq Copyright 2020 Jane Roe\n" + "\n  ".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) + " qq the end of it")
+    inside = [f"{t} zz {t} zz".join([" ".join(r.choices(["the", "of", "and", "software", "you"], k=len(t) // 20)) + " zz ", " end"]) for t in texts.values()]
+    for n, plain, other, twice in zip(texts, license_names(texts.values()), license_names(altered), license_names(inside), strict=True):
+        assert [x for x in twice if x.endswith("-text")] == [n] and twice[n][4] > 0.98
+        assert [x for x in plain if x.endswith("-text")] == [n] == [x for x in other if x.endswith("-text")]
+        assert plain[n][4] == 1 and 0.8 <= other[n][4] < 1
+
+
+def test_rows_after_a_long_near_miss_are_whole():
+    gpl = license.TEMPLATES["GPL-3.0-text"]
+    for before in ("the " * 4600, " ".join(sorted(gpl.split()))):
+        found = license_names([before, gpl])
+        assert "GPL-3.0-text" not in found[0] and found[1]["GPL-3.0-text"][4] == 1
+
+
+def test_longest_common_subsequence():
+    assert license.common(list("abcbdab"), list("bdcaba")) == 4 and license.common([], list("a")) == license.common(list("a"), list("b")) == 0
+
+
+def test_headers_of_neighbours():
+    names = [n for n in license.TEMPLATES if not n.endswith("-text")]
+    for n, found in zip(names, license_names(f"we say {license.TEMPLATES[n]} and so on" for n in names), strict=True):
+        assert [x for x in found if license.sort_of(x) == license.sort_of(n)] == [n]
+    assert license_names(["this is a text about the license of a work, and of the software"]) == [{}]
