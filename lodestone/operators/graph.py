@@ -8,19 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.terms import cosine, jaccard, trigrams
 from ..functions.similarity import ratio
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; one of our own only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+from ..plans.lineage import LEAST_HOT, cut, hot_join
 
 
 def fixpoint(facts: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], key: list[str], most: int = 1000) -> DataFrame:
@@ -39,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(iri, component) for the ends of edges (a, b); component is the least name reachable.
 
     Each round links every node to its least neighbour on both sides (large and small
-    stars); only an unchanged set of edges ends the rounds.
+    stars); only an unchanged set of edges ends the rounds.  The least node of a large
+    component has all its members as neighbours: such nodes are joined where their rows are.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -50,11 +39,14 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("iri"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("iri"), F.col("v").alias("component")))
         seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        above = F.count(F.when(F.col("v") > F.col("u"), 1)).alias("c")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), above).where("c > 0").select("u", F.least("u", "m").alias("m"), "c")
+        large = hot_join(both.where("v > u"), least, "u", "c", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large) if mark[0] > LEAST_HOT else large
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = cut(large.join(least, "u").select(F.explode(pairs).alias("x")).select("x.*").where("u <> v").distinct())
+        small = hot_join(large, least, "u", "c", mark[0]).select(F.explode(pairs).alias("x")).select("x.*")
+        e = cut(small.where("u <> v").distinct())
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.graph import cut
+from .lineage import cut
 from .sparql import Engine
 
 
