@@ -1,29 +1,15 @@
-"""Connected components by alternating large and small stars; only a fixed point ends the rounds."""
+"""Components of links between documents, by the library's stars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .store import cut
+from ..operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component is the smallest node that it reaches.
 
-    Every round joins each node with its least neighbour; the rounds grow with the
-    logarithm of the longest path.  Loops, repeated and reversed edges do no harm.
+    Loops, repeated and reversed edges do no harm.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen or mark[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = mark
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = cut(small.where("u <> v").distinct())
+    return graph.components(edges.select("u", "v").toDF("a", "b")).withColumnRenamed("iri", "node")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import packed, unpacked
-from .store import table
+from ..plans.lineage import table
 from .text import U64, Words, chunks, mix
 
 BLOCK = 1 << 20

@@ -1,24 +1,36 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
-A document's set is its distinct word shingles, hashed to 64 bits.  Its sketch is
-the bottom k of the set in one order of the hashes, with k = n - ceil(s * n) + 1
-for a set of n and similarity s: two sets of similarity s or more always share a
-retained value, so the inverted lists lose no link.  In that order come first the
-values that no other set has, by a count-min sketch of all sets (they need no
-posting), and last those from crowded cells of a small count sketch, so that
-passages that many documents share stay out of most sketches.  A set with more
-than k - 1 values of its own is similar to no other and takes no further part.
+A document's set is its distinct word shingles, hashed to 63 bits.  ``tally`` tells of
+each value how many sets have it, as a class (floor(log2(count))), without a broadcast.
+
+Two sketches come from the one hash function:
+
+* ``kept``, for the inverted lists: the bottom k = n - ceil(s * n) + 1 of a set of n in
+  the order of (class, hash).  Whatever the order, two sets of similarity s share a
+  value that both keep, the first of their common ones; so the lists lose no link,
+  where a k of one fixed size would lose some.  Values that no other set has come first
+  and need no posting; passages that many documents share come last.  A set with k
+  values of its own or more is similar to no other.
+* ``low``, for estimates: the ``LOW`` smallest hashes.  The smallest of two such sketches
+  together are a sample of the union; pairs of which it shows too few common values go.
+  The bound lies so low (``floor_of``) that a true pair falls below it with a chance of
+  1e-12; a union that fits in the sketch is judged exactly.
 
 1. Equal sets are one class (128-bit fingerprint); its smallest id stands for it.
 2. Stars: in the lists of each class's three smallest shared values every class is
    compared with the one that has the least of its own.  This gathers large groups
    of near copies by as many comparisons as they have members.
-3. Lists: values kept by two or more classes of different components so far give
-   pairs.  The values that each has alone, the number of retained values in common
-   and the two sizes bound the overlap of the full sets from above (union-sketch
-   filter); pairs within reach are verified.
-4. Verification compares full sets, recomputed from the texts of the documents
-   that are in a pair.  Components of all verified links and classes follow.
+3. Lists of usual values (class below ``HOT``, so of fewer than 2 ** HOT sets): pairs of
+   classes of different components.
+4. Lists of hot values.  A pair found only there shares hot values alone, since others
+   would come first.  Classes with equal sets of hot values have equal overlaps with any
+   other, so the smallest of them, their head, is similar to whatever one of them is
+   similar to, and linked to that one.  It is enough to compare each class with its
+   head, and with the heads in its lists that are of other components.
+5. Verification compares full sets.  Their hashes travel once to each pair's lesser end
+   and once to every share of the pairs of the other end.
+
+Components of all verified links and classes follow.  Hot keys are joined by ``hot_join``.
 
 Empty and null texts have empty sets and link with nothing.  A null id links with
 nothing and is kept.  Rows with the same id are one node.
@@ -26,202 +38,277 @@ nothing and is kept.  Rows with the same id are one node.
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import countmin
+from ..plans.lineage import hot_join, table
 from .blobs import packed, unpacked
 from .graph import components
-from .store import table
-from .text import Words, chunks, mix, rolling
+from .tally import Cells, Classes, counted
+from .text import U64, Words, chunks, mix, rolling
+from .wordblocks import BLOCK, PAYLOAD, Block, blocks
 
 SHINGLE, PERCENT = 5, 80
-HEAT_CELLS, HEAT_PARTS = 1 << 20, 16
 STARS = 3
-ID_BITS = 1 << 23
-MAX_CELLS = 1 << 28
+LOW = 64
+HOT = 8
+SHARE = 1024  # pairs of one document that a task compares together
+FEW_IDS = 500_000  # as many ids as may be broadcast (some 16 MB)
 _S = 0xD1342543DE82EF95 | 1
+SKETCH = (
+    "doc_id long, missing boolean, n long, r long, fp binary, stars array<long>, kept array<long>, usual int, hot int, signature long, low array<long>"
+)
 
 
-def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indptr, hashes): each row's distinct shingles, ascending; with fewer than k words, all of them as one."""
-    word = words.hashes()
-    at, h = words.windows(word, k)
-    doc = words.doc[at]
+def shingle_sets(word: np.ndarray, count: np.ndarray, first: np.ndarray, whole: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indptr, hashes): each row's distinct shingles, ascending; with fewer than k words, all of them as one.
+
+    ``word``: hashes; ``count`` and ``first``: words of each row and the first one; ``whole``: first words of its windows of k.
+    """
+    doc = np.repeat(np.arange(len(count)), count)[whole]
+    h = mix(rolling(word, k, _S)[whole]) if len(whole) else np.empty(0, U64)
     for n in range(1, k):
-        short = np.flatnonzero(words.count == n)
+        short = np.flatnonzero(count == n)
         if len(short):
-            h = np.concatenate([h, mix(rolling(word, n, _S)[words.first[short]] + np.uint64(n))])
+            h = np.concatenate([h, mix(rolling(word, n, _S)[first[short]] + U64(n))])
             doc = np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
+    h = h >> U64(1)
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint32), kind="stable")]
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
-    return np.searchsorted(doc, np.arange(len(words.count) + 1)), h
+    return np.searchsorted(doc, np.arange(len(count) + 1)), h
 
 
-def heat(docs: DataFrame, k: int) -> np.ndarray:
-    """A class for each cell of hashes: 0 for usual ones, then by powers of two of how crowded it is."""
+def sets_of(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets(b.word, b.count, b.first, b.whole_windows(k), k)
 
-    def count(batches):
-        total = np.zeros(HEAT_CELLS, np.int64)
-        for chunk in chunks(batches):
-            _, h = shingle_sets(Words(chunk), k)
-            total += np.bincount((h & np.uint64(HEAT_CELLS - 1)).astype(np.int64), minlength=HEAT_CELLS)
-        parts = total.reshape(HEAT_PARTS, -1)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(HEAT_PARTS), pa.int32()), "blob": pa.array([packed(p) for p in parts], pa.binary())})
 
-    def merge(key, group):
-        total = sum(unpacked(b.as_py())[0] for b in group.column("blob"))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([packed(total)], pa.binary())})
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
 
-    got = docs.select("text").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, blob binary").toArrow().sort_by("part")
-    total = np.concatenate([unpacked(b)[0] for b in got.column("blob").to_pylist()] or [np.zeros(HEAT_CELLS, np.int64)])
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / (2 * total.mean() + 2)) + 1)).astype(np.uint8)
 
+def sketched(b: Block, group: pa.Table, cells: Cells, k: int, percent: int, hot_class: int) -> pa.Table:
+    """The rows of one block as SKETCH: r values that others may have; the first ``usual`` of kept are of usual classes; ``hot`` values of the set are hot."""
+    indptr, h = sets_of(b, k)
+    cls = Classes(group, cells).of(h)
+    rows = len(b.ids)
+    n = np.diff(indptr)
+    doc = np.repeat(np.arange(rows), n)
+    fp = [xxhash.xxh3_128_digest(h[x:y].tobytes()) for x, y in zip(indptr[:-1].tolist(), indptr[1:].tolist(), strict=True)]
+    shared = cls > 0
+    r = np.bincount(doc[shared], minlength=rows)
+    size = np.clip(r - (percent * n + 99) // 100 + 1, 0, r)  # of kept, without the n - r values of its own
+    place = np.arange(len(h)) - indptr[:-1][doc]
+    low = (place < LOW) & (size[doc] > 0)
+    hot = (cls >= hot_class) & (size[doc] > 0)
+    n_hot = np.bincount(doc[hot], minlength=rows)
+    signature = np.zeros(rows, np.int64)
+    begin = np.concatenate([[0], np.cumsum(n_hot)])
+    values = h[hot]
+    for i in np.flatnonzero(n_hot).tolist():
+        signature[i] = xxhash.xxh3_64_intdigest(values[begin[i] : begin[i + 1]].tobytes()) >> 1
+    shared &= size[doc] > 0
+    own, own_doc, own_cls = h[shared], doc[shared], cls[shared]
+    first = np.searchsorted(own_doc, np.arange(rows))
+    rank = np.arange(len(own)) - first[own_doc]
+    order = np.lexsort((own, own_cls, own_doc))
+    chosen = order[rank < size[own_doc]]
+    usual = np.bincount(own_doc[chosen][own_cls[chosen] < hot_class], minlength=rows)
+    return pa.table({
+        "doc_id": pa.array(b.ids, pa.int64()), "missing": pa.array(b.null), "n": pa.array(n, pa.int64()), "r": pa.array(r, pa.int64()),
+        "fp": pa.array(fp, pa.binary()), "stars": lists(own[rank < STARS], np.where(size > 0, np.minimum(r, STARS), 0)), "kept": lists(own[chosen], size),
+        "usual": pa.array(usual, pa.int32()), "hot": pa.array(n_hot, pa.int32()), "signature": pa.array(signature, pa.int64()),
+        "low": lists(h[low], np.bincount(doc[low], minlength=rows)),
+    })
 
-def shared_values(docs: DataFrame, k: int) -> tuple[Broadcast, str, int]:
-    """The count-min sketch of all sets' values: a broadcast of its bits, a name for it, and its cells."""
-    n_values = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
-    cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(1.5 * n_values).bit_length()))
 
-    def hashes(batches):
-        for chunk in chunks(batches):
-            yield shingle_sets(Words(chunk), k)[1]
+def sketches(docs: DataFrame, k: int, percent: int, hot_class: int = HOT, block: int = BLOCK) -> DataFrame:
+    """A row of SKETCH for each document, written to the shared folder."""
+    own = blocks(docs, lower=True, size=block)
+    cells = Cells(own.agg(F.sum("n_words")).first()[0] or 0)
+    told = counted(own.select("block", *PAYLOAD), lambda *payload: sets_of(Block(*payload), k)[1], cells)
 
-    return docs.sparkSession.sparkContext.broadcast(countmin.repeated_cells(docs.select("text"), hashes, cells)), uuid.uuid4().hex, cells
+    def meet(key, left, right):
+        return sketched(Block(*(left.column(c)[0].as_py() for c in PAYLOAD)), right, cells, k, percent, hot_class)
 
+    return table(own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(meet, SKETCH), "sketches")
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, r (values that others may have), fp (of the set), stars, kept (the sketch without its own values); written to the shared folder."""
-    classes = docs.sparkSession.sparkContext.broadcast(heat(docs, k))
-    found, name, cells = shared_values(docs, k)
 
-    def run(batches):
-        hot, bits = classes.value, countmin.bits_of(name, found, cells)
-        for chunk in chunks(batches):
-            indptr, h = shingle_sets(Words(chunk), k)
-            n = np.diff(indptr)
-            fp = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(indptr[:-1], indptr[1:], strict=True)]
-            doc = np.repeat(np.arange(chunk.n), n)
-            shared = countmin.maybe_repeated(h, bits, cells)
-            r = np.bincount(doc[shared], minlength=chunk.n)
-            size = np.clip(r - (percent * n + 99) // 100 + 1, 0, r)  # of the sketch, without the n - r own values
-            shared &= size[doc] > 0
-            h, doc = h[shared], doc[shared]
-            first = np.searchsorted(doc, np.arange(chunk.n))
-            stars = h[np.arange(len(h)) - first[doc] < STARS].view(np.int64)
-            order = np.lexsort((h, hot[(h & np.uint64(HEAT_CELLS - 1)).astype(np.int64)], doc))
-            kept = h[order][np.arange(len(h)) - first[doc] < size[doc]].view(np.int64)
-            lists = lambda x, c: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(x))
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(fp, pa.binary()), lists(stars, np.where(size > 0, np.minimum(r, STARS), 0)), lists(kept, size)], names=["doc_id", "n", "r", "fp", "stars", "kept"])
-
-    return table(docs.mapInArrow(run, "doc_id long, n long, r long, fp binary, stars array<long>, kept array<long>"), "sketches")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough, written to the shared folder."""
-    pairs = table(pairs.select("u", "v"), "pairs")
-    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit(ID_BITS - 1)).cast("int")
-    cells = pairs.select(F.explode(F.array("u", "v")).alias("id")).select(cell("id").alias("cell"))
-    words = cells.groupBy(F.expr("cell >> 6").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cell & 63)")).alias("bits")).toArrow()
-    bits = np.zeros(ID_BITS // 64, np.int64)
-    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    wanted = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def texts(batches):
-        own = wanted.value
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            c = batch.column(2).to_numpy()
-            part = batch.filter(pa.array((own[c >> 6] >> (c & 63)) & 1 == 1))
-            if part.num_rows:
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze.compress((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "body"])
+def need(n: Column, m: Column, percent: int) -> Column:
+    """How many values similar sets of n and m values have in common at least."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
 
-    bodies = docs.select("doc_id", "text", cell("doc_id").alias("cell")).mapInArrow(texts, "id long, body binary")
-    both = pairs.join(bodies.withColumnsRenamed({"id": "u", "body": "x"}), "u").join(bodies.withColumnsRenamed({"id": "v", "body": "y"}), "v")
 
-    def compare(batches):
-        held: dict[bytes, np.ndarray] = {}
+def reachable(n: Column, r: Column, m: Column, q: Column, percent: int) -> Column:
+    """Whether sets of n and m values, of which others may have r and q, can be similar enough."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(r, q) >= need(n, m, percent))
 
-        def set_of(body: bytes) -> np.ndarray:
-            if body not in held:
-                if len(held) > 100:
-                    held.clear()
-                text = zstandard.ZstdDecompressor().decompress(body).decode()
-                for chunk in chunks(iter([pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"])])):
-                    held[body] = shingle_sets(Words(chunk), k)[1]
-            return held[body]
 
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = set_of(x), set_of(y)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
-
-    return table(both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "links")
+def floor_of(percent: int, size: int = LOW, nats: float = 28.0) -> int:
+    """The most common values that a sample of ``size`` from a union can fall short of with a chance below exp(-nats), by Chernoff's bound."""
+    p = percent / 100
 
+    def divergence(x: float) -> float:
+        return (x * math.log(x / p) if x else 0) + ((1 - x) * math.log((1 - x) / (1 - p)) if x < 1 < 1 / p else 0)
 
-def need(a: str, b: str, percent: int) -> Column:
-    """How many values similar sets of a.n and b.n values have in common at least."""
-    return F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
+    return max((t for t in range(size) if t / size < p and size * divergence(t / size) >= nats), default=0)
 
 
-def reachable(a: str, b: str, percent: int) -> Column:
-    """Whether sets of a.n and b.n values, of which others may have a.r and b.r, can be similar enough."""
-    near = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return near & (F.least(f"{a}.r", f"{b}.r") >= need(a, b, percent))
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """The union-sketch estimate, from two columns of LOW smallest values."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, LOW)
+    common = F.size(F.filter(F.array_intersect(a, b), lambda x: x <= F.element_at(union, -1)))
+    return F.when(F.size(union) < LOW, 100 * common >= percent * F.size(union)).otherwise(common >= floor_of(percent))
 
 
 def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     values = classes.select(F.explode("stars").alias("value"), "doc_id", "n", "r")
-    hub = F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "doc_id", "n", "r"))
-    first = values.groupBy("value").agg(hub.alias("hub"), F.count("*").alias("c")).where("c > 1").select("value", "hub.*")
-    both = values.alias("x").join(first.alias("y"), "value").where(reachable("x", "y", percent) & (F.col("x.doc_id") != F.col("y.doc_id")))
-    return both.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct()
+    hub = F.min(F.struct((F.col("n") - F.col("r")).alias("own"), F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("r").alias("q"))).alias("x")
+    first = table(values.groupBy("value").agg(hub, F.count("*").alias("c")).where("c > 1").select("value", "x.hub", "x.m", "x.q", "c"), "hubs")
+    total = first.agg(F.sum("c")).first()[0] or 0
+    both = hot_join(values, first, "value", "c", total)
+    return ordered(both.where((F.col("doc_id") != F.col("hub")) & reachable(*map(F.col, "nrmq"), percent)), "doc_id", "hub")
 
 
-def list_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components (column comp) whose sketches allow the similarity.
+def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
-    A pair shares a value among the first n - need + 1 of both sets, so only such
-    places in the lists make pairs; then all values retained by both are counted.
-    """
-    lists = table(classes.select(F.posexplode("kept").alias("pos", "value"), F.col("doc_id").alias("id"), "n", "r", "comp").withColumn("rank", F.col("n") - F.col("r") + F.col("pos")).drop("pos"), "postings")
-    mixed = lists.groupBy("value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("value")
-    lists = table(lists.join(mixed, "value", "left_semi"), "mixed")
-    early = (F.col("x.n") - F.col("x.rank") >= need("x", "y", percent)) & (F.col("y.n") - F.col("y.rank") >= need("x", "y", percent))
-    both = lists.alias("x").join(lists.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & reachable("x", "y", percent) & early)
-    pairs = both.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-    kept = classes.select("doc_id", "n", "kept")
-    rest = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")  # noqa: E731  what a sketch leaves out
-    least = need("x", "y", percent) - F.greatest(rest("x.n"), rest("y.n"))
-    sketched = pairs.join(kept.alias("x"), F.col("u") == F.col("x.doc_id")).join(kept.alias("y"), F.col("v") == F.col("y.doc_id"))
-    return sketched.where(F.size(F.array_intersect("x.kept", "y.kept")) >= least).select("u", "v")
-
-
-def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+
+POSTING = ("value", "id", "n", "r", "comp", "rank")
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """POSTING, whether the value is of a usual class, and of the set: hot, signature."""
+    at = classes.select(F.posexplode("kept").alias("pos", "value"), F.col("doc_id").alias("id"), "n", "r", "comp", "usual", "hot", "signature")
+    return at.select(*POSTING[:-1], (F.col("n") - F.col("r") + F.col("pos")).alias("rank"), (F.col("pos") < F.col("usual")).alias("is_usual"), "hot", "signature")
+
+
+def early(x: str, y: str, percent: int) -> Column:
+    """A pair shares a value among the first n - need + 1 of both sets; whether this is such a place, and the sizes allow the similarity."""
+    least = need(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+    near = reachable(F.col(f"{x}.n"), F.col(f"{x}.r"), F.col(f"{y}.n"), F.col(f"{y}.r"), percent)
+    return near & (F.col(f"{x}.n") - F.col(f"{x}.rank") >= least) & (F.col(f"{y}.n") - F.col(f"{y}.rank") >= least)
+
+
+def usual_pairs(all_postings: DataFrame, percent: int) -> DataFrame:
+    own = all_postings.where("is_usual").select(*POSTING)
+    mixed = own.groupBy("value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("value")
+    own = table(own.join(mixed, "value", "left_semi"), "mixed")
+    both = own.alias("x").join(own.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & early("x", "y", percent))
+    return ordered(both, "x.id", "y.id")
+
+
+def hot_pairs(all_postings: DataFrame, percent: int) -> DataFrame:
+    """Classes with the heads of classes that have the same hot values, and with the heads of other components in their lists."""
+    own = table(all_postings.where("NOT is_usual").drop("is_usual"), "hot")
+    members = own.select("signature", "id", "n", "hot", "comp").distinct()
+    head = F.min(F.struct(F.col("n").alias("m"), F.col("id").alias("head"), F.col("comp").alias("head_comp"))).alias("x")
+    heads = table(members.groupBy("signature").agg(head, F.count("*").alias("c")).select("signature", "x.*", "c"), "heads")
+    n_members = heads.agg(F.sum("c")).first()[0] or 0
+    if not n_members:
+        return own.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    beside = hot_join(members, heads, "signature", "c", n_members)
+    beside = beside.where((F.col("id") != F.col("head")) & (F.col("comp") != F.col("head_comp")) & (F.col("hot") >= need(F.col("n"), F.col("m"), percent)))
+    # In a list, most rows are of one component; only the others have anybody to meet.
+    sizes = own.groupBy("value", "comp").agg(F.count("*").alias("k"))
+    lists_ = table(sizes.groupBy("value").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("c"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "lists")
+    total = lists_.agg(F.sum("c")).first()[0] or 0
+    rows = hot_join(own, lists_, "value", "c", total).join(heads.select(F.col("head").alias("id"), F.lit(True).alias("leads")), "id", "left")
+    rows = table(rows.withColumn("shares", (1 + F.floor(F.col("c") / SHARE)).cast("int")).drop("c"), "lists")
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    everywhere = rows.where("leads").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        overlap = F.least("x.hot", "y.hot") >= need(F.col("x.n"), F.col("y.n"), percent)
+        other = (F.col("x.value") == F.col("y.value")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.comp") != F.col("y.comp"))
+        return ordered(x.alias("x").join(y.alias("y"), other & overlap & early("x", "y", percent)), "x.id", "y.id")
+
+    found = meet(dealt.where("comp <> main"), everywhere).unionByName(meet(dealt.where("comp = main"), everywhere.where("comp <> main")))
+    return ordered(beside, "id", "head").unionByName(found)
+
+
+def bodies(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, body: the sets of the documents of these ids."""
+    wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+    def run(batches):
+        for chunk in chunks(batches):
+            w = Words(chunk)
+            at = np.flatnonzero(np.arange(len(w.start)) + k <= w.first[1:][w.doc])
+            indptr, h = shingle_sets(w.hashes(), w.count, w.first, at, k)
+            out = [packed(h[x:y], delta=1) for x, y in zip(indptr[:-1].tolist(), indptr[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(out, pa.binary())], names=["id", "body"])
+
+    return table(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "id long, body binary"), "bodies")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough, written to the shared folder."""
+    pairs = table(pairs, "candidates")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("c"))
+    ends = table(ends.join(classes.select("doc_id", "low"), "doc_id"), "ends")
+    total = 2 * pairs.count()
+    end = lambda x: ends.select(F.col("doc_id").alias(x), F.col("low").alias(f"{x}_low"), F.col("c").alias(f"{x}_c"))
+    both = hot_join(hot_join(pairs, end("u"), "u", "u_c", total), end("v"), "v", "v_c", total)
+    more = F.col("u_c") >= F.col("v_c")
+    likely = both.where(may_be_similar("u_low", "v_low", percent)).select(
+        F.when(more, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(more, F.col("v")).otherwise(F.col("u")).alias("id"),
+        (1 + F.floor(F.greatest("u_c", "v_c") / SHARE)).cast("int").alias("shares"),
+    )
+    likely = table(likely, "likely")
+    found = bodies(docs, likely.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), k)
+    lesser = likely.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).join(found, "id").select("hub", "share", "id", "body")
+    hubs = likely.select(F.col("hub").alias("id"), "shares").distinct().join(found, "id")
+    hubs = hubs.select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("id"), "body")
+    dealt = hubs.unionByName(lesser).repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("id").asc_nulls_first())
+
+    def compare(batches):
+        at, own = None, []
+        for batch in batches:
+            good = []
+            for hub, share, member, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if member is None:
+                    own = own if at == (hub, share) else []
+                    at = hub, share
+                    own.append(unpacked(body)[0])
+                    good.append(False)
+                    continue
+                b = unpacked(body)[0]
+                common = [len(np.intersect1d(a, b, assume_unique=True)) for a in own]
+                good.append(any(100 * c >= percent * (len(a) + len(b) - c) for a, c in zip(own, common, strict=True)))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["hub", "id"]).rename_columns(["u", "v"])
+
+    return table(dealt.mapInArrow(compare, "u long, v long"), "links")
+
+
+def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, hot_class: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept: one row per row of documents."""
     docs = documents.select("doc_id", "text")
-    found = sketches(docs, k, percent)
-    full = found.where("n > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
-    copies = full.select("doc_id", "fp").join(first.where("c > 1"), "fp").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    classes = full.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    stars = verified(star_pairs(classes, percent), docs, k, percent)
-    known = components(stars)
-    labelled = table(classes.join(known.withColumnsRenamed({"node": "doc_id", "component": "comp"}), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")).drop("stars", "fp"), "classes")
-    links = verified(list_pairs(labelled, percent), docs, k, percent)
-    label = components(copies.unionByName(stars).unionByName(links))
-    out = found.select("doc_id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+    found = sketches(docs, k, percent, hot_class)
+    full = found.where("n > 0 AND NOT missing")
+    first = table(full.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")), "classes")
+    n_full = first.agg(F.sum("c")).first()[0] or 0
+    # Rows with one id but different texts tie their classes together.
+    twice = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    ties = full.join(twice, "doc_id", "left_semi").select("doc_id", "fp").join(first, "fp").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    some = full.where("size(kept) > 0").join(first.select("fp", F.col("first").alias("doc_id")), ["fp", "doc_id"], "left_semi")
+    some = table(some.drop("fp", "missing"), "classes")
+    stars = verified(star_pairs(some, percent), some, docs, k, percent)
+    known = components(stars.unionByName(ties))
+    labelled = some.drop("stars", "low").join(known.withColumnsRenamed({"node": "doc_id", "component": "comp"}), "doc_id", "left")
+    lists_ = table(postings(labelled.withColumn("comp", F.coalesce("comp", "doc_id"))), "postings")
+    links = verified(usual_pairs(lists_, percent).unionByName(hot_pairs(lists_, percent)).distinct(), some, docs, k, percent)
+    label = components(stars.unionByName(ties).unionByName(links)).withColumnRenamed("node", "first")
+    of_class = table(first.join(label, "first", "left").select("fp", "c", F.coalesce("component", "first").alias("component_id")), "labels")
+    linked = hot_join(full.select("doc_id", "n", "fp"), of_class, "fp", "c", n_full).select("doc_id", "n", "component_id")
+    id_ = F.when(~F.col("missing"), F.col("doc_id"))
+    alone = found.where("n = 0 OR missing").select(id_.alias("doc_id"), "n", id_.alias("component_id"))
+    out = linked.unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import countmin
-from .store import cut, table
+from ..plans.lineage import cut, table
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS, HASHED = 4, 8, 1024

@@ -1,16 +1,19 @@
 """Operators by themselves: small parameters, random texts, methods' parts."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lodestone.llm import decontaminate, graph, license, neardup, pack, secrets, substring, suffixdedup
+from lodestone.llm import decontaminate, graph, license, neardup, pack, secrets, substring, suffixdedup, tally
 from lodestone.llm.blobs import packed, unpacked
 from lodestone.llm.suffix import suffix_array
 from lodestone.llm.text import Chunk, Words, chunks
+from lodestone.plans import lineage
 
 from . import brute
 
@@ -84,6 +87,77 @@ def test_near_duplicates_of_random_texts(spark, seed):
     assert got == brute.op2(docs)
 
 
+def family(seed):
+    """Many near copies, many texts with one long passage, whole or in part, and copies: lists of values that most texts have."""
+    r = random.Random(seed)
+    w = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passage, other, base = w(60), w(40), w(80)
+    docs = [passage[r.choice([0, 0, 0, 8]) :] + w(r.randint(0, 25)) for _ in range(60)]
+    docs += [passage + other[: r.choice([20, 40])] + w(r.randint(0, 20)) for _ in range(40)]
+    for _ in range(60):
+        d = list(base)
+        for _ in range(r.randint(0, 3)):
+            d[r.randrange(len(d))] = w(1)[0]
+        docs.append(d)
+    docs += [passage, base, base, ["one", "two"], ["one", "two"], []]
+    r.shuffle(docs)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize(("seed", "hot_class"), [(0, 1), (1, 4)])
+def test_near_duplicates_through_hot_lists(spark, monkeypatch, seed, hot_class):
+    monkeypatch.setattr(lineage, "LEAST_HOT", 5)
+    monkeypatch.setattr(lineage, "HOT_KEYS", 8)
+    monkeypatch.setattr(neardup, "SHARE", 4)
+    docs = family(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.groups(df, k=4, percent=80, hot_class=hot_class).collect()}
+    assert got == brute.op2(docs)
+
+
+def test_repeated_and_null_ids_of_near_duplicates(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (7, a), (5, b), (3, b), (9, b + " c"), (None, a), (None, b), (8, None), (8, "")]
+    got = sorted((x.doc_id or -1, x.component_id or -1, x.kept) for x in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=80).collect())
+    assert got == [(-1, -1, True)] * 2 + [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True), (8, 8, True), (9, 3, False)]
+
+
+def test_floor_of_the_estimate():
+    for percent in (50, 80, 95):
+        t, p = neardup.floor_of(percent), percent / 100
+        assert 0 < t < 64 * p
+        assert sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(t)) < 1e-12
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 500), max_size=300), st.integers(1, 3), st.integers(20, 400))
+def test_counts_by_ranges(values, rows, per_range):
+    cells = tally.Cells(len(values), rows, 64, per_range)
+    h = np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in range(rows):
+        assert (cells.of(h, row) < (1 << cells.bits)).all()
+    assert cells.range_bits == 0 or cells.within >= 16
+
+
+def test_counts_told_to_blocks(spark):
+    r = random.Random(1)
+    values = [[r.randint(0, 400) for _ in range(300)] for _ in range(7)]
+    df = spark.createDataFrame([(f"b{i}", packed(np.array(v, np.uint64))) for i, v in enumerate(values)], "block string, v binary").repartition(3)
+    hashes = lambda blob: unpacked(blob)[0] * np.uint64(0x9E3779B97F4A7C15)
+    cells = tally.Cells(2100, 2, 64, 100)
+    count = Counter(x for v in values for x in v)
+
+    def meet(key, left, right):
+        h = hashes(left.column("v")[0].as_py())
+        return pa.table({"block": left.column("block"), "classes": pa.array([packed(tally.Classes(right, cells).of(h))], pa.binary())})
+
+    told = tally.counted(df, hashes, cells)
+    got = {x.block: unpacked(x.classes)[0].tolist() for x in df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(meet, "block string, classes binary").collect()}
+    want = {f"b{i}": [count[x].bit_length() - 1 for x in v] for i, v in enumerate(values)}
+    assert all(a >= b for k in want for a, b in zip(got[k], want[k], strict=True))  # never too low
+    assert np.mean([a == b for k in want for a, b in zip(got[k], want[k], strict=True)]) > 0.99
+
+
 def test_long_chains_are_one_component(spark):
     assert graph.components(spark.range(300).selectExpr("id as u", "id + 1 as v")).selectExpr("count(distinct component)", "count(*)").first()[:] == (1, 301)
 
