@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.llm import decontaminate, langid, neardup, pack, secrets
-from lodestone.llm.store import table
+from lodestone.plans.lineage import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 OWN = ("doc_id", "text", "lang")  # columns that operators read by name
