@@ -49,14 +49,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document, kc:mentions, token of eight letters or more), with the first place as evidence."""
-    low = F.lower("text")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{8,}"), 0))).alias("o"))
-    start = F.instr(low, F.col("o")) - 1
+    """(document, kc:mentions, token of eight letters or more), with the first place as evidence; texts are searched in their row."""
+    def place(o):
+        start = F.instr("low", o) - 1
+        return F.struct(o.alias("o"), start.cast("int").alias("start"), F.substring(F.col("text"), start + 1, F.lit(30)).alias("excerpt"))
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))  # lower-cased once, not for each token
+    found = F.transform(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z]{8,}"), 0)), place)
+    m = docs.select("doc_id", found.alias("m")).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
     iri = F.concat(F.lit("doc:"), F.col("doc_id"))
-    return docs.select(
-        iri.alias("s"), F.lit("kc:mentions").alias("p"), "o", F.round(hash_share(F.col("doc_id").cast("string"), F.lit("|m|"), "o"), 6).alias("confidence"), iri.alias("source_iri"),
-        F.lit("root").alias("fragment_key"), start.cast("int").alias("char_start"), (start + F.length("o")).cast("int").alias("char_end"), F.substring("text", start + 1, F.lit(30)).alias("excerpt"),
+    confidence = F.round(hash_share(F.col("doc_id").cast("string"), F.lit("|m|"), "o"), 6)
+    return m.select(
+        iri.alias("s"), F.lit("kc:mentions").alias("p"), "o", confidence.alias("confidence"), iri.alias("source_iri"), F.lit("root").alias("fragment_key"),
+        F.col("start").alias("char_start"), (F.col("start") + F.length("o")).cast("int").alias("char_end"), "excerpt",
     )
 
 

@@ -12,6 +12,16 @@ def ratio_of(a: str | None, b: str | None) -> float:
     return round(SequenceMatcher(None, a or "", b or "", autojunk=False).ratio(), 6)
 
 
+def similar(a: str, b: str, least: float) -> bool:
+    """Whether the ratio reaches ``least``; bounds by length and by letters come first."""
+    if a == b:
+        return True
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
 def partial_of(a: str | None, b: str | None) -> float:
     """Best ratio of the shorter string with as long a part of the longer one, from 0 to 100."""
     a, b = sorted((a or "", b or ""), key=len)

@@ -127,9 +127,16 @@ def protected(x):
 
 # text
 
+# Words of a question that name nothing.
+QUESTION_WORDS = (
+    "what", "which", "who", "how", "where", "when", "is", "are", "does", "do", "the", "a", "an", "of", "in", "to", "for", "with", "has", "have",
+)
+
+
 def keywords(x):
-    stop = F.array(*[F.lit(w) for w in ("the", "and", "for", "what", "which", "who", "how", "are", "does", "was", "were", "with", "from", "that", "this", "have", "has")])
-    return F.filter(F.split(F.lower(col(x)), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    """Words of three characters or more that are none of QUESTION_WORDS; question marks and commas go, other marks stay with their word."""
+    words = F.split(F.regexp_replace(F.lower(col(x)), "[?,]", ""), r"\s+")
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*QUESTION_WORDS))
 
 
 def candidate_tokens(x, most: int = 30):

@@ -53,9 +53,10 @@ def promote(quads: DataFrame, candidates: DataFrame, move: bool = False) -> Data
 
 
 def dedup_by_confidence(triples: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """One row a normalised key: the most confident, ties by source; its own spelling stays."""
-    w = Window.partitionBy(*[normal_key(k) for k in key]).orderBy(F.desc("confidence"), "source_iri", *key)
-    return triples.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """One row a normalised key: the most confident, ties by source; its own spelling stays.  Combines before the shuffle."""
+    keys = [normal_key(k).alias(f"_{k}") for k in key]
+    best = F.min_by(F.struct(*triples.columns), F.struct(-F.col("confidence"), "source_iri", *key)).alias("best")
+    return triples.groupBy(*keys).agg(best).select("best.*")
 
 
 def contradictions(triples: DataFrame, functional: list[str] | None = None) -> DataFrame:

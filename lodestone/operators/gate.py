@@ -38,6 +38,12 @@ def route(confidence="confidence", trusted: float = TRUSTED, tentative: float =
     return F.when(col(confidence) >= trusted, "trusted").when(col(confidence) >= tentative, "tentative").otherwise("discard")
 
 
+def verification_candidates(quads: DataFrame, below: float = TRUSTED) -> DataFrame:
+    """All quads under the confidence; literals only without a language or in English, where a column ``lang`` tells."""
+    rows = quads.where(F.col("confidence") < below)
+    return rows.where("o_kind = 'iri' OR lang IS NULL OR lang = '' OR lower(lang) LIKE 'en%'") if "lang" in quads.columns else rows
+
+
 def noise_section(key, noise: list[str]) -> Column:
     low = F.lower(col(key))
     return F.exists(F.array(*[F.lit(n.lower()) for n in noise]), lambda n: (low == n) | low.startswith(n))
@@ -56,19 +62,28 @@ def grounded(excerpt, text) -> Column:
     return F.coalesce(F.instr(col(text), col(excerpt)) > 0, F.lit(False)) & (F.length(col(excerpt)) > 0)
 
 
+def grounding(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """The mentions (source_iri, excerpt, ...) with ``grounded``: a text is joined once for all mentions of it and never copied."""
+    columns = [F.col(c) for c in mentions.columns if c != "source_iri"]
+    per = mentions.groupBy("source_iri").agg(F.collect_list(F.struct(*columns)).alias("m"))
+    judged = F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in mentions.columns if c != "source_iri"], grounded(x["excerpt"], F.col("text")).alias("grounded")))
+    both = per.join(docs.select("source_iri", "text"), "source_iri").select("source_iri", judged.alias("m"))
+    return both.select("source_iri", F.explode("m").alias("m")).select("source_iri", "m.*")
+
+
 def hash_status(fragments: DataFrame, prior: DataFrame, force: bool = False) -> DataFrame:
-    """fragment_key, content_hash, status (new, changed, unchanged)."""
-    old = prior.select("fragment_key", F.col("content_hash").alias("_old"))
+    """fragment_key, content_hash, status (new, changed, unchanged); ``prior`` has each key once, or a column ``at`` by which the last one counts."""
+    last = F.max_by("content_hash", "at") if "at" in prior.columns else F.max("content_hash")
+    old = prior.groupBy("fragment_key").agg(last.alias("_old"))
     both = fragments.select("fragment_key", "content_hash").join(old, "fragment_key", "left")
     same = F.lit(False) if force else F.col("content_hash") == F.col("_old")
     return both.select("fragment_key", "content_hash", F.when(F.col("_old").isNull(), "new").when(same, "unchanged").otherwise("changed").alias("status"))
 
 
-def distil_strategy(text) -> Column:
-    """By the share of content that half a triple a kilobyte would give."""
-    kb = F.octet_length(col(text)) / 1024
-    target = F.least(F.lit(1.0), 30.0 / F.greatest(kb, F.lit(0.001)))
-    return F.when(kb < 2, "skip").when(target >= 0.6, "conservative").when(target >= 0.25, "moderate").otherwise("aggressive")
+def distil_strategy(text, least_triples: int = 50) -> Column:
+    """How hard to distil: by the share of the text that gives ``least_triples`` at half a triple a kilobyte (fixed values)."""
+    share = F.lit(least_triples / 0.5) / F.greatest(F.octet_length(col(text)) / 1024, F.lit(1.0))
+    return F.when(share >= 1, "skip").when(share >= 0.60, "conservative").when(share >= 0.25, "moderate").otherwise("aggressive")
 
 
 def skip_preprocessing(docs: DataFrame, fragments_of: DataFrame) -> DataFrame:

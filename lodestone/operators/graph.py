@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.terms import cosine, jaccard, trigrams
-from ..functions.similarity import ratio
+from ..functions.similarity import ratio_of, token_sort_of
+from ..functions.terms import jaccard, trigrams
 from ..plans.lineage import LEAST_HOT, cut, hot_join
 
 
@@ -105,21 +105,151 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
     return rank
 
 
-def similar_pairs(rows: DataFrame, least: float, block: Column | str, vector: str = "embedding", id_col: str = "id") -> DataFrame:
-    """a < b of one block with a cosine of ``least`` or more."""
-    x = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(block) if isinstance(block, str) else block).alias("block"))
-    a, b = x.alias("a"), x.alias("b")
-    sim = F.round(cosine("a.v", "b.v"), 6)
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), sim.alias("sim")).where(F.col("sim") >= least)
+TILE = 2048  # rows on either side of a tile
+
+
+def tiled_pairs(rows: DataFrame, judge: Callable, block: Column | str | None = None, size: int = TILE) -> DataFrame:
+    """(a, b, score) of the pairs of rows (id, x) that ``judge`` accepts: no pair is left out, and only accepted ones leave a task.
+
+    Rows are dealt into tiles of about ``size``; a task compares two of them.  ``judge`` takes
+    two lists of x (and whether they are one) and gives places and scores.  The work is that of
+    all pairs of a block, in tasks of one size: for similarities that no index can bound.
+    """
+    block = F.lit("all") if block is None else F.col(block) if isinstance(block, str) else block
+    own = rows.select("id", "x", block.alias("block"))
+    largest = own.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = max(1, -(-largest // size))
+    dealt = own.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "x")
+    kind = own.schema["id"].dataType.simpleString()
+
+    def compare(key, pdf):
+        import pandas as pd
+
+        left, right = pdf[pdf["tile"] == key[1]], pdf[pdf["tile"] == key[2]]
+        a, b = left["id"].tolist(), right["id"].tolist()
+        found = [(min(a[k], b[m]), max(a[k], b[m]), s) for k, m, s in judge(left["x"].tolist(), right["x"].tolist(), key[1] == key[2])]
+        return pd.DataFrame(found, columns=["a", "b", "score"])
+
+    return dealt.groupBy("block", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
+
+
+def units(vectors) -> "np.ndarray":  # noqa: F821
+    import numpy as np
+
+    v = np.array([np.asarray(x, float) for x in vectors]) if len(vectors) else np.zeros((0, 1))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def similar_pairs(rows: DataFrame, least: float, block: Column | str | None = None, vector: str = "embedding", id_col: str = "id") -> DataFrame:
+    """a < b (of one block, if there is one) with a cosine of ``least`` or more, by tiles of dot products."""
+
+    def judge(a, b, same):
+        import numpy as np
+
+        if not a or not b:
+            return
+        sims = np.round(units(a) @ units(b).T, 6)
+        if same:
+            sims[np.tril_indices(len(a))] = -2
+        for k, m in zip(*np.nonzero(sims >= least), strict=True):
+            yield int(k), int(m), float(sims[k, m])
+
+    x = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("x"), *([F.col(block) if isinstance(block, str) else block.alias("block")] if block is not None else []))
+    return tiled_pairs(x, judge, None if block is None else x.columns[-1]).withColumnRenamed("score", "sim")
+
+
+def letter_bounds(a, b):
+    """The ratio that each pair could reach at best, by the letters that both have: 2 * common / (sum of lengths)."""
+    import numpy as np
+
+    letters = sorted(set("".join([*a, *b])))
+    count = lambda names: np.array([[s.count(x) for x in letters] for s in names], np.int16).reshape(len(names), len(letters))
+    x, y = count(a), count(b)
+    common = np.zeros((len(a), len(b)), np.int32)
+    for k in range(len(letters)):
+        common += np.minimum.outer(x[:, k], y[:, k])
+    size = np.add.outer(x.sum(1), y.sum(1))
+    return 2 * common / np.maximum(size, 1)
 
 
 def fuzzy_pairs(names: DataFrame, least: float = 0.6) -> DataFrame:
-    """a < b with an edit ratio of ``least`` or more; blocked by first letter and by lengths that can reach it."""
-    x = names.select("name", F.lower(F.substring("name", 1, 1)).alias("k"), F.length("name").alias("n"))
-    a, b = x.alias("a"), x.alias("b")
-    near = F.least("a.n", "b.n") * 2 >= least * (F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.name") < F.col("b.name")) & near).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    return pairs.withColumn("score", ratio("a", "b")).where(F.col("score") >= least)
+    """a < b with an edit ratio of ``least`` or more; all pairs, bounded first by their letters."""
+
+    def judge(a, b, same):
+        import numpy as np
+
+        bound = letter_bounds(a, b) if a and b else np.zeros((0, 0))
+        for k, m in zip(*np.nonzero(bound >= least), strict=True):
+            if not (same and k >= m):
+                score = ratio_of(*sorted((a[k], b[m])))
+                if score >= least:
+                    yield int(k), int(m), score
+
+    return tiled_pairs(names.select(F.col("name").alias("id"), F.col("name").alias("x")), judge)
+
+
+def hybrid_pairs(rows: DataFrame, sure: float = 0.92, likely: float = 0.70, tokens: float = 88) -> DataFrame:
+    """a < b of (id, name, vector) with a cosine of ``sure``, or of ``likely`` and a token-sort score of ``tokens``; score: the cosine."""
+
+    def judge(a, b, same):
+        import numpy as np
+
+        if not a or not b:
+            return
+        sims = units([x["vector"] for x in a]) @ units([x["vector"] for x in b]).T
+        if same:
+            sims[np.tril_indices(len(a))] = -2
+        for k, m in zip(*np.nonzero(sims >= likely), strict=True):
+            if sims[k, m] >= sure or token_sort_of(a[k]["name"], b[m]["name"]) >= tokens:
+                yield int(k), int(m), round(float(sims[k, m]), 6)
+
+    return tiled_pairs(rows.select("id", F.struct("name", "vector").alias("x")), judge)
+
+
+def close_names(names: DataFrame, most: int = 3) -> DataFrame:
+    """a < b, distance, overlap (of their words): names at most so many edits apart.
+
+    Cut evenly into most + 1 pieces, one name has a piece that the other holds unchanged, at
+    most ``most`` places off.  So pairs meet by (length, piece, text) and none is lost.
+    """
+    x = names.select("name", F.length("name").alias("n")).distinct()
+    k = most + 1
+    begin = lambda n, i: F.floor(n * i / k).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), F.substring(F.col("name"), begin(F.col("n"), i) + 1, begin(F.col("n"), i + 1) - begin(F.col("n"), i)).alias("text")))
+    own = x.select("name", F.col("n").alias("m"), F.explode(pieces).alias("p")).select("name", "m", "p.*")
+    probe = x.select(F.col("name").alias("other"), "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - most), F.col("n"))).alias("m"))
+    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    at, size = begin(F.col("m"), F.col("i")) + F.col("shift"), begin(F.col("m"), F.col("i") + 1) - begin(F.col("m"), F.col("i"))
+    probe = probe.where((at >= 0) & (at + size <= F.col("n"))).select("other", "m", "i", F.substring("other", at + 1, size).alias("text")).distinct()
+    pairs = own.join(probe, ["m", "i", "text"]).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
+    return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0").withColumn("overlap", F.round(jaccard(words("a"), words("b")), 6))
+
+
+def suggestions(names: DataFrame, most: int = 3, k: int = 5) -> DataFrame:
+    """For each name its ``k`` closest ones (a, b, distance, overlap): fewest edits, then most words in common."""
+    pairs = close_names(names, most)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance", "overlap"))
+    w = Window.partitionBy("a").orderBy("distance", F.desc("overlap"), "b")
+    return both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def rank_duplicates(rank: DataFrame, labels: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
+    """a, b, label, similarity: nodes of one label whose neighbours overlap (Jaccard); the better ranked one first.
+
+    A label of many nodes is joined on (label, neighbour), so only nodes that share a neighbour meet.
+    """
+    neighbours = edges.select(F.col("a").alias("iri"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("iri"), F.col("a").alias("near"))).distinct()
+    own = neighbours.join(labels.select("iri", F.lower("label").alias("label")).distinct(), "iri")
+    size = own.groupBy("iri", "label").agg(F.count("*").alias("n"))
+    common = own.alias("x").join(own.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.near") == F.col("y.near")) & (F.col("x.iri") < F.col("y.iri")))
+    common = common.groupBy(F.col("x.iri").alias("i"), F.col("y.iri").alias("j"), F.col("x.label").alias("label")).agg(F.count("*").alias("c"))
+    sized = lambda name: size.select(F.col("iri").alias(name), "label", F.col("n").alias(name + "_n")).join(rank.select(F.col("iri").alias(name), F.col("rank").alias(name + "_rank")), name)
+    both = common.join(sized("i"), ["i", "label"]).join(sized("j"), ["j", "label"])
+    sim = F.round(F.col("c") / (F.col("i_n") + F.col("j_n") - F.col("c")), 6)
+    first = F.col("i_rank") >= F.col("j_rank")
+    return both.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"), "label", sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def trigram_matches(query: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -166,12 +296,13 @@ def leaders(rows: DataFrame, least: float, vector: str = "embedding", order: tup
 
 
 def intra_similarity(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Per cluster the mean cosine of its pairs (1 for a single member)."""
-    x = clusters.join(vectors, "id").select("cluster", "id", "v")
-    a, b = x.alias("a"), x.alias("b")
-    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id"))).select("a.cluster", cosine("a.v", "b.v").alias("c"))
-    mean = pairs.groupBy("cluster").agg(F.round(F.avg("c"), 6).alias("similarity"))
-    return x.select("cluster").distinct().join(mean, "cluster", "left").select("cluster", F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    """Per cluster the mean cosine of its pairs (1 for a single member), from the sum of its unit vectors: no pair is formed."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    x = clusters.select("cluster", "id").join(vectors, "id").select("cluster", "v", norm.alias("norm"))
+    parts = x.select("cluster", F.posexplode(F.transform("v", lambda y: y.cast("double") / F.col("norm"))).alias("i", "y")).groupBy("cluster", "i").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    total = parts.groupBy("cluster").agg(F.sum(F.col("y") * F.col("y")).alias("square"), F.max("n").alias("n"))
+    mean = (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))
+    return total.select("cluster", F.when(F.col("n") > 1, F.round(mean, 6)).otherwise(1.0).alias("similarity"))
 
 
 def centroids(rows: DataFrame, by: str = "cluster", vector: str = "v") -> DataFrame:

@@ -7,39 +7,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.terms import cosine, local_name, short_hash
 from ..schema import STATUSES
 
-#: Statuses that may follow one another; nothing leaves "deprecated", anything may begin.
-MOVES = [
-    *[("observed", x) for x in ("verified", "disputed", "deprecated")],
-    *[("extracted", x) for x in ("verified", "disputed", "speculative", "deprecated")],
-    *[("inferred", x) for x in ("verified", "disputed", "deprecated")],
-    *[("verified", x) for x in ("disputed", "deprecated")],
-    *[("disputed", x) for x in ("verified", "speculative", "deprecated")],
-    *[("speculative", x) for x in ("verified", "disputed", "deprecated")],
-    ("normative", "deprecated"),
-    *[("predicted", x) for x in ("observed", "verified", "disputed", "deprecated")],
-]
+# Which status may follow which; nothing leaves "deprecated".  Anything known may begin.
+MOVES = {
+    "observed": ["verified", "deprecated"],
+    "extracted": ["verified", "disputed", "deprecated", "speculative"],
+    "inferred": ["verified", "deprecated", "disputed"],
+    "verified": ["deprecated", "disputed"],
+    "deprecated": [],
+    "normative": ["deprecated"],
+    "predicted": ["observed", "deprecated", "disputed"],
+    "disputed": ["verified", "deprecated"],
+    "speculative": ["extracted", "deprecated", "disputed"],
+}
 
 
 def annotate_status(triples: DataFrame, status: Column) -> DataFrame:
-    """Reified statuses: four quads for each triple, named by its hash."""
-    node = F.concat(F.lit("kc:status/"), short_hash(F.concat_ws("|", "s", "p", "o")))
-    cells = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in (("kc:onSubject", F.col("s")), ("kc:onPredicate", F.col("p")), ("kc:onObject", F.col("o")), ("kc:status", status))])
-    return triples.select(node.alias("s"), F.explode(cells).alias("x")).select("s", "x.p", "x.o")
+    """Reified statuses of (subject, predicate) pairs: four quads for each, named by the pair's hash; objects do not matter."""
+    node = F.concat(F.lit("kc:status/"), short_hash(F.concat_ws("|", "s", "p")))
+    parts = (("rdf:type", F.lit("kc:StatusAnnotation")), ("kc:onSubject", F.col("s")), ("kc:onPredicate", F.col("p")), ("kc:status", status))
+    cells = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in parts])
+    return triples.select(node.alias("s"), F.explode(cells).alias("x")).select("s", "x.p", "x.o").distinct()
 
 
 def read_status(quads: DataFrame) -> DataFrame:
-    """(s, p, o, status) back from the reified quads."""
+    """(s, p, status) back from the reified quads; a pair may have several."""
     pick = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
-    rows = quads.groupBy("s").agg(pick("kc:onSubject").alias("subject"), pick("kc:onPredicate").alias("predicate"), pick("kc:onObject").alias("object"), pick("kc:status").alias("status"))
-    return rows.where("status IS NOT NULL").select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), "status")
+    statuses = F.collect_set(F.when(F.col("p") == "kc:status", F.col("o"))).alias("statuses")
+    rows = quads.groupBy("s").agg(pick("kc:onSubject").alias("subject"), pick("kc:onPredicate").alias("predicate"), statuses)
+    return rows.select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.explode("statuses").alias("status"))
 
 
 def valid_moves(moves: DataFrame) -> DataFrame:
-    """subject, from, to, valid."""
-    allowed = moves.sparkSession.createDataFrame(MOVES, "from string, to string").withColumn("_ok", F.lit(True))
-    both = moves.join(F.broadcast(allowed), ["from", "to"], "left")  # a fixed table
-    ok = (F.col("from").isNull() & F.col("to").isin(*STATUSES)) | F.coalesce("_ok", F.lit(False))
-    return both.select("subject", "from", "to", ok.alias("valid"))
+    """subject, from, to, valid; a null ``from`` is a beginning, an unknown status is never valid."""
+    allowed = F.create_map(*[x for a, b in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, b)).cast("array<string>"))])
+    follows = F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("from")), F.col("to")), F.lit(False))
+    return moves.select("subject", "from", "to", F.coalesce(F.when(F.col("from").isNull(), F.col("to").isin(*STATUSES)).otherwise(follows), F.lit(False)).alias("valid"))
 
 
 def absences(quads: DataFrame, rules: DataFrame) -> DataFrame:
@@ -184,13 +186,18 @@ def pages(quads: DataFrame) -> DataFrame:
     return quads.groupBy("s").agg(F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(lines, "\n")).alias("page"))
 
 
+def json_text(x: Column | str) -> Column:
+    """A string as JSON."""
+    j = F.to_json(F.array(x))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
 def json_ld(quads: DataFrame) -> DataFrame:
     """s, doc: JSON-LD; a predicate with several values has a list of them."""
-    one = quads.groupBy("s", "p").agg(F.array_sort(F.collect_list("o")).alias("v")).withColumn("j", F.to_json("v"))
-    value = F.when(F.size("v") == 1, F.substring("j", F.lit(2), F.length("j") - 2)).otherwise(F.col("j"))
-    cell = F.concat(F.lit('"'), "p", F.lit('":'), value)
-    body = F.array_join(F.array_sort(F.collect_list(cell)), ",")
-    return one.groupBy("s").agg(F.concat(F.lit('{"@id":"'), F.first("s"), F.lit('",'), body, F.lit("}")).alias("doc"))
+    one = quads.groupBy("s", "p").agg(F.array_sort(F.collect_list("o")).alias("v"))
+    value = F.when(F.size("v") == 1, json_text(F.col("v")[0])).otherwise(F.to_json("v"))
+    body = F.array_join(F.array_sort(F.collect_list(F.concat(json_text("p"), F.lit(":"), value))), ",")
+    return one.groupBy("s").agg(body.alias("body")).select("s", F.concat(F.lit('{"@id":'), json_text("s"), F.lit(","), "body", F.lit("}")).alias("doc"))
 
 
 def html_pages(quads: DataFrame) -> DataFrame:

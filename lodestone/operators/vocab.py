@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.similarity import similar
 from ..functions.terms import camel_case, decode_escape, local_name, namespace
 
 VOCAB = "http://kc.example/vocab/"
 
-#: Suffixes of predicates that carry a qualifier, tried in this order.
-QUALIFIERS = (("year", r"^(.*?)[_]?(?:in|year)?[_]?(1[0-9]{3}|20[0-9]{2})$"), ("ordinal", r"^(.*?)[_]?([0-9]+(?:st|nd|rd|th))$"), ("count", r"^(.*?)[_]([0-9]+)$"))
+# What a predicate's local name may carry, tried in this order, and the predicate that states it.
+ORDINALS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
+QUALIFIERS = (
+    (r"(?i:_in_)(\d{4})$", "ex:year"),
+    (r"_(\d{4})$", "ex:year"),
+    (r"(?i:_on_)(\d{1,2}_\w+|\w+_\d{1,2})$", "ex:date"),
+    (rf"_((?i:{ORDINALS}))$", "ex:ordinal"),
+    (r"_(\d+(?i:st|nd|rd|th))$", "ex:ordinal"),
+    (rf"_((?i:{ORDINALS}))_", "ex:ordinal"),
+    (r"_(\d+(?i:st|nd|rd|th))_", "ex:ordinal"),
+    (r"_((?i:two|three|four|five|six|seven|eight|nine|ten))_", "ex:count"),
+)
 
 
 def categorical(quads: DataFrame, least: int = 2) -> DataFrame:
@@ -28,17 +39,66 @@ def promote_categorical(quads: DataFrame, least: int = 2) -> DataFrame:
 
 
 def decompose(triples: DataFrame) -> DataFrame:
-    """Facts with a qualifier in their predicate become a base fact and a qualifier fact."""
-    kind, base, value = F.lit(None).cast("string"), F.col("p"), F.lit(None).cast("string")
-    for name, pattern in reversed(QUALIFIERS):
-        hit = F.col("p").rlike(pattern) & (F.regexp_extract("p", pattern, 1) != "")
-        kind = F.when(hit, name).otherwise(kind)
-        base = F.when(hit, F.regexp_extract("p", pattern, 1)).otherwise(base)
-        value = F.when(hit, F.regexp_extract("p", pattern, 2)).otherwise(value)
-    rows = triples.select("s", "p", "o", kind.alias("kind"), base.alias("base"), value.alias("value"))
-    fact = F.struct("s", F.col("base").alias("p"), "o")
-    extra = F.struct("s", F.concat("base", F.lit("_"), "kind").alias("p"), F.col("value").alias("o"))
-    return rows.select(F.explode(F.when(F.col("kind").isNull(), F.array(F.struct("s", "p", "o"))).otherwise(F.array(fact, extra))).alias("f")).select("f.*")
+    """Facts with a qualifier in the local name of their predicate become a base fact and a qualifier fact.
+
+    The first pattern that matches counts, at its leftmost place; the parts of the name
+    around it are joined again.  Further columns stay; the qualifier's value is a literal.
+    """
+    local, space = F.col("_local"), F.col("_space")
+    found = F.lit(None).cast("struct<before:string,value:string,after:string,p:string>")
+    for pattern, name in reversed(QUALIFIERS):
+        split = lambda i, x=pattern: F.regexp_extract(local, f"^(.*?)(?:{x})(.*)$", i)
+        one = F.struct(split(1).alias("before"), split(2).alias("value"), split(3).alias("after"), F.lit(name).alias("p"))
+        found = F.when(local.rlike(pattern), one).otherwise(found)
+    before, after = F.col("_q.before"), F.col("_q.after")
+    base = (
+        F.when((before != "") & (after != ""), F.concat(before, F.lit("_"), after)).when(before != "", before)
+        .when(after != "", F.regexp_replace(after, "^_+", "")).otherwise("predicate")
+    )
+    own = [x for x in triples.columns if x not in ("p", "o", "o_kind")]
+    kind = [F.col("o_kind")] if "o_kind" in triples.columns else []
+    fact = F.struct(*own, F.concat(space, base).alias("p"), F.col("o"), *kind)
+    extra = F.struct(*own, F.col("_q.p").alias("p"), F.replace("_q.value", F.lit("_"), F.lit(" ")).alias("o"), *[F.lit("literal").alias("o_kind") for _ in kind])
+    plain = F.struct(*own, F.col("p"), F.col("o"), *kind)
+    rows = triples.withColumns({"_local": local_name("p"), "_space": namespace("p")}).withColumn("_q", found)
+    return rows.select(F.explode(F.when(F.col("_q").isNull(), F.array(plain)).otherwise(F.array(fact, extra))).alias("f")).select(*[F.col(f"f.{x}") for x in triples.columns])
+
+
+def predicate_leaders(quads: DataFrame, least: float = 0.6) -> DataFrame:
+    """iri, canonical: predicates whose local names are alike, by greedy leaders.
+
+    In order of frequency (then name) each predicate that no leader has taken leads, and
+    takes all later ones with a ratio of ``least`` or more.  Predicates are a vocabulary:
+    their distinct names and counts are one small group, whatever the number of triples.
+    """
+    counts = quads.groupBy("p").agg(F.count("*").alias("n")).withColumn("local", local_name("p"))
+
+    def lead(pdf):
+        import pandas as pd
+
+        order = pdf.sort_values(["n", "p"], ascending=[False, True]).reset_index(drop=True)
+        rows, left = [], list(zip(order["p"], order["local"], strict=True))
+        while left:
+            (head, name), rest = left[0], left[1:]
+            left = []
+            for p, local in rest:
+                if similar(name, local, least):
+                    rows.append((p, head))
+                else:
+                    left.append((p, local))
+        return pd.DataFrame(rows, columns=["iri", "canonical"])
+
+    return counts.groupBy(F.lit("all")).applyInPandas(lead, "iri string, canonical string")
+
+
+def collapse_predicates(quads: DataFrame, least: float = 0.6) -> DataFrame:
+    """The quads with each predicate replaced by its leader."""
+    return rewrite(quads, predicate_leaders(quads, least), ("p",))
+
+
+def equivalent_properties(leaders: DataFrame) -> DataFrame:
+    """(s, p, o): owl:equivalentProperty from each predicate to its leader."""
+    return leaders.select(F.col("iri").alias("s"), F.lit("owl:equivalentProperty").alias("p"), F.col("canonical").alias("o"))
 
 
 def rewrite(triples: DataFrame, mapping: DataFrame, columns: tuple[str, ...] = ("s", "o")) -> DataFrame:
@@ -71,13 +131,24 @@ def decode_names(quads: DataFrame) -> DataFrame:
     return quads.withColumns({c: decode_escape(c) for c in ("s", "p", "o")})
 
 
-def normalise(quads: DataFrame, mapping: DataFrame | None = None, name_pass: bool = False) -> DataFrame:
-    """The passes in their fixed order: escapes, categories, names (off by default), canonical entities, dedup."""
+def normalise(quads: DataFrame, mapping: DataFrame | None = None, name_pass: bool = False, collapse: bool = True, split: bool = True, canonical_predicates: DataFrame | None = None) -> DataFrame:
+    """The passes in their fixed order; the best confidence of equal quads stays.
+
+    Escapes, categories, alike predicates, qualified predicates, names (off by default),
+    canonical entities (with ``mapping``), canonical predicates (with a mapping, such as
+    that of ``graph.leaders`` over their embeddings).
+    """
     passes: list[Callable[[DataFrame], DataFrame]] = [decode_names, promote_categorical]
+    if collapse:
+        passes.append(collapse_predicates)
+    if split:
+        passes.append(decompose)
     if name_pass:
         passes.append(canonical_names)
     if mapping is not None:
         passes.append(lambda q: rewrite(q, mapping))
+    if canonical_predicates is not None:
+        passes.append(lambda q: rewrite(q, canonical_predicates, ("p",)))
     out = quads
     for p in passes:
         out = out.transform(p)

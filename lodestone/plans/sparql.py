@@ -1,12 +1,18 @@
 """SPARQL on quads: a recursive-descent parser and its compilation to DataFrames.
 
-Supported: SELECT [DISTINCT] with COUNT, SUM, MIN, MAX, AVG, GROUP BY, ORDER BY, LIMIT,
-OFFSET; ASK; CONSTRUCT; FROM; GRAPH; basic graph patterns with ; and , and sequence
-paths; OPTIONAL; UNION; MINUS; FILTER and FILTER [NOT] EXISTS; VALUES; BIND; INSERT DATA,
-DELETE DATA, DELETE WHERE, and DELETE/INSERT ... WHERE.
+Supported: SELECT [DISTINCT] with COUNT, SUM, MIN, MAX, AVG (alone or inside expressions),
+GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET; sub-SELECT; ASK; CONSTRUCT; DESCRIBE; FROM;
+GRAPH; basic graph patterns with ; and , and property paths (/ | ^ + * ? and brackets);
+OPTIONAL; UNION; MINUS; FILTER and FILTER [NOT] EXISTS; VALUES with UNDEF; BIND; INSERT
+DATA, DELETE DATA, DELETE WHERE, and DELETE/INSERT ... WHERE.
 
 A solution is a DataFrame with a column ``x`` for ?x and ``x@`` for its kind (iri,
-literal, bnode).  Each triple pattern is one filtered scan; constants reach the scan as
+literal, bnode), and the set of the variables that it may leave unbound (null).  Those
+are compatible with any value and are filled by it; all others join by equality.
+Filters of OPTIONAL and EXISTS see the variables around them: they belong to the join's
+condition.  MINUS takes away only what has a variable in common.
+
+Each triple pattern is one filtered scan; constants reach the scan as
 filters, so a graph name prunes partitions.  Patterns join in an order that starts
 with the most constants and stays connected; Catalyst chooses how.
 """
@@ -19,9 +25,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.graph import fixpoint
+from .lineage import cut
+
 TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<string>"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w-]+:[\w-]+))?)|(?P<var>[?$]\w+)|(?P<number>[+-]?\d+(?:\.\d+)?)"""
-    r"""|(?P<name>(?:[A-Za-z_][\w-]*)?:(?:[\w/.\-]*[\w\-])?)|(?P<word>[A-Za-z_]\w*)|(?P<op>&&|\|\||!=|<=|>=|[{}().;,=<>!*/+\-^|])""",
+    r"""|(?P<name>(?:[A-Za-z_][\w-]*)?:(?:(?:[\w.\-]|/(?![A-Za-z_][\w-]*:|:))*[\w\-])?)|(?P<word>[A-Za-z_]\w*)|(?P<op>&&|\|\||!=|<=|>=|[{}().;,=<>!*/+\-^|?])""",
     re.X,
 )
 
@@ -43,6 +52,9 @@ class Group:
     filters: list = field(default_factory=list)
 
 
+Solutions = tuple[DataFrame, frozenset[str]]  # with the variables that may be unbound
+
+
 @dataclass
 class Query:
     form: str
@@ -53,11 +65,14 @@ class Query:
     delete: list[tuple[Term, Term, Term]] = field(default_factory=list)
     graph: str | None = None
     group_by: list[str] = field(default_factory=list)
+    having: list[tuple] = field(default_factory=list)
     order: list[tuple[tuple, bool]] = field(default_factory=list)
+    targets: list[Term] = field(default_factory=list)  # of DESCRIBE
     limit: int | None = None
     offset: int = 0
 
 
+IRI_LIKE = r"^[A-Za-z][\w-]*:\S+$"
 AGGREGATES = {"COUNT", "SUM", "MIN", "MAX", "AVG"}
 
 
@@ -112,20 +127,45 @@ class Parser:
             return Term("literal", value.lower())
         raise SparqlError(f"a term is missing at {value!r}")
 
-    def triples(self, stop: str = "}") -> list[tuple[Term, Term, Term]]:
-        out: list[tuple[Term, Term, Term]] = []
+    def path(self):
+        """A term, or ("alt" | "seq", parts) or ("inv" | "plus" | "star" | "opt", part)."""
+        options = [self.sequence()]
+        while self.word("|"):
+            options.append(self.sequence())
+        return options[0] if len(options) == 1 else ("alt", options)
+
+    def sequence(self):
+        steps = [self.step()]
+        while self.word("/"):
+            steps.append(self.step())
+        return steps[0] if len(steps) == 1 else ("seq", steps)
+
+    def step(self):
+        if self.word("^"):
+            return ("inv", self.step())
+        if self.word("("):
+            p = self.path()
+            self.need(")")
+        else:
+            p = self.term()
+        if how := self.word("+", "*", "?"):
+            p = ({"+": "plus", "*": "star", "?": "opt"}[how], p)
+        return p
+
+    def triples(self, stop: str = "}") -> list[tuple]:
+        """(s, p, o), where p may be a path other than a sequence of terms."""
+        out: list[tuple] = []
         s = self.term()
         while True:
-            path = [self.term()]
-            while self.word("/"):
-                path.append(self.term())
+            path = self.path()
+            steps = path[1] if isinstance(path, tuple) and path[0] == "seq" else [path]
             while True:
                 o, at = self.term(), s
-                for k, p in enumerate(path[:-1]):
+                for k, p in enumerate(steps[:-1]):
                     mid = Term("var", f"_path{self.i}_{k}")
                     out.append((at, p, mid))
                     at = mid
-                out.append((at, path[-1], o))
+                out.append((at, steps[-1], o))
                 if not self.word(","):
                     break
             if not self.word(";") or self.peek()[1] in (".", stop):
@@ -158,13 +198,19 @@ class Parser:
                 self.need(")")
             elif self.word("VALUES"):
                 g.parts.append(self.values())
+            elif self.peek()[1] == "{" and self.peek(1)[1].upper() == "SELECT":
+                self.need("{")
+                g.parts.append(("select", self.query()))
+                self.need("}")
             elif self.peek()[1] == "{":
                 branches = [self.group()]
                 while self.word("UNION"):
                     branches.append(self.group())
                 g.parts.append(("union", branches))
             else:
-                g.parts.append(("triples", self.triples()))
+                found = self.triples()
+                g.parts.append(("triples", [t for t in found if isinstance(t[1], Term)]))
+                g.parts += [("path", *t) for t in found if not isinstance(t[1], Term)]
             self.word(".")
         return g
 
@@ -180,12 +226,15 @@ class Parser:
         while not self.word("}"):
             if many:
                 self.need("(")
-                rows.append([self.term() for _ in names])
+                rows.append([self.value() for _ in names])
                 self.need(")")
             else:
-                rows.append([self.term()])
+                rows.append([self.value()])
         return ("values", names, rows)
 
+    def value(self) -> Term | None:
+        return None if self.word("UNDEF") else self.term()
+
     # expressions: tuples (operator, operands)
 
     def expression(self) -> tuple:
@@ -257,6 +306,8 @@ class Parser:
         while not self.word("}"):
             out += self.triples()
             self.word(".")
+        if any(not isinstance(t[1], Term) for t in out):
+            raise SparqlError("a path cannot stand in a template")
         if inner:
             self.need("}")
         return graph, out
@@ -265,7 +316,7 @@ class Parser:
         while self.word("PREFIX"):
             prefix = self.next()[1].rstrip(":")
             self.prefixes[prefix] = self.next()[1][1:-1]
-        q = Query(self.word("SELECT", "ASK", "CONSTRUCT", "INSERT", "DELETE") or "")
+        q = Query(self.word("SELECT", "ASK", "CONSTRUCT", "DESCRIBE", "INSERT", "DELETE") or "")
         if q.form == "SELECT":
             q.distinct = bool(self.word("DISTINCT"))
             while not self.word("*"):
@@ -280,6 +331,9 @@ class Parser:
                     break
         elif q.form == "CONSTRUCT":
             _, q.template = self.quads()
+        elif q.form == "DESCRIBE":
+            while self.peek()[0] in ("var", "iri", "name"):
+                q.targets.append(self.term())
         elif q.form in ("INSERT", "DELETE"):
             if self.word("DATA"):
                 q.graph, found = self.quads()
@@ -299,16 +353,20 @@ class Parser:
                     break
             q.form = "UPDATE"
         elif q.form != "ASK":
-            raise SparqlError("SELECT, ASK, CONSTRUCT, INSERT or DELETE is missing")
+            raise SparqlError("SELECT, ASK, CONSTRUCT, DESCRIBE, INSERT or DELETE is missing")
         if self.word("FROM"):
             q.graph = self.term().value
-        self.word("WHERE")
-        q.where = self.group()
+        if self.word("WHERE") or q.form != "DESCRIBE" or self.peek()[1] == "{":
+            q.where = self.group()
         while True:
             if self.word("GROUP"):
                 self.need("BY")
                 while self.peek()[0] == "var":
                     q.group_by.append(self.term().value)
+            elif self.word("HAVING"):
+                q.having.append(self.primary())
+                while self.peek()[1] == "(":
+                    q.having.append(self.primary())
             elif self.word("ORDER"):
                 self.need("BY")
                 while True:
@@ -322,7 +380,7 @@ class Parser:
                 q.limit = int(self.next()[1])
             elif self.word("OFFSET"):
                 q.offset = int(self.next()[1])
-            elif self.peek()[0] == "end":
+            elif self.peek()[0] == "end" or self.peek()[1] == "}":
                 return q
             else:
                 raise SparqlError(f"unexpected {self.peek()[1]!r}")
@@ -381,6 +439,66 @@ def expression(e: tuple, columns: list[str]) -> Column:
     return calls[name]()
 
 
+def variables(e) -> set[str]:
+    """The variables of an expression."""
+    if isinstance(e, Term):
+        return {e.value} if e.kind == "var" else set()
+    return set().union(*map(variables, e)) if isinstance(e, (tuple, list)) else set()
+
+
+def lifted(e: tuple, found: list[tuple[str, tuple]]) -> tuple:
+    """The expression with each aggregate in it as a variable, which ``found`` names."""
+    if e[0] == "call" and e[1] in AGGREGATES:
+        known = next((n for n, x in found if x == e), None)
+        if known is None:
+            known = f"_measure{len(found)}"
+            found.append((known, e))
+        return ("term", Term("var", known))
+    if e[0] == "call":
+        return (*e[:3], [lifted(x, found) for x in e[3]])
+    return e if e[0] in ("term", "all") else (e[0], *[lifted(x, found) for x in e[1:]])
+
+
+def aggregate(e: tuple, names: list[str]) -> Column:
+    _, f, distinct, args = e
+    x = F.lit(1) if args[0] == ("all",) else expression(args[0], names)
+    if f == "COUNT":
+        return F.count_distinct(x) if distinct else F.count(x)
+    if f in ("SUM", "AVG"):
+        return {"SUM": F.sum_distinct if distinct else F.sum, "AVG": F.avg}[f](number(x))
+    least, most = F.struct(number(x).isNull(), number(x), x), F.struct(number(x).isNotNull(), number(x), x)
+    return F.min_by(x, F.when(x.isNotNull(), least)) if f == "MIN" else F.max_by(x, F.when(x.isNotNull(), most))
+
+
+def shared_variables(a: DataFrame, b: DataFrame) -> list[str]:
+    return [x for x in a.columns if x in b.columns and not x.endswith("@")]
+
+
+def combined(a: Solutions, b: Solutions, how: str = "inner", filters: list[tuple] | None = None, minus: bool = False) -> Solutions:
+    """Two sets of solutions joined on their common variables; those that may be unbound are compatible with any value."""
+    (x, maybe), (y, other) = a, b
+    keys = shared_variables(x, y)
+    loose = [k for k in keys if k in maybe or k in other]
+    new = {v for v in y.columns if v not in x.columns and not v.endswith("@")}
+    left_open = frozenset((maybe - set(keys)) | (other - set(keys)) | (new if how == "left" else set()) | {k for k in loose if k in maybe and (k in other or how == "left")})
+    after = maybe if how in ("left_semi", "left_anti") else left_open
+    if not loose and not filters:
+        y = y.drop(*[k + "@" for k in keys])
+        return x.join(y, keys if keys else F.lit(True), how), after  # without a common variable: every combination, as SPARQL defines
+    y = y.withColumnsRenamed({k + at: f"_right_{k}{at}" for k in keys for at in ("", "@")})
+    right = lambda k: c(f"_right_{k}")
+    tests = [c(k) == right(k) for k in keys if k not in loose]
+    tests += [(c(k) == right(k)) | c(k).isNull() | right(k).isNull() for k in loose]
+    if minus and len(loose) == len(keys):  # something must be in common
+        tests.append(reduce(lambda p, q: p | q, [c(k).isNotNull() & right(k).isNotNull() for k in loose]))
+    tests += [F.coalesce(expression(e, [*x.columns, *y.columns]), F.lit(False)) for e in filters or []]
+    out = x.join(y, reduce(lambda p, q: p & q, tests), how)
+    if how in ("left_semi", "left_anti"):
+        return out, after
+    out = out.withColumns({k + at: F.when(c(k).isNull(), right(k + at)).otherwise(c(k + at)) for k in loose for at in ("@", "")})
+    return out.drop(*[f"_right_{k}{at}" for k in keys for at in ("", "@")]), after
+
+
 class Engine:
     """Queries over a DataFrame of quads (graph, s, p, o, o_kind and, if wanted, confidence)."""
 
@@ -389,40 +507,62 @@ class Engine:
         self.spark = quads.sparkSession
 
     def query(self, text: str) -> DataFrame:
-        q = Parser(text).query()
+        parser = Parser(text)
+        q = parser.query()
+        if parser.peek()[0] != "end":
+            raise SparqlError(f"unexpected {parser.peek()[1]!r}")
         if q.form == "UPDATE":
             return self.update(q)
+        if q.form == "DESCRIBE":
+            return self.described(q)
         found = self.group(q.where, q.graph or self.graph)
         if q.form == "ASK":
-            return found.limit(1).agg((F.count("*") > 0).alias("answer"))
+            return found[0].limit(1).agg((F.count("*") > 0).alias("answer"))
         if q.form == "CONSTRUCT":
-            return self.instances(found, q.template)
+            return self.instances(found[0], q.template)
         return self.selected(found, q)
 
     def ask(self, text: str) -> bool:
         return self.query(text).first()["answer"]
 
-    def selected(self, found: DataFrame, q: Query) -> DataFrame:
+    def described(self, q: Query) -> DataFrame:
+        """The quads (s, p, o, o_kind) with a target as subject or object."""
+        graph = q.graph or self.graph
+        rows = (self.quads.where(F.col("graph") == graph) if graph else self.quads).select("s", "p", "o", "o_kind")
+        names = [t.value for t in q.targets if t.kind != "var"]
+        hit = F.col("s").isin(*names) | ((F.col("o_kind") != "literal") & F.col("o").isin(*names))
+        out = rows.where(hit) if names else rows.limit(0)
+        found = self.group(q.where, graph)[0] if q.where else None
+        for v in [t.value for t in q.targets if t.kind == "var" and found is not None]:
+            ids = found.select(c(v).alias("_x")).distinct()
+            out = out.unionByName(rows.join(ids, F.col("s") == F.col("_x"), "left_semi"))
+            out = out.unionByName(rows.where("o_kind <> 'literal'").join(ids, F.col("o") == F.col("_x"), "left_semi"))
+        return out.distinct()
+
+    def selected(self, solutions: Solutions, q: Query) -> DataFrame:
+        found = solutions[0]
         names = [x for x in found.columns if not x.endswith("@")]
-        aggregated = q.group_by or any(e and e[0] == "call" and e[1] in AGGREGATES for _, e in q.select)
-        if aggregated:
-            measures = []
-            for name, e in q.select:
-                if e is not None:
-                    _, f, distinct, args = e
-                    x = F.lit(1) if args[0] == ("all",) else expression(args[0], names)
-                    measures.append({"COUNT": (F.count_distinct if distinct else F.count)(x), "SUM": F.sum(number(x)), "MIN": F.min(x), "MAX": F.max(x), "AVG": F.avg(number(x))}[f].alias(name))
-            found = found.groupBy(*[c(g) for g in q.group_by]).agg(*measures) if measures else found.select(*[c(g) for g in q.group_by]).distinct()
-            out = found.select(*[c(n) for n, _ in q.select])
-        else:
-            out = found.withColumns({n: expression(e, names) for n, e in q.select if e is not None}) if any(e for _, e in q.select) else found
-        if q.order:
-            keys = [expression(e, out.columns) for e, _ in q.order]
-            # numbers order as numbers, before text
-            out = out.orderBy(*[k for x, (_, up) in zip(keys, q.order, strict=True) for k in ((number(x).asc_nulls_last(), x.asc()) if up else (number(x).desc_nulls_last(), x.desc()))])
-        wanted = [n for n, _ in q.select] or [n for n in names if not n.startswith("_path")]
-        out = out.select(*[c(n) if n in out.columns else F.lit(None).cast("string").alias(n) for n in wanted])
-        out = out.distinct() if q.distinct else out
+        measures: list[tuple[str, tuple]] = []
+        select = [(n, e and lifted(e, measures)) for n, e in q.select]
+        having, order = [lifted(e, measures) for e in q.having], [(lifted(e, measures), up) for e, up in q.order]
+        if q.group_by or measures:
+            made = [aggregate(e, names).alias(n) for n, e in measures]
+            keys = [x for g in q.group_by for x in (g, g + "@") if x in found.columns]
+            found = found.groupBy(*map(c, keys)).agg(*made) if made else found.select(*map(c, keys)).distinct()
+            names = [x for x in found.columns if not x.endswith("@")]
+        for e in having:
+            found = found.where(expression(e, names))
+        out = found.withColumns({n: expression(e, names) for n, e in select if e is not None}) if any(e for _, e in select) else found
+        wanted = [n for n, _ in q.select] or [n for n in names if not n.startswith("_")]
+        out = out.withColumns({n: F.lit(None).cast("string") for n in wanted if n not in out.columns})
+        # numbers order as numbers, before text
+        keys = [(k, up) for e, up in order for x in [expression(e, out.columns)] for k in (number(x), x.cast("string"))]
+        out = out.withColumns({f"_order{i}": k for i, (k, _) in enumerate(keys)}) if keys else out
+        sort = [F.col(f"_order{i}").asc_nulls_last() if up else F.col(f"_order{i}").desc_nulls_last() for i, (_, up) in enumerate(keys)]
+        if q.distinct:  # before the order, which a later shuffle would lose
+            first = [F.min(f"_order{i}").alias(f"_order{i}") for i in range(len(keys))]
+            out = out.groupBy(*map(c, wanted)).agg(*first) if first else out.select(*map(c, wanted)).distinct()
+        out = (out.orderBy(*sort) if sort else out).select(*map(c, wanted))
         out = out.offset(q.offset) if q.offset else out
         return out.limit(q.limit) if q.limit is not None else out
 
@@ -445,70 +585,132 @@ class Engine:
                 seen[t.value] = column
         return rows.select(*[F.col(column).alias(v) for v, column in seen.items()], *[(F.col("o_kind") if column == "o" else F.lit("iri")).alias(v + "@") for v, column in seen.items()])
 
-    def bgp(self, triples: list[tuple[Term, Term, Term]], graph) -> DataFrame:
+    def relation(self, path, graph, start: str | None = None) -> DataFrame:
+        """(_s, _o, _o@) of a path, for ``start`` only where it is given."""
+        rows = self.quads.where(F.col("graph") == graph) if isinstance(graph, str) else self.quads
+        if isinstance(path, Term):
+            rows = rows.where(F.col("p") == path.value)
+            return (rows.where(F.col("s") == start) if start else rows).select(F.col("s").alias("_s"), F.col("o").alias("_o"), F.col("o_kind").alias("_o@"))
+        what, inner = path
+        if what == "inv":
+            back = self.relation(inner, graph).where(c("_o@") != "literal").select(F.col("_o").alias("_s"), F.col("_s").alias("_o"), F.lit("iri").alias("_o@"))
+            return back.where(F.col("_s") == start) if start else back
+        if what == "alt":
+            return reduce(DataFrame.unionByName, [self.relation(x, graph, start) for x in inner])
+        if what == "seq":
+            out = self.relation(inner[0], graph, start)
+            for x in inner[1:]:
+                after = self.relation(x, graph).toDF("_m", "_o2", "_k2")
+                out = out.where(c("_o@") != "literal").join(after, F.col("_o") == F.col("_m")).select("_s", F.col("_o2").alias("_o"), F.col("_k2").alias("_o@"))
+            return out
+        once = self.relation(inner, graph).distinct()
+        own = once.where(F.col("_s") == start) if start else once
+        if what != "opt":
+            edges = cut(once.select(F.col("_s").alias("s"), F.struct(F.col("_o").alias("v"), c("_o@").alias("k")).alias("o")))
+
+            def step(known: DataFrame, new: DataFrame) -> DataFrame:
+                on = (F.col("o.v") == F.col("_m")) & (F.col("o.k") != "literal")
+                return new.join(edges.select(F.col("s").alias("_m"), F.col("o").alias("_t")), on).select("s", F.col("_t").alias("o"))
+
+            closed = fixpoint(edges.where(F.col("s") == start) if start else edges, step, ["s", "o"])
+            own = closed.select(F.col("s").alias("_s"), F.col("o.v").alias("_o"), F.col("o.k").alias("_o@"))
+        if what == "plus":
+            return own
+        if start:
+            nodes = self.spark.range(1).select(F.lit(start).alias("_s"), F.lit("iri").alias("_k"))
+        else:
+            nodes = rows.select(F.explode(F.array(F.struct(F.col("s").alias("_s"), F.lit("iri").alias("_k")), F.struct(F.col("o").alias("_s"), F.col("o_kind").alias("_k")))).alias("x")).select("x.*").distinct()
+        return own.unionByName(nodes.select("_s", F.col("_s").alias("_o"), F.col("_k").alias("_o@"))).distinct()
+
+    def along(self, s: Term, path, o: Term, graph) -> Solutions:
+        """Solutions of a property path; it starts from a constant end, where there is one."""
+        if s.kind == "var" and o.kind == "iri":
+            return self.along(o, ("inv", path), s, graph)
+        rows = self.relation(path, graph, s.value if s.kind != "var" else None)
+        rows = rows.withColumn("_s@", F.lit("iri"))
+        if o.kind != "var":
+            rows = rows.where((F.col("_o") == o.value) & ((c("_o@") == "literal") == (o.kind == "literal")))
+        if s.kind == o.kind == "var" and s.value == o.value:
+            rows, o = rows.where("_s = _o"), Term("iri", "")
+        ends = [(x, t.value) for x, t in (("_s", s), ("_o", o)) if t.kind == "var"]
+        return rows.select(*[c(x + k).alias(v + k) for x, v in ends for k in ("", "@")]), frozenset()
+
+    def bgp(self, triples: list[tuple[Term, Term, Term]], graph) -> Solutions:
         rest = sorted(triples, key=lambda t: (sum(x.kind == "var" for x in t), t[2].kind == "var"))
         out, have = None, set()
         while rest:
             near = next((t for t in rest if have & {x.value for x in t if x.kind == "var"}), rest[0])
             rest.remove(near)
-            rows = self.pattern(near, graph)
-            out = rows if out is None else self.join(out, rows, "inner")
+            rows = self.pattern(near, graph), frozenset()
+            out = rows if out is None else combined(out, rows)
             have |= {x.value for x in near if x.kind == "var"}
         return out
 
-    @staticmethod
-    def join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        keys = [x for x in a.columns if x in b.columns and not x.endswith("@")]
-        b = b.drop(*[k + "@" for k in keys])
-        if not keys:
-            return a.join(b, F.lit(True), how)  # patterns without a common variable: every combination, as SPARQL defines
-        return a.join(b, keys, how)
+    def within(self, g: Group, graph, outside: list[str]) -> tuple[Solutions, list[tuple]]:
+        """A group's solutions, and those of its filters that need variables from outside."""
+        found, maybe = self.group(Group(parts=g.parts), graph)
+        far = [e for e in g.filters if (variables(e) - set(found.columns)) & set(outside)]
+        for e in g.filters:
+            if e not in far:
+                found = found.where(expression(e, found.columns))
+        return (found, maybe), far
 
-    def group(self, g: Group, graph) -> DataFrame:
+    def group(self, g: Group, graph) -> Solutions:
         triples: list = []
-        out: DataFrame | None = None
+        out: Solutions | None = None
 
-        def flush() -> None:
-            nonlocal out, triples
-            if triples:
-                rows = self.bgp(triples, graph)
-                out = rows if out is None else self.join(out, rows, "inner")
-                triples = []
+        def add(rows: Solutions) -> None:
+            nonlocal out
+            out = rows if out is None else combined(out, rows)
 
-        for part in g.parts:
+        for part in [*g.parts, ("end",)]:
             if part[0] == "triples":
                 triples += part[1]
                 continue
-            flush()
+            if triples:
+                add(self.bgp(triples, graph))
+                triples = []
             what = part[0]
             if what == "graph":
-                rows = self.group(part[2], part[1].value if part[1].kind == "iri" else part[1])
-                out = rows if out is None else self.join(out, rows, "inner")
+                add(self.group(part[2], part[1].value if part[1].kind == "iri" else part[1]))
+            elif what == "path":
+                add(self.along(*part[1:], graph))
+            elif what == "select":
+                q = part[1]
+                rows = self.selected(self.group(q.where, q.graph or graph), q)
+                names = rows.columns
+                kinds = {n + "@": F.lit("literal") if any(m == n and e for m, e in q.select) else F.when(c(n).rlike(IRI_LIKE), "iri").otherwise("literal") for n in names}
+                add((rows.withColumns({n: c(n).cast("string") for n in names} | kinds), frozenset(names)))
             elif what == "optional":
-                inner = part[1]
-                rows = self.group(inner, graph)
-                out = rows if out is None else self.join(out, rows, "left")
+                out = out or (self.spark.range(1).select(), frozenset())
+                rows, far = self.within(part[1], graph, out[0].columns)
+                out = combined(out, rows, "left", far)
             elif what == "union":
                 branches = [self.group(b, graph) for b in part[1]]
-                rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
-                out = rows if out is None else self.join(out, rows, "inner")
+                rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d for d, _ in branches])
+                some = {v for v in rows.columns if any(v not in d.columns for d, _ in branches)}
+                add((rows, frozenset(some).union(*[m for _, m in branches])))
             elif what == "values":
                 _, names, rows = part
-                data = [tuple(x for t in r for x in (t.value, t.kind)) for r in rows]
+                data = [tuple(x for t in r for x in ((t.value, t.kind) if t else (None, None))) for r in rows]
                 frame = self.spark.createDataFrame(data, ", ".join(f"`{n}` string, `{n}@` string" for n in names))
-                out = frame if out is None else self.join(out, frame, "inner")
-            elif what in ("exists", "not_exists", "minus"):
-                out = self.join(out, self.group(part[1], graph), "left_semi" if what == "exists" else "left_anti")
+                add((frame, frozenset(n for i, n in enumerate(names) if any(r[i] is None for r in rows))))
+            elif what in ("exists", "not_exists"):
+                rows, far = self.within(part[1], graph, out[0].columns)
+                out = combined(out, rows, "left_semi" if what == "exists" else "left_anti", far)
+            elif what == "minus" and out is not None:
+                rows = self.group(part[1], graph)
+                if shared_variables(out[0], rows[0]):
+                    out = combined(out, rows, "left_anti", minus=True)
             elif what == "bind":
-                e = expression(part[2], out.columns)
+                out = out or (self.spark.range(1).select(), frozenset())
+                e = expression(part[2], out[0].columns)
                 iri = part[2][0] == "term" and part[2][1].kind == "iri"
-                out = out.withColumns({part[1]: e.cast("string"), part[1] + "@": F.lit("iri" if iri else "literal")})
-        flush()
-        if out is None:
-            out = self.spark.range(1).select()
+                out = out[0].withColumns({part[1]: e.cast("string"), part[1] + "@": F.lit("iri" if iri else "literal")}), out[1] | {part[1]}
+        df, maybe = out or (self.spark.range(1).select(), frozenset())
         for e in g.filters:
-            out = out.where(expression(e, out.columns))
-        return out
+            df = df.where(expression(e, df.columns))
+        return df, maybe
 
     def instances(self, found: DataFrame, template: list[tuple[Term, Term, Term]]) -> DataFrame:
         """graph-less triples of the template for every solution; incomplete ones are left out."""
@@ -520,7 +722,7 @@ class Engine:
     def update(self, q: Query) -> DataFrame:
         """The quads after the update."""
         graph = q.graph or self.graph or "trusted"
-        found = self.group(q.where, graph) if q.where else self.spark.range(1).select()
+        found = self.group(q.where, graph)[0] if q.where else self.spark.range(1).select()
         out = self.quads
         if q.delete:
             gone = self.instances(found, q.delete).select(F.lit(graph).alias("graph"), "s", "p", "o")

@@ -28,4 +28,5 @@ PREFIXES = {
 }
 UNKNOWN_PREFIX = "http://kc.example/"
 PROTECTED = ("rdf", "rdfs", "owl", "skos", "sh")
+# What a statement can be.
 STATUSES = ("observed", "extracted", "inferred", "verified", "disputed", "speculative", "normative", "predicted", "deprecated")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import QUADS
@@ -16,37 +20,89 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Quads under a path, one folder a graph; a scan of one graph reads that folder only."""
+    """Quads under a path: a folder for each version and graph, and a file that names the current version of each graph.
+
+    A write makes a new version and then replaces that file by one rename, so a reader sees the
+    graphs before or after it, and a job that breaks off, or a task that is done again, finds all
+    that it reads.  ``vacuum`` removes what no graph uses any more.
+    """
+
+    CURRENT = "current.json"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        at = lambda name: hadoop.Path(f"{self.path}/{name}")
+        return hadoop, at, at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> dict[str, str]:
+        """graph -> version."""
+        _, at, fs = self._files()
+        if not fs.exists(at(self.CURRENT)):
+            return {}
+        lines = self.spark.read.text(str(at(self.CURRENT).toString())).collect()  # one line, a handful of graphs
+        return json.loads("".join(r[0] for r in lines) or "{}")
+
+    def _point(self, versions: dict[str, str]) -> None:
+        hadoop, at, fs = self._files()
+        draft = at(f"draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(versions).encode()))
+        out.close()
+        kind = getattr(hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, at(self.CURRENT), how)
 
     def read(self, graph: str | None = None) -> DataFrame:
-        try:
-            df = self.spark.read.schema(QUADS).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            df = self.spark.createDataFrame([], QUADS)
-        return df.where(F.col("graph") == graph) if graph else df
+        now = self.versions()
+        if graph is not None:
+            now = {g: v for g, v in now.items() if g == graph}
+        if not now:
+            return self.spark.createDataFrame([], QUADS)
+        folders = [f"{self.path}/version={v}" for v in sorted(set(now.values()))]
+        df = self.spark.read.option("basePath", self.path).schema(f"{QUADS.toDDL()}, version STRING").parquet(*folders)
+        current = reduce(lambda a, b: a | b, [(F.col("graph") == g) & (F.col("version") == v) for g, v in sorted(now.items())])
+        df = df.where(current).drop("version").select(*QUADS.names)
+        return df.where(F.col("graph") == graph) if graph is not None else df
+
+    def _write(self, df: DataFrame, keep: dict[str, str]) -> None:
+        version = uuid.uuid4().hex
+        df.select(*QUADS.names).write.partitionBy("graph").parquet(f"{self.path}/version={version}")
+        made = self.spark.read.option("basePath", f"{self.path}/version={version}").schema(QUADS).parquet(f"{self.path}/version={version}")
+        graphs = [r[0] for r in made.select("graph").distinct().collect()]  # a handful
+        self._point(keep | dict.fromkeys(graphs, version))
 
     def load(self, quads: DataFrame) -> None:
-        """Upsert; only graphs that the new quads name are rewritten."""
-        graphs = [r[0] for r in quads.select("graph").distinct().collect()]  # names of graphs: a handful
-        old = self.read().where(F.col("graph").isin(*graphs))
-        self._write(merged(old, quads).checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else merged(old, quads).persist())
+        """Upsert; only graphs that the new quads name are written."""
+        graphs = [r[0] for r in quads.select("graph").distinct().collect()]  # a handful
+        if graphs:
+            self._write(merged(self.read().where(F.col("graph").isin(*graphs)), quads), self.versions())
 
     def load_json(self, records: DataFrame, column: str = "value") -> None:
         self.load(records.select(F.from_json(column, QUADS).alias("r")).select("r.*"))
 
-    def _write(self, df: DataFrame) -> None:
-        df.count()
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph").parquet(self.path)
+    def replace(self, quads: DataFrame) -> None:
+        """These quads, and no others, from now on."""
+        empty = self.spark.createDataFrame([], QUADS)
+        if quads.isEmpty():
+            self._point({})
+        else:
+            self._write(merged(empty, quads), {})
 
     def clear(self, graph: str) -> None:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/graph={graph}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self._point({g: v for g, v in self.versions().items() if g != graph})
+
+    def vacuum(self) -> None:
+        """Remove versions that no graph uses; not while others read."""
+        _, at, fs = self._files()
+        used = set(self.versions().values())
+        for status in fs.listStatus(at("")):
+            name = status.getPath().getName()
+            if name.startswith("draft-") or (name.startswith("version=") and name[8:] not in used):
+                fs.delete(status.getPath(), True)
 
     def count(self, graph: str | None = None) -> int:
         return self.read(graph).count()

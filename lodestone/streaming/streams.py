@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.lineage import cut
+
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
     """window_start, event_type, n, total; the same for batch and stream."""
@@ -60,21 +62,26 @@ def noisy_or_stream(claims: DataFrame) -> DataFrame:
 
 
 def incremental(stream: DataFrame, fragments_path: str, checkpoint: str, compile_new):
-    """Each batch of (fragment_key, content_hash, ...) compiles only what has changed and records the hashes."""
+    """Each batch of (fragment_key, content_hash, ...) compiles only what is new or has changed since its last hash.
+
+    Hashes are appended with the number of their batch; of each key the last one counts.
+    """
     from ..operators.gate import hash_status
 
-    def run(batch: DataFrame, _: int) -> None:
+    schema = "fragment_key string, content_hash string, at long"
+
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            prior = spark.read.parquet(fragments_path)
+            prior = spark.read.schema(schema).parquet(fragments_path)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            prior = spark.createDataFrame([], "fragment_key string, content_hash string")
+            prior = spark.createDataFrame([], schema)
         status = hash_status(batch, prior).where("status <> 'unchanged'")
-        fresh = batch.join(status.select("fragment_key"), "fragment_key", "left_semi")
+        fresh = cut(batch.join(status.select("fragment_key").distinct(), "fragment_key", "left_semi"))
         compile_new(fresh)
-        fresh.select("fragment_key", "content_hash").write.mode("append").parquet(fragments_path)
+        fresh.select("fragment_key", "content_hash", F.lit(number).cast("long").alias("at")).write.mode("append").parquet(fragments_path)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

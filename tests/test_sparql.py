@@ -38,12 +38,51 @@ def got(df):
         ("SELECT ?x ?m WHERE { ?x :age ?n BIND(?n * 2 AS ?m) FILTER(?m >= 80) }", [("b", "80.0")]),
         ("SELECT ?z WHERE { <a> :knows / :knows ?z }", [("c",)]),
         ("SELECT DISTINCT ?x WHERE { ?x a <C> ; :label ?l , ?m }", [("a",)]),
+        # MINUS without a common variable takes nothing away
+        ("SELECT ?x WHERE { ?x :age ?n MINUS { ?a :label ?b } }", [("b",), ("c",)]),
+        ("SELECT ?x WHERE { ?x :knows ?y MINUS { ?x :label ?b } }", [("b",), ("c",)]),
+        # filters of OPTIONAL and EXISTS see what is around them
+        ("SELECT ?x ?w WHERE { ?x :age ?v OPTIONAL { ?y :age ?w FILTER(?w > ?v) } }", [("b", None), ("c", "40")]),
+        ("SELECT ?x WHERE { ?x :age ?v FILTER EXISTS { ?y :age ?w FILTER(?w > ?v) } }", [("c",)]),
+        ("SELECT ?x WHERE { ?x :age ?v FILTER NOT EXISTS { ?y :age ?w FILTER(?w > ?v) } }", [("b",)]),
+        # unbound is compatible with anything, and is filled
+        ("SELECT ?x ?l WHERE { ?x :knows ?y OPTIONAL { ?x :label ?l } OPTIONAL { ?x :age ?l } }", [("a", "Ada"), ("b", "40"), ("c", "5")]),
+        ("SELECT ?x ?l WHERE { ?x :knows ?y OPTIONAL { ?x :label ?l } ?z :age ?l }", [("b", "40"), ("b", "5"), ("c", "40"), ("c", "5")]),
+        ("SELECT ?x ?n WHERE { VALUES (?x ?n) { (<b> UNDEF) (UNDEF \"5\") } ?x :age ?n }", [("b", "40"), ("c", "5")]),
+        # paths
+        ("SELECT ?z WHERE { <a> :knows+ ?z }", [("a",), ("b",), ("c",)]),
+        ("SELECT ?z WHERE { <b> :knows* ?z }", [("a",), ("b",), ("c",)]),
+        ("SELECT ?z WHERE { <b> :knows? ?z }", [("b",), ("c",)]),
+        ("SELECT ?z WHERE { ?z :knows+ <b> }", [("a",), ("b",), ("c",)]),
+        ("SELECT ?z WHERE { <c> ^:knows ?z }", [("b",)]),
+        ("SELECT ?z WHERE { <b> :age|:knows ?z }", [("40",), ("c",)]),
+        ("SELECT ?x ?n WHERE { ?x :knows/(:knows/:age) ?n }", [("a", "5"), ("c", "40")]),
+        ("SELECT ?x ?n WHERE { ?x (:knows|^:knows)/:age ?n }", [("a", "40"), ("a", "5"), ("b", "5"), ("c", "40")]),
+        ("SELECT ?x ?y WHERE { ?x :knows+ ?y . ?y :label ?l }", [("a", "a"), ("b", "a"), ("c", "a")]),
+        # aggregates
+        ("SELECT ?p (COUNT(*) AS ?n) WHERE { ?x ?p ?y } GROUP BY ?p HAVING (COUNT(*) > 2)", [("knows", 3)]),
+        ("SELECT (COUNT(?x) * 2 + 1 AS ?n) WHERE { ?x :knows ?y }", [(7.0,)]),
+        ("SELECT (MIN(?n) AS ?a) (MAX(?n) AS ?b) WHERE { ?x :age ?n }", [("5", "40")]),
+        ("SELECT ?x ?n WHERE { { SELECT (MAX(?a) AS ?n) WHERE { ?y :age ?a } } ?x :age ?n }", [("b", "40")]),
+        ("SELECT ?x ?k WHERE { ?x :age ?n { SELECT ?x (COUNT(?y) AS ?k) WHERE { ?x :knows ?y } GROUP BY ?x } }", [("b", "1"), ("c", "1")]),
     ],
 )
 def test_select(engine, text, want):
     assert got(engine.query("PREFIX : <> " + text)) == want
 
 
+def test_order_survives_distinct(engine):
+    rows = engine.query("PREFIX : <> SELECT DISTINCT ?p WHERE { ?x ?p ?o } ORDER BY DESC(?p) LIMIT 2").collect()
+    assert [r[0] for r in rows] == ["rdf:type", "label"]
+    assert [r[0] for r in engine.query("PREFIX : <> SELECT DISTINCT ?x WHERE { ?x :age ?n } ORDER BY ?n").collect()] == ["c", "b"]
+    assert [r[0] for r in engine.query("PREFIX : <> SELECT ?x WHERE { ?x :knows ?y } GROUP BY ?x ORDER BY DESC(COUNT(?y)) ?x").collect()] == ["a", "b", "c"]
+
+
+def test_describe(engine):
+    assert got(engine.query("PREFIX : <> DESCRIBE <b>").select("s", "p", "o")) == [("a", "knows", "b"), ("b", "age", "40"), ("b", "knows", "c")]
+    assert got(engine.query("PREFIX : <> DESCRIBE ?x WHERE { ?x :label ?l }").select("s", "p")) == [("a", "knows"), ("a", "label"), ("a", "rdf:type"), ("c", "knows")]
+
+
 def test_ask_and_construct(engine, spark):
     assert engine.ask("PREFIX : <> ASK { ?x :age \"5\" }")
     assert not engine.ask("PREFIX : <> ASK { ?x :age \"6\" }")
