@@ -1,18 +1,16 @@
 """Substring dedup: windows of words that an earlier document has, behind a count-min prefilter.
 
-1. Each task sketches its windows: for ``ROWS`` hash functions the sorted cell
-   numbers, each at most twice, as compressed differences.  Cells are dealt by
-   ranges; merging adds the tasks' counts and keeps one bit a cell: two or more.
-   Counts are never underestimated, so no repeated window is lost.
-2. A second pass takes the windows whose cells all have that bit and groups them
-   exactly, by 96-bit hashes of their word sequences.  A task settles what it can
+1. Texts become blocks of numbered words, written once (``wordblocks``).
+2. Each block sketches its windows: the numbers of their cells, in order, as compressed
+   differences, cut into ranges of cells.  A range's task merges the blocks' sketches
+   and tells each block which of its cells were counted twice or more (``tally``).
+   Counts are never underestimated, so no repeated window is lost; the sketch grows
+   with the corpus, is never in one place, and nothing is broadcast.
+3. A second pass takes the windows all of whose cells have that mark and groups them
+   exactly, by 96-bit hashes of their word sequences.  A block settles what it can
    by itself: of equal windows only those of its smallest document go on, so a
-   window that all documents share costs a task one entry.
-3. Places to remove meet the texts by document.
-
-The sketch has at least 1.5 cells a window and row, up to ``MAX_CELLS``; with more
-windows than that the work is done in slices of the hash space, each with its own
-sketch, so what is broadcast stays bounded (``MAX_CELLS`` bits a row of the sketch).
+   window that all documents share costs a block one entry.
+4. Places to remove meet the texts by document.
 
 Words are runs of other bytes than ASCII white space, unchanged.  A null or empty
 text has no words.  Rows with the same id are one rank: they take nothing from
@@ -22,41 +20,28 @@ each other, and null ids rank last.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import countmin
 from .blobs import packed, unpacked
-from .spans import LAST, n_buckets, rows, tag_of, with_ranges
+from .spans import n_buckets, rows, with_ranges
+from .tally import Cells, Classes, counted
 from .text import Words, chunks, covered, mix, rolling
+from .wordblocks import PAYLOAD, Block, blocks
 
 WINDOW = 13
-MAX_CELLS = 1 << 29
+ROWS, SPARSE = 2, 2  # of the count-min sketch: hash functions, cells a window for each
+BLOCK = 1 << 20
 ENTRIES = 1 << 20  # windows that are grouped together
-FLUSH = 1 << 20
 _S, _Q = 0xD1342543DE82EF95 | 1, 0xAF251AF3B0F025B5 | 1
 
 
-def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, 64-bit hash, 32 further bits) of each window."""
-    word = words.hashes()
-    at = np.flatnonzero(np.arange(len(word)) + k <= words.first[1:][words.doc])
-    return at, mix(rolling(word, k, _S)[at]), (mix(rolling(word, k, _Q)[at]) >> np.uint64(32)).astype(np.uint32)
-
-
-def in_slice(h: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return h % np.uint64(parts) == part if parts > 1 else np.ones(len(h), bool)
-
-
-def plan(docs: DataFrame) -> tuple[int, int, int]:
-    """(bytes of all texts, cells a row, slices); a word and its gap take six bytes or so."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    windows = n_bytes / 6
-    parts = max(1, -(-int(1.5 * windows) // MAX_CELLS))
-    return n_bytes, 1 << max(16, int(1.5 * windows / parts).bit_length()), parts
+def window_hashes(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, 64-bit hash) of each window."""
+    at = b.whole_windows(k)
+    return at, mix(rolling(b.word, k, _S)[at])
 
 
 def settled(h, h2, doc, tag, at):
@@ -69,67 +54,45 @@ def settled(h, h2, doc, tag, at):
     return (h, h2, doc, tag, at), doc > least
 
 
-def removals(docs: DataFrame, k: int = WINDOW) -> DataFrame:
+def removals(docs: DataFrame, k: int = WINDOW, block: int = BLOCK, entries: int = ENTRIES) -> DataFrame:
     """Rows of (bucket, blob): ranges of words to remove."""
-    n_bytes, cells, parts = plan(docs)
-    buckets = n_buckets(n_bytes)
-    segments = max(1, 1 << max(0, (cells // ENTRIES).bit_length() - 2))
+    own = blocks(docs, lower=False, size=block)
+    n_words = own.agg(F.sum("n_words")).first()[0] or 0
+    cells = Cells(n_words, ROWS, SPARSE, entries)
+    told = counted(own.select("block", *PAYLOAD), lambda *payload: window_hashes(Block(*payload), k)[1], cells)
+    buckets = n_buckets(6 * n_words)
+    segments = 1 << (n_words // entries).bit_length()
     shift = np.uint64(64 - segments.bit_length() + 1)
-    out = None
-    for part in range(parts):
-
-        def hashes(batches, part=part):
-            for chunk in chunks(batches):
-                h = window_hashes(Words(chunk, lower=False), k)[1]
-                yield h[in_slice(h, part, parts)]
-
-        found = docs.sparkSession.sparkContext.broadcast(countmin.repeated_cells(docs.select("text"), hashes, cells))
-        name = uuid.uuid4().hex
-
-        def candidates(batches, found=found, part=part, name=name):
-            bits = countmin.bits_of(name, found, cells)
-            held: list[tuple[np.ndarray, ...]] = []
-
-            def flush():
-                entry, gone = settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held.clear()
-                key, blob = rows(entry[2][gone], entry[3][gone], entry[4][gone], entry[4][gone] + k, buckets)
-                key = [segments + b for b in key]
-                h, h2, d, t, at = (x[~gone] for x in entry)
-                where = (h >> shift).astype(np.int64) if segments > 1 else np.zeros(len(h), np.int64)
-                cuts = np.searchsorted(where, np.arange(segments + 1))
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = slice(cuts[s], cuts[s + 1])
-                    key.append(s)
-                    blob.append(packed(h[own], h2[own], d[own], t[own], at[own], delta=1))
-                return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(key), pa.int32()), "key": pa.array(key, pa.int64()), "blob": pa.array(blob, pa.binary())})
-
-            for chunk in chunks(batches):
-                words = Words(chunk, lower=False)
-                at, h, h2 = window_hashes(words, k)
-                ok = in_slice(h, part, parts) & countmin.maybe_repeated(h, bits, cells)
-                at, h, h2 = at[ok], h[ok], h2[ok]
-                ids = chunk.batch.column(0).fill_null(LAST).to_numpy()
-                tags = np.array([tag_of(chunk.bytes_of(i)) for i in range(chunk.n)], np.uint16)
-                d = words.doc[at]
-                held.append((h, h2, ids[d], tags[d], (at - words.first[d]).astype(np.int32)))
-                if sum(len(x[0]) for x in held) > FLUSH:
-                    yield flush()
-            if held:
-                yield flush()
-
-        one = docs.select("doc_id", "text").mapInArrow(candidates, "part int, key long, blob binary")
-        out = one if out is None else out.unionByName(one)
+
+    def candidates(key, left, right):
+        b = Block(*(left.column(c)[0].as_py() for c in PAYLOAD))
+        at, h = window_hashes(b, k)
+        again = Classes(right, cells).of(h) > 0
+        at, h = at[again], h[again]
+        h2 = (mix(rolling(b.word, k, _Q)[at]) >> np.uint64(32)).astype(np.uint32)
+        d = b.doc[at]
+        entry, gone = settled(h, h2, b.ids[d], b.tag[d], (at - b.first[d]).astype(np.int32))
+        number, blob = rows(entry[2][gone], entry[3][gone], entry[4][gone], entry[4][gone] + k, buckets)
+        number = [segments + x for x in number]
+        h, h2, d, t, at = (x[~gone] for x in entry)
+        where = (h >> shift).astype(np.int64) if segments > 1 else np.zeros(len(h), np.int64)
+        cuts = np.searchsorted(where, np.arange(segments + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[s], cuts[s + 1])
+            number.append(s)
+            blob.append(packed(h[part], h2[part], d[part], t[part], at[part], delta=1))
+        return pa.table({"key": pa.array(number, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
     def group(key, found):
-        number, blobs = key[1].as_py(), found.column("blob").to_pylist()
-        if number >= segments:  # settled by a task already
+        number, blobs = key[0].as_py(), found.column("blob").to_pylist()
+        if number >= segments:  # settled by a block already
             return pa.table({"bucket": pa.array([number - segments] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
         entry, gone = settled(*(np.concatenate(x) for x in zip(*(unpacked(b) for b in blobs), strict=True)))
         bucket, blob = rows(entry[2][gone], entry[3][gone], entry[4][gone], entry[4][gone] + k, buckets)
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
-    return out.groupBy("part", "key").applyInArrow(group, "bucket long, blob binary")
+    out = own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(candidates, "key long, blob binary")
+    return out.groupBy("key").applyInArrow(group, "bucket long, blob binary")
 
 
 def dedup(documents: DataFrame, k: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
