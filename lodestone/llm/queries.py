@@ -50,6 +50,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", HEX_OF(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all the words of a benchmark passage of five words close together, by item; the other result of the index."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.search(documents(spark, sf_dir), benchmark, window=5, reach=8)
+    return found.groupBy("doc_id", "item_id").agg(F.count(F.when(F.col("kind") == "near", 1)).alias("n_near"), F.count(F.when(F.col("kind") == "phrase", 1)).alias("n_phrases"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(documents(spark, sf_dir))
 
@@ -59,4 +66,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", HEX_OF(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets, decontamination_proximity)}
