@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import countmin
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -127,7 +126,6 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: tup
     carried = documents.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
 
     def score(batches):
-        countmin.release()
         table = carried.value
         buckets = table.shape[1] - 1
         for batch, texts in slices(batches, "text"):

@@ -56,7 +56,7 @@ SHINGLE, PERCENT = 5, 80
 STARS = 3
 LOW = 64
 HOT = 8
-SHARE = 1024  # pairs of one document that a task compares together
+SHARE = 256  # pairs of one document that a task compares together
 FEW_IDS = 500_000  # as many ids as may be broadcast (some 16 MB)
 _S = 0xD1342543DE82EF95 | 1
 SKETCH = (

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import countmin
 from ..plans.lineage import cut, table
 
 LENGTH, END_ID = 4096, 2
@@ -125,7 +124,6 @@ def tokenized(documents: DataFrame, tokenizer: str | None = None, end_id: int =
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        countmin.release()
         words, project = _words(path, cached_words), _projection()
         end = np.array([end_id], np.uint16).tobytes()
         for batch in batches:

@@ -1,21 +1,19 @@
 """Suffix-array dedup: bytes of strings of ``length`` bytes that also start anywhere else.
 
-Any such string holds an anchor, the least of the hashed ``gram``-byte strings in it,
-and equal strings hold it at the same place.  So only the surroundings of anchors
-(a segment: all strings that contain the anchor) have to meet:
-
-1. A string that contains an anchor shares with its copies a core of bytes around
-   the anchor, one of ``CORES`` by where the anchor lies.  A count-min sketch of all
-   cores tells which anchors can matter; none is lost.
-2. Segments of those anchors go to shards by the anchor's hash.  A task sends equal
-   segments once: their strings are all repeated, whatever else there is.
-3. A shard sorts the suffixes of its distinct segments by induction and compares
-   each with the one before it (permuted common prefixes).  Runs that share
-   ``length`` bytes are the occurrences of one string; it is repeated if they begin at
-   two or more places of the corpus.  The segments of an anchor that alone exceed
-   ``SHARD`` bytes are compared string by string at equal distances from it instead,
-   which needs memory for one distance only.
-4. Ranges to remove meet the texts by document.
+Any such string holds an anchor, the least of the hashed ``gram``-byte strings in it (the
+leftmost of equal ones), and equal strings hold it at the same place.  The strings of one
+anchor begin one after the other: they are a segment, and a string is in one segment only.
+
+1. A string shares with its copies a core of bytes around the anchor, one of ``CORES`` by
+   where the anchor lies.  How often each core occurs is counted by ranges and told back
+   to the blocks of the corpus (``tally``); segments without a repeated core go no further.
+2. Segments go to shards by their anchor's hash, each distinct one of a block once, with the
+   places that have it.  A shard does the same for its blocks' segments.
+3. A shard cuts its distinct segments to the strings whose hashes more than one place has.
+4. The suffixes of the distinct pieces are sorted by induction; the permuted common prefixes
+   tell which neighbours share ``length`` bytes.  A run of such suffixes is one string; it
+   is repeated if its pieces stand at two or more places, and then goes at all of them.
+5. Ranges to remove meet the texts by document.
 
 Texts are UTF-8 bytes; null is empty.  Strings never cross rows.  Rows with equal ids
 are two places.  Matches are exact up to collisions of 64-bit hashes between the
@@ -33,17 +31,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import countmin
+from ..plans.lineage import table
 from .blobs import packed, unpacked
 from .spans import LAST, n_buckets, rows, tag_of, with_ranges
 from .suffix import common_prefixes, suffix_array
-from .text import U64, Chunk, chunks, covered, mix, powers, prefix_hash, span_hash
+from .tally import Cells, Classes, counted
+from .text import U64, chunks, covered, mix, powers, prefix_hash, span_hash
 
 LENGTH, GRAM, CORES = 400, 64, 4
-FINE = 4 * CORES  # cores by which a shard chooses what it sorts
-SHARD = 1 << 20
-HOLD = 24 << 20
-MAX_CELLS = 1 << 28
+SHARD = 1 << 20  # bytes that are sorted together
+BLOCK_BYTES = 4 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_R, -1, 1 << 64)
 
@@ -59,30 +56,37 @@ def sliding(op: np.ufunc, x: np.ndarray, w: int, fill: int) -> np.ndarray:
     return op(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def core_cuts(length: int, gram: int) -> list[int]:
+    return [(length - gram) * j // CORES for j in range(CORES + 1)]
+
+
 class Anchors:
-    """at: anchors of a chunk; doc, low and high: their row and segment; hash: of the anchor's bytes."""
+    """at: anchors of some texts; doc, low and high: their row and segment (all strings that they lead); hash: of the anchor's bytes."""
 
-    def __init__(self, chunk: Chunk, length: int, gram: int):
-        n, w = len(chunk.data), length - gram + 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        n, w = len(data), length - gram + 1
         self.length, self.gram = length, gram
-        self.at = np.empty(0, np.int64)
+        self.at = self.low = self.high = np.empty(0, np.int64)
+        self.hash = np.empty(0, U64)
         if n >= length:
-            self.prefix = prefix_hash(chunk.data, _R)
-            g = mix((self.prefix[gram:] - self.prefix[:-gram]) * powers(_INVERSE, n + 1)[: n - gram + 1]) | U64(1)
-            end = np.repeat(chunk.offsets[1:], np.diff(chunk.offsets))
-            g[np.arange(n - gram + 1) + gram > end[: n - gram + 1]] = U64(0xFFFFFFFFFFFFFFFF)
-            least = sliding(np.minimum, g, w, 0xFFFFFFFFFFFFFFFF)
-            least[np.arange(len(least)) + length > end[: len(least)]] = 0
-            around = np.zeros(len(g) + w - 1, U64)
-            around[w - 1 : w - 1 + len(least)] = least
-            self.at = np.flatnonzero(sliding(np.maximum, around, w, 0) == g)
-            self.hash = g[self.at]
-        self.doc = np.searchsorted(chunk.offsets, self.at, side="right") - 1
-        begin, end = chunk.offsets[self.doc], chunk.offsets[self.doc + 1]
-        self.low, self.high = np.maximum(begin, self.at - (length - gram)), np.minimum(end, self.at + length)
+            self.prefix = prefix_hash(data, _R)
+            g = mix((self.prefix[gram:] - self.prefix[:-gram]) * powers(_INVERSE, n + 1)[: n - gram + 1])
+            end = np.repeat(offsets[1:], np.diff(offsets))
+            bits = U64(n.bit_length())
+            place = np.arange(n - gram + 1, dtype=U64)
+            ranked = ((g >> bits) << bits) | place  # ties by place: the same in every copy of a string
+            leader = (sliding(np.minimum, ranked, w, 0xFFFFFFFFFFFFFFFF) & U64((1 << int(bits)) - 1)).astype(np.int64)
+            start = np.flatnonzero(np.arange(len(leader)) + length <= end[: len(leader)])
+            own = leader[start]
+            if len(start):
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
+                self.at, self.low = own[new], start[new]
+                self.high = start[np.append(new[1:], len(start)) - 1] + length
+                self.hash = g[self.at]
+        self.doc = np.searchsorted(offsets, self.at, side="right") - 1
 
     def cores(self) -> tuple[np.ndarray, np.ndarray]:
-        """(anchor number, hash) of the cores that their rows hold."""
+        """(anchor number, hash) of the cores that their segments hold."""
         cuts = core_cuts(self.length, self.gram)
         who, out = [], []
         for j in range(CORES if len(self.at) else 0):
@@ -93,216 +97,184 @@ class Anchors:
         return (np.concatenate(who), np.concatenate(out)) if who else (np.empty(0, np.int64), np.empty(0, U64))
 
 
-def ranges(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings that begin at these places, ascending, as ranges of bytes."""
+def runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of consecutive places, which ascend."""
     if not len(start):
         return start, start
-    new = np.flatnonzero(np.diff(start) > 1)
-    return start[np.append(0, new + 1)], start[np.append(new, len(start) - 1)] + length
-
-
-class Removals:
-    """Ranges to remove, gathered document by document."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, doc: int, tag: int, low, high) -> None:
-        low, high = np.atleast_1d(low), np.atleast_1d(high)
-        self.parts.append((np.full(len(low), doc, np.int64), np.full(len(low), tag, np.int32), low, high))
-
-    def rows(self, buckets: int) -> tuple[list[int], list[bytes]]:
-        return rows(*(np.concatenate(x) for x in zip(*self.parts, strict=True)), buckets) if self.parts else ([], [])
-
+    cut = np.flatnonzero(np.diff(start) > 1)
+    return start[np.append(0, cut + 1)], start[np.append(cut, len(start) - 1)]
+
+
+Place = tuple[np.ndarray, np.ndarray, np.ndarray]  # documents, tags, first bytes
+
+
+class Shard:
+    """Distinct segments with the places that have them."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.body: list[bytes] = []
+        self.anchor: list[int] = []  # the hash: only segments of one anchor have strings in common
+        self.places: list[list[Place]] = []
+        self.number: dict[tuple[bytes, int], int] = {}
+
+    def add(self, body: bytes, anchor: int, place: Place) -> None:
+        i = self.number.setdefault((body, anchor), len(self.body))
+        if i == len(self.body):
+            self.body.append(body)
+            self.anchor.append(anchor)
+            self.places.append([])
+        self.places[i].append(place)
+
+    def blob(self) -> bytes:
+        count = [sum(len(p[0]) for p in x) for x in self.places]
+        doc, tag, low = (np.concatenate([p[k] for x in self.places for p in x]) for k in range(3))
+        size = np.array([len(b) for b in self.body], np.int32)
+        head = packed(np.array(self.anchor, U64), size, np.array(count, np.int32), doc, tag.astype(np.uint16), low.astype(np.int64))
+        return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(self.body))
+
+    def read(self, blob: bytes) -> None:
+        cut = 8 + int.from_bytes(blob[:8], "little")
+        anchor, size, count, doc, tag, low = unpacked(blob[8:cut])
+        bodies = zstandard.ZstdDecompressor().decompress(blob[cut:], max_output_size=int(size.sum()) or 1)
+        at = k = 0
+        for a, n, c in zip(anchor.tolist(), size.tolist(), count.tolist(), strict=True):
+            self.add(bodies[at : at + n], a, (doc[k : k + c], tag[k : k + c], low[k : k + c]))
+            at, k = at + n, k + c
+
+    def pieces(self) -> dict[int, dict[bytes, list[tuple[int, int]]]]:
+        """anchor -> piece -> the (segment, offset) that have it: the segments cut to strings whose hashes occur at two places or more."""
+        n = self.length
+        size = np.array([len(b) for b in self.body], np.int64)
+        begin = np.cumsum(size) - size
+        prefix = prefix_hash(np.frombuffer(b"".join(self.body), np.uint8), _R)
+        inverse = powers(_INVERSE, len(prefix))
+        weight = np.array([sum(len(p[0]) for p in x) for x in self.places], np.int64)
+        many = size - n + 1
+        of = np.repeat(np.arange(len(size)), many)
+        start = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        at = begin[of] + start
+        h = (prefix[at + n] - prefix[at]) * inverse[at]
+        order = np.argsort(h)
+        new = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        again = np.add.reduceat(weight[of[order]], new) > 1
+        hit = np.zeros(len(of), bool)
+        hit[order] = np.repeat(again, np.diff(np.append(new, len(of))))
+        out: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        kept = np.flatnonzero(hit)
+        cuts = np.searchsorted(of[kept], np.arange(len(size) + 1))
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            first, last = runs(start[kept[cuts[i] : cuts[i + 1]]])
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                out[self.anchor[i]][self.body[i][a : b + n]].append((i, a))
+        return out
+
+    def removals(self) -> tuple[np.ndarray, ...]:
+        """doc, tag, low, high of what goes."""
+        found: list[tuple[np.ndarray, ...]] = []
+        weight = [sum(len(p[0]) for p in x) for x in self.places]
+
+        def settle(batch: list[tuple[bytes, list[tuple[int, int]]]]) -> None:
+            counts = np.array([sum(weight[i] for i, _ in where) for _, where in batch])
+            for (_, where), starts in zip(batch, repeated_starts([b for b, _ in batch], counts, self.length), strict=True):
+                first, last = runs(starts)
+                for i, offset in where if len(first) else []:
+                    for doc, tag, low in self.places[i]:
+                        k = len(first)
+                        base = np.repeat(low + offset, k)
+                        found.append((np.repeat(doc, k), np.repeat(tag, k), base + np.tile(first, len(doc)), base + np.tile(last + self.length, len(doc))))
+
+        batch, size = [], 0
+        for own in self.pieces().values() if self.body else []:
+            n = sum(map(len, own))
+            if batch and size + n > SHARD:
+                settle(batch)
+                batch, size = [], 0
+            batch += own.items()
+            size += n
+        if batch:
+            settle(batch)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(4))
 
-def repeated_starts(segments: list[bytes], place: np.ndarray, many: np.ndarray, length: int) -> list[np.ndarray]:
-    """Where, in each segment, strings begin that begin at another place too.
 
-    place: a number for each segment's first byte, ascending along a document; many: segments known to be at two places.
-    """
-    size = np.array([len(s) for s in segments])
+def repeated_starts(pieces: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Where, in each piece, strings begin that stand at two places or more; a piece stands at ``counts`` places itself."""
+    size = np.array([len(s) for s in pieces])
     begin = np.concatenate([[0], np.cumsum(size + 1)])
-    t = np.full(begin[-1] + 1, 257, np.int64)
+    t = np.full(begin[-1] + 1, 257, np.uint16)
     t[-1] = 0
-    for b, s in zip(begin.tolist(), segments, strict=False):
+    for b, s in zip(begin.tolist(), pieces, strict=False):
         t[b : b + len(s)] = np.frombuffer(s, np.uint8)
         t[b : b + len(s)] += 1
-    of = np.repeat(np.arange(len(segments)), size + 1)
+    of = np.repeat(np.arange(len(pieces)), size + 1)
     n = len(of)
     sa = suffix_array(t, length)
-    shares = common_prefixes(t, sa, length, prefix_hash(t, _R), powers(_INVERSE, len(t) + 1))
+    shared = common_prefixes(t, sa, length, prefix_hash(t, _R), powers(_INVERSE, len(t) + 1))
     order = sa[sa < n]  # all but the sentinel
     order = order[order + length <= begin[of[order]] + size[of[order]]]
-    run = np.flatnonzero(~shares[order] | (np.arange(len(order)) == 0))
     if not len(order):
-        return [np.empty(0, np.int64)] * len(segments)
-    where = place[of[order]] + (order - begin[of[order]])
-    known = many[of[order]]
-    again = (np.minimum.reduceat(where, run) != np.maximum.reduceat(where, run)) | np.logical_or.reduceat(known, run)
+        return [np.empty(0, np.int64)] * len(pieces)
+    run = np.flatnonzero((shared[order] < length) | (np.arange(len(order)) == 0))
+    again = np.add.reduceat(counts[of[order]], run) > 1
     hit = np.sort(order[np.repeat(again, np.diff(np.append(run, len(order))))])
     return [x - b for x, b in zip(np.split(hit, np.searchsorted(hit, begin[1:-1])), begin.tolist(), strict=False)]
 
 
-def core_cuts(length: int, gram: int, cores: int = CORES) -> list[int]:
-    return [(length - gram) * j // cores for j in range(cores + 1)]
-
-
-def sharing(segments: list[tuple], length: int, gram: int) -> list[tuple]:
-    """Those of one anchor's segments (body, anchor, (doc, tag, low), many) that have a core in common with another.
-
-    Each is cut to the strings around the cores that it shares.
-    """
-    cuts = core_cuts(length, gram, FINE)
-    first, last = [FINE] * len(segments), [-1] * len(segments)
-    for j in range(FINE):
-        by: dict[bytes, int] = {}
-        for i, (body, anchor, *_) in enumerate(segments):
-            low, high = anchor - cuts[j], anchor + length - cuts[j + 1]
-            if low >= 0 and high <= len(body):
-                other = by.setdefault(body[low:high], i)
-                if other != i:
-                    for x in (i, other):
-                        first[x], last[x] = min(first[x], j), max(last[x], j)
-    out = []
-    for i, (body, anchor, (doc, tag, at), many) in enumerate(segments):
-        if last[i] >= 0:
-            low, high = max(0, anchor - cuts[last[i] + 1]), min(len(body), anchor + length - cuts[first[i]])
-            out.append((body[low:high], anchor - low, (doc, tag, at + low), many))
-    return out
-
-
-def aligned_starts(segments: list[bytes], anchor: list[int], many: list[bool], length: int, gram: int) -> list[np.ndarray]:
-    """The same for segments of one anchor, by the strings themselves at each distance from it."""
-    out: list[list[int]] = [[] for _ in segments]
-    for a in range(length - gram + 1):
-        by: dict[bytes, list[int]] = defaultdict(list)
-        for i, body in enumerate(segments):
-            low = anchor[i] - a
-            if low >= 0 and low + length <= len(body):
-                by[body[low : low + length]].append(i)
-        for own in by.values():
-            if len(own) > 1 or many[own[0]]:
-                for i in own:
-                    out[i].append(anchor[i] - a)
-    return [np.array(x[::-1], np.int64) for x in out]
-
-
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def text_blocks(docs: DataFrame, size: int) -> DataFrame:
+    """block, n_bytes, rows (ids, tags, offsets), text (compressed), in the shared folder."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for chunk in chunks(batches, cap=size):
+            tags = np.array([tag_of(chunk.bytes_of(i)) for i in range(chunk.n)], np.uint16)
+            head = packed(chunk.batch.column(0).fill_null(LAST).to_numpy(), tags, chunk.offsets)
+            arrays = [pa.array([uuid.uuid4().hex]), pa.array([len(chunk.data)], pa.int64()), pa.array([head], pa.binary()), pa.array([squeeze.compress(chunk.data.tobytes())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "n_bytes", "rows", "text"])
+
+    return table(docs.select("doc_id", "text").mapInArrow(run, "block string, n_bytes long, rows binary, text binary"), "texts")
+
+
+def opened(head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, tags, offsets and bytes of a block's texts."""
+    ids, tags, offsets = unpacked(head)
+    text = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, int(offsets[-1])))
+    return ids, tags, offsets, np.frombuffer(text, np.uint8)
+
+
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK_BYTES, per_range: int = 1 << 20) -> DataFrame:
     """Rows of (bucket, blob): ranges of bytes to remove."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = text_blocks(docs, block)
+    n_bytes = own.agg(F.sum("n_bytes")).first()[0] or 0
     anchors = 2 * n_bytes // (length - gram + 1)
-    cells = 1 << min(MAX_CELLS.bit_length() - 1, max(16, int(6 * CORES * anchors).bit_length()))
+    cells = Cells(CORES * anchors, 1, per_range=per_range)
     buckets = n_buckets(n_bytes)
-    shards = int(1 + anchors * 2 * length * 0.3 // SHARD)
-
-    def hashes(batches):
-        for chunk in chunks(batches):
-            yield Anchors(chunk, length, gram).cores()[1]
-
-    found = docs.sparkSession.sparkContext.broadcast(countmin.repeated_cells(docs.select("text"), hashes, cells))
-    name = uuid.uuid4().hex
-
-    def segments(batches):
-        bits = countmin.bits_of(name, found, cells)
-        held: dict[tuple[bytes, int], tuple[int, list[tuple[int, int, int]]]] = {}
-        size = 0
-
-        def flush():
-            gone = Removals()
-            by: dict[int, list[tuple]] = defaultdict(list)
-            for (body, anchor), (h, places) in held.items():
-                if len(places) > 1:
-                    for doc, tag, low in places:
-                        gone.add(doc, tag, low, low + len(body))
-                doc, tag, low = places[0]
-                by[h % shards].append((h, anchor, doc, tag, low, len(places) > 1, body))
-            held.clear()
-            key, blob = gone.rows(buckets)
-            key = [shards + b for b in key]
-            squeeze = zstandard.ZstdCompressor(level=3)
-            for s, own in by.items():
-                h, anchor, d, t, low, many, bodies = zip(*own, strict=True)
-                head = packed(np.array(h, U64), np.array(anchor, np.int32), np.array(d, np.int64), np.array(t, np.int32), np.array(low, np.int64), np.array(many, np.uint8), np.array([len(b) for b in bodies], np.int32))
-                key.append(s)
-                blob.append(len(head).to_bytes(8, "little") + head + squeeze.compress(b"".join(bodies)))
-            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "blob": pa.array(blob, pa.binary())})
-
-        for chunk in chunks(batches):
-            x = Anchors(chunk, length, gram)
-            who, h = x.cores()
-            wanted = np.unique(who[countmin.maybe_repeated(h, bits, cells)])
-            wanted = wanted[x.high[wanted] - x.low[wanted] >= length]
-            ids = chunk.batch.column(0).fill_null(LAST).to_numpy()
-            body_of = chunk.data.tobytes()
-            tags: dict[int, int] = {}
-            for i in wanted.tolist():
-                d, low = int(x.doc[i]), int(x.low[i])
-                if d not in tags:
-                    tags[d] = tag_of(chunk.bytes_of(d))
-                body = body_of[low : x.high[i]]
-                entry = held.setdefault((body, int(x.at[i]) - low), (int(x.hash[i]), []))
-                size += 0 if entry[1] else len(body)
-                entry[1].append((int(ids[d]), tags[d], low - int(chunk.offsets[d])))
-            if size > HOLD:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+    shards = int(1 + anchors * 1.4 * length * 0.3 // SHARD)
+
+    def hashes(head, body):
+        _, _, offsets, data = opened(head, body)
+        return Anchors(data, offsets, length, gram).cores()[1]
+
+    def segments(key, left, right):
+        ids, tags, offsets, data = opened(left.column("rows")[0].as_py(), left.column("text")[0].as_py())
+        x = Anchors(data, offsets, length, gram)
+        who, h = x.cores()
+        text = data.tobytes()
+        by: dict[int, Shard] = defaultdict(lambda: Shard(length))
+        for i in np.unique(who[Classes(right, cells).of(h) > 0]).tolist():
+            d, low, anchor = int(x.doc[i]), int(x.low[i]), int(x.hash[i])
+            by[anchor % shards].add(text[low : x.high[i]], anchor, (ids[d : d + 1], tags[d : d + 1], np.array([low - offsets[d]], np.int64)))
+        return pa.table({"shard": pa.array(list(by), pa.int64()), "blob": pa.array([s.blob() for s in by.values()], pa.binary())})
 
     def sort(key, group):
-        if key[0].as_py() >= shards:  # settled by a task already
-            return pa.table({"bucket": pa.array([key[0].as_py() - shards] * group.num_rows, pa.int64()), "blob": group.column("blob")})
-        merged: dict[tuple[bytes, int], tuple[int, list[tuple[int, int, int]], list[bool]]] = {}
-        for blob in group.column("blob").to_pylist():
-            cut = 8 + int.from_bytes(blob[:8], "little")
-            h, anchor, doc, tag, low, many, n = (c.tolist() for c in unpacked(blob[8:cut]))
-            bodies = zstandard.ZstdDecompressor().decompress(blob[cut:], max_output_size=sum(n) or 1)
-            at = 0
-            for i, k in enumerate(n):
-                entry = merged.setdefault((bodies[at : at + k], anchor[i]), (h[i], [], []))
-                entry[1].append((doc[i], tag[i], low[i]))
-                entry[2].append(bool(many[i]))
-                at += k
-        gone = Removals()
-        by: dict[int, list[tuple[bytes, int, tuple[int, int, int], bool]]] = defaultdict(list)
-        for (body, anchor), (h, places, many) in merged.items():
-            if len(places) > 1:
-                for (doc, tag, low), told in zip(places, many, strict=True):
-                    if not told:
-                        gone.add(doc, tag, low, low + len(body))
-            by[h].append((body, anchor, places[0], len(places) > 1 or any(many)))
-        numbers: dict[tuple[int, int], int] = {}
-
-        def settle(own, starts):
-            for (_, _, (doc, tag, low), many), s in zip(own, starts, strict=True):
-                if not many and len(s):
-                    a, b = ranges(s + low, length)
-                    gone.add(doc, tag, a, b)
-
-        def batch(own):
-            place = np.array([(numbers.setdefault(p[:2], len(numbers)) << 36) + p[2] for _, _, p, _ in own], np.int64)
-            settle(own, repeated_starts([r[0] for r in own], place, np.array([r[3] for r in own]), length))
-
-        held, size = [], 0
-        for own in by.values():
-            own = sharing(own, length, gram)
-            if all(r[3] for r in own):
-                continue
-            n = sum(len(r[0]) for r in own)
-            if n > SHARD:
-                settle(own, aligned_starts([r[0] for r in own], [r[1] for r in own], [r[3] for r in own], length, gram))
-                continue
-            if size + n > SHARD and held:
-                batch(held)
-                held, size = [], 0
-            held += own
-            size += n
-        if held:
-            batch(held)
-        bucket, blob = gone.rows(buckets)
+        shard = Shard(length)
+        for blob in group.column("blob"):
+            shard.read(blob.as_py())
+        bucket, blob = rows(*shard.removals(), buckets)
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
-    return docs.mapInArrow(segments, "key long, blob binary").groupBy("key").applyInArrow(sort, "bucket long, blob binary")
+    told = counted(own.select("block", "rows", "text"), hashes, cells)
+    sent = own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(segments, "shard long, blob binary")
+    return sent.groupBy("shard").applyInArrow(sort, "bucket long, blob binary")
 
 
 def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",), with_bytes: bool = False) -> DataFrame:

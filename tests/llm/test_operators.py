@@ -9,10 +9,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lodestone.llm import decontaminate, graph, license, neardup, pack, secrets, substring, suffixdedup, tally
+from lodestone.llm import decontaminate, graph, license, neardup, pack, secrets, spans, substring, suffixdedup, tally
 from lodestone.llm.blobs import packed, unpacked
-from lodestone.llm.suffix import suffix_array
-from lodestone.llm.text import Chunk, Words, chunks
+from lodestone.llm.suffix import common_prefixes, suffix_array
+from lodestone.llm.text import Chunk, Words, chunks, powers, prefix_hash
 from lodestone.plans import lineage
 
 from . import brute
@@ -64,12 +64,17 @@ def test_substrings_of_random_texts(spark, seed):
     assert got == brute.op3(docs, 20)
 
 
-def test_slices_of_the_hash_space_and_large_groups(spark, monkeypatch):
-    docs = random_docs(9)
+def test_small_blocks_and_ranges(spark):
+    docs = random_docs(9, 200)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(substring, "plan", lambda d: (10_000, 1 << 16, 3))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(df, 5).collect()}
-    assert got == brute.op6(docs, 5)
+    found = substring.removals(df, 5, block=300, entries=100)
+    words = {d: len(brute.words(t)) for d, t in docs}
+    got = Counter()
+    for bucket, blob in spans.by_document(found).select("doc", "blob").collect():
+        low, high = unpacked(bytes(blob))
+        got[bucket] += int((high - low).sum())
+        assert (low[1:] > high[:-1]).all() and high[-1] <= words[bucket]
+    assert got == Counter({d: x[1] for d, x in brute.op6(docs, 5).items() if x[1]})
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -166,12 +171,41 @@ def test_phrases_in_blocks_and_near_matches(spark):
     docs = spark.createDataFrame([(1, "x The quick, brown fox jumps"), (2, "fox brown the quick"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "the quick brown"), (2, "fox"), (3, "quick the")], "item_id long, text string")
     for block in (1, 1 << 20):
-        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items, window=3, block_bytes=block).collect()}
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items, window=3, item_bytes=block).collect()}
         assert got == {1: (6, 4, ["1", "2"]), 2: (4, 1, ["2"]), 3: (0, 0, [])}
-        found = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.search(docs, items, window=3, reach=3, block_bytes=block).collect()}
+        found = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.search(docs, items, window=3, reach=3, item_bytes=block).collect()}
         assert found == {(1, "1", "phrase"), (1, "2", "phrase"), (2, "2", "phrase"), (1, "1", "near"), (2, "1", "near"), (1, "2", "near"), (2, "2", "near"), (1, "3", "near"), (2, "3", "near")}
 
 
+@pytest.mark.parametrize("block", [1, 400, 1 << 20])
+def test_a_stored_index_serves_several_benchmarks(spark, block):
+    docs = random_docs(11, 80) + [(3, "a b"), (3, "a b"), (7, "cc dé"), (None, "a b cc")]
+    index = decontaminate.Index.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), block_bytes=block)
+    r = random.Random(5)
+    for n in (1, 12):
+        items = [(i, " ".join(r.choices(["a", "b", "cc", "dé", "E"], k=r.randint(0, 6)))) for i in range(n)]
+        got = index.contamination(spark.createDataFrame(items, "item_id long, text string"), window=4).collect()
+        want = [brute.op8([d], items, 4)[d[0]] for d in docs]
+        assert sorted((x.n_words, x.n_hit, x.n_items, x.contaminated) for x in got) == sorted((w[0], w[1], w[2], w[-1]) for w in want)
+        places = index.search(spark.createDataFrame(items, "item_id long, text string"), window=4, reach=2).where("kind = 'near' AND doc_id IS NOT NULL")
+        near = set()
+        for d, text in docs:
+            words = [w.lower() for w in (text or "").replace(".", " ").split()]
+            for i, t in items:
+                own = t.lower().split()
+                for phrase in {tuple(own[j : j + 4]) for j in range(max(1, len(own) - 3))} - {()}:
+                    rows = [p for p in range(len(words)) if all(w in words[max(0, p - 2) : p + 3] for w in phrase) and words[p] in phrase]
+                    if d is not None and rows:
+                        near.add((d, str(i)))
+        assert {(x.doc_id, x.item_id) for x in places.collect()} <= near
+
+
+def test_clean_documents_keep_all_columns(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox", "x", 4), (2, "a lazy dog", None, 5), (None, "the quick brown", "y", 6), (None, None, "z", 7)], "doc_id long, text string, key string, items int")
+    items = spark.createDataFrame([(1, "quick brown")], "item_id long, text string")
+    assert sorted(map(repr, decontaminate.clean(docs, items).collect())) == sorted(map(repr, docs.where("items IN (5, 7)").collect()))
+
+
 def test_patience_alignment(spark):
     a, b = list("abcXdef"), list("abcdef")
     assert license.align(a, b) == [(0, 0), (1, 1), (2, 2), (4, 3), (5, 4), (6, 5)]
@@ -307,3 +341,40 @@ def test_headers_of_neighbours():
     for n, found in zip(names, license_names(f"we say {license.TEMPLATES[n]} and so on" for n in names), strict=True):
         assert [x for x in found if license.sort_of(x) == license.sort_of(n)] == [n]
     assert license_names(["this is a text about the license of a work, and of the software"]) == [{}]
+
+
+def repeats(seed):
+    """Shared passages whole and in part, copies, periodic texts, passages that overlap themselves."""
+    r = random.Random(seed)
+    w = lambda n: "".join(r.choices("abcdefgh é", k=n))
+    passage = w(90)
+    docs = [w(r.randint(0, 30)) + passage[r.randint(0, 40) : r.randint(45, 90)] + w(r.randint(0, 30)) for _ in range(60)]
+    docs += [w(5) + passage + w(5) for _ in range(40)] + ["ab" * 60, "a" * 100, "b" * 21, passage * 2, passage[:50] * 3, "", None]
+    docs += [docs[0]] * 4 + [w(400)] * 2
+    r.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_strings_over_small_blocks_and_ranges(spark, seed):
+    docs = repeats(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = Counter()
+    for r in spans.by_document(suffixdedup.removals(df, 20, 4, block=500, per_range=50)).collect():
+        low, high = unpacked(bytes(r.blob))
+        got[r.doc] += int((high - low).sum())
+    assert got == Counter({d: x[1] for d, x in brute.op3(docs, 20).items() if x[1]})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=60), st.integers(1, 9))
+def test_permuted_common_prefixes(chars, most):
+    t = np.array([*chars, 0])
+    sa = suffix_array(t)
+    got = common_prefixes(t, sa, most, prefix_hash(t, suffixdedup._R), powers(suffixdedup._INVERSE, len(t) + 1)).tolist()
+    for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+        n = 0
+        while n < most and max(a, b) + n < len(t) and t[a + n] == t[b + n]:
+            n += 1
+        assert got[b] == n
+    assert got[sa[0]] == 0
