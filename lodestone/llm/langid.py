@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+from .text import carried_columns
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 CHARS = 1 << 19
@@ -120,8 +122,15 @@ def train(rows: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5) -> tu
     return langs, np.vstack([np.log(gram / gram.sum(0)), np.log(n[-1] / n[-1].sum())]).astype(np.float32)
 
 
-def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score; ``documents`` has a column text."""
+def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",), with_fit: bool = False) -> DataFrame:
+    """The columns ``keep`` with lang_pred, score and, if wanted, fit; ``documents`` has a column text.
+
+    ``fit`` is the mean log-likelihood of the text's n-grams in the predicted language, less that of n-grams
+    spread evenly over the buckets: what is negative looks less like the language than noise does (0 for ``und``).
+    Columns of ``keep`` with one of these names are replaced.
+    """
+    made = ("lang_pred", "score", "fit") if with_fit else ("lang_pred", "score")
+    keep = carried_columns(keep, made)
     langs, logp = model
     carried = documents.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
 
@@ -130,24 +139,24 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: tup
         buckets = table.shape[1] - 1
         for batch, texts in slices(batches, "text"):
             indptr, bucket, has = grams(texts, buckets) if langs else (np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32), np.zeros(len(texts), bool))
-            total = np.zeros((len(langs), len(texts)))
-            full = np.flatnonzero(np.diff(indptr))
-            for k in range(len(langs)):
-                if len(full):
-                    total[k, full] = np.add.reduceat(table[k][bucket], indptr[:-1][full], dtype=np.float64)
-                total[k] += table[k, buckets]
+            gram = np.zeros((len(langs), len(texts)))
+            n = np.diff(indptr)
+            full = np.flatnonzero(n)
+            for k in range(len(langs) if len(full) else 0):
+                gram[k, full] = np.add.reduceat(table[k][bucket], indptr[:-1][full], dtype=np.float64)
             if langs:
+                total = gram + table[:, buckets].astype(np.float64)[:, None]
                 best = total.argmax(0)
                 p = 1 / np.exp(total - total.max(0)).sum(0)
+                fit = gram[best, np.arange(len(texts))] / np.maximum(n, 1) + np.log(buckets)
             else:
-                best, p = np.zeros(len(texts), int), np.zeros(len(texts))
+                best, p, fit = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([langs[b] if h else "und" for b, h in zip(best, has, strict=True)], pa.string()), pa.array(np.where(has, p, 0.0), pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array([langs[b] if h else "und" for b, h in zip(best, has, strict=True)], pa.string()), pa.array(np.where(has, p, 0.0), pa.float64()), *[pa.array(np.where(has, fit, 0.0), pa.float64())] * with_fit], names=[*keep, *made])
 
     cols = list(dict.fromkeys([*keep, "text"]))
-    from pyspark.sql import types as T
-
     out = T.StructType([documents.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+    out = out.add("fit", "double") if with_fit else out
     return documents.select(*cols).mapInArrow(score, out)
 
 

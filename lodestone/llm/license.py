@@ -15,7 +15,9 @@ templates of one sort that cover the same stretch, as versions of one license do
 most like it stays.
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  A
-null, empty or wordless text has no matches.  Each row is scanned by itself, whole;
+null, empty or wordless text has no matches.  Matches of different templates may overlap, those of
+one do not.  A template whose words stand more than ``slack`` times as far apart as in the
+template is not looked for: that is the parameter that says what still counts as its text.  Each row is scanned by itself, whole;
 no row moves, and the templates are a fixed parameter.
 """
 

@@ -22,6 +22,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import carried_columns
+
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -138,7 +140,8 @@ def line_measures(text: Column) -> Column:
 
 
 def measures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_kept: int = MIN_KEPT) -> DataFrame:
-    """The columns ``keep``, the base measures, kept_chars, base_failed and kept."""
+    """The columns ``keep``, the base measures, kept_chars, base_failed and kept; these replace columns of their names."""
+    keep = carried_columns(keep, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_chars", "base_failed", "kept"))
     t = F.coalesce(F.col(text), F.lit(""))
     df = documents.select(*keep, counted_words(t).alias("_w"), line_measures(t).alias("_l"))
     df = df.select(*keep, "_w.n_words", "_l.word_chars", "_l.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.kept_chars")
@@ -148,6 +151,6 @@ def measures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
 
 def clean(documents: DataFrame, text: str = "text", min_kept: int = MIN_KEPT) -> DataFrame:
     """Documents that pass, with the failing and repeated lines removed from their text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    passed = measures(documents, tuple(documents.columns), text, min_kept).where("kept")
-    return passed.select(*[F.array_join(kept_lines(t), "\n").alias(text) if c == text else F.col(c) for c in documents.columns])
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    passed = measures(rows, ("_row", "_text"), "_text", min_kept).where("kept")
+    return passed.select(*[F.array_join(kept_lines(F.col("_text")), "\n").alias(text) if c == text else F.col(f"_row.{c}") for c in documents.columns])

@@ -19,6 +19,9 @@ words alone (with up to four digits) are not.  Copies of a candidate, cut or wit
 
 Whole texts are searched; offsets count code points, ends are exclusive.  A null
 or empty text has no spans.  Repeated rows are each scanned.  No row moves.
+
+Spans of different kinds may overlap: all are listed, and what any of them covers is masked once.
+A candidate that lies inside base spans is not listed again.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, types as T
 
+from .text import carried_columns
 from .words import WORDS
 
 # The base patterns, by kind, in the order in which ties are written.
@@ -187,8 +191,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), finder: Novelty | None = None, redact: bool = False) -> DataFrame:
-    """The columns ``keep`` (with ``redact``, their text has "[secret]" in place of each span), n_assign, n_access, n_hex, n_novel, base_spans, spans."""
+    """The columns ``keep`` (with ``redact``, their text has "[secret]" in place of each span), n_assign, n_access, n_hex, n_novel, base_spans, spans; these replace columns of their names."""
     finder = finder or Novelty()
+    keep = carried_columns(keep, ("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"))
 
     def run(batches):
         for batch in batches:

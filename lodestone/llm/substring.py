@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .blobs import packed, unpacked
 from .spans import n_buckets, rows, with_ranges
 from .tally import Cells, Classes, counted
-from .text import Words, chunks, covered, mix, rolling
+from .text import Words, carried_columns, chunks, covered, mix, rolling
 from .wordblocks import PAYLOAD, Block, blocks
 
 WINDOW = 13
@@ -96,7 +96,8 @@ def removals(docs: DataFrame, k: int = WINDOW, block: int = BLOCK, entries: int
 
 
 def dedup(documents: DataFrame, k: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns ``keep``, n_words, n_removed, kept_sha256 (with_text: and kept_text, words joined by a space)."""
+    """The columns ``keep``, n_words, n_removed, kept_sha256 (with_text: and kept_text, words joined by a space); these replace columns of their names."""
+    keep = carried_columns(keep, ("n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text))
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
     both = with_ranges(docs, removals(docs.select("doc_id", "text"), k), keep)
 

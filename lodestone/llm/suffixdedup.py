@@ -36,7 +36,7 @@ from .blobs import packed, unpacked
 from .spans import LAST, n_buckets, rows, tag_of, with_ranges
 from .suffix import common_prefixes, suffix_array
 from .tally import Cells, Classes, counted
-from .text import U64, chunks, covered, mix, powers, prefix_hash, span_hash
+from .text import U64, carried_columns, chunks, covered, mix, powers, prefix_hash, span_hash
 
 LENGTH, GRAM, CORES = 400, 64, 4
 SHARD = 1 << 20  # bytes that are sorted together
@@ -278,7 +278,8 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
 
 
 def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",), with_bytes: bool = False) -> DataFrame:
-    """The columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (with_bytes: and kept_bytes, which may split characters)."""
+    """The columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (with_bytes: and kept_bytes, which may split characters); these replace columns of their names."""
+    keep = carried_columns(keep, ("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * with_bytes))
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
     both = with_ranges(docs, removals(docs.select("doc_id", "text"), length, gram), keep)
 

@@ -25,7 +25,7 @@ from .blobs import packed, unpacked
 from .text import U64, mix
 
 SPARSE = 8  # cells a value
-RANGE = 1 << 20  # values that are counted together
+RANGE = 1 << 19  # values that are counted together
 SCHEMA = "block string, row int, range long, blob binary"
 
 

@@ -139,5 +139,10 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def carried_columns(keep: tuple[str, ...], made: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to carry along; what an operator makes itself takes the place of a column of that name."""
+    return tuple(c for c in dict.fromkeys(keep) if c not in made)
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

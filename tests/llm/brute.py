@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -212,3 +213,80 @@ def op7(docs, rounds=200):
             score += log10((l2 * two[a, x] / context[a] if context[a] else 0) + l1 * one[x] / n + l0 / (v + 1))
         out[d] = (out_of[d], len(w), sum(one[x] > 0 for x in w), n, base, score)
     return out
+
+
+def op1(texts, templates, coverage=0.8, slack=1.25):
+    """(name, first word, end word, aligned) by text, for notices and headers: every window is aligned."""
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def patience(a, b):
+        """Aligned pairs of a and b: equal ends, then unique common words in the longest ascending order, and so on between them."""
+        if not a or not b:
+            return []
+        if a[0] == b[0]:
+            return [(0, 0), *((i + 1, j + 1) for i, j in patience(a[1:], b[1:]))]
+        if a[-1] == b[-1]:
+            return [*patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+        unique = [(a.index(w), b.index(w)) for w in dict.fromkeys(a) if a.count(w) == 1 == b.count(w)]
+        chains = []  # the longest ascending one; of equal ones as a patience game finds it
+        for i, j in sorted(unique):
+            k = sum(chain[-1][1] < j for chain in chains)
+            chains[k : k + 1] = [[*(chains[k - 1] if k else []), (i, j)]]
+        if not chains:
+            return []
+        out, ends = [], [(-1, -1), *chains[-1], (len(a), len(b))]
+        for (i, j), (k, m) in zip(ends, ends[1:]):
+            out += [(i + 1 + x, j + 1 + y) for x, y in patience(a[i + 1 : k], b[j + 1 : m])]
+            out += [(k, m)] if k < len(a) else []
+        return out
+
+    result = []
+    for text in texts:
+        own = word.findall((text or "").encode().lower())
+        found = []
+        for name, t in templates.items():
+            t = word.findall(t.encode().lower())
+            done = 0
+            for s in range(len(own)):
+                if s < done:
+                    continue
+                pairs = patience(own[s : s + int(slack * len(t)) + 2], t)
+                if 100 * len(pairs) >= 100 * coverage * len(t) and pairs[0][0] == 0:
+                    found.append((name, s, s + pairs[-1][0] + 1, len(pairs), len(t)))
+                    done = s + pairs[-1][0] + 1
+        result.append(found)
+    return result
+
+
+def op4(docs, buckets=1 << 16):
+    """doc_id -> (held out, language, score) of (doc_id, text, lang), with plain counts."""
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")) + " "
+        s = re.sub(" +", " ", s) if s.strip() else "  "
+        for i in range(len(s) - 1):
+            h = 0
+            for n in (1, 2, 3):
+                if i + n <= len(s):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(s[i + n - 1]) + n) & mask
+                    if n > 1 or s[i] != " ":
+                        x = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & mask
+                        yield (x >> 40) % buckets
+
+    out = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in docs}
+    counts, texts = defaultdict(Counter), Counter()
+    for d, text, lang in docs:
+        if not out[d] and text is not None and lang is not None:
+            counts[lang].update(grams(text))
+            texts[lang] += 1
+    total = {x: sum(c.values()) + 0.5 * buckets for x, c in counts.items()}
+    result = {}
+    for d, text, _ in docs:
+        if not any(c.isalpha() for c in text or "") or not counts:
+            result[d] = out[d], "und", 0.0
+            continue
+        log = {x: math.log(texts[x] / sum(texts.values())) + sum(math.log((counts[x][b] + 0.5) / total[x]) for b in grams(text)) for x in sorted(counts)}
+        best = max(sorted(log), key=lambda x: log[x])
+        result[d] = out[d], best, 1 / sum(math.exp(v - log[best]) for v in log.values())
+    return result

@@ -229,7 +229,7 @@ def test_novelty(spark):
     key = "hQ7xZp2LmV9sKd4TfW8yRb3NcJ6gUa1E"
     texts = [f"the bearer header was {key} in the log", f"the header was {key} in the log", "bearer configuration_option_number_1 text", f"bearer {key} then again bearer {key}", None, ""]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i].n_novel for i in range(6)] == [1, 0, 0, 0, 0, 0]
+    assert [got[i].n_novel for i in range(6)] == [1, 0, 0, 2, 0, 0]  # a copy is a secret too
     at = texts[0].index(key)
     assert got[0].spans == f"novel:{at}:{at + len(key)}"
     out = secrets.scan(spark.createDataFrame([(1, "a password=hunter22 b"), (2, None)], "doc_id long, text string"), ("doc_id", "text"), redact=True)
@@ -378,3 +378,78 @@ def test_permuted_common_prefixes(chars, most):
             n += 1
         assert got[b] == n
     assert got[sa[0]] == 0
+
+
+def test_notices_equal_brute_force():
+    r = random.Random(7)
+    templates = {n: t for n, t in license.TEMPLATES.items() if not n.endswith("-text") and len(t.split()) < 60}
+    filler = ["the", "of", "license", "software", "work", "under", "and", "qq", "zz", "version"]
+    texts = []
+    for t in [*templates.values()] * 2:
+        w = t.split()
+        for _ in range(r.randint(0, len(w) // 8)):
+            i = r.randrange(len(w))
+            w[i : i + r.choice([0, 1])] = [r.choice(filler)]
+        texts.append(" ".join([*r.choices(filler, k=r.randint(0, 12)), *w, *r.choices(filler, k=5), *(w if r.random() < 0.3 else [])]))
+    texts += [" ".join(r.choices(filler, k=80)), "", None]
+    data = [(t or "").encode() for t in texts]
+    chunk = Chunk(pa.RecordBatch.from_pydict({"text": texts}), np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]).astype(np.int64))
+    got = license.Scanner(templates).scan(chunk)[1]
+    want = brute.op1(texts, templates)
+    length = {n: len(license.tokens(t)) for n, t in templates.items()}
+    for found, all_of in zip(got, want, strict=True):
+        assert sorted(m[:4] for m in found) == sorted(m[:4] for m in license.best([(*m[:4], m[3] / m[4]) for m in all_of], length))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_novelty_of_random_texts(seed):
+    """A random key right after a sensitive word is found whole, whatever its letters and length; elsewhere it is not."""
+    r = random.Random(seed)
+    words = ["the", "of", "and", "ship", "green", "under", "water", "seven", "old"]
+    text, keys, at = "", [], 0
+    for _ in range(r.randint(1, 6)):
+        gap = " ".join(r.choices(words, k=r.randint(12, 25)))
+        key = "".join(r.choices(r.choice([BASE64, BASE64[:26], BASE64[26:52], "0123456789ABCDEF"]), k=r.choice([16, 20, 40, 64, 65, 300, 1000])))
+        near = r.random() < 0.6
+        text += f"{gap} {'credential is ' if near else ''}"
+        if near:
+            keys.append((len(text), len(text) + len(key)))
+        text += key + " "
+    base = secrets.base_spans(text)
+    found = [(a, b) for a, _, b in secrets.Novelty().spans(text, base)]
+    assert found == [k for k in keys if not secrets.covered(secrets.merged(base), *k)]
+
+
+LONG = "lorem ipsum dolor. sit amet\n" * 90_000  # 2.5 MB, more than two chunks
+
+
+def test_texts_beyond_a_chunk(spark):
+    key = random_text(40, BASE64[:62], 9)
+    item = "seven green ships under the old water of the north sea"
+    docs = [(1, f"{LONG}Released under the MIT License. credential {key} and {item} end"), (2, LONG), (3, f"x {item} y"), (4, LONG + " and one more word")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.licenses for r in license.scan(df).collect()} == {1: "MIT", 2: "", 3: "", 4: ""}
+    assert {r.doc_id: r.n_novel for r in secrets.scan(df).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    got = {r.doc_id: r.n_hit for r in decontaminate.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: 11, 2: 0, 3: 11, 4: 0}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(df).collect()} == brute.op6(docs)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.groups(df, k=4, percent=80).collect()} == brute.op2(docs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixdedup.dedup(df).collect()}
+    assert got[2] == (len(LONG), len(LONG)) and got[3] == (len(docs[2][1]), 0) and len(LONG) <= got[1][1] < got[1][0]
+
+
+def test_clean_texts_and_kept_outputs(spark):
+    from lodestone.llm import quality
+
+    good = " ".join(f"word{i} and other things that are said here." for i in range(30))
+    rows = [(1, f"{good}\nsee below.\nhome | about | contact | more | news\nsee below.", 5, False), (2, "short", 6, True), (3, None, 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept boolean")
+    out = quality.clean(df)
+    assert out.columns == df.columns and [(r.doc_id, r.n_words, r.kept) for r in out.collect()] == [(1, 5, False)]
+    assert out.first().text == f"{good}\nsee below."
+    both = spark.createDataFrame([(1, "a b c d e x", 1), (2, "a b c d e y", 2)], "doc_id long, text string, n_removed int")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.dedup(both, 3, ("doc_id", "n_removed"), with_text=True).collect()}
+    assert got == {1: (0, "a b c d e x"), 2: (5, "y")}
+    got = {r.doc_id: (r.n_removed, bytes(r.kept_bytes)) for r in suffixdedup.dedup(both, 5, 2, ("doc_id", "n_removed"), with_bytes=True).collect()}
+    assert got == {1: (10, b"x"), 2: (10, b"y")}

@@ -28,6 +28,35 @@ def pairs(rows):
 def test_language(stages):
     before, after = stages["language_id"]
     assert after and {r.doc_id for r in after} == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
+    want = brute.op4([(r.doc_id, r.text, r.lang) for r in before])
+    old = {r.doc_id: r.lang for r in before}
+    assert all(r.lang == (old[r.doc_id] or want[r.doc_id][1]) for r in after)
+
+
+def test_noise_has_no_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = [(-1, "xq7 zzkw qqj vvxk zqxj kkwq zxqv", None, "s", 5), (-2, "日本語のテキストです", None, "s", 5), (-3, docs.where("lang = 'de'").first().text, None, "s", 5), (None, docs.where("lang = 'fr'").first().text, None, "s", 5), (-5, None, "en", "s", 0)]
+    rows = spark.createDataFrame(more, docs.schema).unionByName(docs)
+    out = cp.language_id(spark, rows, sf_dir)
+    assert {(r.doc_id, r.lang) for r in out.where("doc_id < 0 OR doc_id IS NULL").collect()} == {(-3, "de"), (None, "fr")}
+
+
+def test_hard_rows_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, one longer than a chunk."""
+    r = __import__("random").Random(3)
+    text = lambda n: " ".join("".join(r.choices("etaoinshrdl", k=r.randint(2, 8))) for _ in range(n))
+    rows = [(i, text(60), "en", "s", 1) for i in range(20)] + [(None, text(50), None, None, None), (None, None, None, None, None), (3, text(40), "en", "s", 1), (21, "", "en", "s", 1), (22, text(230_000), "en", "s", 1)]
+    rows += [(23, rows[0][1], "en", "s", 1), (24, rows[1][1] + " password=hunter22", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[5][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.table(stage(spark, docs, str(tmp_path)), name)
+        kept[name] = sorted((x.doc_id if x.doc_id is not None else -1) for x in docs.select("doc_id").collect())
+    every = [-1, *range(21)]
+    assert kept["language_id"] == sorted([-1, *range(20), 3, 22, 23, 24])
+    assert kept["near_dedup"] == sorted([-1, *range(20), 22]) and kept["decontaminate"] == [x for x in sorted([-1, *range(20), 22]) if x != 5] == kept["secrets"]
+    assert every and sum(x.length for x in cp.packing(spark, docs, str(tmp_path)).collect()) > 230_000
 
 
 def test_near_duplicates(stages):
