@@ -3,7 +3,8 @@
 Every stage takes what its predecessor kept (``documents`` first) and all but the
 last return the columns of that table:
 
-language_id      documents without a language (null text, no letter) go
+language_id      documents without a language (null text, no letter) go, and those whose letters look
+                 less like the language predicted than evenly spread n-grams do; a null lang is filled
 near_dedup       one document of each near-duplicate group stays (five words, 0.8)
 decontaminate    documents with a passage of ``benchmark`` go
 secrets          spans found in a text become "[secret]"; the document stays
@@ -34,7 +35,13 @@ def carried(docs: DataFrame, apply: Callable[[DataFrame, tuple[str, ...]], DataF
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out()))
-    return carried(docs, lambda d, keep: langid.predict(d, model, keep).where(F.col("lang_pred") != "und"))
+    out = carried(docs, lambda d, keep: filled(langid.predict(d, model, keep, with_fit=True).where("lang_pred <> 'und' AND fit >= 0")))
+    return out.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+
+
+def filled(predicted: DataFrame) -> DataFrame:
+    """A null lang becomes the predicted one."""
+    return predicted.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
