@@ -241,3 +241,44 @@ def content_hash(x):
 
 def short_hash(x, n: int = 16):
     return F.substring(F.sha2(col(x), 256), 1, n)
+
+
+# labels and texts for evaluation
+
+def evaluation_label(x):
+    """The name of an IRI or compact name as words: after the colon of a short one, else after the last / or #; camel case is split."""
+    x = col(x)
+    name = F.when(x.contains(":") & ~x.contains("/"), F.regexp_replace(x, "^[^:]*:", "")).otherwise(F.regexp_extract(x, "([^/#]*)$", 1))
+    return F.trim(F.regexp_replace(F.translate(name, "_-", "  "), "([a-z])([A-Z])", "$1 $2"))
+
+
+def plain_sentences(x):
+    """Every run that ends at . ! or ?, and the rest; trimmed, blank ones left out."""
+    runs = F.regexp_extract_all(col(x), F.lit(r"(?s)[^.!?]*[.!?]|[^.!?]+$"), F.lit(0))
+    return F.filter(F.transform(runs, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+
+
+def article_title(x):
+    """The title in an article's address, decoded and without its fragment; other text stays."""
+    x = F.trim(col(x))
+    path = F.replace(F.substring_index(x, "/wiki/", -1), F.lit("_"), F.lit(" "))
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(x.contains("/wiki/"), F.substring_index(F.coalesce(decoded, path), "#", 1)).otherwise(x)
+
+
+def merged_map(defaults, overrides):
+    """Both maps' entries; overrides win."""
+    return F.map_concat(F.map_filter(col(defaults), lambda k, _: ~F.array_contains(F.map_keys(col(overrides)), k)), col(overrides))
+
+
+def cursor_offsets(text, parts):
+    """Where each part begins in the text, searched from the end of the part before; one that is not there begins at that end."""
+    text = col(text)
+
+    def step(a, part):
+        found = F.position(part, text, (a["at"] + 1).cast("int")) - 1
+        start = F.when(found >= 0, found).otherwise(a["at"]).cast("int")
+        return F.struct((start + F.length(part)).cast("int").alias("at"), F.concat(a["starts"], F.array(start)).alias("starts"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(col(parts), first, step, lambda a: a["starts"])

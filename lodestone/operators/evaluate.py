@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.terms import alnum, bare, year
-from ..functions.similarity import ratio_of
+from ..functions.terms import alnum, bare, evaluation_label, year
+from ..functions.similarity import ratio_of, token_sort_ratio
 
 EXACT, PARTIAL = 0.85, 0.5
 
@@ -122,3 +122,29 @@ def total_lift(found: DataFrame, most: float = 0.15) -> DataFrame:
 def discovery_rate(annotations: DataFrame) -> DataFrame:
     good, bad = (F.sum((F.col("verdict") == v).cast("int")) for v in ("correct", "incorrect"))
     return annotations.agg(ratio_or_zero(good, good + bad).alias("rate"))
+
+
+def resolved_entities(subjects: DataFrame, article: tuple[str, str], candidates: DataFrame, least: float = 80.0) -> DataFrame:
+    """iri, qid, match_type, confidence: the article's own item where the label is its title, else the best candidate by token-sorted ratio.
+
+    subjects: iri, context (or null); candidates: label, qid, context.  A candidate of the subject's context gains 0.05.
+    """
+    title, qid = article
+    named = subjects.select("iri", "context", evaluation_label("iri").alias("label"))
+    same = F.lower(F.trim("label")) == F.lit(title.lower().strip())
+    own = named.where(same & F.lit(bool(qid))).select("iri", F.lit(qid).alias("qid"), F.lit("sitelink").alias("match_type"), F.lit(1.0).alias("confidence"))
+    rest = named.where(~same if qid else F.lit(True)).withColumn("word", F.explode(F.array_distinct(F.split(F.lower("label"), r"\s+"))))
+    other = candidates.select(F.col("label").alias("other"), "qid", F.col("context").alias("kind")).withColumn("word", F.explode(F.array_distinct(F.split(F.lower("other"), r"\s+"))))
+    pairs = rest.join(other, "word").select("iri", "context", "label", "other", "qid", "kind").distinct()
+    scored = pairs.withColumn("ratio", token_sort_ratio("label", "other")).where(F.col("ratio") >= least)
+    best = F.max_by(F.struct("qid", "ratio", "kind", "context"), F.struct("ratio", "qid")).alias("b")
+    bonus = F.when(F.col("b.context") == F.col("b.kind"), 0.05).otherwise(0.0)
+    kind = F.when(F.col("b.ratio") < 100, "fuzzy_label").otherwise("label")
+    found = scored.groupBy("iri").agg(best).select("iri", "b.qid", kind.alias("match_type"), F.round(F.least(F.lit(1.0), F.col("b.ratio") / 100 + bonus), 6).alias("confidence"))
+    return own.unionByName(found)
+
+
+def context_coverage(answers: DataFrame) -> DataFrame:
+    """n, answered, coverage: the share of questions (question, context) for which there is any context."""
+    has = F.count_if(F.length(F.trim(F.coalesce("context", F.lit("")))) > 0)
+    return answers.agg(F.count("*").alias("n"), has.alias("answered"), F.round(has / F.count("*"), 6).alias("coverage"))

@@ -95,6 +95,52 @@ def coverage(claims: DataFrame, conflicts: DataFrame, topic: str = "o") -> DataF
     return rows.groupBy(F.col(topic).alias("topic")).agg(F.count_distinct("source_iri").alias("n_sources"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.sum(F.coalesce("_bad", F.lit(0))).alias("n_contradictions"))
 
 
+def coverage_map(claims: DataFrame, conflicts: DataFrame, topic: str = "o", at: str = "seen_at") -> DataFrame:
+    """``coverage`` with the time of the latest claim of each topic."""
+    last = claims.groupBy(F.col(topic).alias("topic")).agg(F.max(at).alias("latest"))
+    return coverage(claims, conflicts, topic).join(last, "topic")
+
+
+def lint_findings(violated: DataFrame, graph: str) -> DataFrame:
+    """Quads (s, p, o) of findings, named by graph, subject and kind; violated: focus, shape, message."""
+    node = F.concat(F.lit("kc:finding/"), short_hash(F.concat(F.lit(graph), "focus", "shape")))
+    parts = (("rdf:type", F.lit("kc:LintFinding")), ("kc:findingType", F.col("shape")), ("kc:findingSubject", F.col("focus")), ("kc:findingMessage", F.col("message")), ("kc:findingGraph", F.lit(graph)))
+    cells = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in parts])
+    return violated.select(node.alias("s"), F.explode(cells).alias("x")).select("s", "x.p", "x.o").distinct()
+
+
+def score_snapshot(quads: DataFrame, violated: DataFrame, at: Column) -> DataFrame:
+    """graph, score, recorded_at: the share of subjects of each graph that no finding names; one row a graph, for an append-only history."""
+    bad = violated.select(F.col("focus").alias("s")).distinct().withColumn("_bad", F.lit(1))
+    subjects = quads.select("graph", "s").distinct().join(bad, "s", "left")
+    return subjects.groupBy("graph").agg(F.round(1 - F.sum(F.coalesce("_bad", F.lit(0))) / F.count("*"), 6).alias("score")).withColumn("recorded_at", at)
+
+
+def score_changes(history: DataFrame) -> DataFrame:
+    """graph, recorded_at, score, change: each snapshot against the one before it."""
+    w = Window.partitionBy("graph").orderBy("recorded_at")
+    return history.withColumn("change", F.round(F.col("score") - F.lag("score").over(w), 6)).select("graph", "recorded_at", "score", "change")
+
+
+def comparison_table(quads: DataFrame, subjects: list[str]) -> DataFrame:
+    """p and a column for each subject with its values: the page that compares them."""
+    rows = quads.where(F.col("s").isin(*subjects)).groupBy("p", "s").agg(F.array_join(F.array_sort(F.collect_set("o")), ", ").alias("v"))
+    return rows.groupBy("p").pivot("s", subjects).agg(F.first("v"))
+
+
+def topic_survey(quads: DataFrame, topic: str = "rdf:type") -> DataFrame:
+    """topic, n_subjects, n_facts: what a survey page of each class says first."""
+    of = quads.where(F.col("p") == topic).select("s", F.col("o").alias("topic"))
+    return quads.join(of, "s").groupBy("topic").agg(F.count_distinct("s").alias("n_subjects"), F.count("*").alias("n_facts"))
+
+
+def exposition(metrics: DataFrame) -> DataFrame:
+    """line: metrics (name, labels map, value) as text for a scraper."""
+    pair = lambda k, v: F.concat(k, F.lit('="'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    body = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: pair(e["key"], e["value"])), ",")
+    return metrics.select(F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), body, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
 def dependencies(triples: DataFrame) -> DataFrame:
     """artifact, dep_kind, dep_ref: three edges for each subject and what it was made from."""
     edges = F.array(*[F.struct(F.lit(k).alias("dep_kind"), F.col(c).alias("dep_ref")) for k, c in (("fragment", "fragment_key"), ("source", "source_iri"), ("predicate", "p"))])

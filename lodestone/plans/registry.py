@@ -46,3 +46,26 @@ register("parsers", "text", files.parse)
 register("extractors", "rules", text.extract)
 register("extractors", "nothing", text.nothing)
 register("connectors", "files", files.discover)
+
+
+#: SQL functions over the view ``kc_quads``: name, parameters, what it returns, body.
+SQL_FUNCTIONS = (
+    ("kc_local_name", "x STRING", "STRING", "regexp_replace(x, '^.*[/#:]', '')"),
+    ("kc_route", "confidence DOUBLE", "STRING", "CASE WHEN confidence >= 0.75 THEN 'trusted' WHEN confidence >= 0.35 THEN 'tentative' ELSE 'discard' END"),
+    ("kc_noisy_or", "xs ARRAY<DOUBLE>", "DOUBLE", "round(1 - aggregate(xs, 1D, (a, x) -> a * (1 - x)), 6)"),
+    ("kc_trigrams", "x STRING", "ARRAY<STRING>", "array_distinct(transform(sequence(1, length(x) + 1), i -> substring(concat('  ', lower(x), ' '), i, 3)))"),
+    ("kc_fuzzy_match", "a STRING, b STRING", "DOUBLE", "round(size(array_intersect(kc_trigrams(a), kc_trigrams(b))) / size(array_union(kc_trigrams(a), kc_trigrams(b))), 6)"),
+    ("kc_facts", "subject STRING", "TABLE (p STRING, o STRING, confidence DOUBLE)", "SELECT p, o, confidence FROM kc_quads WHERE s = subject"),
+    ("kc_describe", "subject STRING", "TABLE (s STRING, p STRING, o STRING)", "SELECT s, p, o FROM kc_quads WHERE s = subject OR (o = subject AND o_kind <> 'literal')"),
+    ("kc_rag_context", "subject STRING", "TABLE (block STRING)", "SELECT array_join(array_sort(collect_list(concat('- ', kc_local_name(p), ': ', o))), '\\n') FROM kc_quads WHERE s = subject"),
+    ("kc_contradictions", "predicate STRING", "TABLE (s STRING, objects ARRAY<STRING>)", "SELECT s, array_sort(collect_set(o)) FROM kc_quads WHERE p = predicate GROUP BY s HAVING count(DISTINCT o) > 1"),
+    ("kc_suggest_sameas", "name STRING, most INT", "TABLE (s STRING, label STRING, distance INT)", "SELECT s, o, levenshtein(lower(o), lower(name)) FROM kc_quads WHERE p = 'rdfs:label' AND levenshtein(lower(o), lower(name)) <= most"),
+)
+
+
+def register_sql(quads: DataFrame) -> list[str]:
+    """The view ``kc_quads`` and the functions on it, for this session; plain SQL, so Catalyst plans through them."""
+    quads.createOrReplaceTempView("kc_quads")
+    for name, parameters, returns, body in SQL_FUNCTIONS:
+        quads.sparkSession.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
+    return [f[0] for f in SQL_FUNCTIONS]

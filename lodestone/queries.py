@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .functions import terms as t
 from .functions.similarity import partial_ratio, ratio, token_sort_ratio, weighted_ratio
-from .operators import consolidate as co, evaluate as ev, gate, graph as gr, knowledge as kn, tenancy, text as tx, vocab as vo
-from .plans import lineage, rules, sparql
+from .operators import consolidate as co, evaluate as ev, gate, graph as gr, knowledge as kn, provider, tenancy, text as tx, vocab as vo
+from .plans import lineage, registry, rules, sparql
 from .plans.lineage import cut
 from .sources import files, store
 from .streaming import streams
@@ -1727,3 +1727,167 @@ def gv02(spark, d):
     """Two remote sources with their weights; what both have counts by the heavier."""
     q = fx.star(spark, d)
     return tenancy.federated([(q.where("p = 'kc:partOf'"), 0.8), (q.where("p IN ('kc:partOf', 'kc:segment')"), 0.6)]).select("s", "p", "o", "confidence")
+
+
+# the boundary to models, small functions, pages and snapshots
+
+TRIPLES_AS_JSON = """'[{"subject": "'||s||'", "predicate": "kc:brand", "object_value": "'||o||'", "confidence": 0.5}]'"""
+ANSWER_FORMS = {
+    "plain": lambda j: j,
+    "fenced": lambda j: F.concat(F.lit("Here it is:\n```json\n"), j, F.lit("\n```\nthat is all")),
+    "wrapped": lambda j: F.concat(F.lit('{"triples": '), j, F.lit("}")),
+    "escaped": lambda j: F.replace(j, F.lit("Brand"), F.lit("\\(Brand")),
+    "linked": lambda j: F.replace(j, F.lit("Brand"), F.lit('[Brand](./x_(y) "z")')),
+    "broken": lambda j: F.concat(j, F.lit(', {"subject": "cut')),
+    "truncated": lambda j: F.regexp_replace(j, r"\}\]$", ', "evidence": {"excerpt": "a "b" c'),
+}
+
+
+@query("fn36_answers", f"select form,s,'kc:brand' p,case when form='escaped' then '('||o else o end o,0.5 confidence from (select s,o from {{star}} where p='kc:brand') t,(values {','.join(f"('{k}')" for k in ANSWER_FORMS)}) v(form)")
+def fn36(spark, d):
+    """One fact in every shape that an answer may have."""
+    rows = fx.star(spark, d).where("p = 'kc:brand'").select("s", F.to_json(F.array(F.struct(F.col("s").alias("subject"), F.lit("kc:brand").alias("predicate"), F.col("o").alias("object_value"), F.lit(0.5).alias("confidence")))).alias("j"))
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), f(F.col("j")).alias("answer")) for k, f in ANSWER_FORMS.items()]))
+    found = rows.select(forms.alias("x")).select("x.form", F.explode(provider.answered_triples("x.answer")).alias("t"))
+    return found.select("form", F.col("t.subject").alias("s"), F.col("t.predicate").alias("p"), F.col("t.object_value").alias("o"), F.col("t.confidence").alias("confidence"))
+
+
+@query("gv09_costs", "select model,round(sum(tokens)/1000*i+sum(tokens)/2000*o,6) usd from {runs},(values ('gpt-4o',0.005,0.015),('gpt-4o-mini',0.00015,0.0006),('unheard',0.0,0.0)) m(model,i,o) group by model,i,o")
+def gv09(spark, d):
+    models = F.explode(F.array(F.lit("gpt-4o"), F.lit("GPT-4o-mini"), F.lit("unheard"))).alias("model")
+    total = fx.runs(spark, d).select("tokens", models).groupBy(F.lower("model").alias("model")).agg(F.sum("tokens").alias("n"))
+    return total.select("model", F.round(provider.cost("model", "n", F.col("n") / 2), 6).alias("usd"))
+
+
+@query("fn35_cost_text", "select event_id,case when v=0 then '$0.00 (free)' when v<0.0001 then format('${:.6f}',v) else format('${:.4f}',v) end x from (select event_id,case when event_id%5=0 then 0 else (floor(value)+0.3)/1e6 end v from events)")
+def fn35(spark, d):
+    return fx.read(spark, d, "events").select("event_id", provider.cost_text(F.when(F.col("event_id") % 5 == 0, 0.0).otherwise((F.floor("value") + 0.3) / 1e6)).alias("x"))
+
+
+@query("fn57_entailment", "select event_id,e>=c supported,case when e>=c then e else c end verifier_confidence from (select event_id,(event_id%10)/10.0 e,(event_id%7)/7.0 c from events)")
+def fn57(spark, d):
+    x = fx.read(spark, d, "events").select("event_id", ((F.col("event_id") % 10) / 10.0).alias("e"), ((F.col("event_id") % 7) / 7.0).alias("c"))
+    return x.select("event_id", provider.entailment("e", "c").alias("v")).select("event_id", "v.*")
+
+
+@query("fn62_prompt_hash", "select doc_id,sha256(text) x from documents")
+def fn62(spark, d):
+    return documents(spark, d).select("doc_id", provider.prompt_hash("text").alias("x"))
+
+
+@query("fn09_evaluation_label", "select x,trim(regexp_replace(replace(replace(case when x like '%:%' and x not like '%/%' then regexp_replace(x,'^[^:]*:','') else regexp_extract(x,'([^/#]*)$',1) end,'_',' '),'-',' '),'([a-z])([A-Z])','\\1 \\2','g')) label from (select s x from {star} union all select 'ex:'||p_name from part union all select 'http://x.example/y#'||replace(p_name,' ','-')||'OfPart_1' from part)")
+def fn09(spark, d):
+    p = fx.read(spark, d, "part")
+    rows = fx.star(spark, d).select(F.col("s").alias("x")).unionAll(p.select(F.concat(F.lit("ex:"), "p_name"))).unionAll(p.select(F.concat(F.lit("http://x.example/y#"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("OfPart_1"))))
+    return rows.select("x", t.evaluation_label("x").alias("label"))
+
+
+@query("fn28_plain_sentences", "select doc_id,len(x) n,md5(array_to_string(x,'|')) h from (select doc_id,list_filter(list_transform(regexp_extract_all(text,'(?s)[^.!?]*[.!?]|[^.!?]+$'),lambda s: trim(s,' '||chr(10)||chr(13)||chr(9))),lambda s: s<>'') x from documents where text is not null)")
+def fn28(spark, d):
+    x = documents(spark, d).where("text IS NOT NULL").select("doc_id", t.plain_sentences("text").alias("x"))
+    return x.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "|")).alias("h"))
+
+
+@query("fn33_article_title", "select p_partkey,p_name x from part union all select p_partkey,p_name from part union all select p_partkey,p_name||' é' from part")
+def fn33(spark, d):
+    p = fx.read(spark, d, "part")
+    url = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    rows = p.select("p_partkey", F.concat(F.lit(" "), "p_name").alias("q")).unionAll(p.select("p_partkey", F.concat(url, F.lit("#History")))).unionAll(p.select("p_partkey", F.concat(url, F.lit("%20%C3%A9"))))
+    return rows.select("p_partkey", t.article_title("q").alias("x"))
+
+
+@query("fn65_merged_map", "select event_id,event_id%3 a,coalesce(v,2) b,9 c from (select event_id,case when event_id%2=0 then event_id end v from events)")
+def fn65(spark, d):
+    e = fx.read(spark, d, "events")
+    base = F.create_map(F.lit("a"), F.col("event_id") % 3, F.lit("b"), F.lit(2).cast("long"))
+    more = F.map_filter(F.create_map(F.lit("c"), F.lit(9).cast("long"), F.lit("b"), F.when(F.col("event_id") % 2 == 0, F.col("event_id"))), lambda k, v: v.isNotNull())
+    m = e.select("event_id", t.merged_map(base, more).alias("m"))
+    return m.select("event_id", *[F.col("m")[k].alias(k) for k in "abc"])
+
+
+@query("wn11_cursor_offsets", "select doc_id,i,sum(length(x)+1) over(partition by doc_id order by i)-length(x)-1 char_start from (select doc_id,unnest(string_split(text,chr(10))) x,generate_subscripts(string_split(text,chr(10)),1) i from documents where text is not null)")
+def wn11(spark, d):
+    """Lines as parts: each begins after the one before."""
+    x = documents(spark, d).where("text IS NOT NULL").select("doc_id", "text", F.split("text", "\n", -1).alias("lines"))
+    # an empty part is found at the end of the part before, so line ends go with their lines
+    parts = F.transform("lines", lambda s, i: F.when(i < F.size("lines") - 1, F.concat(s, F.lit("\n"))).otherwise(s))
+    return x.select("doc_id", F.posexplode(t.cursor_offsets("text", parts)).alias("i", "char_start")).withColumn("i", F.col("i") + 1)
+
+
+@query("gr22_known_context", "with e as (select 'f'||(i%7) fragment_key,s iri,l as label,p,o,i,'  <'||s||'>  rdfs:label  \"'||l||'\"  ;  '||p||'  \"'||substr(o,1,60)||'\"' line from (select a.s,a.o l,b.p,b.o,row_number() over(order by a.s,b.p) i from {star} a join {star} b on a.s=b.s and b.p in ('kc:brand','kc:size') where a.p='rdfs:label')), w as (select *,10+sum(len(string_split_regex(trim(line),'\\s+'))) over(partition by fragment_key order by i) upto from e) select fragment_key,count(*) n_found,count(*) filter(upto<=60) n_lines,max(upto) filter(upto<=60) words,'KNOWN GRAPH CONTEXT (use these exact IRIs for matching entities):'||chr(10)||string_agg(line,chr(10) order by i) filter(upto<=60) block from w group by 1")
+def gr22(spark, d):
+    q = fx.star(spark, d)
+    label = q.where("p = 'rdfs:label'").select("s", F.col("o").alias("label"))
+    w = Window.orderBy("s", "p")  # a numbering for the test's fragments
+    rows = q.where("p IN ('kc:brand', 'kc:size')").join(label, "s").withColumn("place", F.row_number().over(w))
+    rows = rows.select(F.concat(F.lit("f"), F.col("place") % 7).alias("fragment_key"), F.col("s").alias("iri"), "label", F.col("p").alias("property"), F.col("o").alias("value"), "place")
+    return provider.known_graph_context(rows, 60)
+
+
+@query("ag29_coverage_map", "select o topic,count(distinct source_iri) n_sources,max(seen) latest from (select o,source_iri,timestamp '2024-01-01 00:00:00'+to_days((split_part(source_iri,':',2)::bigint%300)::int) seen from {claims}) group by o")
+def ag29b(spark, d):
+    c = fx.claims(spark, d).withColumn("seen_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(substring_index(source_iri, ':', -1) AS bigint) % 300)"))
+    return kn.coverage_map(c, c.limit(0)).select("topic", "n_sources", "latest")
+
+
+@query("rn05_comparison", "select p,max(o) filter(s='kc:nation/1') \"kc:nation/1\",max(o) filter(s='kc:nation/2') \"kc:nation/2\" from {star} where s in ('kc:nation/1','kc:nation/2') group by p")
+def rn05(spark, d):
+    return kn.comparison_table(fx.star(spark, d), ["kc:nation/1", "kc:nation/2"])
+
+
+@query("rn05_topic_survey", "select b.o topic,count(distinct a.s) n_subjects,count(*) n_facts from {star} a join {star} b on a.s=b.s and b.p='rdf:type' group by 1")
+def rn05t(spark, d):
+    return kn.topic_survey(fx.star(spark, d))
+
+
+@query("qp25_score_history", "select 'trusted' graph,k,round(1-b/n,6) score,round(case when k=2 then (1-b/n)-(1-lag(b) over(order by k)/n) end,6) change from (select 1 k,(select count(distinct s) from {star}) n,(select count(distinct s) from {star} where p='kc:size' and o::int>40) b union all select 2,(select count(distinct s) from {star}),(select count(distinct s) from {star} where p='kc:size' and o::int>45))")
+def qp25(spark, d):
+    """Two snapshots with a shape on sizes that is wider in the second."""
+    q = fx.star(spark, d)
+    big = lambda n: q.where("p = 'kc:size'").where(F.col("o").cast("int") > n).select(F.col("s").alias("focus"))
+    history = kn.score_snapshot(q, big(40), F.lit(1)).unionByName(kn.score_snapshot(q, big(45), F.lit(2)))
+    return kn.score_changes(history).select("graph", F.col("recorded_at").alias("k"), "score", "change")
+
+
+@query("qp25_lint_findings", "select p,count(*) n from (select distinct s from {star} where p='kc:size' and o::int>40),(values ('rdf:type'),('kc:findingType'),('kc:findingSubject'),('kc:findingMessage'),('kc:findingGraph')) v(p) group by p")
+def qp25l(spark, d):
+    bad = fx.star(spark, d).where("p = 'kc:size'").where(F.col("o").cast("int") > 40).select(F.col("s").alias("focus"), F.lit("size").alias("shape"), F.lit("too big").alias("message"))
+    return kn.lint_findings(bad, "trusted").groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("qp24_context_coverage", "select count(*) n,sum((length(trim(text))>0)::int)::bigint answered,round(sum((length(trim(coalesce(text,'')))>0)::int)/count(*),6) coverage from benchmark")
+def qp24(spark, d):
+    return ev.context_coverage(fx.read(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("context")))
+
+
+@query("sc26_embedding_rows", "select s entity_iri,coalesce(max(case when p='rdfs:label' then o end),regexp_replace(s,'^.*[/#:]','')) as \"text\" from {star} group by s")
+def sc26(spark, d):
+    return files.embedding_rows(fx.star(spark, d), lambda x: F.array(F.length(x).cast("float"))).select("entity_iri", "text")
+
+
+@query("sc32_distil_cache", "select hit,count(*) n from (select md5(text) in (select md5(text) from documents where doc_id%2=0) hit from documents where text is not null) group by hit")
+def sc32(spark, d):
+    """Half of the texts were distilled before."""
+    docs = documents(spark, d).where("text IS NOT NULL").select("doc_id", "text")
+    empty = spark.createDataFrame([], "key string, body string, fetched_at timestamp")
+    _, entries = files.through_cache(docs.where("doc_id % 2 = 0"), empty, lambda x: tx.distilled(x), "boilerplate_removal")
+    out, _ = files.through_cache(docs, files.updated_cache(empty, entries), lambda x: tx.distilled(x), "boilerplate_removal")
+    return out.groupBy("hit").agg(F.count("*").alias("n"))
+
+
+@query("sc35_exposition", "select 'runs_total{outcome=\"'||outcome||'\",profile=\"'||profile||'\"} '||count(*) line from {runs} group by outcome,profile")
+def sc35(spark, d):
+    m = fx.runs(spark, d).groupBy("outcome", "profile").agg(F.count("*").alias("value"))
+    return kn.exposition(m.select(F.lit("runs_total").alias("name"), F.create_map(F.lit("profile"), "profile", F.lit("outcome"), "outcome").alias("labels"), "value"))
+
+
+@query("ud05_sql_functions", "select s,count(distinct o) n,max(case when confidence>=0.75 then 'trusted' when confidence>=0.35 then 'tentative' else 'discard' end) r from {star} where s in ('kc:nation/3','kc:nation/4') group by s")
+def ud05(spark, d):
+    registry.register_sql(fx.star(spark, d))
+    parts = [f"SELECT '{s}' AS s, count(DISTINCT o) AS n, max(kc_route(confidence)) AS r FROM kc_facts('{s}')" for s in ("kc:nation/3", "kc:nation/4")]
+    return spark.sql(" UNION ALL ".join(parts))
+
+
+@query("tx06_tuned", f"select band,case band when 'small' then 0.80 when 'medium' then 0.75 else 0.70 end+case when richness>0.60 then -0.03 when richness<0.20 then 0.03 else 0 end similarity_threshold,case band when 'small' then 3 when 'medium' then 4 else 2 end::double min_sentences_per_chunk,99::double max_sentences_per_chunk,case band when 'small' then 300 when 'medium' then 200 else 100 end::double min_fragment_length,case band when 'small' then 2000 when 'medium' then 1500 else 1000 end::double max_fragment_length from (select *,case when n<=30 and median<=400 then 'small' when n<=200 and median<=1500 then 'medium' else 'large' end band from {SCAN})")
+def tx06(spark, d):
+    return tx.tuned(tx.corpus_scan(documents(spark, d)), {"auto_tune": 1, "max_sentences_per_chunk": 99})

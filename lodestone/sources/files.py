@@ -67,6 +67,59 @@ def cache_stats(cache: DataFrame, now, days: int = 30) -> DataFrame:
     return valid_cache(cache, now, days).agg(F.count("*").alias("total"), F.sum((~F.col("valid")).cast("int")).alias("stale"), F.sum(F.octet_length("body")).alias("bytes"))
 
 
+def pruned_cache(cache: DataFrame, now, days: int = 30) -> DataFrame:
+    """The entries that are still valid."""
+    return valid_cache(cache, now, days).where("valid").drop("valid")
+
+
+def updated_cache(cache: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The cache with newer entries in place of older ones of their keys; ``fetched_at`` tells which is newer."""
+    rows = cache.unionByName(entries)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "fetched_at").alias("x")).select("x.*")
+
+
+def through_cache(texts: DataFrame, cache: DataFrame, make, strategy: str, size: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(texts with ``result`` and ``hit``, the entries to add): results by content, strategy and size are made once.
+
+    ``make`` is a column function of the text; equal texts share an entry.
+    """
+    key = F.concat_ws("_", F.md5("text"), F.lit(strategy), F.lit(size))
+    known = cache.select("key", F.col("body").alias("_body"))
+    both = texts.withColumn("key", key).join(known, "key", "left")
+    out = both.withColumns({"hit": F.col("_body").isNotNull(), "result": F.coalesce("_body", make("text"))}).drop("_body")
+    fresh = out.where("NOT hit").groupBy("key").agg(F.first("result").alias("body")).withColumn("fetched_at", F.current_timestamp())
+    return out, fresh
+
+
+def embedding_rows(quads: DataFrame, embed) -> DataFrame:
+    """entity_iri, text, vector: one row a subject, of its labels (its name where it has none); ``embed`` is a column function."""
+    label = F.max(F.when(F.col("p") == "rdfs:label", F.col("o")))
+    rows = quads.groupBy(F.col("s").alias("entity_iri")).agg(F.coalesce(label, F.regexp_replace(F.first("s"), "^.*[/#:]", "")).alias("text"))
+    return rows.withColumn("vector", embed("text"))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """One file row a page, as text, in a folder for each first letter of its subject's hash: many pages make few files."""
+    pages.select(F.substring(F.md5("s"), 1, 1).alias("shard"), F.concat(F.col("page"), F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
+
+
+def read_alignment(spark: SparkSession, path: str) -> DataFrame:
+    """pid, predicate, label from YAML: a list of {pid, label, predicates}."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()[0]
+    rows = [(x["pid"], p, x.get("label")) for x in yaml.safe_load(text) or [] for p in x.get("predicates", [])]
+    return spark.createDataFrame(rows, "pid string, predicate string, label string")
+
+
+def alignment_text(alignment: DataFrame) -> str:
+    """The same back as YAML; the table is a vocabulary of some dozens of properties."""
+    import yaml
+
+    rows = alignment.groupBy("pid").agg(F.max("label").alias("label"), F.array_sort(F.collect_set("predicate")).alias("predicates")).orderBy("pid").collect()
+    return yaml.safe_dump([{"pid": r.pid, "label": r.label, "predicates": list(r.predicates)} for r in rows], sort_keys=False)
+
+
 def write(df: DataFrame, path: str, form: str) -> None:
     """Results as json, csv or parquet."""
     writer = df.write.mode("overwrite")
