@@ -129,7 +129,7 @@ def test_extraction_has_evidence(spark):
 
 def test_decompose_and_rewrite(spark):
     d = spark.createDataFrame([("a", "population_2020", "5"), ("a", "name", "x")], "s string, p string, o string")
-    assert rows(vo.decompose(d), "p", "o") == [("name", "x"), ("population", "5"), ("population_year", "2020")]
+    assert rows(vo.decompose(d), "p", "o") == [("ex:year", "2020"), ("name", "x"), ("population", "5")]
     m = spark.createDataFrame([("a", "b")], "iri string, canonical string")
     assert rows(vo.rewrite(d, m), "s") == [("b",), ("b",)]
 
@@ -179,3 +179,126 @@ def test_json_ld_lists(spark):
     import json
 
     assert json.loads(kn.json_ld(q).first().doc) == {"@id": "a", "p": ["1", "2"], "q": 'x"'}
+
+
+# pairs, skew, status, tuning: against loops over everything
+
+
+def test_pairs_by_tiles_equal_loops(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    names = sorted({"".join(r.choices("abcd ", k=r.randint(0, 9))) for _ in range(60)} | {"hasAuthor", "author", "has_author"})
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(3)
+    small = gr.tiled_pairs
+    monkeypatch.setattr(gr, "tiled_pairs", lambda *a, **k: small(*a, **{**k, "size": 7}))
+    ratio = lambda a, b: round(SequenceMatcher(None, a, b, autojunk=False).ratio(), 6)
+    got = {(x.a, x.b): x.score for x in gr.fuzzy_pairs(df, 0.6).collect()}
+    assert got == {(a, b): ratio(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if ratio(a, b) >= 0.6}
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(50)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5  # noqa: E731, B905
+    v = spark.createDataFrame(vectors, "id long, embedding array<double>, label long").repartition(3)
+    want = {(i, j) for i, a, _ in vectors for j, b, _ in vectors if i < j and round(cos(a, b), 6) >= 0.8}
+    assert {(x.a, x.b) for x in gr.similar_pairs(v, 0.8).collect()} == want
+    assert {(x.a, x.b) for x in gr.similar_pairs(v, 0.8, "label").collect()} == {(i, j) for i, j in want if i % 3 == j % 3}
+    named = [(i, n, a) for (i, a, _), n in zip(vectors, ["red bolt", "bolt red", "old ring", "ring"] * 20, strict=False)]
+    got = {(x.a, x.b) for x in gr.hybrid_pairs(spark.createDataFrame(named, "id long, name string, vector array<double>")).collect()}
+    token = lambda s: " ".join(sorted(s.split()))
+    assert got == {(i, j) for i, n, a in named for j, m, b in named if i < j and (cos(a, b) >= 0.92 or (cos(a, b) >= 0.70 and ratio(token(n), token(m)) >= 0.88))}
+
+
+def test_close_names_lose_no_pair(spark):
+    import random
+
+    r = random.Random(8)
+    names = {"".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(120)}
+    distance = lambda a, b: len(b) if not a else len(a) if not b else _edits(a, b)
+    for most in (1, 3):
+        got = {(x.a, x.b): x.distance for x in gr.close_names(spark.createDataFrame([(n,) for n in names], "name string"), most).collect()}
+        assert got == {(a, b): distance(a, b) for a in names for b in names if a < b and distance(a, b) <= most}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    from lodestone.plans import lineage
+
+    many = spark.range(300).select((F.col("id") % 10 * F.col("id") % 7).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("top"))
+    want = rows(many.join(one, "k"), "k", "id", "top")
+    monkeypatch.setattr(lineage, "LEAST_HOT", 20)
+    for keys in (2, 8, 1000):
+        monkeypatch.setattr(lineage, "HOT_KEYS", keys)
+        assert rows(lineage.hot_join(many, one, "k", "c", 300), "k", "id", "top") == want
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from lodestone.plans import lineage
+
+    monkeypatch.setattr(lineage, "LEAST_HOT", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(7, 7)]
+    got = dict(tuple(r) for r in gr.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(60)} | {100 + i: 100 for i in range(21)}
+
+
+def test_statuses_of_pairs(spark):
+    t3 = spark.createDataFrame([("a", "p", "x"), ("a", "p", "y"), ("b", "q", "x")], "s string, p string, o string")
+    q = kn.annotate_status(t3, F.lit("extracted")).unionByName(kn.annotate_status(t3.where("s = 'a'"), F.lit("verified")))
+    assert rows(kn.read_status(q), "s", "p", "status") == [("a", "p", "extracted"), ("a", "p", "verified"), ("b", "q", "extracted")]
+    assert q.where("p = 'kc:onSubject'").count() == 3 and q.select("s").distinct().count() == 2
+
+
+def test_last_hash_counts(spark):
+    new = spark.createDataFrame([("k", "h2"), ("n", "h1"), ("c", "h3")], "fragment_key string, content_hash string")
+    prior = spark.createDataFrame([("k", "h1", 1), ("k", "h2", 2), ("c", "h3", 1), ("c", "h4", 2)], "fragment_key string, content_hash string, at long")
+    assert rows(gate.hash_status(new, prior), "fragment_key", "status") == [("c", "changed"), ("k", "unchanged"), ("n", "new")]
+
+
+def test_predicates_are_collapsed_and_split(spark):
+    q = [("kc:hasAuthor", 3), ("kc:has_author", 2), ("kc:author", 1), ("kc:size", 2), ("kc:founded_in_2019", 1)]
+    df = spark.createDataFrame([("trusted", f"s{i}", p, f"o{i}", "literal", 0.5) for p, n in q for i in range(n)], "graph string, s string, p string, o string, o_kind string, confidence double")
+    assert rows(vo.predicate_leaders(df), "iri", "canonical") == [("kc:author", "kc:hasAuthor"), ("kc:has_author", "kc:hasAuthor")]
+    out = vo.normalise(df, canonical_predicates=spark.createDataFrame([("kc:size", "kc:extent")], "iri string, canonical string"))
+    assert {r.p for r in out.collect()} == {"kc:hasAuthor", "kc:extent", "kc:founded", "ex:year"}
+    year = out.where("p = 'ex:year'").first()
+    assert (year.o, year.o_kind, year.graph) == ("2019", "literal", "trusted")
+
+
+def test_answers_without_json_and_budgets(spark):
+    from lodestone.operators import provider
+
+    d = spark.createDataFrame([("no json at all",), (None,), ("[]",), ('{"other": 1}',)], "x string")
+    assert [r[0] for r in d.select(F.size(provider.answered_triples("x"))).collect()] == [0, 0, 0, 0]
+    system = "You extract facts.\n\nEXAMPLES:\n" + "an example\n" * 30 + "\nENTITY CATALOG:\n" + "an entity\n" * 10 + "\nEnd."
+    s = spark.createDataFrame([(system, "a fragment")], "system string, fragment string")
+    cut = lambda n: s.select(provider.within_budget("system", "fragment", n).alias("x")).first().x
+    assert cut(1000) == system
+    assert "EXAMPLES" not in cut(60) and "ENTITY CATALOG" in cut(60) and cut(60).endswith("End.")
+    assert "ENTITY CATALOG" not in cut(20) and cut(20).startswith("You extract facts.")
+    p = s.select(provider.prompt(("TASK:", F.lit("do")), ("NOTES:", F.lit(" ")), ("", F.col("fragment"))).alias("x")).first().x
+    assert p == "TASK:\ndo\n\na fragment"
+    assert provider.nested({"a.b": "1", "a.c.d": "2", "e": "3"}) == {"a": {"b": "1", "c": {"d": "2"}}, "e": "3"}
+
+
+def test_distilling_by_strategy_and_section(spark):
+    body = "# Life\nShe was born. She worked. She won. She died.\n# References\ngone\n# Odd\nnoise"
+    d = spark.createDataFrame([(body,)], "text string")
+    one = lambda *a, **k: d.select(tx.distilled("text", *a, **k).alias("x")).first().x
+    assert one("skip") == body and one() == one("moderate") == one("unknown") == "# Life\nShe was born. She worked. She won. She died.\n# Odd\nnoise"
+    assert one("moderate", model=lambda x, name: F.concat(name, F.lit("!"))) == "moderate!" and one("moderate", model=lambda x, name: F.lit(" ")) == one()
+    assert one("section_aware", keep_sections={"life": "summarize", "odd": "remove"}) == "## Life\n\nShe was born. She worked. She won.\n\n## References\n\ngone"
+
+
+def test_entities_of_an_evaluation(spark):
+    subjects = spark.createDataFrame([("ex:Marie_Curie", "person"), ("http://x.example/y/pierre-curie", "person"), ("ex:Nobody", None)], "iri string, context string")
+    candidates = spark.createDataFrame([("Curie Pierre", "Q2", "person"), ("Pierre Currie", "Q3", "place")], "label string, qid string, context string")
+    got = rows(ev.resolved_entities(subjects, ("Marie Curie", "Q1"), candidates), "iri", "qid", "match_type", "confidence")
+    assert got == [("ex:Marie_Curie", "Q1", "sitelink", 1.0), ("http://x.example/y/pierre-curie", "Q2", "label", 1.0)]
