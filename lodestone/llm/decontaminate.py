@@ -196,7 +196,8 @@ class Index:
         shares = 1 + n_bytes // (PART_BYTES << BITS)  # a range of a large corpus is stored by several tasks
         raw = docs.select("doc_id", "text", key_of().alias("key")).mapInArrow(run, "range int, block string, blob binary")
         parts = max(1, min((1 << BITS) * shares, 1 + n_bytes // PART_BYTES))
-        dealt = raw.repartition(parts, "range", F.pmod(F.xxhash64("block"), F.lit(shares))).sortWithinPartitions("range")
+        share = F.pmod(F.xxhash64("block"), F.when(F.col("range") < 0, F.lit(parts)).otherwise(F.lit(shares)))  # rows of blocks are no range
+        dealt = raw.repartition(parts, "range", share).sortWithinPartitions("range")
         stored = table(dealt, "postings")
         return cls(stored.where("range = -1").drop("range"), stored.where("range >= 0"))
 
