@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what stored tables were made from: Spark's cleaner removes shuffle files once the driver has collected their plans.
+
+    Without it that waits for the driver's next full collection, up to ``spark.cleaner.periodicGC.interval``.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def hot_join(many: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """many INNER JOIN one USING (key); ``one`` has each key once and, in column ``count``, the rows of ``many`` with it, ``total`` in all.
 
