@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.lineage import release, table
 from .blobs import packed, unpacked
 from .spans import n_buckets, rows, with_ranges
 from .tally import Cells, Classes, counted
@@ -104,7 +105,9 @@ def dedup(documents: DataFrame, k: int = WINDOW, keep: tuple[str, ...] = ("doc_i
     """The columns ``keep``, n_words, n_removed, kept_sha256 (with_text: and kept_text, words joined by a space); these replace columns of their names."""
     keep = carried_columns(keep, ("n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text))
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    both = with_ranges(docs, removals(docs.select("doc_id", "text"), k), keep)
+    found = table(removals(docs.select("doc_id", "text"), k), "ranges")
+    release(docs.sparkSession)  # the windows' shuffles end here
+    both = with_ranges(docs, found, keep)
 
     def run(batches):
         for chunk in chunks(batches):

@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..plans.lineage import table
+from ..plans.lineage import release, table
 from .blobs import packed, unpacked
 from .spans import LAST, n_buckets, rows, tag_of, with_ranges
 from .suffix import common_prefixes, suffix_array
@@ -281,7 +281,9 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tu
     """The columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (with_bytes: and kept_bytes, which may split characters); these replace columns of their names."""
     keep = carried_columns(keep, ("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * with_bytes))
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    both = with_ranges(docs, removals(docs.select("doc_id", "text"), length, gram), keep)
+    found = table(removals(docs.select("doc_id", "text"), length, gram), "ranges")
+    release(docs.sparkSession)  # the segments' shuffles end here
+    both = with_ranges(docs, found, keep)
 
     def run(batches):
         for chunk in chunks(batches):
