@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.llm import decontaminate, langid, neardup, pack, secrets
-from lodestone.plans.lineage import table
+from lodestone.plans.lineage import release, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 OWN = ("doc_id", "text", "lang")  # columns that operators read by name
@@ -52,6 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # what near_dedup shuffled
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.clean(docs, benchmark)
 
@@ -62,6 +63,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # what decontaminate shuffled
     return pack.pack(docs, cached_words=250_000)  # workers hold what earlier stages left as well
 
 
