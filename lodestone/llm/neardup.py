@@ -57,7 +57,6 @@ STARS = 3
 LOW = 64
 HOT = 8
 SHARE = 256  # pairs of one document that a task compares together
-FEW_IDS = 500_000  # as many ids as may be broadcast (some 16 MB)
 _S = 0xD1342543DE82EF95 | 1
 SKETCH = (
     "doc_id long, missing boolean, n long, r long, fp binary, stars array<long>, kept array<long>, usual int, hot int, signature long, low array<long>"
@@ -201,7 +200,7 @@ def usual_pairs(all_postings: DataFrame, percent: int) -> DataFrame:
     own = all_postings.where("is_usual").select(*POSTING)
     mixed = own.groupBy("value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("value")
     own = table(own.join(mixed, "value", "left_semi"), "mixed")
-    both = own.alias("x").join(own.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & early("x", "y", percent))
+    both = own.alias("x").join(own.alias("y").hint("merge"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & early("x", "y", percent))
     return ordered(both, "x.id", "y.id")
 
 
@@ -228,15 +227,19 @@ def hot_pairs(all_postings: DataFrame, percent: int) -> DataFrame:
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
         overlap = F.least("x.hot", "y.hot") >= need(F.col("x.n"), F.col("y.n"), percent)
         other = (F.col("x.value") == F.col("y.value")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.comp") != F.col("y.comp"))
-        return ordered(x.alias("x").join(y.alias("y"), other & overlap & early("x", "y", percent)), "x.id", "y.id")
+        # The optimizer sees the stored rows, not how many shares they are copied to, and would send all copies through the driver.
+        return ordered(x.alias("x").join(y.alias("y").hint("merge"), other & overlap & early("x", "y", percent)), "x.id", "y.id")
 
     found = meet(dealt.where("comp <> main"), everywhere).unionByName(meet(dealt.where("comp = main"), everywhere.where("comp <> main")))
     return ordered(beside, "id", "head").unionByName(found)
 
 
 def bodies(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, body: the sets of the documents of these ids."""
-    wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    """id, body: the sets of the documents of these ids, which differ.
+
+    The ids never meet in one place, however many they are: texts go to them, and are not sorted there.
+    """
+    wanted = ids.hint("shuffle_hash")
 
     def run(batches):
         for chunk in chunks(batches):

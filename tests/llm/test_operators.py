@@ -1,5 +1,6 @@
 """Operators by themselves: small parameters, random texts, methods' parts."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -453,3 +454,37 @@ def test_clean_texts_and_kept_outputs(spark):
     assert got == {1: (0, "a b c d e x"), 2: (5, "y")}
     got = {r.doc_id: (r.n_removed, bytes(r.kept_bytes)) for r in suffixdedup.dedup(both, 5, 2, ("doc_id", "n_removed"), with_bytes=True).collect()}
     assert got == {1: (10, b"x"), 2: (10, b"y")}
+
+
+def test_ids_of_compared_texts_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "table", lambda df, name: df)
+    docs = spark.createDataFrame([(i, f"a b c d {i}") for i in range(20)], "doc_id long, text string")
+    found = neardup.bodies(docs, docs.where("doc_id % 3 = 0").selectExpr("doc_id AS id").distinct(), 4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x.id for x in found.collect()) == list(range(0, 20, 3))
+
+
+def test_copies_for_shares_are_not_broadcast(spark, monkeypatch):
+    """Heads go to every share of a hot list: that is more rows than the optimizer knows of."""
+    plans, hot_pairs = [], neardup.hot_pairs
+
+    def planned(*args):
+        out = hot_pairs(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return out
+
+    monkeypatch.setattr(neardup, "hot_pairs", planned)
+    monkeypatch.setattr(neardup, "SHARE", 4)
+    r = random.Random(8)
+    common = [" ".join(r.choices("abcdefgh", k=12)) for _ in range(3)]
+    docs = [(i, " ".join(r.sample(common, 2)) + f" {i % 9} {i % 5}") for i in range(60)]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string"), k=4, percent=80, hot_class=1).collect()}
+    assert got == brute.op2(docs)
+    copied, sent = 0, 0
+    for lines in plans:
+        for i, line in enumerate(lines):
+            copied += "explode(sequence" in line
+            if "BroadcastExchange" in line:
+                below = list(itertools.takewhile(lambda x, at=line.index("BroadcastExchange"): len(x) - len(x.lstrip(" :+-")) > at, lines[i + 1 :]))
+                sent += sum("explode(sequence" in x for x in below)
+    assert copied and not sent
