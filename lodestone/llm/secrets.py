@@ -35,7 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, types as T
 
-from .text import carried_columns
+from .text import carried_columns, chunks
 from .words import WORDS
 
 # The base patterns, by kind, in the order in which ties are written.
@@ -196,7 +196,8 @@ def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), finder: Nove
     keep = carried_columns(keep, ("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"))
 
     def run(batches):
-        for batch in batches:
+        for chunk in chunks(batches):  # a worker holds the strings of one, not of a batch
+            batch = chunk.batch
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             rows, out = [], []
             for text in texts:
@@ -210,7 +211,7 @@ def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), finder: Nove
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             if redact:
                 own = [pa.array([o if t is not None else None for o, t in zip(out, texts, strict=True)], pa.string()) if c == "text" else x for c, x in zip(keep, own, strict=True)]
-            found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2, strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 4 + [pa.string()] * 2]
+            found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2, strict=True)]
             yield pa.RecordBatch.from_arrays([*own, *found], names=[*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"])
 
     schema = T.StructType([documents.schema[c] for c in keep])

@@ -464,6 +464,22 @@ def test_ids_of_compared_texts_are_not_broadcast(spark, monkeypatch):
     assert sorted(x.id for x in found.collect()) == list(range(0, 20, 3))
 
 
+def test_secrets_are_sought_in_a_few_texts_at_a_time(spark):
+    """What a worker's strings take follows a chunk, not an Arrow batch (10,000 rows)."""
+    rows = [(i, None if i % 7 == 0 else "x" * 20_000 + f" password=hunter{i:04d}") for i in range(400)]
+
+    class Plain:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+    out = list(secrets.scan(Plain(), ("doc_id", "text"), redact=True)(iter([batch, batch[:0]])))
+    assert max(b.num_rows for b in out) <= 64  # of 1 MB, and null texts
+    got = [x for b in out for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "n_assign")), strict=True)]
+    assert got == [(i, t and "x" * 20_000 + " [secret]", int(bool(t))) for i, t in rows]
+
+
 def test_copies_for_shares_are_not_broadcast(spark, monkeypatch):
     """Heads go to every share of a hot list: that is more rows than the optimizer knows of."""
     plans, hot_pairs = [], neardup.hot_pairs
