@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.llm import decontaminate, langid, neardup, pack, secrets
-from lodestone.plans.lineage import release, table
+from lodestone.plans.lineage import release, remove, settled, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 OWN = ("doc_id", "text", "lang")  # columns that operators read by name
@@ -80,7 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, paths = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda: table(stage(spark, docs, sf_dir), name), paths)  # noqa: B023
+        for path in paths[:-1]:  # what this stage has read is not read again
+            remove(spark, path)
+        del paths[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)

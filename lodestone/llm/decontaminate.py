@@ -32,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lineage import table
+from ..plans.lineage import settled, table
 from .blobs import packed, unpacked
-from .text import NOT_ALNUM, U64, Words, chunks, covered
+from .text import CACHES, NOT_ALNUM, U64, Words, chunks, covered
 
 BLOCK_BYTES = 2 << 20
 ITEM_BYTES = 2 << 20
 BITS = 8  # of a term's hash that name its range
-PART_BYTES = 64 << 20  # of text, whose postings a task stores together
+PART_BYTES = 16 << 20  # of text, whose postings a task stores together, and reads as a whole
 
 
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -89,6 +89,9 @@ def phrases_of(items: tuple[tuple[str, str], ...], window: int) -> Phrases:
     return Phrases(list(items), window)
 
 
+CACHES.append(phrases_of.cache_clear)
+
+
 class Postings:
     """One block's lists of the terms of some phrases; ``first`` are the first words of its rows, and its end."""
 
@@ -303,9 +306,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     return Index.build(documents).contamination(benchmark, window, item_bytes)
 
 
+def contaminated_keys(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    return contamination(documents, benchmark, window).where("contaminated").select(F.col("key").alias("_bad")).distinct()
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents, with all their columns, that share no phrase with the benchmark."""
-    bad = contamination(documents, benchmark, window).where("contaminated").select(F.col("key").alias("_bad")).distinct()
+    """The documents, with all their columns, that share no phrase with the benchmark; the index goes as soon as these are known."""
+    bad = settled(documents.sparkSession, lambda: table(contaminated_keys(documents, benchmark, window), "contaminated"))
     return documents.join(bad, key_of() == F.col("_bad"), "left_anti")
 
 

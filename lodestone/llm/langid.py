@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-from .text import carried_columns
+from .text import carried_columns, trim
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-CHARS = 1 << 19
+CHARS = 1 << 18
+ROWS = 256  # whose texts are strings at the same time
 _letters: list[np.ndarray] = []
 
 
@@ -80,16 +81,19 @@ def grams(texts: list[str | None], buckets: int, orders: tuple[int, ...] = ORDER
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    trim()
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHARS):
-                size += len(texts[j] or "")
-                j += 1
-            yield batch.slice(i, j - i), texts[i:j]
-            i = j
+        for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+            texts = part.column(part.schema.get_field_index(column)).to_pylist()
+            i = 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHARS):
+                    size += len(texts[j] or "")
+                    j += 1
+                yield part.slice(i, j - i), texts[i:j]
+                i = j
+    trim()
 
 
 def train(rows: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:

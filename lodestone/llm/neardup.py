@@ -45,7 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lineage import hot_join, table
+from ..plans.lineage import few_files, hot_join, settled, table
 from .blobs import packed, unpacked
 from .graph import components
 from .tally import Cells, Classes, counted
@@ -131,7 +131,9 @@ def sketched(b: Block, group: pa.Table, cells: Cells, k: int, percent: int, hot_
 def sketches(docs: DataFrame, k: int, percent: int, hot_class: int = HOT, block: int = BLOCK) -> DataFrame:
     """A row of SKETCH for each document, written to the shared folder."""
     own = blocks(docs, lower=True, size=block)
-    cells = Cells(own.agg(F.sum("n_words")).first()[0] or 0)
+    n_words = own.agg(F.sum("n_words")).first()[0] or 0
+    few_files(1 + n_words // block)
+    cells = Cells(n_words)
     told = counted(own.select("block", *PAYLOAD), lambda *payload: sets_of(Block(*payload), k)[1], cells)
 
     def meet(key, left, right):
@@ -292,8 +294,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
 
 
 def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, hot_class: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable), kept: one row per row of documents."""
+    """doc_id, n_shingles, component_id (smallest id reachable), kept: one row per row of documents.
+
+    Of all that is stored for it, only the result stays in the shared folder.
+    """
     docs = documents.select("doc_id", "text")
+    out = settled(documents.sparkSession, lambda: table(labelled_rows(docs, k, percent, hot_class), "groups"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def labelled_rows(docs: DataFrame, k: int, percent: int, hot_class: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, from tables in the shared folder."""
     found = sketches(docs, k, percent, hot_class)
     full = found.where("n > 0 AND NOT missing")
     first = table(full.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")), "classes")
@@ -313,5 +324,4 @@ def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, hot_c
     linked = hot_join(full.select("doc_id", "n", "fp"), of_class, "fp", "c", n_full).select("doc_id", "n", "component_id")
     id_ = F.when(~F.col("missing"), F.col("doc_id"))
     alone = found.where("n = 0 OR missing").select(id_.alias("doc_id"), "n", id_.alias("component_id"))
-    out = linked.unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "n_shingles", "component_id")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "n_shingles", "component_id")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lineage import cut, table
+from .text import CACHES, trim
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS, HASHED = 4, 8, 1024
@@ -81,6 +82,9 @@ def _words(path: str, most: int) -> WordIds:
     return WordIds(path, most)
 
 
+CACHES.append(_words.cache_clear)
+
+
 @lru_cache(maxsize=1)
 def _projection() -> np.ndarray:
     return np.random.default_rng(9).standard_normal((HASHED, DIMS)).astype(np.float32)
@@ -124,6 +128,7 @@ def tokenized(documents: DataFrame, tokenizer: str | None = None, end_id: int =
     path = tokenizer or default_tokenizer()
 
     def run(batches):
+        trim(_words.cache_clear)  # the tasks of one stage share their words
         words, project = _words(path, cached_words), _projection()
         end = np.array([end_id], np.uint16).tobytes()
         for batch in batches:
@@ -133,6 +138,7 @@ def tokenized(documents: DataFrame, tokenizer: str | None = None, end_id: int =
                 arrays = [np.frombuffer(x, np.uint16) for x in ids]
                 vectors = np.array([np.bincount(a & (HASHED - 1), minlength=HASHED) @ project / np.sqrt(len(a)) / 4 for a in arrays])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(a) for a in arrays], pa.int64()), pa.array(curve_keys(vectors), pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "key", "ids"])
+        trim(_words.cache_clear)
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return table(rows.mapInArrow(run, "row long, doc_id long, n long, key long, ids binary"), "pack")

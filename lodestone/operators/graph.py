@@ -42,11 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
         above = F.count(F.when(F.col("v") > F.col("u"), 1)).alias("c")
         least = both.groupBy("u").agg(F.min("v").alias("m"), above).where("c > 0").select("u", F.least("u", "m").alias("m"), "c")
         large = hot_join(both.where("v > u"), least, "u", "c", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large) if mark[0] > LEAST_HOT else large
+        large = cut(large, mark[0]) if mark[0] > LEAST_HOT else large
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = hot_join(large, least, "u", "c", mark[0]).select(F.explode(pairs).alias("x")).select("x.*")
-        e = cut(small.where("u <> v").distinct())
+        e = cut(small.where("u <> v").distinct(), mark[0])
 
 
 def closure(edges: DataFrame) -> DataFrame:

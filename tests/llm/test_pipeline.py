@@ -1,7 +1,12 @@
 """Each stage against a brute-force version on its own input, and the whole run."""
 
+from pathlib import Path
+
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
+from lodestone.llm import langid, pack, text
+from lodestone.plans.lineage import shared_dir
 
 from . import brute
 
@@ -113,6 +118,27 @@ def test_run_gives_the_same_pieces(spark, sf_dir, stages):
     assert key(cp.run(spark, sf_dir).collect()) == key(stages["packing"][1])
 
 
+def test_stages_leave_no_work_behind(spark, sf_dir):
+    """The shared folder gets what packing reads, and nothing of the stages before."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    names = lambda: {p.name for p in folder.iterdir() if (p / "_SUCCESS").exists()}
+    before = names()
+    rows = cp.run(spark, sf_dir).count()
+    assert rows and sorted(n.rsplit("-", 1)[0] for n in names() - before) == ["pack", "secrets"]
+
+
+def test_workers_let_go_of_other_stages(spark):
+    """A stage's task clears what others have cached, keeps its own, and holds the strings of few texts."""
+    words = pack._words(pack.default_tokenizer(), 1000)
+    text.trim(pack._words.cache_clear)
+    assert pack._words(pack.default_tokenizer(), 1000) is words
+    batch = pa.RecordBatch.from_pydict({"text": ["one two", None] * 500})
+    parts = list(langid.slices(iter([batch]), "text"))
+    assert pack._words.cache_info().currsize == 0
+    assert sum((t for _, t in parts), []) == batch.column(0).to_pylist() and max(len(t) for _, t in parts) <= 256
+    assert all(p.column(0).to_pylist() == t for p, t in parts)
+
+
 def test_empty_input(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
