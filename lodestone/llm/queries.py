@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, license, lm, neardup, pack, quality, secrets, substring, suffixdedup
+from . import decontaminate, langid, license, lm, neardup, pack, periodic, quality, secrets, substring, suffixdedup
 
 HEX_OF = lambda c: F.sha2(c, 256)
 
@@ -66,4 +66,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", HEX_OF(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets, decontamination_proximity)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.scan(periodic.with_planted_runs(documents(spark, sf_dir))).select("doc_id", *periodic.digests())
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets, op11_periodic_runs, decontamination_proximity)}

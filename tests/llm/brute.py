@@ -290,3 +290,42 @@ def op4(docs, buckets=1 << 16):
         best = max(sorted(log), key=lambda x: log[x])
         result[d] = out[d], best, 1 / sum(math.exp(v - log[best]) for v in log.values())
     return result
+
+
+def planted_runs(docs):
+    for d, text in docs:
+        w = words(text)
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        yield d, w
+
+
+def runs_of(w, least=12):
+    """All (start, length, period), period by period."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if (n := i + q - s) >= max(least, 2 * q):
+                found.setdefault((s, n), q)  # the smallest period of this stretch
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def op11(docs):
+    out = {}
+    for d, w in planted_runs(docs):
+        runs = sorted(runs_of(w), key=lambda r: (r[0], r[2]))
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None,) * 3
+        out[d] = (len(runs), s, n, q, 1000 * n // q if runs else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(b" ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
