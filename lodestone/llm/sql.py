@@ -1,8 +1,8 @@
 """DuckDB twins of the contract queries that SQL can express on whole tables.
 
 Left out: license scans (patience alignment), suffix arrays (every byte place of the
-corpus would be a row), language id, scoring, packing and secret scans (learned, tokenized
-or compressed).  Tests compare those with brute force.
+corpus would be a row), language id, scoring, packing, secret scans and alignment (learned,
+tokenized or compressed), periodic runs (every period of every text would be tried).  Tests compare those with brute force.
 """
 
 from .quality import BOILERPLATE, END_MARKS, MAX_SYMBOLS, MIN_KEPT, NAVIGATION, SEPARATORS, SHORT_LINE
@@ -56,4 +56,11 @@ n as (select doc_id,count(*) n from (select distinct doc_id,unnest(range(i,i+k))
 m as (select doc_id,count(*) n_items,string_agg(item,',' order by item) items from (select distinct doc_id,item_id::varchar item from hit) group by doc_id)
 select doc_id,len(w)::bigint n_words,coalesce(n,0)::bigint n_hit,coalesce(n_items,0)::bigint n_items,sha256(coalesce(items,'')) items_sha256,coalesce(n,0)>0 contaminated from d left join n using(doc_id) left join m using(doc_id)"""
 
-ORACLE: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op5_quality_rules": OP5, "op6_substring_dedup": OP6, "op8_decontamination": OP8}
+OP13 = f"""with d as (select row_number() over () r,doc_id,string_split(coalesce(text,''),chr(10)) ls from documents),
+l as (select r,doc_id,unnest(range(1,len(ls)+1)) i,unnest(ls) x from d),
+k as (select *,{_lower(f"regexp_replace(x,'^{GAP}+|{GAP}+$','','g')")} k from l),
+g as (select k,max(doc_id) top from k where length(k)>=20 group by k having count(distinct r)>=3),
+kept as (select r,string_agg(x,chr(10) order by i) t,count(*) n from k left join g using(k) where g.k is null or doc_id is not distinct from top group by r)
+select doc_id,len(ls)::bigint n_lines,(len(ls)-coalesce(n,0))::bigint n_dropped,sha256(coalesce(t,'')) kept_sha256 from d left join kept using(r)"""
+
+ORACLE: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op5_quality_rules": OP5, "op6_substring_dedup": OP6, "op8_decontamination": OP8, "op13_line_dedup": OP13}

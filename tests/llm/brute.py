@@ -329,3 +329,18 @@ def op11(docs):
         s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None,) * 3
         out[d] = (len(runs), s, n, q, 1000 * n // q if runs else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(b" ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def op13(docs, least_docs=3):
+    lines = [(d, (text or "").split("\n")) for d, text in docs]
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\r\x0b\x0c"))
+    held = defaultdict(list)
+    for d, own in lines:
+        for k in {key(x) for x in own}:
+            if len(k) >= 20:
+                held[k].append(d)
+    out = {}
+    for d, own in lines:
+        kept = [x for x in own if len(held.get(key(x), ())) < least_docs or d == max(held[key(x)], key=lambda i: (i is not None, i))]
+        out[d] = (len(own), len(own) - len(kept), sha("\n".join(kept)))
+    return out

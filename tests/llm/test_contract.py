@@ -19,6 +19,7 @@ COLUMNS = {
     "op6": ("n_words", "n_removed", "kept_sha256"),
     "op8": ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
     "op10": ("n_assign", "n_access", "n_hex", "base_sha256"),
+    "op13": ("n_lines", "n_dropped", "kept_sha256"),
     "op11": ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"),
 }
 
@@ -65,7 +66,7 @@ def test_equals_brute_force(spark, small, op):
     assert got == want
 
 
-@pytest.mark.parametrize("op", ["op3", "op5", "op6", "op10", "op11"])
+@pytest.mark.parametrize("op", ["op3", "op5", "op6", "op10", "op11", "op13"])
 def test_equals_brute_force_on_test_data(spark, sf_dir, op):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: tuple(r[c] for c in COLUMNS[op]) for r in query(op)(spark, sf_dir).collect()}
