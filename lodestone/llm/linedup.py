@@ -22,6 +22,7 @@ smaller than all others.  A line counts once a text.  An empty table gives no ro
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from contextlib import contextmanager
 
@@ -182,12 +183,12 @@ def drops(documents: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int =
     return settled(spark, make)
 
 
-def dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """The columns ``keep``, n_lines, n_dropped, kept_text; these replace columns of their names.
+def dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int = BATCHES, fanout: int = FANOUT, with_text: bool = False) -> DataFrame:
+    """The columns ``keep``, n_lines, n_dropped, kept_sha256 (with_text: and kept_text); these replace columns of their names.
 
     A line whose key at least ``least_docs`` documents have stays only in the one with the largest id.
     """
-    made = ("n_lines", "n_dropped", "kept_text")
+    made = ("n_lines", "n_dropped", "kept_sha256", *["kept_text"] * with_text)
     keep = carried_columns(keep, made)
     docs = documents.select(*dict.fromkeys([*keep, "doc_id", "text"]))
     gone = drops(docs.select("doc_id", "text"), least_docs, least_chars, batches, fanout).toDF("_doc", "_tag", "_gone")
@@ -197,7 +198,7 @@ def dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_docs:
 
     def run(batches):
         for chunk in chunks(batches):
-            lines, lost, texts = [], [], []
+            lines, lost, sha, texts = [], [], [], []
             for d, hashes in enumerate(chunk.batch.column(chunk.batch.schema.get_field_index("_gone")).to_pylist()):
                 text = chunk.bytes_of(d)
                 n = left = text.count(b"\n") + 1
@@ -209,12 +210,14 @@ def dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_docs:
                     text, left = b"\n".join(kept), len(kept)
                 lines.append(n)
                 lost.append(n - left)
-                texts.append(text.decode())
+                sha.append(hashlib.sha256(text).hexdigest())
+                if with_text:
+                    texts.append(text.decode())
             own = [chunk.batch.column(chunk.batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())], names=[*keep, *made])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string()), *[pa.array(texts, pa.string())] * with_text], names=[*keep, *made])
 
-    schema = T.StructType([documents.schema[c] for c in keep]).add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
-    return both.mapInArrow(run, schema)
+    schema = T.StructType([documents.schema[c] for c in keep]).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    return both.mapInArrow(run, schema.add("kept_text", "string") if with_text else schema)
 
 
 def fresh(runs: Runs, batch: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -71,7 +71,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", HEX_OF("kept_text").alias("kept_sha256"))
+    return linedup.dedup(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets, op11_periodic_runs, op13_line_dedup, decontamination_proximity)}
