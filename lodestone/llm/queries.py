@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, license, linedup, lm, neardup, pack, periodic, quality, secrets, substring, suffixdedup
+from . import align, decontaminate, langid, license, linedup, lm, neardup, pack, periodic, quality, secrets, substring, suffixdedup
 
 HEX_OF = lambda c: F.sha2(c, 256)
 
@@ -70,8 +70,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.scan(periodic.with_planted_runs(documents(spark, sf_dir))).select("doc_id", *periodic.digests())
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(documents(spark, sf_dir))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets, op11_periodic_runs, op13_line_dedup, decontamination_proximity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_language_id, op5_quality_rules, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_packing, op10_secrets, op11_periodic_runs, op12_token_alignment, op13_line_dedup, decontamination_proximity)}

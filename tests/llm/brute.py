@@ -344,3 +344,50 @@ def op13(docs, least_docs=3):
         kept = [x for x in own if len(held.get(key(x), ())) < least_docs or d == max(held[key(x)], key=lambda i: (i is not None, i))]
         out[d] = (len(own), len(own) - len(kept), sha("\n".join(kept)))
     return out
+
+
+def op12(docs, a, b):
+    """By byte offsets of whole texts: ``a`` and ``b`` give a text's tokens as (id, bytes)."""
+    tokens, held = {}, Counter()
+    for d, text in docs:
+        x, y = (a(text), b(text)) if text else ([], [])
+        if text and not b"".join(t for _, t in x) == b"".join(t for _, t in y) == b" " + text.encode():
+            x = y = []
+        spans = [[(i, sum(len(t) for _, t in side[:k]), sum(len(t) for _, t in side[: k + 1])) for k, (i, _) in enumerate(side)] for side in (x, y)] if len(x) < 600 else None
+        if spans is None:
+            ends = [[0], [0]]
+            for e, side in zip(ends, (x, y), strict=True):
+                for _, t in side:
+                    e.append(e[-1] + len(t))
+            spans = [[(i, e[k], e[k + 1]) for k, (i, _) in enumerate(side)] for e, side in zip(ends, (x, y), strict=True)]
+        links, j = [], 0
+        for i, s, e in spans[0]:
+            while j and spans[1][j - 1][2] > s:
+                j -= 1
+            while j < len(spans[1]) and spans[1][j][2] <= s:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][1] < e:
+                links.append((i, spans[1][k][0]))
+                k += 1
+        both = sorted({e for *_, e in spans[0]} & {e for *_, e in spans[1]})
+        groups, low = [], 0
+        at = [0, 0]
+        for high in both:
+            part = []
+            for side in (0, 1):
+                k = at[side]
+                while k < len(spans[side]) and spans[side][k][2] <= high:
+                    k += 1
+                part.append(",".join(str(i) for i, *_ in spans[side][at[side] : k]))
+                at[side] = k
+            groups.append("|".join(part))
+            low = high
+        tokens[d] = (len(x), len(y), groups, links)
+        held.update(set(links))
+    most = {}
+    for (i, _), n in held.items():
+        most[i] = max(most.get(i, 0), n)
+    return {
+        d: (n_a, n_b, len(groups), len(links), sum(held[p] == most[p[0]] for p in links), sum(held[p] for p in links), sha(";".join(groups)) if groups else "") for d, (n_a, n_b, groups, links) in tokens.items()
+    }
