@@ -27,10 +27,12 @@ characters), has no tokens: zeros and ''.  Each row counts as a document, repeat
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
@@ -45,8 +47,12 @@ from .pack import _byte_characters
 from .text import CACHES, carried_columns, chunks, trim
 
 CHUNK = 2 << 20
-CACHED_UNITS, KEPT_TRANSITIONS = 150_000, 500_000
+CACHED_UNITS, KEPT_TRANSITIONS = 500_000, 500_000
 MADE = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string"}
+BITS = 16  # of a token's id
+# How the first tokenizer cuts texts before it merges (fixed value, of Latin-1 texts): contractions, letters, numbers, other characters, white space.
+_L, _N, _W = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_pieces = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _near_space = re.compile(r"\s | \s")
 _cut = re.compile(r"(?<=\S) (?=\S)")
 
@@ -65,58 +71,82 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        self.states: list[tuple[int, bytes]] = [(1, b"")]  # who leads (0: a), and what dangles; nothing: as if b led, so a is read
+        self.dangling = {0: (1, b"")}  # state -> (who leads, what dangles); 0: nothing, as if b led, so a is read; else even: a leads
         self.numbers = {(1, b""): 0}
-        self.memo: dict[tuple[int, int], int] = {}  # (state, next token of the side behind) -> state; -1: they do not agree
+        self.memo: dict[int, int] = {}  # state << BITS | next token of the side behind -> state; -1: they do not agree
 
     def step(self, state: int, token: int) -> int:
-        found = self.memo.get((state, token))
-        if found is None:
-            lead, rest = self.states[state]
-            own = self.sides[1 - lead][token]
-            if own and own.startswith(rest):
-                after = (1 - lead, own[len(rest) :])
-            else:
-                after = (lead, rest[len(own) :]) if own and rest.startswith(own) else None
-            if after and not after[1]:
-                after = (1, b"")
-            if after and after not in self.numbers:
-                self.numbers[after] = len(self.states)
-                self.states.append(after)
-            found = self.memo[state, token] = self.numbers[after] if after else -1
+        lead, rest = self.dangling[state]
+        own = self.sides[1 - lead][token]
+        after = None
+        if own and own.startswith(rest):
+            after = (1 - lead, own[len(rest) :])
+        elif own and rest.startswith(own):
+            after = (lead, rest[len(own) :])
+        if after and not after[1]:
+            after = (1, b"")
+        if after and after not in self.numbers:
+            number = 2 * len(self.numbers) + after[0]
+            self.numbers[after] = number
+            self.dangling[number] = after
+        found = self.memo[state << BITS | token] = self.numbers[after] if after else -1
         return found
 
-    def walk(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """(groups, links) of two sequences; None if they do not spell the same."""
-        groups, links, state = [], [], 0
-        tokens, at = (a, b), [0, 0]
-        while at[0] < len(a) or at[1] < len(b):
-            behind = 1 - self.states[state][0]
-            if at[behind] == len(tokens[behind]):
+    def trace(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """(tokens of a and of b that are read at the end of each group, in turn; links as a << BITS | b); None if they do not spell the same."""
+        known, step = self.memo.get, self.step
+        ends, links = [], []
+        i, j, n_a, n_b = 0, 0, len(a), len(b)
+        while i < n_a:
+            lead = a[i]
+            i += 1
+            state = known(lead)
+            if state is None:
+                state = step(0, lead)
+            while state > 0:
+                if state & 1:  # b leads
+                    if i == n_a:
+                        return None
+                    token = a[i]
+                    i += 1
+                    links.append(token << BITS | lead)
+                    after = known(state << BITS | token)
+                    if after is None:
+                        after = step(state, token)
+                    if not after & 1:
+                        lead = token
+                else:
+                    if j == n_b:
+                        return None
+                    token = b[j]
+                    j += 1
+                    links.append(lead << BITS | token)
+                    after = known(state << BITS | token)
+                    if after is None:
+                        after = step(state, token)
+                    if after & 1:
+                        lead = token
+                state = after
+            if state < 0:
                 return None
-            token = tokens[behind][at[behind]]
-            at[behind] += 1
-            after = self.step(state, token)
-            if after < 0:
-                return None
-            if state:
-                other = group[1 - behind][-1]  # noqa: F821 - the group was opened when something began to dangle
-                links.append((other, token) if behind else (token, other))
-            else:
-                group = ([], [])
-            group[behind].append(token)
-            state = after
-            if not state:
-                groups.append(group)
-        return None if state else (groups, links)
-
+            ends += (i, j)
+        return (ends, links) if j == n_b else None
 
-def spelled(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    def walk(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
+        """(groups, links) of two sequences; None if they do not spell the same."""
+        found = self.trace(a, b)
+        if found is None:
+            return None
+        ends = [0, 0, *found[0]]
+        groups = [(a[ends[k] : ends[k + 2]], b[ends[k + 1] : ends[k + 3]]) for k in range(0, len(ends) - 2, 2)]
+        return groups, [(x >> BITS, x & ((1 << BITS) - 1)) for x in found[1]]
 
 
 class Units(dict):
-    """Unit (without the space before it) -> (groups as text, links as bytes of a << 32 | b, n_a, n_b, n_groups), or None; ``most`` are kept."""
+    """Unit (without the space before it) -> what is known of it, in bytes; ``most`` are kept.
+
+    Four 32-bit numbers (tokens on both sides, groups, links), the links, the groups as text; nothing if its tokens do not spell it.
+    """
 
     def __init__(self, a: str, b: str, most: int = CACHED_UNITS):
         import sentencepiece
@@ -125,7 +155,8 @@ class Units(dict):
         self.most = most
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
-        shown = {c: i for i, c in _byte_characters().items()}
+        self.shown = _byte_characters()
+        shown = {c: i for i, c in self.shown.items()}
         with open(a, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         a_bytes = [b""] * (1 + max(vocabulary.values()))
@@ -138,6 +169,23 @@ class Units(dict):
             raise ValueError("pieces go over spaces, so texts cannot be cut there")
         b_bytes = [(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()) if usual[i] else b"" for i, p in enumerate(pieces)]
         self.transducer = Transducer(a_bytes, b_bytes)
+        if max(len(a_bytes), len(b_bytes)) > 1 << BITS:
+            raise ValueError(f"ids do not fit {BITS} bits")
+        self.names = list(map(str, range(max(len(a_bytes), len(b_bytes)))))
+
+    def ids_of(self, units: list[str]) -> list[list[int]]:
+        """Tokens of the first vocabulary. What its pattern does with Latin-1 is known, so these pieces go straight to its merges."""
+        merge, other, out = self.a.model.tokenize, [], []
+        for unit in units:
+            if unit.isascii() or max(unit) <= "\xff":
+                pieces = _pieces.findall(" " + unit)
+                out.append([t.id for p in pieces for t in merge(p.encode().decode("latin-1").translate(self.shown))])
+            else:
+                other.append(len(out))
+                out.append([])
+        for k, e in zip(other, self.a.encode_batch_fast([" " + units[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
     def learn(self, units: list[str]) -> None:
         """Tokenize and walk units that are not known yet."""
@@ -145,17 +193,27 @@ class Units(dict):
             self.clear()
         if len(self.transducer.memo) > KEPT_TRANSITIONS:
             self.transducer.forget()
-        a_bytes = self.transducer.sides[0]
+        gc.disable()  # nothing here forms a cycle, and there are many small lists
+        try:
+            self._learn(units)
+        finally:
+            gc.enable()
+
+    def _learn(self, units: list[str]) -> None:
+        a_bytes, names, trace = self.transducer.sides[0].__getitem__, self.names.__getitem__, self.transducer.trace
         for i in range(0, len(units), 4096):
             part = units[i : i + 4096]
-            for unit, a, b in zip(part, self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
-                ids = a.ids
-                walked = self.transducer.walk(ids, b) if b"".join(map(a_bytes.__getitem__, ids)) == b" " + unit.encode() else None
-                if walked:
-                    groups, links = walked
-                    pairs = np.array(links, np.int64)
-                    walked = spelled(groups), ((pairs[:, 0] << 32) | pairs[:, 1]).tobytes(), len(ids), len(b), len(groups)
-                self[unit] = walked
+            for unit, a, b in zip(part, self.ids_of(part), self.b.encode(part, num_threads=1), strict=True):
+                found = trace(a, b) if b"".join(map(a_bytes, a)) == b" " + unit.encode() else None
+                if found:
+                    ends, links = found
+                    x, y, p, q, groups = list(map(names, a)), list(map(names, b)), 0, 0, []
+                    for k in range(0, len(ends), 2):
+                        i, j = ends[k], ends[k + 1]
+                        groups.append(f"{x[p] if i == p + 1 else ','.join(x[p:i])}|{y[q] if j == q + 1 else ','.join(y[q:j])}")
+                        p, q = i, j
+                    found = array("I", [len(a), len(b), len(groups), len(links), *links]).tobytes() + ";".join(groups).encode()
+                self[unit] = found or b""
 
 
 @lru_cache(maxsize=1)
@@ -193,30 +251,30 @@ def blocks(documents: DataFrame, keep: tuple[str, ...], tokenizers: tuple[str, s
                 units.clear()
                 missing = distinct
             units.learn(missing)
-            walks = [units[u] for u in distinct]
-            number = {u: i if w else -1 for i, (u, w) in enumerate(zip(distinct, walks, strict=True))}
+            known = [units[u] for u in distinct]
+            number = {u: i if k else -1 for i, (u, k) in enumerate(zip(distinct, known, strict=True))}
             texts = [np.fromiter(map(number.__getitem__, c), np.int32, len(c)) for c in cut]
             texts = [t if not len(t) or t.min() >= 0 else t[:0] for t in texts]
-            known = [w or ("", b"", 0, 0, 0) for w in walks]
+            counts = np.frombuffer(b"".join([k[:16] or bytes(16) for k in known]), np.uint32).reshape(-1, 4).astype(np.int64)
+            n_links = counts[:, 3]
+            ends = (16 + 4 * n_links).tolist()
+            link = np.frombuffer(b"".join([k[16:e] for k, e in zip(known, ends, strict=True)]), np.uint32)
+            known = [k[e:] for k, e in zip(known, ends, strict=True)]
+            groups = [b";".join([known[u] for u in t.tolist()]) for t in texts]
             size = np.array([len(t) for t in texts], np.int64)
             text = np.concatenate(texts)
             sums = lambda x: np.diff(np.append(0, np.cumsum(x[text]))[np.append(0, np.cumsum(size))])  # noqa: E731, B023
-            link = np.frombuffer(b"".join(w[1] for w in known), np.int64)
-            n_links = np.array([len(w[1]) // 8 for w in known], np.int64)
             pair, at = np.unique(link, return_inverse=True)
-            offsets = np.append(0, np.cumsum(n_links))
             of = np.unique(np.repeat(np.arange(chunk.n), size) * max(1, len(known)) + text)  # each unit of a text once
-            which, place = expanded(offsets, of % max(1, len(known)))
+            which, place = expanded(np.append(0, np.cumsum(n_links)), of % max(1, len(known)))
             both = np.unique((of // max(1, len(known)))[which] * max(1, len(pair)) + at[place])
             seen = np.bincount(both % max(1, len(pair)), minlength=len(pair))
-            counts = np.array([w[2:] for w in known], np.int64).reshape(-1, 3)
-            groups = [";".join([known[u][0] for u in t.tolist()]) for t in texts]
             own = [chunk.batch.column(chunk.batch.schema.get_field_index(c)) for c in keep]
-            own += [pa.array(sums(c), pa.int64()) for c in (*counts.T, n_links)]
-            own += [pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()), *[pa.array(groups, pa.string())] * with_groups]
+            own += [pa.array(sums(c), pa.int64()) for c in counts.T]
+            own += [pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()), *[pa.array([g.decode() for g in groups], pa.string())] * with_groups]
             docs = pa.ListArray.from_arrays(pa.array([0, chunk.n], pa.int32()), pa.StructArray.from_arrays(own, names=[*keep, *made]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), docs, pa.array([packed(size, text)], pa.binary()), pa.array([packed(n_links.astype(np.int32), at.astype(np.uint32))], pa.binary()), pa.array([pair], pa.list_(pa.int64())), pa.array([seen], pa.list_(pa.int64()))],
+                [pa.array([uuid.uuid4().hex]), docs, pa.array([packed(size, text)], pa.binary()), pa.array([packed(n_links.astype(np.int32), at.astype(np.uint32))], pa.binary()), pa.array([pair.astype(np.int64)], pa.list_(pa.int64())), pa.array([seen], pa.list_(pa.int64()))],
                 names=["block", "docs", "texts", "links", "pair", "seen"],
             )
         trim(_units.cache_clear)
@@ -229,10 +287,10 @@ def blocks(documents: DataFrame, keep: tuple[str, ...], tokenizers: tuple[str, s
 
 
 def pair_counts(own: DataFrame) -> DataFrame:
-    """pair (a << 32 | b), n (documents that link it), best (no pair with this a is in more)."""
+    """pair (a << BITS | b), n (documents that link it), best (no pair with this a is in more)."""
     counted = own.select(F.explode(F.arrays_zip("pair", "seen")).alias("x")).groupBy(F.col("x.pair").alias("pair")).agg(F.sum("x.seen").alias("n"))
     counted = table(counted, "pairs")
-    a = F.shiftright("pair", 32).alias("a")
+    a = F.shiftright("pair", BITS).alias("a")
     most = counted.groupBy(a).agg(F.max("n").alias("most"))  # a row for each id of the first vocabulary at most
     return counted.withColumn("a", a).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -281,6 +339,7 @@ def walker(tokenizers: tuple[str, str] | None = None) -> Callable[[str], str | N
     def groups(text: str) -> str | None:
         own = units_of(text)
         units.learn([u for u in own if u not in units])
-        return ";".join(units[u][0] for u in own) if all(units[u] for u in own) else None
+        known = [units[u] for u in own]
+        return b";".join(k[16 + 4 * int.from_bytes(k[12:16], "little") :] for k in known).decode() if all(known) else None
 
     return groups

@@ -64,6 +64,13 @@ def test_any_unicode(spark):
     assert got == brute.op12(docs, *sides())
 
 
+def test_latin_texts_are_cut_as_by_the_tokenizer():
+    r = random.Random(12)
+    units = align.Units(*align.default_tokenizers())
+    texts = ["".join(r.choices([*map(chr, range(1, 256)), *"     \n'stdmlreve" * 8], k=r.randint(1, 60))) for _ in range(3000)]
+    assert units.ids_of(texts) == [e.ids for e in units.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_transducer(seed):
     r = random.Random(seed)
