@@ -1,12 +1,11 @@
-"""Fixpoints on triples: components, closure, rules, rank, similarity joins, clusters."""
+"""Fixpoints on triples: components, closure, rules, rank, close names, duplicates by rank."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.similarity import ratio_of, token_sort_of
 from ..functions.terms import jaccard, trigrams
 from ..plans.lineage import LEAST_HOT, cut, hot_join
 
@@ -105,108 +104,6 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
     return rank
 
 
-TILE = 2048  # rows on either side of a tile
-
-
-def tiled_pairs(rows: DataFrame, judge: Callable, block: Column | str | None = None, size: int = TILE) -> DataFrame:
-    """(a, b, score) of the pairs of rows (id, x) that ``judge`` accepts: no pair is left out, and only accepted ones leave a task.
-
-    Rows are dealt into tiles of about ``size``; a task compares two of them.  ``judge`` takes
-    two lists of x (and whether they are one) and gives places and scores.  The work is that of
-    all pairs of a block, in tasks of one size: for similarities that no index can bound.
-    """
-    block = F.lit("all") if block is None else F.col(block) if isinstance(block, str) else block
-    own = rows.select("id", "x", block.alias("block"))
-    largest = own.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    n = max(1, -(-largest // size))
-    dealt = own.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "x")
-    kind = own.schema["id"].dataType.simpleString()
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf["tile"] == key[1]], pdf[pdf["tile"] == key[2]]
-        a, b = left["id"].tolist(), right["id"].tolist()
-        found = [(min(a[k], b[m]), max(a[k], b[m]), s) for k, m, s in judge(left["x"].tolist(), right["x"].tolist(), key[1] == key[2])]
-        return pd.DataFrame(found, columns=["a", "b", "score"])
-
-    return dealt.groupBy("block", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
-
-
-def units(vectors) -> "np.ndarray":  # noqa: F821
-    import numpy as np
-
-    v = np.array([np.asarray(x, float) for x in vectors]) if len(vectors) else np.zeros((0, 1))
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-
-
-def similar_pairs(rows: DataFrame, least: float, block: Column | str | None = None, vector: str = "embedding", id_col: str = "id") -> DataFrame:
-    """a < b (of one block, if there is one) with a cosine of ``least`` or more, by tiles of dot products."""
-
-    def judge(a, b, same):
-        import numpy as np
-
-        if not a or not b:
-            return
-        sims = np.round(units(a) @ units(b).T, 6)
-        if same:
-            sims[np.tril_indices(len(a))] = -2
-        for k, m in zip(*np.nonzero(sims >= least), strict=True):
-            yield int(k), int(m), float(sims[k, m])
-
-    x = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("x"), *([F.col(block) if isinstance(block, str) else block.alias("block")] if block is not None else []))
-    return tiled_pairs(x, judge, None if block is None else x.columns[-1]).withColumnRenamed("score", "sim")
-
-
-def letter_bounds(a, b):
-    """The ratio that each pair could reach at best, by the letters that both have: 2 * common / (sum of lengths)."""
-    import numpy as np
-
-    letters = sorted(set("".join([*a, *b])))
-    count = lambda names: np.array([[s.count(x) for x in letters] for s in names], np.int16).reshape(len(names), len(letters))
-    x, y = count(a), count(b)
-    common = np.zeros((len(a), len(b)), np.int32)
-    for k in range(len(letters)):
-        common += np.minimum.outer(x[:, k], y[:, k])
-    size = np.add.outer(x.sum(1), y.sum(1))
-    return 2 * common / np.maximum(size, 1)
-
-
-def fuzzy_pairs(names: DataFrame, least: float = 0.6) -> DataFrame:
-    """a < b with an edit ratio of ``least`` or more; all pairs, bounded first by their letters."""
-
-    def judge(a, b, same):
-        import numpy as np
-
-        bound = letter_bounds(a, b) if a and b else np.zeros((0, 0))
-        for k, m in zip(*np.nonzero(bound >= least), strict=True):
-            if not (same and k >= m):
-                score = ratio_of(*sorted((a[k], b[m])))
-                if score >= least:
-                    yield int(k), int(m), score
-
-    return tiled_pairs(names.select(F.col("name").alias("id"), F.col("name").alias("x")), judge)
-
-
-def hybrid_pairs(rows: DataFrame, sure: float = 0.92, likely: float = 0.70, tokens: float = 88) -> DataFrame:
-    """a < b of (id, name, vector) with a cosine of ``sure``, or of ``likely`` and a token-sort score of ``tokens``; score: the cosine."""
-
-    def judge(a, b, same):
-        import numpy as np
-
-        if not a or not b:
-            return
-        sims = units([x["vector"] for x in a]) @ units([x["vector"] for x in b]).T
-        if same:
-            sims[np.tril_indices(len(a))] = -2
-        for k, m in zip(*np.nonzero(sims >= likely), strict=True):
-            if sims[k, m] >= sure or token_sort_of(a[k]["name"], b[m]["name"]) >= tokens:
-                yield int(k), int(m), round(float(sims[k, m]), 6)
-
-    return tiled_pairs(rows.select("id", F.struct("name", "vector").alias("x")), judge)
-
-
 def close_names(names: DataFrame, most: int = 3) -> DataFrame:
     """a < b, distance, overlap (of their words): names at most so many edits apart.
 
@@ -260,41 +157,6 @@ def trigram_matches(query: DataFrame, labels: DataFrame, least: float = 0.3) ->
     return hits.join(q, "q").join(x, "label").select("q", "label", F.round(jaccard("tq", "tl"), 6).alias("score")).where(F.col("score") >= least)
 
 
-def leaders(rows: DataFrame, least: float, vector: str = "embedding", order: tuple[str, ...] = ("id",), block: str = "block", centroid: bool = False) -> DataFrame:
-    """(id, leader, similarity): greedy clusters within a block, in the given order.
-
-    Each row joins the first (with ``centroid`` the nearest) cluster whose leader (mean) is
-    similar enough, or leads its own.  The order decides, so a block is one task.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        v = np.array(pdf[vector].tolist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        heads, means, counts, out = [], np.empty((0, v.shape[1])), [], []
-        for i, x in enumerate(v):
-            sims = means @ x / np.maximum(np.linalg.norm(means, axis=1), 1e-12) if heads else np.empty(0)
-            good = np.flatnonzero(sims >= least)
-            if len(good):
-                k = int(good[np.argmax(sims[good])] if centroid else good[0])
-                out.append((k, float(sims[k])))
-                if centroid:
-                    means[k] = (means[k] * counts[k] + x) / (counts[k] + 1)
-                    counts[k] += 1
-            else:
-                out.append((len(heads), 1.0))
-                heads.append(i)
-                counts.append(1)
-                means = np.vstack([means, x])
-        ids = pdf["id"].tolist()
-        return pd.DataFrame({"id": ids, "leader": [ids[heads[k]] for k, _ in out], "similarity": [round(s, 6) for _, s in out]})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy(block).applyInPandas(run, f"id {kind}, leader {kind}, similarity double")
-
-
 def intra_similarity(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per cluster the mean cosine of its pairs (1 for a single member), from the sum of its unit vectors: no pair is formed."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

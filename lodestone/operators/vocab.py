@@ -136,7 +136,7 @@ def normalise(quads: DataFrame, mapping: DataFrame | None = None, name_pass: boo
 
     Escapes, categories, alike predicates, qualified predicates, names (off by default),
     canonical entities (with ``mapping``), canonical predicates (with a mapping, such as
-    that of ``graph.leaders`` over their embeddings).
+    that of ``greedy.leaders`` over their embeddings).
     """
     passes: list[Callable[[DataFrame], DataFrame]] = [decode_names, promote_categorical]
     if collapse:

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .functions import terms as t
 from .functions.similarity import partial_ratio, ratio, token_sort_ratio, weighted_ratio
-from .operators import consolidate as co, evaluate as ev, gate, graph as gr, knowledge as kn, provider, tenancy, text as tx, vocab as vo
+from .operators import consolidate as co, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, passes, provider, similar, tenancy, text as tx, vocab as vo
 from .plans import lineage, registry, rules, sparql
 from .plans.lineage import cut
-from .sources import files, store
+from .sources import files, store, taps
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,19 +345,19 @@ def jn12(spark, d):
 @query("jn13_fuzzy_names")
 def jn13(spark, d):
     """Every pair of names; tests compare it with a loop over all pairs."""
-    return gr.fuzzy_pairs(fx.read(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), 0.6)
+    return similar.ratio_pairs(fx.read(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), 0.6)
 
 
 @query("jn14_cosine_pairs", "select a.vec_id a,b.vec_id b,round(list_cosine_similarity(a.embedding::double[],b.embedding::double[]),6) sim from embeddings a join embeddings b on a.vec_id<b.vec_id where round(list_cosine_similarity(a.embedding::double[],b.embedding::double[]),6)>=0.3")
 def jn14(spark, d):
-    return gr.similar_pairs(fx.read(spark, d, "embeddings"), 0.3, None, "embedding", "vec_id")
+    return similar.cosine_pairs(fx.read(spark, d, "embeddings"), 0.3, None, "embedding", "vec_id")
 
 
 @query("jn15_hybrid_match")
 def jn15(spark, d):
     """Names by their key's vector; the limits are lower than the defaults, as these vectors are random.  Tests compare with a loop over all pairs."""
     e = fx.read(spark, d, "embeddings").join(fx.read(spark, d, "part"), F.col("vec_id") == F.col("p_partkey"))
-    return gr.hybrid_pairs(e.select(F.col("vec_id").alias("id"), F.col("p_name").alias("name"), F.col("embedding").alias("vector")), 0.4, 0.1, 88)
+    return similar.hybrid_pairs(e.select(F.col("vec_id").alias("id"), F.col("p_name").alias("name"), F.col("embedding").alias("vector")), 0.4, 0.1, 88)
 
 
 @query("jn16_label_lookup", "select n_name as label,count(*) n from nation join (select upper(o) m from {star} where p='rdfs:label') x on lower(m)=lower(n_name) group by 1")
@@ -1141,19 +1141,19 @@ def gr09(spark, d):
 
 @query("gr10_threshold_components", "with recursive p as (select a.vec_id a,b.vec_id b from embeddings a join embeddings b on a.vec_id<>b.vec_id where round(list_cosine_similarity(a.embedding::double[],b.embedding::double[]),6)>=0.4), r as (select a n,a m from p union select r.n,p.b from r join p on r.m=p.a) select n iri,min(m) component from r group by n")
 def gr10(spark, d):
-    return gr.components(gr.similar_pairs(fx.read(spark, d, "embeddings"), 0.4, None, "embedding", "vec_id"))
+    return gr.components(similar.cosine_pairs(fx.read(spark, d, "embeddings"), 0.4, None, "embedding", "vec_id"))
 
 
 @query("gr11_centroid_clusters")
 def gr11(spark, d):
     e = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("block"))
-    return gr.leaders(e, 0.4, centroid=True).groupBy("leader").agg(F.count("*").alias("n"))
+    return greedy.leaders(e, 0.4, centroid=True).groupBy("leader").agg(F.count("*").alias("n"))
 
 
 @query("gr12_leader_clusters")
 def gr12(spark, d):
     e = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("block"))
-    return gr.leaders(e, 0.4).groupBy("leader").agg(F.count("*").alias("n"))
+    return greedy.leaders(e, 0.4).groupBy("leader").agg(F.count("*").alias("n"))
 
 
 @query("gr13_same_as", "select 'kc:customer/'||c_custkey s,'owl:sameAs' p,'kc:customer/'||m o from (select c_custkey,min(c_custkey) over(partition by c_nationkey) m from customer) where c_custkey<>m")
@@ -1253,6 +1253,41 @@ def sc08(spark, d):
     return fx.read(spark, d, "part").select("p_name", t.wikilinks(text)[0].alias("first_link"))
 
 
+@query("sc09_tap_source", "select c_custkey,c_name,c_nationkey::bigint c_nationkey,c_acctbal from customer where c_nationkey between 5 and 9")
+def sc09(spark, d):
+    """Customers as a tap's messages, of which each was sent twice, and those of some nations read back."""
+    path = f"{lineage.shared_dir(spark)}/tap-{uuid.uuid4().hex}"
+    rows = fx.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    for _ in range(2):
+        taps.messages(rows, "customer", ["c_custkey"], path)
+    return taps.current(taps.records(spark, path, "customer", "c_nationkey >= 5 AND c_nationkey <= 9"), ["c_custkey"])
+
+
+@query("qp07_entity_links", "with r as (select * from embeddings where vec_id%2=0), n as (select * from embeddings where vec_id%2=1), p as (select n.vec_id i,r.vec_id k,r.label ring,n.label l,round(list_cosine_similarity(n.embedding::double[],r.embedding::double[]),6) c from n join r on round(list_cosine_similarity(n.embedding::double[],r.embedding::double[]),6)>=0.35), b as (select * from p qualify row_number() over(partition by i order by c desc,'r:'||k)=1) select 'r:'||k s,'skos:altLabel' p,'l'||l o,max(c) confidence from b where ring<>l group by k,l")
+def qp07(spark, d):
+    """Half of the vectors are registered, the others are new; labels are those of the table."""
+    e = fx.read(spark, d, "embeddings").select("vec_id", F.concat(F.lit("l"), F.col("label")).alias("label"), F.col("embedding").alias("v"))
+    half = lambda k, name: e.where(F.col("vec_id") % 2 == k).select(F.concat(F.lit(name), F.col("vec_id")).alias("iri"), "label", "v")
+    _, links, _ = passes.link_entities(fx.star(spark, d).limit(0), half(0, "r:"), half(1, "n:"), 0.35)
+    return links.select("s", "p", "o", "confidence")
+
+
+@query("qp04_duplicate_entities")
+def qp04(spark, d):
+    """Parts with much the same names, by hashed trigrams; tests compare with a loop row by row."""
+    q = fx.star(spark, d).where("s LIKE 'kc:part/%'")
+    _, links = passes.deduplicate_entities(q, passes.encoded(passes.labels_of(q)))
+    return links.select("s", "p", "o", "confidence")
+
+
+@query("qp05_equivalent_predicates")
+def qp05(spark, d):
+    """Predicates by hashed trigrams of their names; the graph's triples take the canonical ones."""
+    q = fx.star(spark, d)
+    out, _ = passes.normalise_predicates(q, passes.encoded(q.select(F.col("p").alias("iri"), F.col("p").alias("label")).distinct()), 0.5, rewriting=True)
+    return out.groupBy("p").agg(F.count("*").alias("n"))
+
+
 @query("sc19_remote_graph", "select 'trusted' graph,s,p,o,0.8 confidence from {star} where p='kc:partOf'")
 def sc19(spark, d):
     """Another store's graph, read back with this side's weight."""

@@ -2,9 +2,9 @@
 
 A tap writes files of JSON lines into a folder, whose names ascend as they are
 written.  ``spark.read.format("tap")`` gives the records of one stream, typed by its
-SCHEMA message: a file is read in ranges of bytes by different tasks, filters on
-columns are applied before rows leave the reader, and a line that is no message, or
-one of another stream, gives no row.  ``spark.readStream.format("tap")`` goes from file to
+SCHEMA message: a file is read in ranges of bytes by different tasks, and a line
+that is no message, or one of another stream, gives no row.  A condition given to
+``records`` is applied before rows leave the reader.  ``spark.readStream.format("tap")`` goes from file to
 file: an offset names the last file that was read, so a restart goes on behind it.
 
 A field that a record does not have, or whose value does not fit its type, is null.
@@ -20,7 +20,7 @@ import json
 import posixpath
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith
 
 RANGE = 32 << 20  # bytes of a file that one task reads
@@ -163,11 +163,13 @@ class _Records:
         self.columns, self.path, self.stream = schema, options["path"], options["stream"]
         self.size, self.tests = int(options.get("rangebytes", RANGE)), []
 
-    def read(self, part: Range):
+    def read(self, part: Range | None):
+        if part is None:  # there are no files
+            return
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(self.columns, timezone="UTC")
+        target = to_arrow_schema(self.columns)
         kinds = [(f.name, f.dataType) for f in self.columns]
         names = [n for n, _ in kinds]
         tests = [(names.index(c), test) for c, test in self.tests]
@@ -189,6 +191,13 @@ class _Records:
 
 
 class TapReader(_Records, DataSourceReader):
+    def partitions(self) -> list[Range]:
+        return ranges(files_of(self.path), self.size)
+
+
+class FilteringTapReader(TapReader):
+    """With filters pushed. Spark 4.1 keeps what was pushed last for plans of the same DataFrame that push nothing, so each plan has to push something."""
+
     def pushFilters(self, filters: list[Filter]):  # noqa: N802 - Spark's name
         for f in filters:
             test = test_of(f)
@@ -197,9 +206,6 @@ class TapReader(_Records, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
-        return ranges(files_of(self.path), self.size)
-
 
 class TapStreamReader(_Records, DataSourceStreamReader):
     """An offset is {"file": name of the last file read}; files of a lower name are not looked at again."""
@@ -219,7 +225,7 @@ class TapStreamReader(_Records, DataSourceStreamReader):
 
 
 class TapSource(DataSource):
-    """Options: path, stream, rangeBytes."""
+    """Options: path, stream, rangeBytes; pushFilters as ``records`` sets it."""
 
     @classmethod
     def name(cls) -> str:
@@ -240,17 +246,21 @@ class TapSource(DataSource):
         return found[0]
 
     def reader(self, schema: T.StructType) -> TapReader:
-        return TapReader(schema, self._options())
+        options = self._options()
+        return (FilteringTapReader if options.get("pushfilters") == "true" else TapReader)(schema, options)
 
     def streamReader(self, schema: T.StructType) -> TapStreamReader:  # noqa: N802
         return TapStreamReader(schema, self._options())
 
 
-def records(spark: SparkSession, path: str, stream: str, streaming: bool = False, **options: str) -> DataFrame:
-    """All records of a stream, in a batch or as they arrive."""
+def records(spark: SparkSession, path: str, stream: str, where: Column | str | None = None, streaming: bool = False, **options: str) -> DataFrame:
+    """The records of a stream, in a batch or as they arrive; in a batch, what a reader can test of ``where`` is tested there."""
     spark.dataSource.register(TapSource)
+    if where is None or streaming:
+        out = (spark.readStream if streaming else spark.read).format("tap").options(path=path, stream=stream, **options).load()
+        return out if where is None else out.where(where)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return (spark.readStream if streaming else spark.read).format("tap").options(path=path, stream=stream, **options).load()
+    return spark.read.format("tap").options(path=path, stream=stream, pushFilters="true", **options).load().where(F.col(FILE).isNotNull()).where(where)
 
 
 def current(records: DataFrame, key: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity, terms as t
-from lodestone.operators import consolidate as co, evaluate as ev, gate, graph as gr, knowledge as kn, text as tx, vocab as vo
+from lodestone.operators import consolidate as co, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, text as tx, vocab as vo
 
 
 def rows(df, *cols):
@@ -100,7 +100,7 @@ def test_owl_rules(spark):
 def test_leader_and_centroid_clusters(spark):
     d = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 0)], "id long, embedding array<double>, block int")
     for centroid in (False, True):
-        assert rows(gr.leaders(d, 0.9, centroid=centroid), "id", "leader") == [(1, 1), (2, 1), (3, 3)]
+        assert rows(greedy.leaders(d, 0.9, centroid=centroid), "id", "leader") == [(1, 1), (2, 1), (3, 3)]
 
 
 def test_fragments(spark):
@@ -184,30 +184,6 @@ def test_json_ld_lists(spark):
 # pairs, skew, status, tuning: against loops over everything
 
 
-def test_pairs_by_tiles_equal_loops(spark, monkeypatch):
-    import random
-    from difflib import SequenceMatcher
-
-    r = random.Random(4)
-    names = sorted({"".join(r.choices("abcd ", k=r.randint(0, 9))) for _ in range(60)} | {"hasAuthor", "author", "has_author"})
-    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(3)
-    small = gr.tiled_pairs
-    monkeypatch.setattr(gr, "tiled_pairs", lambda *a, **k: small(*a, **{**k, "size": 7}))
-    ratio = lambda a, b: round(SequenceMatcher(None, a, b, autojunk=False).ratio(), 6)
-    got = {(x.a, x.b): x.score for x in gr.fuzzy_pairs(df, 0.6).collect()}
-    assert got == {(a, b): ratio(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if ratio(a, b) >= 0.6}
-    vectors = [(i, [r.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(50)]
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5  # noqa: E731, B905
-    v = spark.createDataFrame(vectors, "id long, embedding array<double>, label long").repartition(3)
-    want = {(i, j) for i, a, _ in vectors for j, b, _ in vectors if i < j and round(cos(a, b), 6) >= 0.8}
-    assert {(x.a, x.b) for x in gr.similar_pairs(v, 0.8).collect()} == want
-    assert {(x.a, x.b) for x in gr.similar_pairs(v, 0.8, "label").collect()} == {(i, j) for i, j in want if i % 3 == j % 3}
-    named = [(i, n, a) for (i, a, _), n in zip(vectors, ["red bolt", "bolt red", "old ring", "ring"] * 20, strict=False)]
-    got = {(x.a, x.b) for x in gr.hybrid_pairs(spark.createDataFrame(named, "id long, name string, vector array<double>")).collect()}
-    token = lambda s: " ".join(sorted(s.split()))
-    assert got == {(i, j) for i, n, a in named for j, m, b in named if i < j and (cos(a, b) >= 0.92 or (cos(a, b) >= 0.70 and ratio(token(n), token(m)) >= 0.88))}
-
-
 def test_close_names_lose_no_pair(spark):
     import random
 
