@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.terms import hash_share
 
@@ -42,27 +42,34 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, kc:usedBy, source) with a confidence below 0.75 from each document that has the token."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("s")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", token)
+    token = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("s")  # a plain explode would match twice, for a filter on the size
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", token).where("s IS NOT NULL")
     confidence = F.round(0.7499 * hash_share(F.col("doc_id").cast("string"), F.lit("|"), "s"), 6)
     return docs.select("s", F.lit("kc:usedBy").alias("p"), F.col("source").alias("o"), confidence.alias("confidence"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_iri"))
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document, kc:mentions, token of eight letters or more), with the first place as evidence; texts are searched in their row."""
-    def place(o):
-        start = F.instr("low", o) - 1
-        return F.struct(o.alias("o"), start.cast("int").alias("start"), F.substring(F.col("text"), start + 1, F.lit(30)).alias("excerpt"))
+TOKEN_AT = "(?<![A-Za-z])(?=[A-Za-z]{8,})"  # where a token of eight letters or more begins
 
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))  # lower-cased once, not for each token
-    found = F.transform(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z]{8,}"), 0)), place)
-    m = docs.select("doc_id", found.alias("m")).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+
+def mentions(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
+    """(document, kc:mentions, token of eight letters or more); with ``places``, its first place as evidence.
+
+    A text is cut where tokens begin, so what is exploded is as large as the text, and running lengths say where a token is.
+    """
+    docs = read(spark, sf_dir, "documents")
+    if places:
+        by = Window.partitionBy("doc_id").orderBy("pos")
+        cut = docs.select("doc_id", F.posexplode_outer(F.split("text", TOKEN_AT)).alias("pos", "part"))
+        start = F.coalesce(F.sum(F.length("part")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+        excerpt = F.substring(F.concat("part", *[F.coalesce(F.lead("part", k).over(by), F.lit("")) for k in (1, 2, 3)]), 1, 30)
+        m = cut.select("doc_id", start.alias("start"), excerpt.alias("excerpt"), F.lower(F.regexp_extract("part", "^[A-Za-z]{8,}", 0)).alias("o")).where("o <> ''")
+        m = m.groupBy("doc_id", "o").agg(F.min(F.struct("start", "excerpt")).alias("at")).select("doc_id", "o", "at.*")
+    else:
+        m = docs.select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("o")).where("o IS NOT NULL")
     iri = F.concat(F.lit("doc:"), F.col("doc_id"))
     confidence = F.round(hash_share(F.col("doc_id").cast("string"), F.lit("|m|"), "o"), 6)
-    return m.select(
-        iri.alias("s"), F.lit("kc:mentions").alias("p"), "o", confidence.alias("confidence"), iri.alias("source_iri"), F.lit("root").alias("fragment_key"),
-        F.col("start").alias("char_start"), (F.col("start") + F.length("o")).cast("int").alias("char_end"), "excerpt",
-    )
+    claim = m.select(iri.alias("s"), F.lit("kc:mentions").alias("p"), "o", confidence.alias("confidence"), iri.alias("source_iri"), F.lit("root").alias("fragment_key"), *[F.col(x) for x in ("start", "excerpt") if places])
+    return claim.select("*", F.col("start").alias("char_start"), (F.col("start") + F.length("o")).cast("int").alias("char_end")).drop("start") if places else claim
 
 
 def customers_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +93,6 @@ def old_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sameas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one nation and segment with keys that follow one another there."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
     d = customers_nation(spark, sf_dir).withColumn("b", F.lead("s").over(w))
     return d.where("b IS NOT NULL").where(hash_share("s", "b") < 0.5).select(F.col("s").alias("a"), "b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import token_sort_ratio
+from ..functions.similarity import token_sort_of, token_sort_ratio
 from ..functions.terms import cosine
 
 MENTION = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"
@@ -18,16 +18,29 @@ def mentions(fragments: DataFrame, pattern: str = MENTION) -> DataFrame:
 
 
 def catalog(found: DataFrame, alias_score: float = 85, most: int = 50) -> DataFrame:
-    """canonical, aliases, n: the most frequent mentions; a mention joins the most frequent one that starts alike and scores enough."""
+    """canonical, canonical_name, aliases, n: the 2 * ``most`` most frequent mentions in groups; ``most`` groups stay, in the order of their first mention.
+
+    By falling number (then by text) each mention joins the first group whose first mention has a token-sorted score above
+    ``alias_score``, or begins one.  The first mention is the canonical one; its name is a slug of it.  At most 2 * ``most`` rows are compared, in one task.
+    """
+    import pandas as pd
+
     top = found.groupBy("mention").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mention").limit(2 * most)
-    a, b = top.alias("a"), top.alias("b")
-    alike = (F.substring("a.mention", 1, 1) == F.substring("b.mention", 1, 1)) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.mention") > F.col("b.mention"))))
-    pairs = a.join(b, alike).select(F.col("a.mention").alias("mention"), F.col("b.mention").alias("to"), F.col("b.n").alias("k"))
-    pairs = pairs.where(token_sort_ratio("mention", "to") > alias_score)
-    best = pairs.groupBy("mention").agg(F.max_by("to", F.struct("k", "to")).alias("to"))
-    both = top.join(best, "mention", "left").withColumn("canonical", F.coalesce("to", "mention"))
-    out = both.groupBy("canonical").agg(F.array_sort(F.array_remove(F.collect_set("mention"), "")).alias("all"), F.sum("n").alias("n"))
-    return out.select("canonical", F.filter("all", lambda x: x != F.col("canonical")).alias("aliases"), "n").orderBy(F.desc("n"), "canonical").limit(most)
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: list[list] = []
+        for mention, n in pdf.sort_values(["n", "mention"], ascending=[False, True])[["mention", "n"]].itertuples(index=False):
+            home = next((g for g in groups if token_sort_of(mention, g[0]) > alias_score), None)
+            if home is None:
+                groups.append([mention, [], n])
+            else:
+                home[1].append(mention)
+                home[2] += n
+        return pd.DataFrame([(g[0], g[1], g[2], i) for i, g in enumerate(groups[:most])], columns=["canonical", "aliases", "n", "place"])
+
+    out = top.groupBy(F.lit(0)).applyInPandas(group, "canonical string, aliases array<string>, n long, place int")
+    slug = F.regexp_replace(F.regexp_replace(F.lower("canonical"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return out.orderBy("place").select("canonical", F.when(slug == "", "entity").otherwise(slug).alias("canonical_name"), "aliases", "n")
 
 
 def embedding(text: Column, dims: int = 64) -> Column:

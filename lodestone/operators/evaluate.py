@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.terms import alnum, bare, evaluation_label, year
 from ..functions.similarity import ratio_of, token_sort_ratio
+from .similar import ratio_matches
 
 EXACT, PARTIAL = 0.85, 0.5
 
@@ -128,16 +129,19 @@ def resolved_entities(subjects: DataFrame, article: tuple[str, str], candidates:
     """iri, qid, match_type, confidence: the article's own item where the label is its title, else the best candidate by token-sorted ratio.
 
     subjects: iri, context (or null); candidates: label, qid, context.  A candidate of the subject's context gains 0.05.
+    All candidates count, by an index that loses no ratio of ``least``; of equally good ones the first by qid.
     """
     title, qid = article
     named = subjects.select("iri", "context", evaluation_label("iri").alias("label"))
     same = F.lower(F.trim("label")) == F.lit(title.lower().strip())
     own = named.where(same & F.lit(bool(qid))).select("iri", F.lit(qid).alias("qid"), F.lit("sitelink").alias("match_type"), F.lit(1.0).alias("confidence"))
-    rest = named.where(~same if qid else F.lit(True)).withColumn("word", F.explode(F.array_distinct(F.split(F.lower("label"), r"\s+"))))
-    other = candidates.select(F.col("label").alias("other"), "qid", F.col("context").alias("kind")).withColumn("word", F.explode(F.array_distinct(F.split(F.lower("other"), r"\s+"))))
-    pairs = rest.join(other, "word").select("iri", "context", "label", "other", "qid", "kind").distinct()
-    scored = pairs.withColumn("ratio", token_sort_ratio("label", "other")).where(F.col("ratio") >= least)
-    best = F.max_by(F.struct("qid", "ratio", "kind", "context"), F.struct("ratio", "qid")).alias("b")
+    rest = named.where(~same if qid else F.lit(True))
+    other = candidates.select(F.col("label").alias("other"), "qid", F.col("context").alias("kind"))
+    words = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")), " ")
+    alike = ratio_matches(rest.select(words("label").alias("name")), other.select(words("other").alias("name")), least / 100 - 1e-6)
+    rest, other = rest.withColumn("a", words("label")), other.withColumn("b", words("other"))
+    scored = rest.join(alike, "a").join(other, "b").withColumn("ratio", F.round(100 * F.col("score"), 4)).where(F.col("ratio") >= least)
+    best = F.min_by(F.struct("qid", "ratio", "kind", "context"), F.struct(-F.col("ratio"), F.col("qid"))).alias("b")
     bonus = F.when(F.col("b.context") == F.col("b.kind"), 0.05).otherwise(0.0)
     kind = F.when(F.col("b.ratio") < 100, "fuzzy_label").otherwise("label")
     found = scored.groupBy("iri").agg(best).select("iri", "b.qid", kind.alias("match_type"), F.round(F.least(F.lit(1.0), F.col("b.ratio") / 100 + bonus), 6).alias("confidence"))

@@ -68,7 +68,7 @@ def grounding(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     per = mentions.groupBy("source_iri").agg(F.collect_list(F.struct(*columns)).alias("m"))
     judged = F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in mentions.columns if c != "source_iri"], grounded(x["excerpt"], F.col("text")).alias("grounded")))
     both = per.join(docs.select("source_iri", "text"), "source_iri").select("source_iri", judged.alias("m"))
-    return both.select("source_iri", F.explode("m").alias("m")).select("source_iri", "m.*")
+    return both.select("source_iri", F.explode_outer("m").alias("m")).select("source_iri", "m.*")  # never empty; a plain explode would search twice, for a filter on the size
 
 
 def hash_status(fragments: DataFrame, prior: DataFrame, force: bool = False) -> DataFrame:

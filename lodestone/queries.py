@@ -94,7 +94,7 @@ def pf02r(spark, d):
 
 @query("pf03_route", "select case when confidence>=0.75 then 'trusted' when confidence>=0.35 then 'tentative' else 'discard' end graph,count(*) n from {mentions} group by 1")
 def pf03(spark, d):
-    return fx.mentions(spark, d).groupBy(gate.route().alias("graph")).agg(F.count("*").alias("n"))
+    return fx.mentions(spark, d, places=False).groupBy(gate.route().alias("graph")).agg(F.count("*").alias("n"))
 
 
 @query("pf04_noise_sections", "select count(*) n from {star} where p='rdfs:label' and (lower(o)='nation_1' or lower(o) like 'nation\\_1%' escape '\\' or lower(o) like 'red%')")
@@ -252,7 +252,7 @@ def pf28(spark, d):
 
 @query("jn01_fragments_sources", "select lang,count(*) n from {mentions} m join documents on m.source_iri='doc:'||doc_id where lang<>'en' group by lang")
 def jn01(spark, d):
-    return fx.mentions(spark, d).select("source_iri").join(documents(spark, d).select("source_iri", "lang").where("lang <> 'en'"), "source_iri").groupBy("lang").agg(F.count("*").alias("n"))
+    return fx.mentions(spark, d, places=False).select("source_iri").join(documents(spark, d).select("source_iri", "lang").where("lang <> 'en'"), "source_iri").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("jn02_runs_report", "select profile,outcome,lang,count(*) n,sum(tokens) tokens from {runs} r join documents on r.source_iri='doc:'||doc_id group by all")
@@ -380,7 +380,7 @@ def jn18(spark, d):
 
 
 def some_dependencies(spark, d):
-    return kn.dependencies(fx.mentions(spark, d).select(F.col("o").alias("s"), "p", "source_iri", "fragment_key"))
+    return kn.dependencies(fx.mentions(spark, d, places=False).select(F.col("o").alias("s"), "p", "source_iri", "fragment_key"))
 
 
 @query("jn19_dependents", "select distinct o as artifact from {mentions} where source_iri in ('doc:1','doc:2','doc:3')")
@@ -750,7 +750,7 @@ def wn04(spark, d):
 
 @query("wn05_top_per_fragment", "select source_iri,o,n_capped from (select source_iri,o,row_number() over(partition by source_iri,fragment_key order by confidence desc,s,p,o) r,greatest(0,count(*) over(partition by source_iri,fragment_key)-5) n_capped from {mentions}) where r<=5")
 def wn05(spark, d):
-    return gate.top_per_fragment(fx.mentions(spark, d), 5).select("source_iri", "o", "n_capped")
+    return gate.top_per_fragment(fx.mentions(spark, d, places=False), 5).select("source_iri", "o", "n_capped")
 
 
 @query("wn06_ring_buffer", "select user_id,event_id from (select *,row_number() over(partition by user_id order by event_id desc) r from events) where r<=15")
@@ -874,7 +874,7 @@ def st02(spark, d):
 
 @query("st03_both_graphs", "select graph,count(*) n from (select 'trusted' graph from {star} union all select case when confidence>=0.75 then 'trusted' when confidence>=0.35 then 'tentative' else 'discard' end from {mentions}) where graph<>'discard' group by graph")
 def st03(spark, d):
-    routed = fx.mentions(spark, d).select(gate.route().alias("graph"))
+    routed = fx.mentions(spark, d, places=False).select(gate.route().alias("graph"))
     return fx.star(spark, d).select("graph").unionAll(routed).where("graph <> 'discard'").groupBy("graph").agg(F.count("*").alias("n"))
 
 
@@ -1324,7 +1324,7 @@ def sc24(spark, d):
 
 @query("sc25_clear_graph", "select case when confidence>=0.75 then 'trusted' else 'tentative' end graph,count(*) n from {mentions} where confidence>=0.75 group by 1")
 def sc25(spark, d):
-    routed = fx.mentions(spark, d).withColumn("graph", gate.route())
+    routed = fx.mentions(spark, d, places=False).withColumn("graph", gate.route())
     return routed.where("graph NOT IN ('tentative', 'discard')").groupBy("graph").agg(F.count("*").alias("n"))
 
 
