@@ -84,23 +84,62 @@ def verify(triples: DataFrame, drop: float = 0.4, boost: float = 0.8) -> DataFra
     return triples.withColumn("action", action).withColumn("after", F.when(action == "boost", F.greatest("confidence", "score")).otherwise(F.col("confidence")))
 
 
+def minimal_hitting_set(sets: list[frozenset[str]]) -> tuple[str, ...]:
+    """The smallest set of names that has one of each set in it; of equally small ones the first by its sorted names.
+
+    Branch and bound: the first bound is a greedy set, a branch takes one of the names of the set with the fewest, and it
+    ends where the sets that are left need more than the bound (as many as are pairwise without a common name).
+    """
+    sets = [s for s in set(sets) if not any(o < s for o in sets)]  # what hits a part hits the whole
+    greedy, left = [], sets
+    while left:
+        names = set().union(*left)
+        best = min(names, key=lambda x: (-sum(x in s for s in left), x))
+        greedy.append(best)
+        left = [s for s in left if best not in s]
+    found = (len(greedy), tuple(sorted(greedy)))
+
+    def apart(rest: list[frozenset[str]]) -> int:
+        n, used = 0, set()
+        for s in sorted(rest, key=len):
+            if not s & used:
+                n, used = n + 1, used | s
+        return n
+
+    def go(chosen: tuple[str, ...], rest: list[frozenset[str]], barred: frozenset[str]) -> None:
+        nonlocal found
+        if not rest:
+            found = min(found, (len(chosen), tuple(sorted(chosen))))
+            return
+        if len(chosen) + apart([s - barred for s in rest]) > found[0]:
+            return
+        pick = min((s - barred for s in rest), key=lambda s: (len(s), sorted(s)))
+        for x in sorted(pick):
+            go((*chosen, x), [s for s in rest if x not in s], barred)
+            barred |= {x}  # sets with x have been tried
+            if any(s <= barred for s in rest):
+                return
+
+    go((), sets, frozenset())
+    return found[1]
+
+
 def explain_conflicts(triples: DataFrame) -> DataFrame:
-    """For each conflict a small set of sources that covers all its objects, greedily: most objects first, then by name."""
+    """s, p, sources: for each conflict the smallest set of sources that states all its objects (ties by name), comma-joined.
+
+    A source that states no object alone may be left out; sets of sources that several objects share reach a task once.
+    An object without a source is left out.
+    """
     import pandas as pd
 
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(pdf["o"])
-        by = pdf.groupby("source_iri")["o"].agg(set).to_dict()
-        chosen = []
-        while left:
-            best = min(by, key=lambda x: (-len(by[x] & left), x))
-            chosen.append(best)
-            left -= by[best]
-        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "p": [pdf["p"].iloc[0]], "sources": [",".join(sorted(chosen))]})
+    def smallest(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen = minimal_hitting_set([frozenset(x) for x in pdf["sources"]])
+        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "p": [pdf["p"].iloc[0]], "sources": [",".join(chosen)]})
 
     groups = contradictions(triples).select("s", "p")
-    rows = triples.join(groups, ["s", "p"], "left_semi").select("s", "p", "o", "source_iri").distinct()
-    return rows.groupBy("s", "p").applyInPandas(cover, "s string, p string, sources string")
+    rows = triples.where("source_iri IS NOT NULL").join(groups, ["s", "p"], "left_semi")
+    families = rows.groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("source_iri")).alias("sources")).select("s", "p", "sources").distinct()
+    return families.groupBy("s", "p").applyInPandas(smallest, "s string, p string, sources string")
 
 
 def ensemble_merge(votes: DataFrame, agreement: float = 0.5) -> DataFrame:

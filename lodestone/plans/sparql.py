@@ -43,6 +43,7 @@ class SparqlError(ValueError):
 class Term:
     kind: str  # var, iri, literal
     value: str
+    number: bool = field(default=False, compare=False)  # written as one
 
 
 @dataclass
@@ -73,7 +74,7 @@ class Query:
 
 
 IRI_LIKE = r"^[A-Za-z][\w-]*:\S+$"
-AGGREGATES = {"COUNT", "SUM", "MIN", "MAX", "AVG"}
+AGGREGATES = {"COUNT", "SUM", "MIN", "MAX", "AVG", "GROUP_CONCAT", "SAMPLE"}
 
 
 class Parser:
@@ -120,7 +121,7 @@ class Parser:
             body = re.match(r'"((?:[^"\\]|\\.)*)"', value)[1]
             return Term("literal", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), body))
         if kind == "number":
-            return Term("literal", value)
+            return Term("literal", value, number=True)
         if kind == "word" and value == "a":
             return Term("iri", "rdf:type")
         if kind == "word" and value.lower() in ("true", "false"):
@@ -128,7 +129,7 @@ class Parser:
         raise SparqlError(f"a term is missing at {value!r}")
 
     def path(self):
-        """A term, or ("alt" | "seq", parts) or ("inv" | "plus" | "star" | "opt", part)."""
+        """A term, or ("alt" | "seq", parts), ("inv" | "plus" | "star" | "opt", part) or ("not", [(predicate, whether backwards)])."""
         options = [self.sequence()]
         while self.word("|"):
             options.append(self.sequence())
@@ -143,6 +144,16 @@ class Parser:
     def step(self):
         if self.word("^"):
             return ("inv", self.step())
+        if self.word("!"):
+            several, barred = self.word("("), []
+            while True:
+                back = bool(self.word("^"))
+                barred.append((self.term(), back))
+                if not several or not self.word("|"):
+                    break
+            if several:
+                self.need(")")
+            return ("not", barred)
         if self.word("("):
             p = self.path()
             self.need(")")
@@ -289,6 +300,9 @@ class Parser:
             distinct = bool(self.word("DISTINCT"))
             args = []
             while not self.word(")"):
+                if self.word(";"):  # GROUP_CONCAT(... ; SEPARATOR = "...")
+                    self.need("SEPARATOR")
+                    self.need("=")
                 args.append(("all",) if self.word("*") else self.expression())
                 self.word(",")
             return ("call", name, distinct, args)
@@ -394,6 +408,11 @@ def number(x: Column) -> Column:
     return x.try_cast("double")
 
 
+def numeric(e: tuple) -> bool:
+    """Whether an expression is a number by how it is written."""
+    return e[0] in ("+", "-", "*", "/") or (e[0] == "term" and e[1].number) or (e[0] == "call" and e[1] in ("STRLEN", "ABS"))
+
+
 def expression(e: tuple, columns: list[str]) -> Column:
     """An expression's value: text for terms, boolean for tests, double for arithmetic."""
     op = e[0]
@@ -414,6 +433,9 @@ def expression(e: tuple, columns: list[str]) -> Column:
     if op in ("=", "!=", "<", ">", "<=", ">="):
         a, b = (expression(x, columns) for x in e[1:])
         test = lambda x, y: {"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
+        if numeric(e[1]) or numeric(e[2]):  # what is no number has no place in their order, and is another value
+            both = test(number(a), number(b))
+            return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(both, F.lit(op == "!="))) if op in ("=", "!=") else both
         numbers = number(a).isNotNull() & number(b).isNotNull()
         return F.when(numbers, test(number(a), number(b))).otherwise(test(a.cast("string"), b.cast("string")))
     _, name, _, args = e
@@ -464,7 +486,12 @@ def aggregate(e: tuple, names: list[str]) -> Column:
     x = F.lit(1) if args[0] == ("all",) else expression(args[0], names)
     if f == "COUNT":
         return F.count_distinct(x) if distinct else F.count(x)
-    if f in ("SUM", "AVG"):
+    if f == "GROUP_CONCAT":  # in the order of the values, as SPARQL leaves it open
+        texts = (F.collect_set if distinct else F.collect_list)(x.cast("string"))
+        return F.array_join(F.array_sort(texts), args[1][1].value if len(args) > 1 else " ")
+    if f == "SAMPLE":
+        return F.min(x)
+    if f in ("SUM", "AVG"):  # of the numbers among the values
         return {"SUM": F.sum_distinct if distinct else F.sum, "AVG": F.avg}[f](number(x))
     least, most = F.struct(number(x).isNull(), number(x), x), F.struct(number(x).isNotNull(), number(x), x)
     return F.min_by(x, F.when(x.isNotNull(), least)) if f == "MIN" else F.max_by(x, F.when(x.isNotNull(), most))
@@ -595,6 +622,17 @@ class Engine:
         if what == "inv":
             back = self.relation(inner, graph).where(c("_o@") != "literal").select(F.col("_o").alias("_s"), F.col("_s").alias("_o"), F.lit("iri").alias("_o@"))
             return back.where(F.col("_s") == start) if start else back
+        if what == "not":
+            ways = []
+            for back in (False, True):
+                barred = [t.value for t, b in inner if b == back]
+                if barred:
+                    other = rows.where(~F.col("p").isin(barred))
+                    ends = other.select(F.col("s").alias("_s"), F.col("o").alias("_o"), F.col("o_kind").alias("_o@"))
+                    if back:
+                        ends = ends.where(c("_o@") != "literal").select(F.col("_o").alias("_s"), F.col("_s").alias("_o"), F.lit("iri").alias("_o@"))
+                    ways.append(ends.where(F.col("_s") == start) if start else ends)
+            return reduce(DataFrame.unionByName, ways)
         if what == "alt":
             return reduce(DataFrame.unionByName, [self.relation(x, graph, start) for x in inner])
         if what == "seq":

@@ -27,6 +27,17 @@ def got(df):
         ("SELECT ?x ?l WHERE { ?x :knows ?y OPTIONAL { ?x :label ?l } }", [("a", "Ada"), ("b", None), ("c", None)]),
         ("SELECT ?x WHERE { { ?x :age ?y } UNION { ?x :label ?y } }", [("a",), ("b",), ("c",)]),
         ("SELECT ?x WHERE { ?x :age ?n FILTER(?n > 6) }", [("b",)]),
+        ("SELECT ?x ?n WHERE { ?x :age|:label ?n FILTER(?n > 6) }", [("b", "40")]),
+        ("SELECT ?x WHERE { ?x :age|:label ?n FILTER(?n < 6 || ?n >= 40) }", [("b",), ("c",)]),
+        ("SELECT ?n WHERE { ?x :age|:label ?n FILTER(?n != 5) }", [("40",), ("Ada",)]),
+        ("SELECT ?n WHERE { ?x :age|:label ?n FILTER(?n = 5.0) }", [("5",)]),
+        ("SELECT ?n WHERE { ?x :age|:label ?n FILTER(!(?n > 6)) }", [("5",)]),
+        ("SELECT ?y WHERE { <a> !:knows ?y }", [("Ada",), ("C",)]),
+        ("SELECT ?y WHERE { <b> !(:knows|:label) ?y }", [("40",)]),
+        ("SELECT ?x ?y WHERE { ?x !(a|:age|:label|^:label) ?y }", [("C", "a"), ("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]),
+        ("SELECT (GROUP_CONCAT(?y; SEPARATOR = \", \") AS ?l) WHERE { ?x :age ?y }", [("40, 5",)]),
+        ("SELECT ?x (GROUP_CONCAT(DISTINCT ?y) AS ?l) WHERE { ?x :age|:knows|:age ?y } GROUP BY ?x", [("a", "b"), ("b", "40 c"), ("c", "5 a")]),
+        ("SELECT ?p (SAMPLE(?y) AS ?l) WHERE { ?x ?p ?y } GROUP BY ?p HAVING(COUNT(?y) > 2)", [("knows", "a")]),
         ("SELECT ?x WHERE { ?x :age ?n } ORDER BY DESC(?n) LIMIT 1", [("b",)]),
         ("SELECT ?x WHERE { ?x :knows ?y FILTER NOT EXISTS { ?x :age ?n } }", [("a",)]),
         ("SELECT ?x WHERE { ?x :knows ?y FILTER EXISTS { ?x :age ?n } }", [("b",), ("c",)]),
