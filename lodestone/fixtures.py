@@ -61,9 +61,15 @@ def mentions(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame
         by = Window.partitionBy("doc_id").orderBy("pos")
         cut = docs.select("doc_id", F.posexplode_outer(F.split("text", TOKEN_AT)).alias("pos", "part"))
         start = F.coalesce(F.sum(F.length("part")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-        excerpt = F.substring(F.concat("part", *[F.coalesce(F.lead("part", k).over(by), F.lit("")) for k in (1, 2, 3)]), 1, 30)
-        m = cut.select("doc_id", start.alias("start"), excerpt.alias("excerpt"), F.lower(F.regexp_extract("part", "^[A-Za-z]{8,}", 0)).alias("o")).where("o <> ''")
-        m = m.groupBy("doc_id", "o").agg(F.min(F.struct("start", "excerpt")).alias("at")).select("doc_id", "o", "at.*")
+        more = F.concat("part", *[F.coalesce(F.lead("part", k).over(by), F.lit("")) for k in (1, 2, 3)])
+        tokens = cut.select("doc_id", start.alias("start"), more.alias("more"), F.lower(F.regexp_extract("part", "^[A-Za-z]{8,}", 0)).alias("token")).where("token <> ''")
+        # a token's first place can be inside a longer one
+        n = F.length("token")
+        inside = F.flatten(F.transform(F.sequence(F.lit(0), n - 8), lambda i: F.transform(F.sequence(F.lit(8), n - i), lambda k: F.struct(i.alias("i"), k.alias("k")))))
+        at = tokens.select("doc_id", "start", "more", "token", F.explode_outer(inside).alias("x"))
+        o = F.substring(F.col("token"), F.col("x.i") + 1, F.col("x.k"))
+        first = F.min(F.struct((F.col("start") + F.col("x.i")).alias("start"), F.substring(F.col("more"), F.col("x.i") + 1, F.lit(30)).alias("excerpt")))
+        m = at.groupBy("doc_id", o.alias("o")).agg(first.alias("at"), F.max(F.col("x.k") == n).alias("whole")).where("whole").select("doc_id", "o", "at.*")
     else:
         m = docs.select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("o")).where("o IS NOT NULL")
     iri = F.concat(F.lit("doc:"), F.col("doc_id"))

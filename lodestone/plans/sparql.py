@@ -1,8 +1,9 @@
 """SPARQL on quads: a recursive-descent parser and its compilation to DataFrames.
 
-Supported: SELECT [DISTINCT] with COUNT, SUM, MIN, MAX, AVG (alone or inside expressions),
-GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET; sub-SELECT; ASK; CONSTRUCT; DESCRIBE; FROM;
-GRAPH; basic graph patterns with ; and , and property paths (/ | ^ + * ? and brackets);
+Supported: SELECT [DISTINCT] with COUNT, SUM, MIN, MAX, AVG, GROUP_CONCAT, SAMPLE (alone or
+inside expressions), GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET; sub-SELECT; ASK; CONSTRUCT;
+DESCRIBE; FROM; GRAPH; SERVICE [SILENT]; basic graph patterns with ; and , and property paths
+(/ | ^ + * ? ! and brackets);
 OPTIONAL; UNION; MINUS; FILTER and FILTER [NOT] EXISTS; VALUES with UNDEF; BIND; INSERT
 DATA, DELETE DATA, DELETE WHERE, and DELETE/INSERT ... WHERE.
 
@@ -74,6 +75,7 @@ class Query:
 
 
 IRI_LIKE = r"^[A-Za-z][\w-]*:\S+$"
+MOST_KEYS = 1000  # values that are sent to another store as a filter; beyond them its rows are joined as they are
 AGGREGATES = {"COUNT", "SUM", "MIN", "MAX", "AVG", "GROUP_CONCAT", "SAMPLE"}
 
 
@@ -193,6 +195,9 @@ class Parser:
             elif self.word("GRAPH"):
                 name = self.term()
                 g.parts.append(("graph", name, self.group()))
+            elif self.word("SERVICE"):
+                silent = bool(self.word("SILENT"))
+                g.parts.append(("service", self.term(), silent, self.group()))
             elif self.word("FILTER"):
                 if self.word("EXISTS"):
                     g.parts.append(("exists", self.group()))
@@ -209,6 +214,8 @@ class Parser:
                 self.need(")")
             elif self.word("VALUES"):
                 g.parts.append(self.values())
+            elif self.peek()[1].upper() == "SELECT":
+                g.parts.append(("select", self.query()))
             elif self.peek()[1] == "{" and self.peek(1)[1].upper() == "SELECT":
                 self.need("{")
                 g.parts.append(("select", self.query()))
@@ -526,12 +533,20 @@ def combined(a: Solutions, b: Solutions, how: str = "inner", filters: list[tuple
     return out.drop(*[f"_right_{k}{at}" for k in keys for at in ("", "@")]), after
 
 
+def flat(g: Group) -> list[tuple]:
+    """The triple patterns that all solutions of a group match."""
+    out = [t for part in g.parts if part[0] == "triples" for t in part[1]]
+    return out + [t for part in g.parts if part[0] == "graph" for t in flat(part[2])]
+
+
 class Engine:
     """Queries over a DataFrame of quads (graph, s, p, o, o_kind and, if wanted, confidence)."""
 
-    def __init__(self, quads: DataFrame, graph: str | None = None):
-        self.quads, self.graph = quads, graph
+    def __init__(self, quads: DataFrame, graph: str | None = None, services: dict[str, DataFrame] | None = None, most_keys: int = MOST_KEYS):
+        """``services``: the quads of other stores by the address that SERVICE names."""
+        self.quads, self.graph, self.services, self.most_keys = quads, graph, services or {}, most_keys
         self.spark = quads.sparkSession
+        self.bound: dict[str, list[str]] = {}  # values of a variable outside, when this engine answers for another one
 
     def query(self, text: str) -> DataFrame:
         parser = Parser(text)
@@ -610,6 +625,8 @@ class Engine:
                 rows = rows.where(F.col(column) == F.col(seen[t.value]))
             else:
                 seen[t.value] = column
+                if t.value in self.bound:
+                    rows = rows.where(F.col(column).isin(self.bound[t.value]))
         return rows.select(*[F.col(column).alias(v) for v, column in seen.items()], *[(F.col("o_kind") if column == "o" else F.lit("iri")).alias(v + "@") for v, column in seen.items()])
 
     def relation(self, path, graph, start: str | None = None) -> DataFrame:
@@ -693,6 +710,21 @@ class Engine:
                 found = found.where(expression(e, found.columns))
         return (found, maybe), far
 
+    def service(self, name: Term, silent: bool, g: Group, before: Solutions | None) -> Solutions | None:
+        """The solutions of another store; if few values of a common variable are known, its scans read only those (a bind join)."""
+        if name.value not in self.services:
+            if silent:
+                return None
+            raise SparqlError(f"unknown service {name.value}")
+        there = Engine(self.services[name.value], services=self.services, most_keys=self.most_keys)
+        if before:
+            common = sorted({t.value for triple in flat(g) for t in triple if isinstance(t, Term) and t.kind == "var"} & set(before[0].columns) - before[1])
+            for v in common[:1]:
+                keys = [r[0] for r in before[0].select(c(v)).distinct().limit(self.most_keys + 1).collect()]
+                if len(keys) <= self.most_keys:
+                    there.bound[v] = keys
+        return there.group(g, None)
+
     def group(self, g: Group, graph) -> Solutions:
         triples: list = []
         out: Solutions | None = None
@@ -713,9 +745,15 @@ class Engine:
                 add(self.group(part[2], part[1].value if part[1].kind == "iri" else part[1]))
             elif what == "path":
                 add(self.along(*part[1:], graph))
+            elif what == "service":
+                rows = self.service(*part[1:], out)
+                if rows:
+                    add(rows)
             elif what == "select":
                 q = part[1]
+                bound, self.bound = self.bound, {}  # measures are over all its rows
                 rows = self.selected(self.group(q.where, q.graph or graph), q)
+                self.bound = bound
                 names = rows.columns
                 kinds = {n + "@": F.lit("literal") if any(m == n and e for m, e in q.select) else F.when(c(n).rlike(IRI_LIKE), "iri").otherwise("literal") for n in names}
                 add((rows.withColumns({n: c(n).cast("string") for n in names} | kinds), frozenset(names)))

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .functions import terms as t
 from .functions.similarity import partial_ratio, ratio, token_sort_ratio, weighted_ratio
-from .operators import consolidate as co, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, passes, provider, similar, tenancy, text as tx, vocab as vo
-from .plans import lineage, registry, rules, sparql
+from .operators import consolidate as co, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, lexrank, passes, provider, similar, tenancy, text as tx, vocab as vo
+from .plans import datalog, lineage, registry, rules, sparql
 from .plans.lineage import cut
 from .sources import files, store, taps
-from .streaming import streams
+from .streaming import outbox, streams, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1234,6 +1234,29 @@ def gr23(spark, d):
     return co.explain_conflicts(fx.conflicts(spark, d)).groupBy("sources").agg(F.count("*").alias("n"))
 
 
+@query("gr24_recursive_paths", f"with recursive e as (select s,o from {{star}} where p in ('kc:partOf','kc:inNation','kc:placedBy')), c as (select s,o from e union select c.s,e.o from c join e on c.o=e.s) select o,count(*) n from c group by o")
+def gr24(spark, d):
+    """Orders, customers, suppliers and nations within what they lead to, by recursive rules."""
+    found = datalog.infer(fx.star(spark, d).where("p IN ('kc:partOf', 'kc:inNation', 'kc:placedBy')"), """
+        ?x kc:within ?y :- ?x kc:partOf ?y .
+        ?x kc:within ?y :- ?x kc:inNation ?y .
+        ?x kc:within ?y :- ?x kc:placedBy ?y .
+        ?x kc:within ?z :- ?x kc:within ?y, ?y kc:within ?z .
+    """)
+    return found.groupBy("o").agg(F.count("*").alias("n"))
+
+
+@query("gr24_absence", "with c as (select s from {star} where p='rdf:type' and o='kc:Customer'), idle as (select s from c where s not in (select o from {star} where p='kc:placedBy')), busy as (select distinct a.o from {star} a where a.p='kc:inNation' and a.s in (select s from c) and a.s not in (select s from idle)) select s,'kc:idle' p,'yes' o from idle union all select s,'kc:rich',o from (select s,o from {star} where p='kc:balance' and o::double>9000) where s in (select s from idle) union all select distinct o,'kc:quiet','yes' from {star} where p='inNation' and o not in (select o from busy)")
+def gr24a(spark, d):
+    """Customers without orders, and what follows from that, by rules in three strata."""
+    return datalog.infer(fx.star(spark, d), """
+        ?c kc:idle "yes" :- ?c rdf:type kc:Customer, not ?o kc:placedBy ?c .
+        ?c kc:rich ?b :- ?c kc:idle "yes", ?c kc:balance ?b, ?b > 9000 .
+        ?n kc:busy "yes" :- ?c kc:inNation ?n, ?c rdf:type kc:Customer, not ?c kc:idle "yes" .
+        ?n kc:quiet "yes" :- ?c kc:inNation ?n, not ?n kc:busy "yes", ?n kc:never "so" .
+    """).where("p <> 'kc:busy'")
+
+
 @query("gr25_competency_questions", "select * from (values ('cq1',true),('cq2',false),('cq3',true)) v(id,passed)")
 def gr25(spark, d):
     return rules.competency(fx.star(spark, d), QUESTIONS)
@@ -1296,6 +1319,16 @@ def sc19(spark, d):
     return store.Store(spark, f"{there}-own").remote(there, "trusted").select("graph", "s", "p", "o", "confidence")
 
 
+@query("sc19_service", "select a.s customer,b.o region from {star} a join {star} b on b.s=a.o and b.p='kc:partOf' where a.p='kc:inNation' and a.s like 'kc:customer/%'")
+def sc19s(spark, d):
+    """Customers here, nations in another store: SERVICE sends it the nations that are asked for."""
+    there = f"{lineage.shared_dir(spark)}/remote-{uuid.uuid4().hex}"
+    q = fx.star(spark, d)
+    store.Store(spark, there).load(q.where("p = 'kc:partOf'"))
+    here = sparql.Engine(q.where("p = 'kc:inNation' AND s LIKE 'kc:customer/%'"), services={"http://remote.example/sparql": store.Store(spark, there).read("trusted")})
+    return here.query("SELECT ?customer ?region WHERE { ?customer kc:inNation ?n SERVICE <http://remote.example/sparql> { GRAPH <trusted> { ?n kc:partOf ?region } } }")
+
+
 @query("sc20_graph_scan", "select s,p,o from {star} where p='kc:partOf'")
 def sc20(spark, d):
     return sparql.Engine(fx.star(spark, d)).query("SELECT ?s ?p ?o WHERE { GRAPH <trusted> { ?s ?p ?o } FILTER(?p = kc:partOf) }")
@@ -1923,6 +1956,43 @@ def ud05(spark, d):
     return spark.sql(" UNION ALL ".join(parts))
 
 
+@query("ud05_sparql_in_sql", "select b.o segment,count(*) n,round(avg(a.o::double),4) balance from {star} a join {star} b on a.s=b.s and b.p='kc:segment' where a.p='kc:balance' and a.o::double>100 and a.s like 'kc:customer/%' group by 1")
+def ud05s(spark, d):
+    """The solutions of a SPARQL query inside SQL, joined with the quads."""
+    q = fx.star(spark, d)
+    registry.register_sql(q)
+    return registry.sql(q, "SELECT b.o AS segment, count(*) AS n, round(avg(double(x.n)), 4) AS balance FROM kc_sparql('SELECT ?s ?n WHERE { ?s a kc:Customer ; kc:balance ?n FILTER(?n > 100) }') x JOIN kc_quads b ON b.s = x.s AND b.p = 'kc:segment' GROUP BY b.o")
+
+
+@query("ud05_shacl_score", "select round(1-(select count(distinct s) from {star} where p='kc:size' and o::int>40)/count(distinct s),6) score,(select count(distinct s) from {star} where p='kc:size' and o::int>40) bad from {star}")
+def ud05c(spark, d):
+    registry.register_sql(fx.star(spark, d), bundles={"sizes": [("big", "kc:Part", "kc:size", "maxInclusive", "40")]})
+    return spark.sql("SELECT kc_shacl_score('trusted') AS score, (SELECT count(*) FROM kc_load_shape_bundle('sizes')) AS bad")
+
+
+@query("tx10_lexrank")
+def tx10l(spark, d):
+    """The three most central sentences of each text; tests compare ranks with a plain walk."""
+    return lexrank.summaries(documents(spark, d)).select("source_iri", "summary")
+
+
+@query("sm04_scores", "select event_type \"key\",count(*) n,sum((u%3=0)::int)::bigint n_bad,round(1-sum((u%3=0)::int)/count(*),6) score from (select event_type,user_id u,arg_max(event_id%4,(ts,event_id)) last from events group by 1,2) where last<>0 group by 1")
+def sm04(spark, d):
+    """Each user's last event of a kind puts it there or removes it; the table's form of the streaming view, which tests compare with it."""
+    last = F.max_by(F.col("event_id") % 4, F.struct("ts", "event_id")).alias("last")
+    e = fx.read(spark, d, "events").groupBy("event_type", "user_id").agg(last, F.max("ts").alias("ts"))
+    changes = e.select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("id"), F.when(F.col("last") == 0, "remove").otherwise("put").alias("op"), "ts", F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).alias("n_violations"))
+    return views.scores_now(changes)
+
+
+@query("sm03_invalidations", "with recursive e as (select s a,o r from {star} where p in ('kc:placedBy','kc:inNation')), c as (select a from e where r in ('kc:nation/1','kc:nation/2') union select e.a from e join c on e.r=c.a) select a artifact from c")
+def sm03(spark, d):
+    """Two nations change: customers and suppliers there depend on them, orders on these."""
+    q = fx.star(spark, d).where("p IN ('kc:placedBy', 'kc:inNation')")
+    deps = q.select(F.col("s").alias("artifact"), F.lit("entity").alias("dep_kind"), F.col("o").alias("dep_ref"))
+    return outbox.cascade(deps, spark.createDataFrame([("kc:nation/1",), ("kc:nation/2",)], "dep_ref string"))
+
+
 @query("tx06_tuned", f"select band,case band when 'small' then 0.80 when 'medium' then 0.75 else 0.70 end+case when richness>0.60 then -0.03 when richness<0.20 then 0.03 else 0 end similarity_threshold,case band when 'small' then 3 when 'medium' then 4 else 2 end::double min_sentences_per_chunk,99::double max_sentences_per_chunk,case band when 'small' then 300 when 'medium' then 200 else 100 end::double min_fragment_length,case band when 'small' then 2000 when 'medium' then 1500 else 1000 end::double max_fragment_length from (select *,case when n<=30 and median<=400 then 'small' when n<=200 and median<=1500 then 'medium' else 'large' end band from {SCAN})")
 def tx06(spark, d):
     return tx.tuned(tx.corpus_scan(documents(spark, d)), {"auto_tune": 1, "max_sentences_per_chunk": 99})

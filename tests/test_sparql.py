@@ -120,3 +120,21 @@ def test_errors_are_raised(engine, text):
 
 def test_graph_is_a_filter_of_the_scan(engine):
     assert Parser("SELECT * WHERE { GRAPH <g> { ?s ?p ?o } }").query().where.parts[0][0] == "graph"
+
+
+def test_service_reads_only_the_keys_that_are_known(spark, tmp_path):
+    local = spark.createDataFrame([("g", f"c{i}", "in", f"n{i % 3}", "iri") for i in range(9)] + [("g", "c1", "name", "one", "literal")], "graph string, s string, p string, o string, o_kind string")
+    far = spark.createDataFrame([("h", f"n{i}", "part", f"r{i % 2}", "iri") for i in range(6)] + [("k", "n0", "part", "other", "iri")], "graph string, s string, p string, o string, o_kind string")
+    far.write.parquet(str(tmp_path / "far"))
+    engine = Engine(local, services={"http://far/": spark.read.parquet(str(tmp_path / "far"))})
+    text = "PREFIX : <> SELECT ?c ?r WHERE { ?c :in ?n SERVICE <http://far/> { GRAPH <h> { ?n :part ?r } } }"
+    want = sorted((f"c{i}", f"r{i % 3 % 2}") for i in range(9))
+    assert got(engine.query(text)) == want
+    assert "In(s, [n0,n1,n2])" in engine.query(text)._jdf.queryExecution().executedPlan().toString()
+    few = Engine(local, services=engine.services, most_keys=2)
+    assert got(few.query(text)) == want and "In(s" not in few.query(text)._jdf.queryExecution().executedPlan().toString()
+    assert len(got(engine.query("PREFIX : <> SELECT ?s ?p ?o WHERE { SERVICE <http://far/> { GRAPH ?g { ?s ?p ?o } } }"))) == 7
+    assert got(engine.query("PREFIX : <> SELECT ?c ?n WHERE { ?c :name \"one\" . ?c :in ?x SERVICE <http://far/> { SELECT ?x (COUNT(?r) AS ?n) WHERE { ?x :part ?r } GROUP BY ?x } }")) == [("c1", "1")]
+    assert got(engine.query("PREFIX : <> SELECT ?c WHERE { ?c :name ?n SERVICE SILENT <http://gone/> { ?c :x ?y } }")) == [("c1",)]
+    with pytest.raises(SparqlError):
+        engine.query("PREFIX : <> SELECT ?c WHERE { ?c :name ?n SERVICE <http://gone/> { ?c :x ?y } }")
