@@ -38,18 +38,19 @@ def catalog(found: DataFrame, alias_score: float = 85, most: int = 50) -> DataFr
                 home[2] += n
         return pd.DataFrame([(g[0], g[1], g[2], i) for i, g in enumerate(groups[:most])], columns=["canonical", "aliases", "n", "place"])
 
-    out = top.groupBy(F.lit(0)).applyInPandas(group, "canonical string, aliases array<string>, n long, place int")
+    out = top.groupBy(F.lit("all")).applyInPandas(group, "canonical string, aliases array<string>, n long, place int")
     slug = F.regexp_replace(F.regexp_replace(F.lower("canonical"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return out.orderBy("place").select("canonical", F.when(slug == "", "entity").otherwise(slug).alias("canonical_name"), "aliases", "n")
 
 
 def embedding(text: Column, dims: int = 64) -> Column:
     """Hashed counts of character trigrams, at unit length; null and empty texts give zeros."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731 - a lambda's variable is worked out once, an expression in one for each item
     t = F.lower(F.coalesce(text, F.lit("")))
     grams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(3))), F.lit(dims)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+    counts = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(g, lambda x: x == k)).cast("double"))
+    norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+    return let(grams, lambda g: let(counts(g), lambda c: let(norm(c), lambda n: F.transform(c, lambda x: x / n))))
 
 
 def clusters(docs: DataFrame, n_docs: int, least: int = 20, per_cluster: int = 15, dims: int = 64) -> DataFrame:

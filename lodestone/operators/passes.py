@@ -24,9 +24,10 @@ PROTECTED = (
 
 
 def encoded(names: DataFrame, label: str = "label", dims: int = 64) -> DataFrame:
-    """iri, v: hashed trigrams of the label; names without letters have no vector."""
-    v = corpus.embedding(F.col(label), dims)
-    return names.select("iri", v.alias("v")).where(F.exists("v", lambda x: x != 0))
+    """iri, v: hashed trigrams of the label, worked out once for each label; labels of fewer than three characters have no vector."""
+    known = names.select(F.col(label).alias("label")).where(F.length("label") >= 3).distinct()
+    known = cut(known.select("label", corpus.embedding(F.col("label"), dims).alias("v")))
+    return names.select("iri", F.col(label).alias("label")).join(known, "label").select("iri", "v")
 
 
 def labels_of(quads: DataFrame, graph: str | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def test_corpus_views(spark, docs):
     d = spark.createDataFrame([("d1", "Ada Lovelace met Charles Babbage. Ada Lovelace wrote."), ("d2", "Lovelace Ada and Ada Lovelace spoke.")], "source_iri string, text string")
     m = corpus.mentions(d)
     assert {(r.source_iri, r.mention) for r in m.collect()} == {("d1", "Ada Lovelace"), ("d1", "Charles Babbage"), ("d2", "Lovelace Ada"), ("d2", "Ada Lovelace")}
-    assert {r.canonical for r in corpus.catalog(m).collect()} == {"Ada Lovelace", "Charles Babbage", "Lovelace Ada"}
+    assert {r.canonical: r.aliases for r in corpus.catalog(m).collect()} == {"Ada Lovelace": ["Lovelace Ada"], "Charles Babbage": []}
     v = docs.select("source_iri", corpus.embedding(F.col("text")).alias("v"))
     one, two = (r.v for r in v.orderBy("source_iri").limit(2).collect())
     assert one == two and sum(x * x for x in one) == pytest.approx(1)
