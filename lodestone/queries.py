@@ -1246,7 +1246,7 @@ def gr24(spark, d):
     return found.groupBy("o").agg(F.count("*").alias("n"))
 
 
-@query("gr24_absence", "with rich as (select distinct s from {star} where p='kc:balance' and o::double>5000), modest as (select s,o from {star} where p='kc:placedBy' and o not in (select s from rich)), served as (select distinct o s from modest), living as (select s,o from {star} where p='kc:inNation' and s in (select s from served)), only as (select s from {star} where p='rdf:type' and o='kc:Customer' and s not in (select s from served)) select 'kc:rich' p,count(*) n from rich union all select 'kc:modest',count(*) from modest union all select 'kc:served',count(*) from served union all select 'kc:servedIn',count(*) from living union all select 'kc:spared',count(*) from only")
+@query("gr24_absence", "with rich as (select distinct s from {star} where p='kc:balance' and o::double>5000), modest as (select s,o from {star} where p='kc:placedBy' and o not in (select s from rich)), served as (select distinct o s from modest), living as (select s,o from {star} where p='kc:inNation' and s in (select s from served)), spared as (select s from {star} where p='rdf:type' and o='kc:Customer' and s not in (select s from served)) select 'kc:rich' p,count(*) n from rich union all select 'kc:modest',count(*) from modest union all select 'kc:served',count(*) from served union all select 'kc:servedIn',count(*) from living union all select 'kc:spared',count(*) from spared")
 def gr24a(spark, d):
     """Orders of customers who are not rich, where those live, and which customers have none, by rules in three strata."""
     found = datalog.infer(fx.star(spark, d), """
