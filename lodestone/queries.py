@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .functions import terms as t
 from .functions.similarity import partial_ratio, ratio, token_sort_ratio, weighted_ratio
-from .operators import consolidate as co, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, lexrank, passes, provider, similar, tenancy, text as tx, vocab as vo
+from .operators import consolidate as co, coreference, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, lexrank, passes, provider, similar, tenancy, text as tx, vocab as vo
 from .plans import datalog, lineage, registry, rules, sparql
 from .plans.lineage import cut
 from .sources import files, store, taps
@@ -1998,3 +1998,28 @@ def sm03(spark, d):
 @query("tx06_tuned", f"select band,case band when 'small' then 0.80 when 'medium' then 0.75 else 0.70 end+case when richness>0.60 then -0.03 when richness<0.20 then 0.03 else 0 end similarity_threshold,case band when 'small' then 3 when 'medium' then 4 else 2 end::double min_sentences_per_chunk,99::double max_sentences_per_chunk,case band when 'small' then 300 when 'medium' then 200 else 100 end::double min_fragment_length,case band when 'small' then 2000 when 'medium' then 1500 else 1000 end::double max_fragment_length from (select *,case when n<=30 and median<=400 then 'small' when n<=200 and median<=1500 then 'medium' else 'large' end band from {SCAN})")
 def tx06(spark, d):
     return tx.tuned(tx.corpus_scan(documents(spark, d)), {"auto_tune": 1, "max_sentences_per_chunk": 99})
+
+
+@query("tx09_coreference")
+def tx09(spark, d):
+    """Whole texts of all documents; the names are the capitalised words that these have."""
+    done = coreference.resolve(documents(spark, d), "rules")
+    line = F.array_join(F.transform("edits", lambda e: F.concat_ws(":", e["start"], e["end"], e["name"])), ",")
+    return done.select("doc_id", F.size("edits").alias("n_edits"), F.md5("text").alias("text_md5"), line.alias("edits"))
+
+
+_TOLD = "(select c_custkey,'Mrs '||upper(substr(c_mktsegment,1,1))||lower(substr(c_mktsegment,2)) w,n_name from customer join nation on c_nationkey=n_nationkey)"
+_TOLD_START = "'Number '||c_custkey||' met '||w||' in '||n_name||'. '"
+_TOLD_TEXT = f"{_TOLD_START}||w||' is new.'||chr(10)||chr(10)||'We know '||w||chr(39)||'s nation.'"
+
+
+@query("tx09_evidence", f"select c_custkey,{_TOLD_TEXT} as text,2::bigint n_edits,length({_TOLD_START}) char_start,length({_TOLD_START})+3 char_end from {_TOLD}")
+def tx09_evidence(spark, d):
+    """Customers told of in sentences; the place of the name that "She" became, in the text as it was."""
+    c = fx.read(spark, d, "customer").join(fx.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    who = F.concat(F.lit("Mrs "), F.initcap(F.lower("c_mktsegment")))
+    said = F.format_string("Number %s met %s in %s. She is new.\n\nWe know her nation.", "c_custkey", who, "n_name")
+    done = coreference.resolve(c.select("c_custkey", said.alias("text")), "rules")
+    start, end = coreference.original_span("edits", F.col("edits")[0]["new_start"], F.col("edits")[0]["new_end"])
+    spans = [start.cast("long").alias("char_start"), end.cast("long").alias("char_end")]
+    return done.select("c_custkey", "text", F.size("edits").cast("long").alias("n_edits"), *spans)
