@@ -120,6 +120,40 @@ def total_lift(found: DataFrame, most: float = 0.15) -> DataFrame:
     return found.agg(F.round(F.least(F.lit(most), F.sum("lift") / 100), 6).alias("total_lift"))
 
 
+#: How many patches of a kind a report has, and beyond how many missed properties it says so in general.
+MOST_EXAMPLES, MOST_CONSTRAINTS, MANY_MISSED = 5, 3, 5
+
+
+def prompt_patches(found: DataFrame, labels: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """rank, patch_type, target_section, pid, content, rationale, priority, estimated_impact for the ``patterns`` of an evaluation.
+
+    Examples for the properties that are missed most come first, then constraints for those invented most (ties by pid),
+    then, where more than five are missed, one instruction for all (pid is null).  labels: pid, label, addition (the text
+    of an example, or null); a property without a label goes by its pid.
+    """
+    spark = found.sparkSession
+    known = labels if labels is not None else spark.createDataFrame([], "pid string, label string, addition string")
+    d = found.join(known.select("pid", "label", "addition"), "pid", "left").withColumn("label", F.coalesce("label", "pid"))
+
+    def top(by: str, n: int) -> DataFrame:
+        few = d.where(F.col(by) >= least).orderBy(F.desc(by), "pid").limit(n)  # a report, so one task has a few rows
+        return few.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(by), "pid")))
+
+    def patch(rows: DataFrame, kind: str, section: str, content, why, priority: str, impact) -> DataFrame:
+        values = {"patch_type": F.lit(kind), "target_section": F.lit(section), "content": content, "rationale": why, "priority": F.lit(priority), "estimated_impact": impact}
+        return rows.select("rank", "pid", *[x.alias(c) for c, x in values.items()])
+
+    lift = F.format_string("%.1f", "lift")
+    asked = F.coalesce("addition", F.format_string("Show in an example how %s (%s) is extracted.", "label", "pid"))
+    examples = patch(top("fn", MOST_EXAMPLES), "add_example", "few_shot", asked, F.format_string("%s (%s) was missed %d times.", "pid", "label", "fn"), "high", F.concat(F.lit("+"), lift, F.lit("% recall")))
+    limit = F.format_string("Extract %s only if its object is of the type that %s expects.", "label", "pid")
+    constraints = patch(top("fp", MOST_CONSTRAINTS).withColumn("rank", F.col("rank") + MOST_EXAMPLES), "add_instruction", "system", limit, F.format_string("%s gave %d false positives.", "pid", "fp"), "medium", F.format_string("-%d false positives", "fp"))
+    missed = d.where(F.col("fn") >= least).agg(F.count("*").alias("n")).where(F.col("n") > MANY_MISSED)
+    missed = missed.withColumns({"rank": F.lit(MOST_EXAMPLES + MOST_CONSTRAINTS + 1), "pid": F.lit(None).cast("string")})
+    general = patch(missed, "add_instruction", "system", F.lit("Extract each fact that the text states, dates, places and relations included; do not infer."), F.format_string("%d properties were missed.", "n"), "high", F.lit("Broad recall"))
+    return examples.unionByName(constraints).unionByName(general)
+
+
 def discovery_rate(annotations: DataFrame) -> DataFrame:
     good, bad = (F.sum((F.col("verdict") == v).cast("int")) for v in ("correct", "incorrect"))
     return annotations.agg(ratio_or_zero(good, good + bad).alias("rate"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .functions import terms as t
 from .functions.similarity import partial_ratio, ratio, token_sort_ratio, weighted_ratio
-from .operators import consolidate as co, coreference, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, lexrank, passes, provider, similar, tenancy, text as tx, vocab as vo
+from .operators import consolidate as co, coreference, evaluate as ev, gate, graph as gr, greedy, knowledge as kn, lexrank, passes, provider, review, similar, tenancy, text as tx, vocab as vo
 from .plans import datalog, lineage, registry, rules, sparql
 from .plans.lineage import cut
 from .sources import files, store, taps
@@ -2020,6 +2020,31 @@ def tx09_evidence(spark, d):
     who = F.concat(F.lit("Mrs "), F.initcap(F.lower("c_mktsegment")))
     said = F.format_string("Number %s met %s in %s. She is new.\n\nWe know her nation.", "c_custkey", who, "n_name")
     done = coreference.resolve(c.select("c_custkey", said.alias("text")), "rules")
-    start, end = coreference.original_span("edits", F.col("edits")[0]["new_start"], F.col("edits")[0]["new_end"])
+    start, end = coreference.original_span("edits", F.get("edits", F.lit(0))["new_start"], F.get("edits", F.lit(0))["new_end"])
     spans = [start.cast("long").alias("char_start"), end.cast("long").alias("char_end")]
     return done.select("c_custkey", "text", F.size("edits").cast("long").alias("n_edits"), *spans)
+
+
+_REVIEWED = f"(select c_custkey,c_mktsegment o,{h("'review|'||c_custkey")} u from customer)"
+
+
+@query("qp23_annotations", f"select 'human-review' graph,'kc:customer/'||c_custkey s,'kc:segment' p,case when u>=0.6 then 'X'||o else o end o,1.0::double confidence from {_REVIEWED} where u<0.5 or u between 0.6 and 0.8")
+def qp23_annotations(spark, d):
+    """Labelled tasks as JSON, one for each customer: accepted, rejected, corrected, or not annotated yet."""
+    u = fx.hash_share(F.lit("review|"), "c_custkey")
+    c = fx.read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("o"), u.alias("u"))
+    said = F.when(F.col("u") < 0.3, "accept").when(F.col("u") < 0.5, None).when(F.col("u") < 0.6, "reject").otherwise("correct")
+    answer = lambda field, choices, text: F.struct(F.lit(field).alias("from_name"), F.struct(choices.alias("choices"), text.alias("text")).alias("value"))
+    none = F.lit(None).cast("array<string>")
+    new = F.concat(F.lit("X"), "o")
+    items = F.array(answer("decision", F.when(said.isNotNull(), F.array(said)), none), answer("object_value", none, F.when(F.col("u") >= 0.6, F.array(new))))
+    annotation = F.struct(items.alias("result"))
+    data = F.struct(F.concat(F.lit("kc:customer/"), "c_custkey").alias("subject"), F.lit("kc:segment").alias("predicate"), F.col("o").alias("object_value"))
+    task = F.struct(F.col("c_custkey").alias("id"), data.alias("data"), F.when(F.col("u") <= 0.8, F.array(annotation)).otherwise(F.array()).alias("annotations"))
+    return review.statements(review.decisions(review.parsed(c.select(F.to_json(task).alias("value")))))
+
+
+@query("qp20_prompt_patches", f"with f as (select * from {PATTERNS}) select (row_number() over(order by fn desc,pid))::int as rank,pid,'add_example' patch_type,'+'||printf('%.1f',lift)||'% recall' estimated_impact from (select * from f where fn>=2 order by fn desc,pid limit 5) union all select (5+row_number() over(order by fp desc,pid))::int,pid,'add_instruction','-'||fp||' false positives' from (select * from f where fp>=2 order by fp desc,pid limit 3)")
+def qp20_patches(spark, d):
+    """Four properties are aligned here, so the instruction for more than five missed ones does not come."""
+    return ev.prompt_patches(ev.patterns(ev.by_property(found_matches(spark, d)))).select("rank", "pid", "patch_type", "estimated_impact")

@@ -48,15 +48,32 @@ def write_bank(bank: DataFrame, path: str) -> None:
 
 
 def read_yaml_triples(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source, subject, predicate, object_value, confidence from YAML files with a list ``triples`` (or ``ground_truth`` of such)."""
-    import yaml
+    """source, subject, predicate, object_value, confidence from YAML files with a list ``triples`` (or ``ground_truth`` of such).
+
+    Each file is parsed where it is read; files that are no YAML are skipped.  Numbers become texts.
+    """
+
 
-    rows = []
-    for path, text in spark.read.text(paths, wholetext=True).select(F.input_file_name(), "value").toLocalIterator():
-        data = yaml.safe_load(text) or {}
-        groups = data.get("ground_truth") or [{"source": path, "triples": data.get("triples", [])}]
-        rows += [(g.get("source"), t.get("subject"), t.get("predicate"), t.get("object_value"), float(t.get("confidence", 1.0))) for g in groups for t in g.get("triples", [])]
-    return spark.createDataFrame(rows, "source string, subject string, predicate string, object_value string, confidence double")
+    def run(batches):
+        import pandas as pd
+        import yaml
+
+        names = ("subject", "predicate", "object_value")
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["value"], strict=True):
+                try:
+                    data = yaml.safe_load(text)
+                except yaml.YAMLError:
+                    continue
+                data = data if isinstance(data, dict) else {}
+                groups = data.get("ground_truth") or [{"source": path, "triples": data.get("triples")}]
+                triples = [(g.get("source"), t) for g in groups for t in g.get("triples") or [] if isinstance(t, dict)]
+                rows = [(source, *[None if t.get(k) is None else str(t[k]) for k in names], float(t.get("confidence", 1.0))) for source, t in triples]
+                yield pd.DataFrame(rows, columns=["source", *names, "confidence"])
+
+    schema = "source string, subject string, predicate string, object_value string, confidence double"
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return files.mapInPandas(run, schema)
 
 
 def valid_cache(cache: DataFrame, now, days: int = 30) -> DataFrame:
