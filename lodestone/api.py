@@ -78,7 +78,7 @@ class Compiler:
 
     def update(self, sparql: str) -> None:
         """The store after an update, in one swap."""
-        self.store.replace(Engine(self.store.read()).query(sparql))
+        self.store.rewrite(lambda quads: Engine(quads).query(sparql))
 
     def competency(self) -> DataFrame:
         return rules.competency(self.store.read(), [(q["id"], q["sparql"]) for q in self.profile.competency_questions])
