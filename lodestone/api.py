@@ -6,8 +6,11 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import consolidate, evaluate, gate, graph, knowledge, text, vocab
+from .functions.terms import local_name
+from .operators import consolidate, coreference, evaluate, gate, graph, knowledge, passes, text, vocab
+from .operators.review import decisions, statements
 from .plans import registry, rules
+from .plans.lineage import cut
 from .plans.sparql import Engine
 from .sources import files
 from .sources.store import Store
@@ -21,6 +24,7 @@ class Profile:
     version: int = 1
     fragmenter: str = "heading"
     extractor: str = "rules"
+    coreference: str = "disabled"
     languages: tuple[str, ...] = ()
     min_length: int = 50
     max_length: int = 8000
@@ -49,8 +53,12 @@ class Compiler:
     # documents to triples
 
     def fragments(self, documents: DataFrame) -> DataFrame:
-        """Fragments of (source_iri, text [, lang]) that pass the gate, noise sections left out."""
+        """Fragments of (source_iri, text [, lang]) that pass the gate, noise sections left out.
+
+        With coreference by rules, fragments and what is found in them are those of the resolved texts.
+        """
         p = self.profile
+        documents = coreference.resolve(documents, p.coreference)
         rows = registry.get("fragmenters", p.fragmenter)(documents).where(gate.gate_reason("text", lang=None, least=p.min_length, most=p.max_length, languages=()).isNull())
         if p.languages and "lang" in documents.columns:
             rows = rows.join(documents.where(F.col("lang").isin(*p.languages)).select("source_iri"), "source_iri", "left_semi")
@@ -117,5 +125,56 @@ class Compiler:
         """What a new compilation would add and remove."""
         return knowledge.semantic_diff(self.store.read(), self.triples(documents))
 
+    def settle_contradictions(self, functional: list[str], at=None) -> DataFrame:
+        """Penalise and demote in the store; the events, as they were found before it."""
+        _, events = consolidate.settle_contradictions(self.store.read(), functional, threshold=self.profile.trusted, at=at)
+        events = cut(events)
+        self.store.rewrite(lambda quads: consolidate.settle_contradictions(quads, functional, threshold=self.profile.trusted, at=at)[0])
+        return events
+
+    def gc_tentative(self, tentative: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
+        """(kept, archived) of tentative triples with first_seen; the archived ones leave the store."""
+        kept, gone = consolidate.collect_garbage(tentative, F.lit(cutoff).cast("timestamp"))
+        key, gone = ["graph", "s", "p", "o"], cut(gone)
+        old = gone.select(F.lit("tentative").alias("graph"), "s", "p", "o").distinct()
+        self.store.rewrite(lambda quads: quads.join(old, key, "left_anti").select(*quads.columns))
+        return kept, gone
+
+    def verify_triples(self, judged: DataFrame) -> DataFrame:
+        """Triples with supported and score, and what is to become of each."""
+        return consolidate.verify(judged)
+
+    def deduplicate_entities(self, vectors: DataFrame | None = None, least: float = 0.92) -> DataFrame:
+        """Writes owl:sameAs between names that are alike; the links."""
+        quads = self.store.read()
+        vectors = vectors if vectors is not None else passes.encoded(passes.labels_of(quads, "trusted"))
+        _, links = passes.deduplicate_entities(quads, vectors, least)
+        return self._linked(links)
+
+    def normalize_predicates(self, vectors: DataFrame | None = None, least: float = 0.88) -> DataFrame:
+        """Writes owl:equivalentProperty between predicates that are alike; the links."""
+        quads = self.store.read()
+        names = quads.select(F.col("p").alias("iri")).distinct().withColumn("label", local_name("iri"))
+        _, links = passes.normalise_predicates(quads, vectors if vectors is not None else passes.encoded(names), least)
+        return self._linked(links)
+
+    def _linked(self, links: DataFrame) -> DataFrame:
+        links = cut(links)
+        self.store.load(links)
+        return links
+
+    def review(self, labelled: DataFrame) -> DataFrame:
+        """Writes what annotated tasks accept or correct to the review graph; the decisions."""
+        decided = cut(decisions(labelled))
+        self.store.load(statements(decided).withColumn("o_kind", F.lit("literal")))
+        return decided
+
+    def tune(self, found: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+        """Prompt patches for the matches of an evaluation."""
+        return evaluate.prompt_patches(evaluate.patterns(evaluate.by_property(found)), labels)
+
+    def recall_gap(self, found: DataFrame, truth: DataFrame, below: float = 0.5) -> DataFrame:
+        return evaluate.recall_gaps(evaluate.recall_by_property(found, truth), below)
+
     def clear_graph(self, name: str) -> None:
         self.store.clear(name)

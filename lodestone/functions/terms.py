@@ -282,3 +282,10 @@ def cursor_offsets(text, parts):
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     return F.aggregate(col(parts), first, step, lambda a: a["starts"])
+
+
+def iso(at=None) -> Column:
+    """A time as ISO text in UTC, with microseconds where it has any; without one, that of the query (each row the same)."""
+    utc = F.to_utc_timestamp(F.current_timestamp() if at is None else col(at), F.current_timezone())
+    parts = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(parts, r"\.000000$", ""), F.lit("+00:00"))

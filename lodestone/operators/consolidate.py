@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.terms import iso
+
 KEY = ("s", "p", "o")
 MAX_NOISY = 0.999999
 
@@ -72,6 +74,22 @@ def penalise(triples: DataFrame, groups: DataFrame, penalty: float = 0.3, thresh
     return triples.join(groups.select("s", "p"), ["s", "p"], "left_semi").select("s", "p", "o", before.alias("before"), after.alias("after"), (after < threshold).alias("demoted"))
 
 
+def settle_contradictions(quads: DataFrame, functional: list[str], penalty: float = 0.3, threshold: float = 0.75, at=None) -> tuple[DataFrame, DataFrame]:
+    """(quads, events): conflicting trusted quads lose confidence, and those that fall below the threshold become tentative.
+
+    A quad that is tentative already keeps its higher confidence.  events: s, p, o, before, after, demoted, detected_at (ISO
+    text of ``at``, or of the query), one a conflicting quad.  Without functional predicates nothing is done.
+    """
+    trusted = quads.where("graph = 'trusted'")
+    hit = penalise(trusted, contradictions(trusted, functional), penalty, threshold) if functional else penalise(trusted.limit(0), trusted.limit(0), penalty, threshold)
+    events = hit.withColumn("detected_at", iso(at))
+    judged = quads.join(hit.select(F.lit("trusted").alias("graph"), *KEY, "after", "demoted"), ["graph", *KEY], "left")
+    graph = F.when(F.col("demoted"), "tentative").otherwise(F.col("graph")).alias("graph")
+    moved = judged.select(graph, *KEY, "o_kind", F.coalesce("after", "confidence").alias("confidence"))
+    best = moved.groupBy("graph", *KEY).agg(F.max_by("o_kind", F.struct("confidence", "o_kind")).alias("o_kind"), F.max("confidence").alias("confidence"))
+    return best.select("graph", *KEY, "o_kind", "confidence"), events
+
+
 def collect_garbage(tentative: DataFrame, cutoff: Column, prefix: str = "kc:internal/") -> tuple[DataFrame, DataFrame]:
     """(kept, archived): triples first seen before the cutoff, or never, go; bookkeeping predicates stay."""
     stale = (F.col("first_seen").isNull() | (F.col("first_seen") < cutoff)) & ~F.col("p").startswith(prefix)

@@ -2048,3 +2048,22 @@ def qp23_annotations(spark, d):
 def qp20_patches(spark, d):
     """Four properties are aligned here, so the instruction for more than five missed ones does not come."""
     return ev.prompt_patches(ev.patterns(ev.by_property(found_matches(spark, d)))).select("rank", "pid", "patch_type", "estimated_impact")
+
+
+_CONFLICT_QUADS = "(select 'trusted' graph,s,p,o,confidence,count(*) over(partition by s,p) n from {conflicts})"
+_AFTER = "round(greatest(0,confidence*0.7),7)"
+
+
+@query("fn44_conflict_events", f"select s,p,o,{_AFTER} after,{_AFTER}<0.65 demoted,(select strftime(max(ts),'%Y-%m-%dT%H:%M:%S')||case when microsecond(max(ts))%1000000=0 then '' else strftime(max(ts),'.%f') end||'+00:00' from events) detected_at from {_CONFLICT_QUADS} where n>1")
+def fn44(spark, d):
+    """The clock is that of the last event."""
+    q = fx.conflicts(spark, d).select(F.lit("trusted").alias("graph"), "s", "p", "o", F.lit("iri").alias("o_kind"), "confidence")
+    clock = fx.read(spark, d, "events").agg(F.max("ts").alias("at"))
+    _, events = co.settle_contradictions(q, ["kc:inNation"], threshold=0.65)
+    return events.drop("detected_at").crossJoin(clock).select("s", "p", "o", "after", "demoted", t.iso("at").alias("detected_at"))  # one row
+
+
+@query("qp10_settled", f"select case when n>1 and {_AFTER}<0.65 then 'tentative' else 'trusted' end graph,s,p,o,case when n>1 then {_AFTER} else confidence end confidence from {_CONFLICT_QUADS}")
+def qp10_settled(spark, d):
+    q = fx.conflicts(spark, d).select(F.lit("trusted").alias("graph"), "s", "p", "o", F.lit("iri").alias("o_kind"), "confidence")
+    return co.settle_contradictions(q, ["kc:inNation"], threshold=0.65)[0].drop("o_kind")
