@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,27 +62,76 @@ def noisy_or_stream(claims: DataFrame) -> DataFrame:
     return claims.groupBy("s", "p", "o").applyInPandasWithState(update, "s string, p string, o string, final_confidence double, n_sources long", "sources array<string>, best array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def incremental(stream: DataFrame, fragments_path: str, checkpoint: str, compile_new):
+class Hashes:
+    """The last hash of each key, over batches: a folder for each batch, and now and then one for all up to a batch.
+
+    A batch that is done again writes its own folder again.  ``compact`` makes the folder of all before it
+    removes what that replaces, so a job that breaks off in between loses nothing; folders that are not whole do not count.
+    """
+
+    SCHEMA = "fragment_key string, content_hash string, at long"
+    FOLDER = re.compile(r"(base|batch)=(\d+)")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        self.fs = self.hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.hadoop.Path(f"{self.path}/{name}")
+
+    def _names(self) -> list[str]:
+        root = self.hadoop.Path(self.path)
+        return [x.getPath().getName() for x in self.fs.listStatus(root)] if self.fs.exists(root) else []
+
+    def folders(self) -> list[tuple[int, str]]:
+        """(batch, name) of what counts: the last whole base, and the batches after it."""
+        named = [(m[1], int(m[2]), x) for x in self._names() if (m := self.FOLDER.fullmatch(x)) and self.fs.exists(self._at(f"{x}/_SUCCESS"))]
+        base = max((n for kind, n, _ in named if kind == "base"), default=-1)
+        return sorted((n, x) for kind, n, x in named if (n == base if kind == "base" else n > base))
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """fragment_key, content_hash, at; of batches before one, as far as no base has taken it in."""
+        names = [x for n, x in self.folders() if before is None or n < before or x.startswith("base=")]
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{x}" for x in names])
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        rows.select("fragment_key", "content_hash", F.lit(number).cast("long").alias("at")).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def compact(self, number: int) -> None:
+        """Keep one hash a key for all batches up to this one."""
+        made = f"base={number}"
+        if (number, made) in self.folders():  # a batch that is done again
+            return self._drop(number, made)
+        last = self.read().groupBy("fragment_key").agg(F.max_by("content_hash", "at").alias("content_hash"), F.max("at").alias("at"))
+        last.write.mode("overwrite").parquet(f"{self.path}/{made}")
+        self._drop(number, made)
+
+    def _drop(self, number: int, kept: str) -> None:
+        for x in self._names():
+            if x != kept and (m := self.FOLDER.fullmatch(x)) and int(m[2]) <= number:
+                self.fs.delete(self._at(x), True)
+
+
+def incremental(stream: DataFrame, fragments_path: str, checkpoint: str, compile_new, compact_every: int = 50):
     """Each batch of (fragment_key, content_hash, ...) compiles only what is new or has changed since its last hash.
 
-    Hashes are appended with the number of their batch; of each key the last one counts.
+    Hashes are kept with the number of their batch, of each key the last one counts; every ``compact_every`` batches only
+    those are left, so a batch reads a row a key and what these batches added.
     """
     from ..operators.gate import hash_status
 
-    schema = "fragment_key string, content_hash string, at long"
-
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            prior = spark.read.schema(schema).parquet(fragments_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            prior = spark.createDataFrame([], schema)
+        hashes = Hashes(batch.sparkSession, fragments_path)
+        prior = hashes.read(number).join(batch.select("fragment_key").distinct(), "fragment_key", "left_semi")
         status = hash_status(batch, prior).where("status <> 'unchanged'")
         fresh = cut(batch.join(status.select("fragment_key").distinct(), "fragment_key", "left_semi"))
         compile_new(fresh)
-        fresh.select("fragment_key", "content_hash", F.lit(number).cast("long").alias("at")).write.mode("append").parquet(fragments_path)
+        hashes.add(fresh, number)
+        if number % compact_every == compact_every - 1:
+            hashes.compact(number)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
