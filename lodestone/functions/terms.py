@@ -180,7 +180,7 @@ def jaccard(a, b):
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-# dates
+# dates: their written forms, the years that count and the units of a span are fixed values
 
 def iso_date(x):
     forms = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "MMMM d, yyyy")

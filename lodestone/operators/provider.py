@@ -73,6 +73,7 @@ def answered_triples(content) -> Column:
     """
     text = repaired_json(content)
     # fixed value: Markdown links
+    # Fixed value: a link is its words.
     plain = F.regexp_replace(text, r'\[([^"\]\n]*)\]\((?:[^()]|\([^()]*\))*\)', "$1")
     kind = f"array<{TRIPLE}>".replace("double", "string")  # models write numbers as strings as well
 
@@ -106,6 +107,7 @@ def within_budget(system, fragment, most_tokens: int) -> Column:
     for title in LESS_NEEDED:
         without = F.regexp_replace(out, rf"(?dm)^[^\n]*{title}[^\n]*(?:\n[^\n]+)*\n?(?:\n|\z)", "")
         out = F.when(token_estimate(out) > room, without).otherwise(out)
+    # Characters of a token, and the least that is left of a prompt.
     return F.when(token_estimate(out) > room, F.substring(out, F.lit(1), F.greatest(F.lit(200), (4 * room).cast("int")))).otherwise(out)
 
 
