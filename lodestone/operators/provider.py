@@ -73,7 +73,6 @@ def answered_triples(content) -> Column:
     """
     text = repaired_json(content)
     # fixed value: Markdown links
-    # Fixed value: a link is its words.
     plain = F.regexp_replace(text, r'\[([^"\]\n]*)\]\((?:[^()]|\([^()]*\))*\)', "$1")
     kind = f"array<{TRIPLE}>".replace("double", "string")  # models write numbers as strings as well
 
