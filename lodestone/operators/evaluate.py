@@ -49,20 +49,33 @@ def exact_prf(extracted: DataFrame, truth: DataFrame, by: list[str] | None = Non
 
 
 def fuzzy_pairs(extracted: DataFrame, truth: DataFrame, least: float = 0.9) -> DataFrame:
-    """Greedy one-to-one matches within (s, p): equal objects first, then by falling score, then by text."""
-    import pandas as pd
+    """Greedy one-to-one matches within (s, p): equal objects first, then by falling score, then by text.
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        scores = sorted((-ratio_of(x, y), x, y, i, j) for i, x in enumerate(a["o"]) for j, y in enumerate(b["o"]))
+    Both sides meet in one grouping, and Python gets many (s, p) in a batch, only those that both sides have.
+    """
+
+    def matched(xs: list, ys: list) -> list:
+        scores = sorted((-n, x, y, i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if (n := 1.0 if x == y else ratio_of(x, y)) >= least)
         left, right, out = set(), set(), []
         for score, x, y, i, j in scores:
-            if -score >= least and i not in left and j not in right:
+            if i not in left and j not in right:
                 left.add(i), right.add(j)
-                out.append((a["s"].iloc[0], a["p"].iloc[0], x, y, -score))
-        return pd.DataFrame(out, columns=["s", "p", "o", "truth", "score"])
-
-    norm = lambda d: d.select("s", "p", bare("o").alias("o"))
-    return norm(extracted).groupBy("s", "p").cogroup(norm(truth).groupBy("s", "p")).applyInPandas(run, "s string, p string, o string, truth string, score double")
+                out.append((x, y, -score))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            s, p, xs, ys = (batch.column(i).to_pylist() for i in range(4))
+            found = [(a, b, *m) for a, b, x, y in zip(s, p, xs, ys, strict=True) for m in matched([v["o"] for v in x], [v["o"] for v in y])]
+            cells = zip(*found, strict=True) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, [pa.string()] * 4 + [pa.float64()], strict=True)], names=["s", "p", "o", "truth", "score"])
+
+    norm = lambda d, left: d.select("s", "p", F.struct(bare("o").alias("o")).alias("o"), F.lit(left).alias("left"))
+    side = lambda test: F.collect_list(F.when(test, F.col("o")))
+    both = norm(extracted, True).unionByName(norm(truth, False)).groupBy("s", "p").agg(side(F.col("left")).alias("x"), side(~F.col("left")).alias("y"))
+    return both.where("size(x) > 0 AND size(y) > 0").mapInArrow(run, "s string, p string, o string, truth string, score double")
 
 
 def bucket(confidence) -> Column:
