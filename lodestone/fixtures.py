@@ -6,6 +6,7 @@ the documents by hashes, so that every run and every engine sees the same rows.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -48,28 +49,48 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("s", F.lit("kc:usedBy").alias("p"), F.col("source").alias("o"), confidence.alias("confidence"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_iri"))
 
 
-TOKEN_AT = "(?<![A-Za-z])(?=[A-Za-z]{8,})"  # where a token of eight letters or more begins
+LETTERS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def first_places(text: str) -> dict[str, int]:
+    """Each token of eight letters or more, in lower case, with the place where it is first found, which can be inside a longer one."""
+    low = text.lower() if text.isascii() else text.translate(LETTERS)
+    first: dict[str, int] = {}
+    for m in re.finditer("[a-z]{8,}", low):
+        first.setdefault(m[0], m.start())
+    lengths = sorted({len(x) for x in first})
+    for token in list(first):
+        at = first[token]
+        for k in lengths:
+            if k >= len(token):
+                break
+            for i in range(len(token) - k + 1):
+                if first.get(token[i : i + k], -1) > at + i:
+                    first[token[i : i + k]] = at + i
+    return first
+
+
+def _placed(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(0, len(ids), 256):  # so many texts at once
+            found = [(d, o, at, x[at : at + 30]) for d, x in zip(ids[i : i + 256], texts[i : i + 256], strict=True) for o, at in first_places(x).items()]
+            cells = zip(*found, strict=True) if found else [()] * 4
+            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["doc_id", "o", "start", "excerpt"])
 
 
 def mentions(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
     """(document, kc:mentions, token of eight letters or more); with ``places``, its first place as evidence.
 
-    A text is cut where tokens begin, so what is exploded is as large as the text, and running lengths say where a token is.
+    Places are found within the row, so nothing is shuffled.
     """
     docs = read(spark, sf_dir, "documents")
     if places:
-        by = Window.partitionBy("doc_id").orderBy("pos")
-        cut = docs.select("doc_id", F.posexplode_outer(F.split("text", TOKEN_AT)).alias("pos", "part"))
-        start = F.coalesce(F.sum(F.length("part")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-        more = F.concat("part", *[F.coalesce(F.lead("part", k).over(by), F.lit("")) for k in (1, 2, 3)])
-        tokens = cut.select("doc_id", start.alias("start"), more.alias("more"), F.lower(F.regexp_extract("part", "^[A-Za-z]{8,}", 0)).alias("token")).where("token <> ''")
-        # a token's first place can be inside a longer one
-        n = F.length("token")
-        inside = F.flatten(F.transform(F.sequence(F.lit(0), n - 8), lambda i: F.transform(F.sequence(F.lit(8), n - i), lambda k: F.struct(i.alias("i"), k.alias("k")))))
-        at = tokens.select("doc_id", "start", "more", "token", F.explode_outer(inside).alias("x"))
-        o = F.substring(F.col("token"), F.col("x.i") + 1, F.col("x.k"))
-        first = F.min(F.struct((F.col("start") + F.col("x.i")).alias("start"), F.substring(F.col("more"), F.col("x.i") + 1, F.lit(30)).alias("excerpt")))
-        m = at.groupBy("doc_id", o.alias("o")).agg(first.alias("at"), F.max(F.col("x.k") == n).alias("whole")).where("whole").select("doc_id", "o", "at.*")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        m = docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_placed, f"doc_id {kind}, o string, start int, excerpt string")
     else:
         m = docs.select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("o")).where("o IS NOT NULL")
     iri = F.concat(F.lit("doc:"), F.col("doc_id"))

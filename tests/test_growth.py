@@ -31,3 +31,15 @@ def test_candidate_tokens_of_texts_without_any(spark, tmp_path):
     con.sql(f"create table documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = sorted(con.sql(queries.ORACLE["tk09_candidate_tokens"]).fetchall())
     assert sorted(map(tuple, queries.QUERIES["tk09_candidate_tokens"](spark, str(tmp_path)).collect())) == want and want[0] == (1, None)
+
+
+def test_mentions_shuffle_nothing(spark, sf_dir):
+    assert "Exchange" not in plan(fx.mentions(spark, sf_dir))
+
+
+def test_first_places():
+    text = "Über reclassification, classification reclassified classification CLASSIFIED " + "z" * 3000 + " zzzzzzzzz"
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    tokens = {"reclassification", "classification", "reclassified", "classified", "z" * 3000, "z" * 9}
+    assert fx.first_places(text) == {x: low.index(x) for x in tokens}
+    assert fx.first_places("") == {} and fx.first_places("Kelvinscale") == {"elvinscale": 1}
