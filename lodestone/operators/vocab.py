@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.similarity import similar
 from ..functions.terms import camel_case, decode_escape, local_name, namespace
+from ..plans.lineage import hot_join
 
 VOCAB = "http://kc.example/vocab/"
 
@@ -32,9 +33,10 @@ def categorical(quads: DataFrame, least: int = 2) -> DataFrame:
 
 def promote_categorical(quads: DataFrame, least: int = 2) -> DataFrame:
     """The quads with such literals as concepts of the vocabulary."""
-    found = categorical(quads, least).select("p", "o", F.lit(True).alias("_hit"))
-    both = quads.join(found, ["p", "o"], "left")
-    hit = F.col("_hit").isNotNull() & (F.col("o_kind") == "literal")
+    literal = F.coalesce((F.col("o_kind") == "literal") & F.col("p").isNotNull() & F.col("o").isNotNull(), F.lit(False))
+    found = categorical(quads.where(literal), 1).withColumnRenamed("n", "_n")
+    both = hot_join(quads.where(literal), found, ["p", "o"], "_n", quads.where(literal).count()).unionByName(quads.where(~literal), allowMissingColumns=True)
+    hit = F.coalesce(F.col("_n") >= least, F.lit(False))
     return both.select("graph", "s", "p", F.when(hit, F.concat(F.lit(VOCAB), camel_case("o"))).otherwise(F.col("o")).alias("o"), F.when(hit, "iri").otherwise(F.col("o_kind")).alias("o_kind"), "confidence")
 
 

@@ -43,3 +43,12 @@ def test_first_places():
     tokens = {"reclassification", "classification", "reclassified", "classified", "z" * 3000, "z" * 9}
     assert fx.first_places(text) == {x: low.index(x) for x in tokens}
     assert fx.first_places("") == {} and fx.first_places("Kelvinscale") == {"elvinscale": 1}
+
+
+def test_categories_that_most_rows_have_are_joined_where_they_are(spark):
+    quads = spark.range(5000).select(F.lit("g").alias("graph"), F.concat(F.lit("s"), "id").alias("s"), F.when(F.col("id") == 7, None).otherwise(F.lit("p")).alias("p"), F.when(F.col("id") == 0, "one").when(F.col("id") == 1, None).otherwise(F.lit("many")).alias("o"), F.when(F.col("id") == 2, "iri").when(F.col("id") != 3, "literal").alias("o_kind"), F.lit(1.0).alias("confidence"))
+    done = vo.promote_categorical(quads)
+    assert "LeftAnti" in plan(done)
+    got = {r.s: (r.o, r.o_kind) for r in done.collect()}
+    assert len(got) == 5000 and got["s0"] == ("one", "literal") and got["s1"] == (None, "literal") and got["s2"] == ("many", "iri") and got["s3"] == ("many", None) and got["s7"] == ("many", "literal")
+    assert all(v[0].startswith(vo.VOCAB) and v[1] == "iri" for k, v in got.items() if k not in ("s0", "s1", "s2", "s3", "s7"))
