@@ -127,13 +127,17 @@ def known_graph_context(entities: DataFrame, most_words: int = 200, by: str = "f
     local = F.substring_index(F.substring_index("property", "/", -1), "#", -1)
     fact = F.concat(F.lit("  ;  "), local, F.lit('  "'), F.substring("value", 1, 60), F.lit('"'))
     line = F.concat(own, F.coalesce(F.when((F.col("property") != "") & (F.col("value") != ""), fact), F.lit("")))
-    w = Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = entities.where("iri <> ''").withColumn("line", line).withColumn("w", F.size(F.split(F.trim("line"), r"\s+")))
-    rows = rows.withColumn("upto", len(CONTEXT_TITLE.split()) + F.sum("w").over(w))
+    own_order = Window.partitionBy(by).orderBy("place")
+    known = entities.where("iri <> ''")
+    n_found = known.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("n_found"))
+    # a line has a word at least, so later ones than this cannot fit
+    first = known.withColumn("_n", F.row_number().over(own_order)).where(F.col("_n") <= max(1, most_words))
+    rows = first.withColumn("line", line).withColumn("w", F.size(F.split(F.trim("line"), r"\s+")))
+    rows = rows.withColumn("upto", len(CONTEXT_TITLE.split()) + F.sum("w").over(own_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     fits = F.col("upto") <= most_words
     lines = F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("place", "line")))), lambda x: x["line"])
-    out = rows.groupBy(by).agg(F.count("*").alias("n_found"), F.count_if(fits).alias("n_lines"), F.max(F.when(fits, F.col("upto"))).alias("words"), lines.alias("l"))
-    return out.where("n_lines > 0").select(by, "n_found", "n_lines", "words", F.concat(F.lit(CONTEXT_TITLE + "\n"), F.array_join("l", "\n")).alias("block"))
+    out = rows.groupBy(by).agg(F.count_if(fits).alias("n_lines"), F.max(F.when(fits, F.col("upto"))).alias("words"), lines.alias("l"))
+    return out.where("n_lines > 0").join(n_found, F.col(by).eqNullSafe(F.col("_by"))).select(by, "n_found", "n_lines", "words", F.concat(F.lit(CONTEXT_TITLE + "\n"), F.array_join("l", "\n")).alias("block"))
 
 
 def nested(overrides: dict[str, str]) -> dict:

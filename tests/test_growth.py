@@ -52,3 +52,17 @@ def test_categories_that_most_rows_have_are_joined_where_they_are(spark):
     got = {r.s: (r.o, r.o_kind) for r in done.collect()}
     assert len(got) == 5000 and got["s0"] == ("one", "literal") and got["s1"] == (None, "literal") and got["s2"] == ("many", "iri") and got["s3"] == ("many", None) and got["s7"] == ("many", "literal")
     assert all(v[0].startswith(vo.VOCAB) and v[1] == "iri" for k, v in got.items() if k not in ("s0", "s1", "s2", "s3", "s7"))
+
+
+def test_numbering_by_ranges(spark, sf_dir):
+    rows = lineage.numbered(spark.range(10000).select((F.col("id") * 7919 % 10007).alias("x")), "x")
+    assert [(r.x, r.place) for r in rows.orderBy("x").collect()] == [(x, i + 1) for i, x in enumerate(sorted(i * 7919 % 10007 for i in range(10000)))]
+    assert rows.limit(0).count() == 0 and lineage.numbered(spark.range(0), "id").count() == 0
+    assert "SinglePartition" not in plan(queries.QUERIES["gr22_known_context"](spark, sf_dir))
+
+
+def test_known_context_reads_only_lines_that_may_fit(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "f").alias("fragment_key"), F.concat(F.lit("i"), "id").alias("iri"), F.lit("l").alias("label"), F.lit("p").alias("property"), F.lit("v").alias("value"), F.col("id").alias("place"))
+    done = provider.known_graph_context(rows, 60)
+    assert "WindowGroupLimit" in plan(done)
+    assert sorted((r.fragment_key or "", r.n_found, r.n_lines, r.words) for r in done.collect()) == [("", 2500, 8, 58), ("f", 2500, 8, 58)]
