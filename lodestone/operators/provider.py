@@ -66,28 +66,33 @@ def repaired_json(content) -> Column:
     return F.regexp_replace(text, rf"(\\{ESCAPES})|\\(.)", "$1$2")
 
 
+def once(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def answered_triples(content) -> Column:
     """array<TRIPLE> of an answer: its JSON list, that of an envelope, the same with Markdown links as their text, or what fields can be found.
 
     An answer with nothing in it gives an empty array, as does an object under another name that holds no such fields; a confidence that is no number is null.
     """
-    text = repaired_json(content)
-    # fixed value: Markdown links
-    plain = F.regexp_replace(text, r'\[([^"\]\n]*)\]\((?:[^()]|\([^()]*\))*\)', "$1")
     kind = f"array<{TRIPLE}>".replace("double", "string")  # models write numbers as strings as well
 
     def read(x: Column) -> Column:
         whole = F.when(x.startswith("["), F.from_json(x, kind))
         inside = [F.when(x.startswith("{"), F.from_json(F.get_json_object(x, f"$.{k}"), kind)) for k in ENVELOPES]
-        found = F.coalesce(whole, *inside)
-        typed = F.transform(found, lambda t: t.withField("confidence", t["confidence"].try_cast("double")))
-        return F.when(F.size(F.filter(found, lambda t: t["subject"].isNull())) == 0, typed)
+        typed = lambda found: F.transform(found, lambda t: t.withField("confidence", t["confidence"].try_cast("double")))
+        return once(F.coalesce(whole, *inside), lambda found: F.when(F.size(F.filter(found, lambda t: t["subject"].isNull())) == 0, typed(found)))
 
     # fixed value: four fields in their usual order, where the answer is no JSON
     field = r'"subject"\s*:\s*"([^"]+)"\s*,\s*"predicate"\s*:\s*"([^"]+)"\s*,\s*"object_value"\s*:\s*"([^"]+)"\s*,\s*"confidence"\s*:\s*([0-9.]+)'
-    part = lambda i: F.regexp_extract_all(text, F.lit(field), F.lit(i))
-    loose = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")), lambda z: F.struct(z["a"].alias("subject"), z["b"].alias("predicate"), z["c"].alias("object_value"), z["d"].cast("double").alias("confidence")))
-    return F.coalesce(read(text), read(plain), loose)
+
+    def loose(text: Column) -> Column:
+        part = lambda i: F.regexp_extract_all(text, F.lit(field), F.lit(i))
+        return F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")), lambda z: F.struct(z["a"].alias("subject"), z["b"].alias("predicate"), z["c"].alias("object_value"), z["d"].cast("double").alias("confidence")))
+    # fixed value: Markdown links
+    plain = lambda text: F.regexp_replace(text, r'\[([^"\]\n]*)\]\((?:[^()]|\([^()]*\))*\)', "$1")
+    return once(repaired_json(content), lambda text: F.coalesce(read(text), once(plain(text), read), loose(text)))
 
 
 # Sections of a prompt that go first when it is too long.

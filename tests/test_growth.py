@@ -66,3 +66,19 @@ def test_known_context_reads_only_lines_that_may_fit(spark):
     done = provider.known_graph_context(rows, 60)
     assert "WindowGroupLimit" in plan(done)
     assert sorted((r.fragment_key or "", r.n_found, r.n_lines, r.words) for r in done.collect()) == [("", 2500, 8, 58), ("f", 2500, 8, 58)]
+
+
+def test_answers_are_read_once(spark):
+    rows = spark.createDataFrame([("x",)], "answer string").select(F.explode_outer(provider.answered_triples("answer")).alias("t"))
+    assert plan(rows, "optimizedPlan").count("(?:json)?") <= 2
+
+
+def test_decomposed_facts_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("s", "kc:a", "o")], "s string, p string, o string")
+    assert "size(" not in plan(vo.decompose(rows), "optimizedPlan")
+
+
+def test_rows_of_a_small_file_are_spread(spark, sf_dir):
+    assert lineage.spread(spark.range(100), "id", 10).rdd.getNumPartitions() == 11
+    for name in ("fn36_answers", "tx19_decompose"):
+        assert "REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, sf_dir))
