@@ -63,7 +63,7 @@ def decompose(triples: DataFrame) -> DataFrame:
     extra = F.struct(*own, F.col("_q.p").alias("p"), F.replace("_q.value", F.lit("_"), F.lit(" ")).alias("o"), *[F.lit("literal").alias("o_kind") for _ in kind])
     plain = F.struct(*own, F.col("p"), F.col("o"), *kind)
     rows = triples.withColumns({"_local": local_name("p"), "_space": namespace("p")}).withColumn("_q", found)
-    return rows.select(F.explode(F.when(F.col("_q").isNull(), F.array(plain)).otherwise(F.array(fact, extra))).alias("f")).select(*[F.col(f"f.{x}") for x in triples.columns])
+    return rows.select(F.explode_outer(F.when(F.col("_q").isNull(), F.array(plain)).otherwise(F.array(fact, extra))).alias("f")).select(*[F.col(f"f.{x}") for x in triples.columns])
 
 
 def predicate_leaders(quads: DataFrame, least: float = 0.6) -> DataFrame:
