@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.terms import cosine, local_name, short_hash
+from ..plans.lineage import parts
 from ..schema import STATUSES
 
 # Which status may follow which; nothing leaves "deprecated".  Anything known may begin.
@@ -205,7 +206,8 @@ def shape_score(quads: DataFrame, found: DataFrame) -> DataFrame:
 
 def shape_penalty(quads: DataFrame, found: DataFrame, penalty: float = 0.15) -> DataFrame:
     bad = found.select(F.col("focus").alias("s")).distinct().withColumn("_bad", F.lit(1))
-    return quads.join(bad, "s", "left").withColumn("confidence", F.when(F.col("_bad").isNotNull(), F.round(F.greatest(F.lit(0.0), F.col("confidence") - penalty), 6)).otherwise(F.col("confidence"))).drop("_bad")
+    n = parts(quads, quads.count(), 500_000)  # both sides are sorted
+    return quads.repartition(n, "s").join(bad.repartition(n, "s"), "s", "left").withColumn("confidence", F.when(F.col("_bad").isNotNull(), F.round(F.greatest(F.lit(0.0), F.col("confidence") - penalty), 6)).otherwise(F.col("confidence"))).drop("_bad")
 
 
 def skos_integrity(quads: DataFrame) -> DataFrame:

@@ -68,6 +68,20 @@ def test_known_context_reads_only_lines_that_may_fit(spark):
     assert sorted((r.fragment_key or "", r.n_found, r.n_lines, r.words) for r in done.collect()) == [("", 2500, 8, 58), ("f", 2500, 8, 58)]
 
 
+def test_partitions_grow_with_rows(spark, monkeypatch):
+    assert lineage.parts(spark.range(1), 5_000_000, 500_000) == 11 and lineage.parts(spark.range(1), 0, 10) == 4
+    quads = spark.createDataFrame([("a", 0.5), ("b", 0.6), (None, 0.7)], "s string, confidence double")
+    bad = spark.createDataFrame([("a",)], "focus string")
+    monkeypatch.setattr(kn, "parts", lambda *_: 9)
+    assert ", 9)" in plan(kn.shape_penalty(quads, bad)) and sorted(r.confidence for r in kn.shape_penalty(quads, bad).collect()) == [0.35, 0.6, 0.7]
+    monkeypatch.setattr(coreference, "PART", 30)
+    texts = spark.createDataFrame([(i, f"Mrs Smith{i} is here. She is new.") for i in range(10)], "id int, text string")
+    done = coreference.resolve(texts, "rules")
+    size = sum(len(f"Mrs Smith{i} is here. She is new.") for i in range(10))
+    assert re.search(rf"hashpartitioning\(_text_key#\d+, {1 + size // 30}\)", plan(done))
+    assert {r.text for r in done.collect()} == {f"Mrs Smith{i} is here. Mrs Smith{i} is new." for i in range(10)}
+
+
 def test_answers_are_read_once(spark):
     rows = spark.createDataFrame([("x",)], "answer string").select(F.explode_outer(provider.answered_triples("answer")).alias("t"))
     assert plan(rows, "optimizedPlan").count("(?:json)?") <= 2
