@@ -13,7 +13,7 @@ from ..functions.terms import local_name, namespace
 from ..plans.lineage import cut
 from . import corpus, greedy
 from .graph import components, intra_similarity
-from .similar import cosine_pairs
+from .similar import cosine_links, cosine_pairs
 from .vocab import canonical_by_frequency, canonical_shortest, rewrite
 
 #: Predicates of these namespaces are never renamed.
@@ -96,7 +96,7 @@ def canonicalise_predicates(quads: DataFrame, vectors: DataFrame, least: float =
     """
     counts = cut(_predicates(quads, graph))
     rows = counts.join(vectors.select("iri", "v"), "iri")
-    groups = components(cosine_pairs(rows, least, None, "v", "iri")).toDF("iri", "cluster")
+    groups = components(cosine_links(rows, least, None, "v", "iri")).toDF("iri", "cluster")
     best = canonical_by_frequency(groups, counts).where("iri <> canonical")
     kept = F.when(namespace("canonical") == "", F.concat(namespace("iri"), F.col("canonical"))).otherwise(F.col("canonical"))
     mapping = cut(best.select("iri", kept.alias("canonical")).where("iri <> canonical"))
@@ -104,6 +104,23 @@ def canonicalise_predicates(quads: DataFrame, vectors: DataFrame, least: float =
     return quads.where(F.col("graph") != graph).unionByName(rewrite(own, mapping, ("p",))), mapping
 
 
+def _best_registered(found):
+    """Of the pairs that a task holds, for each name of side 1 the best one with a name of side 0."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = found.filter(pc.not_equal(found.column("of_a"), found.column("of_b")))
+    new = pc.equal(found.column("of_a"), 1)
+    turned = pa.table({"a": pc.if_else(new, found.column("a"), found.column("b")), "b": pc.if_else(new, found.column("b"), found.column("a")), "sim": found.column("sim")})
+    turned = turned.sort_by([("a", "ascending"), ("sim", "descending"), ("b", "ascending")]).combine_chunks()
+    if not turned.num_rows:
+        return turned
+    a = turned.column("a")
+    other = pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy()
+    return turned.filter(pa.array(np.concatenate([[True], other])))
+
+
 def link_entities(quads: DataFrame, registry: DataFrame, new: DataFrame, least: float = 0.90, graph: str = "trusted") -> tuple[DataFrame, DataFrame, DataFrame]:
     """New entities against a registry: (quads with altLabels, links, entities to register).
 
@@ -112,10 +129,9 @@ def link_entities(quads: DataFrame, registry: DataFrame, new: DataFrame, least:
     """
     unknown = cut(new.join(registry.select("iri"), "iri", "left_anti"))
     both = registry.select("iri", "v", F.lit(0).alias("side")).unionByName(unknown.select("iri", "v", F.lit(1).alias("side")))
-    pairs = cosine_pairs(both, least, None, "v", "iri", accept=lambda sim, a, b: a != b, extra="side")
-    either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    pairs = cosine_pairs(both, least, None, "v", "iri", _best_registered, "side")  # a: unknown, b: registered
     top = Window.partitionBy("iri").orderBy(F.desc("sim"), "registered")
-    best = either.toDF("iri", "registered", "sim").join(unknown.select("iri", "label"), "iri").withColumn("_n", F.row_number().over(top)).where("_n = 1").drop("_n")
+    best = pairs.toDF("iri", "registered", "sim").join(unknown.select("iri", "label"), "iri").withColumn("_n", F.row_number().over(top)).where("_n = 1").drop("_n")
     best = cut(best)
     ring = registry.select(F.col("iri").alias("registered"), "label").unionByName(quads.where("p = 'skos:altLabel'").select(F.col("s").alias("registered"), F.col("o").alias("label")))
     fresh = best.join(ring.distinct(), ["registered", "label"], "left_anti")

@@ -4,7 +4,8 @@ Cosine: angles between unit vectors are a metric.  Rows belong to the nearest of
 pivots; two rows within an angle of each other lie in one cell, or the one of the
 higher cell is so close to the lower cell's border that it is sent there as a guest.
 In a cell, the distances to all pivots bound the angle from below before any
-product is formed.  Cells of many rows are cut into tiles, so a task has one size.
+product is formed, where a look at some rows says that this pays.  Cells are cut into
+tiles, mostly so many in each, so that what is sent grows with the rows.
 Where vectors are spread evenly in many dimensions and the limit is low, no bound
 prunes, and what is left is all pairs by tiles.
 
@@ -18,15 +19,21 @@ Rows with the same vector, or name, are joined once (``distinct``) and meet agai
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.similarity import ratio_of
 from ..plans.lineage import cut
 
 PIVOTS = 32
-TILE = 2048  # rows on either side of a tile
+TILE = 32_768  # rows on either side of a tile at most
+PARTS = 16  # tiles of a cell, unless these were larger than TILE or smaller than LEAST_TILE
+LEAST_TILE = 256
+PRODUCTS = 1 << 20  # at once
+HELD = 1 << 18  # pairs before they leave a task
 SLACK = 1e-6  # radians, for rounding
 
 
@@ -60,11 +67,28 @@ def pivots_of(rows: DataFrame, reach: float, n: int = PIVOTS, sample: int = 2048
     return v[chosen if member * 2 <= member.dtype.type(dist.size) else chosen[:1]].tolist()
 
 
+def _matrix(column):
+    """A column of vectors of one length as an array of doubles."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def _unit_rows(v):
+    import numpy as np
+
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
 def placed(rows: DataFrame, reach: float, pivots: list[list[float]]) -> DataFrame:
-    """block, id, x, dist (to the pivots), home, cell: each row in its own cell and, as a guest, in lower ones that it can have partners in."""
+    """rows (with x) with home, cell: each row in its own cell and, as a guest, in lower ones that it can have partners in."""
     import numpy as np
 
-    points = np.array(pivots)
+    if len(pivots) == 1:
+        return rows.withColumns({"home": F.lit(0), "cell": F.lit(0)})
+    points, x_at = np.array(pivots), rows.columns.index("x")
 
     def run(batches):
         import pyarrow as pa
@@ -72,84 +96,168 @@ def placed(rows: DataFrame, reach: float, pivots: list[list[float]]) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            dist = np.arccos(np.clip(_units(batch.column(2).to_pylist()) @ points.T, -1, 1))
+            dist = np.arccos(np.clip(_unit_rows(_matrix(batch.column(x_at))) @ points.T, -1, 1))
             home = dist.argmin(1)
             own = dist[np.arange(len(dist)), home]
             member = (dist <= own[:, None] + 2 * reach) & (np.arange(len(points)) < home[:, None])
             member[np.arange(len(dist)), home] = True
             row, cell = np.nonzero(member)
             take = pa.array(row)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(dist[row].ravel()), len(points)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(3)], lists, pa.array(home[row].astype(np.int32)), pa.array(cell.astype(np.int32))], names=["block", "id", "x", "dist", "home", "cell"])
+            columns = [c.take(take) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(home[row].astype(np.int32)), pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "home", "cell"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select("block", "id", "x").mapInArrow(run, f"block {kinds['block']}, id {kinds['id']}, x {kinds['x']}, dist array<double>, home int, cell int")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, home int, cell int")
 
 
 def _dealt(cells: DataFrame, size: int) -> DataFrame:
-    """Rows in all the tiles that they take part in: two of a cell's own rows, or one of these and one of guests (two guests meet elsewhere)."""
+    """Rows in all the tiles that they take part in: two of a cell's own rows, or one of these and one of guests (two guests meet elsewhere).
+
+    A cell has PARTS tiles unless it is small, or too large for that: each row is sent so many times, however many rows there are.
+    """
     own = F.col("home") == F.col("cell")
-    part = lambda what: F.ceil(F.count(F.when(what, 1)) / size).cast("int")
+    count = lambda what: F.count(F.when(what, 1))
+    part = lambda what: F.greatest(F.ceil(count(what) / size), F.least(F.lit(PARTS), F.ceil(count(what) / LEAST_TILE))).cast("int")
     n = cells.groupBy("block", "cell").agg(part(own).alias("n"), part(~own).alias("g"))  # a row for each cell
     place = F.when(own, F.pmod(F.xxhash64("id"), F.col("n"))).otherwise(F.col("n") + F.pmod(F.xxhash64("id"), F.col("g"))).cast("int")
     same = F.col("c.block").eqNullSafe(F.col("n.block")) & (F.col("c.cell") == F.col("n.cell"))
     both = cells.alias("c").join(n.alias("n"), same).select("c.*", "n.n", "n.g").where("n > 0").withColumn("tile", place)
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("n") + F.col("g")).otherwise(F.col("n")) - 1)))
-    return both.select("block", "cell", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "x", "dist")
+    pair = [F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")]
+    return both.select("block", "cell", *pair, "tile", "id", "x", *(["more"] if "more" in cells.columns else []))
+
+
+def _bounds_pay(da, db, reach: float) -> bool:
+    """Whether distances to pivots rule out most pairs, by some rows of both sides."""
+    import numpy as np
 
+    x, y = da[:: 1 + len(da) // 256], db[:: 1 + len(db) // 256]
+    close = np.ones((len(x), len(y)), bool)
+    for k in range(x.shape[1]):
+        close &= np.abs(x[:, k, None] - y[None, :, k]) <= reach
+    return bool(close.mean() < 0.1)
 
-def cosine_pairs(rows: DataFrame, least: float, block: Column | str | None = None, vector: str = "embedding", id_col: str = "id", accept: Callable | None = None, extra: str | None = None, pivots: int = PIVOTS, size: int = TILE, with_counts: bool = False) -> DataFrame:
+
+def _close_pairs(a, b, points, least: float, reach: float, same: bool):
+    """(rows of a, rows of b, cosines, how many products were formed), a few hundred thousand products at a time; same: a is b, each pair once."""
+    import numpy as np
+
+    da, db = (np.arccos(np.clip(x @ points.T, -1, 1)) for x in (a, b))
+    bounded = len(points) > 1 and _bounds_pay(da, db, reach)
+    wide = 4096
+    step = max(1, PRODUCTS // max(1, min(wide, len(b))))
+    for s in range(0, len(a), step):
+        x = a[s : s + step]
+        for t in range(s // wide * wide if same else 0, len(b), wide):
+            y = b[t : t + wide]
+            later = np.arange(s, s + len(x))[:, None] < np.arange(t, t + len(y))[None, :] if same and t < s + len(x) else None
+            if bounded:
+                close = np.ones((len(x), len(y)), bool) if later is None else later
+                for k in range(len(points)):
+                    close &= np.abs(da[s : s + step, k, None] - db[None, t : t + wide, k]) <= reach
+                rows, cols = np.nonzero(close)
+                sims = np.round(np.einsum("ij,ij->i", x[rows], y[cols]), 6)
+                good = np.flatnonzero(sims >= least)
+                yield s + rows[good], t + cols[good], sims[good], len(rows)
+                continue
+            products = x @ y.T
+            close = products >= least - 1e-6
+            if later is not None:
+                close &= later
+            at = np.flatnonzero(close)
+            sims = np.round(products.ravel()[at], 6)
+            good = sims >= least
+            at, sims = at[good], sims[good]
+            yield s + at // len(y), t + at % len(y), sims, int(later.sum()) if later is not None else products.size
+
+
+def _joined(label, u, v):
+    """label (of each node the least known one of its component) after the links u, v."""
+    import numpy as np
+
+    while True:
+        p, q = label[u], label[v]
+        new = p != q
+        if not new.any():
+            return label
+        u, v, p, q = u[new], v[new], p[new], q[new]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def cosine_pairs(rows: DataFrame, least: float, block: Column | str | None = None, vector: str = "embedding", id_col: str = "id", choose: Callable | None = None, extra: str | None = None, pivots: int = PIVOTS, size: int = TILE, with_counts: bool = False, links: bool = False) -> DataFrame:
     """a < b (of one block), sim: pairs with a cosine of ``least`` or more, to six places.
 
-    ``accept`` (cosine, extra of a, extra of b) may refuse more.  ``with_counts``: instead cell and n_tested, the pairs whose
-    product was formed.  Null vectors have no partners; vectors of one length are expected; a null block is a block.
+    ``choose`` gets Arrow tables of a, b, sim, of_a, of_b (what ``extra`` is for these) and returns the a, b, sim to keep.
+    ``links``: instead a, b that connect what the pairs connect, at most one a row of a tile.  ``with_counts``: instead cell
+    and n_tested, the pairs whose product was formed.  Null vectors have no partners; vectors of one length are expected; a
+    null block is a block.
     """
     import numpy as np
 
     block = F.lit("all") if block is None else F.col(block) if isinstance(block, str) else block
     own = rows.select(block.alias("block"), F.col(id_col).alias("id"), F.col(vector).alias("x"), *([F.col(extra).alias("more")] if extra else [])).where("x IS NOT NULL AND id IS NOT NULL")
     reach = math.acos(max(-1.0, min(1.0, least))) + SLACK
-    points = pivots_of(own, reach, pivots)
+    found = pivots_of(own, reach, pivots)
     kind = own.schema["id"].dataType.simpleString()
-    if not points:
-        return rows.sparkSession.createDataFrame([], "cell int, n_tested long" if with_counts else f"a {kind}, b {kind}, sim double")
-    x = own if not extra else own.withColumn("id", F.struct("id", "more"))
-    cells = _dealt(placed(x, reach, points), size)
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        found, tested, cell = [], 0, int(key[1])
-        pdf = pdf.sort_values("tile", kind="stable")
-        left, right = pdf[pdf["tile"] == key[2]], pdf[pdf["tile"] == key[3]]
-        if len(left) and len(right):
-            a, b = _units(left["x"].tolist()), _units(right["x"].tolist())
-            da, db = np.array(left["dist"].tolist()), np.array(right["dist"].tolist())
-            ia, ib = left["id"].tolist(), right["id"].tolist()
-            step = max(1, (1 << 22) // max(1, len(b)))
-            for s in range(0, len(a), step):
-                close = np.ones((len(da[s : s + step]), len(b)), bool)
-                for k in range(da.shape[1]):
-                    close &= np.abs(da[s : s + step, k, None] - db[None, :, k]) <= reach
-                    if k % 4 == 3 and close.mean() > 0.5:  # bounds that rule nothing out cost more than products
-                        break
-                if key[2] == key[3]:
-                    close &= np.arange(s, s + len(close))[:, None] < np.arange(len(b))[None, :]
-                tested += int(close.sum())
-                if with_counts:
-                    continue
-                rows, cols = np.nonzero(close)
-                sims = np.round(np.einsum("ij,ij->i", a[s + rows], b[cols]), 6) if len(rows) * 3 < close.size else np.round(a[s : s + step] @ b.T, 6)[rows, cols]
-                for k in np.flatnonzero(sims >= least).tolist():
-                    p, q, sim = ia[s + rows[k]], ib[cols[k]], float(sims[k])
-                    if extra:
-                        if not accept(sim, p["more"], q["more"]):
-                            continue
-                        p, q = p["id"], q["id"]
-                    found.append((min(p, q), max(p, q), sim))
-        return pd.DataFrame([(cell, tested)], columns=["cell", "n_tested"]) if with_counts else pd.DataFrame(found, columns=["a", "b", "sim"])
-
-    return cells.groupBy("block", "cell", "i", "j").applyInPandas(compare, "cell int, n_tested long" if with_counts else f"a {kind}, b {kind}, sim double")
+    schema = "cell int, n_tested long" if with_counts else f"a {kind}, b {kind}" if links else f"a {kind}, b {kind}, sim double"
+    if not found:
+        return rows.sparkSession.createDataFrame([], schema)
+    cells, points = _dealt(placed(own, reach, found), size), np.array(found)
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = key[2].as_py(), key[3].as_py()
+        table = pa.Table.from_batches(list(batches))
+        tile = table.column("tile").to_numpy()
+        order = np.argsort(tile, kind="stable")
+        n = int((tile == i).sum())
+        ids = table.column("id").combine_chunks().take(pa.array(order))
+        more = table.column("more").combine_chunks().take(pa.array(order)) if extra else None
+        v = _unit_rows(_matrix(table.column("x")))[order]
+        del table
+        a, b, first = v[:n], v if i == j else v[n:], 0 if i == j else n
+        tested, label, kept, held = 0, np.arange(len(v)), [], 0
+
+        def pairs(found):
+            p, q, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = [pa.array(p), pa.array(q)]
+            swap = pc.less(ids.take(at[1]), ids.take(at[0])).to_numpy(zero_copy_only=False)
+            at = [pa.array(np.where(swap, q, p)), pa.array(np.where(swap, p, q))]
+            cells = {"a": ids.take(at[0]), "b": ids.take(at[1]), "sim": pa.array(sims)}
+            if extra:
+                cells |= {"of_a": more.take(at[0]), "of_b": more.take(at[1])}
+            out = pa.table(cells)
+            return (choose(out) if choose else out).select(["a", "b", "sim"]).to_batches(max_chunksize=100_000)
+
+        for p, q, sims, formed in _close_pairs(a, b, points, least, reach, i == j) if len(a) and len(b) else ():
+            tested += formed
+            if with_counts:
+                continue
+            if links:
+                label = _joined(label, p, first + q)
+                if not label.any():
+                    break
+            elif len(p):
+                kept.append((p, first + q, sims))
+                held += len(p)
+                if held >= HELD:
+                    yield from pairs(kept)
+                    kept, held = [], 0
+        if with_counts:
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([key[1].as_py()], pa.int32()), "n_tested": pa.array([tested], pa.int64())})
+        elif links:
+            at = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[at])), ids.take(pa.array(at))], names=["a", "b"])
+        elif kept:
+            yield from pairs(kept)
+
+    return cells.groupBy("block", "cell", "i", "j").applyInArrow(compare, schema)
+
+
+def cosine_links(rows: DataFrame, least: float, block: Column | str | None = None, vector: str = "embedding", id_col: str = "id") -> DataFrame:
+    """a, b: links with the components of ``cosine_pairs``, without its pairs."""
+    return cosine_pairs(rows, least, block, vector, id_col, links=True)
 
 
 # edit ratios
@@ -247,8 +355,45 @@ def ratio_matches(left: DataFrame, right: DataFrame, least: float, score: Callab
     return scored(ratio_candidates(x, y, least), least, score)
 
 
+def _sorted_names(rows: DataFrame, column: str) -> DataFrame:
+    """rows with ``key``: the words of the name in lower case, sorted, as the token-sort score reads it."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            keys = [" ".join(sorted((x or "").lower().split())) for x in batch.column(at).to_pylist()]
+            yield batch.append_column("key", pa.array(keys, pa.string()))
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", key string")
+
+
 def hybrid_pairs(rows: DataFrame, sure: float = 0.92, likely: float = 0.70, tokens: float = 88) -> DataFrame:
-    """a < b of (id, name, vector) with a cosine of ``sure``, or of ``likely`` and a token-sort score of ``tokens``; sim: the cosine."""
+    """a < b of (id, name, vector) with a cosine of ``sure``, or of ``likely`` and a token-sort score (a's name first) of ``tokens``; sim: the cosine.
+
+    Names are scored once for each two that can have that score, and only rows with such names are compared for ``likely``:
+    a name alike is a block of its own, of the rows of both names.
+    """
     from ..functions.similarity import token_sort_of
 
-    return cosine_pairs(rows, likely, None, "vector", "id", accept=lambda sim, a, b: sim >= sure or token_sort_of(a, b) >= tokens, extra="name")
+    rows = rows.select("id", "name", "vector").where("vector IS NOT NULL AND id IS NOT NULL")
+    certain = cosine_pairs(rows, sure, None, "vector", "id")
+    if tokens <= 0:
+        return cosine_pairs(rows, min(sure, likely), None, "vector", "id")
+    keyed = cut(_sorted_names(rows, "name"))
+    names = cut(keyed.select(F.col("key").alias("name")).distinct())
+    close = ratio_matches(names, names, tokens / 100 - 1e-6, lambda a, b: token_sort_of(a, b) / 100).where(F.col("score") * 100 >= tokens - 1e-9).where("a <> b").select("a", "b")
+    equal = names.select(F.col("name").alias("a"), F.col("name").alias("b")) if tokens <= 100 else close.limit(0)
+    # l <= r of two names, and the ways round in which they are alike
+    alike = close.unionByName(equal).groupBy(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).agg(F.max(F.col("a") <= F.col("b")).alias("lr"), F.max(F.col("a") >= F.col("b")).alias("rl"))
+    alike = cut(alike.withColumn("pair", F.concat(F.length("l").cast("string"), F.lit(":"), "l", "r")))
+    sides = alike.select("pair", F.col("l").alias("key"), F.when(F.col("l") == F.col("r"), 0).when(F.col("lr") & F.col("rl"), 1).when(F.col("lr"), 3).otherwise(5).alias("side"))
+    sides = sides.unionByName(alike.where("l <> r").select("pair", F.col("r").alias("key"), F.when(F.col("lr") & F.col("rl"), 2).when(F.col("lr"), 4).otherwise(6).alias("side")))
+    blocks = keyed.join(sides, "key").select("pair", "id", "vector", "side")
+
+    def choose(found):
+        a, b, sim = found.column("of_a").to_numpy(), found.column("of_b").to_numpy(), found.column("sim").to_numpy()
+        # side 0: one name; 1 and 2: the two names of a pair alike both ways; 3 before 4, and 6 before 5, alike only if that name is a's
+        two = ((a == 0) & (b == 0)) | ((a == 1) & (b == 2)) | ((a == 2) & (b == 1)) | ((a == 3) & (b == 4)) | ((a == 6) & (b == 5))
+        return found.filter(pa.array(two & (sim < sure)))
+
+    return certain.unionByName(cosine_pairs(blocks, likely, "pair", "vector", "id", choose, "side"))

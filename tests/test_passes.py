@@ -76,3 +76,11 @@ def test_names_from_labels(spark):
     names = passes.labels_of(q)
     assert {(r.iri, r.label) for r in names.collect()} == {("ex:one_name", "one_name"), ("ex:b", "a")}
     assert passes.encoded(names.withColumn("label", F.lit("abc"))).count() == 2 and passes.encoded(names.withColumn("label", F.lit(""))).count() == 0
+
+
+def test_of_a_tasks_pairs_only_the_best_of_each_name_go_on():
+    import pyarrow as pa
+
+    found = pa.table({"a": ["n1", "n1", "r1", "n1", "n2"], "b": ["r2", "r3", "n2", "n2", "r9"], "sim": [0.9, 0.9, 0.8, 1.0, 0.7], "of_a": [1, 1, 0, 1, 1], "of_b": [0, 0, 1, 1, 0]})
+    assert passes._best_registered(found).to_pylist() == [{"a": "n1", "b": "r2", "sim": 0.9}, {"a": "n2", "b": "r1", "sim": 0.8}]
+    assert passes._best_registered(found.slice(3, 1)).num_rows == 0

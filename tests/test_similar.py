@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import greedy, similar
+from lodestone.functions.similarity import token_sort_of
+from lodestone.operators import graph, greedy, similar
 
 
 def vectors(seed, n, dims=6, centres=12, spread=0.05):
@@ -137,3 +138,51 @@ def test_leaders_of_hard_rows(spark):
         got = {r.id: r.leader for r in greedy.leaders(d, 0.9, centroid=centroid).collect()}
         assert got[1] == 1 and got[2] == 2 and set(got) == {1, 2, 3, 4, 5}
     assert greedy.leaders(d.where("id > 9"), 0.9).count() == 0
+
+
+def test_each_vector_is_sent_a_fixed_number_of_times(spark):
+    for n in (9000, 18000):
+        cells = spark.range(n).select(F.lit("all").alias("block"), "id", F.array(F.lit(1.0)).alias("x"), F.lit(0).alias("home"), F.lit(0).alias("cell"))
+        dealt = similar._dealt(cells, similar.TILE)
+        assert dealt.count() == n * similar.PARTS and "dist" not in dealt.columns
+
+
+@pytest.mark.parametrize("least", [0.2, 0.9])
+def test_links_connect_what_pairs_connect(spark, least):
+    v = vectors(6, 400, dims=6, centres=30, spread=0.3)
+    d = frame(spark, v, 2)
+    links = similar.cosine_links(d, least, "block")
+    pairs = similar.cosine_pairs(d, least, "block")
+    of = lambda e: {r.iri: r.component for r in graph.components(e).collect()}
+    assert of(links) == of(pairs) and (links.count() < pairs.count() / 4 if least < 0.5 else True)
+
+
+def test_hybrid_pairs_score_each_two_names_once(spark, monkeypatch):
+    v = vectors(7, 240, dims=4, centres=12, spread=0.6)
+    base = ["red bolt", "Bolt red", "red bolts", "abcd", "bcda", "", None, "old ring", "cold ring", "kappa abd", "kappa adb", "kappa ab", "a b", "b a"]
+    names = [base[i * 5 % len(base)] for i in range(len(v))]
+    d = spark.createDataFrame([(f"k{i}", n, x.tolist()) for i, (n, x) in enumerate(zip(names, v, strict=True))], "id string, name string, vector array<double>").repartition(3)
+    s = cosines(v)
+    ids = sorted(range(len(v)), key=lambda i: f"k{i}")
+    want = {}
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if s[i, j] >= 0.9 or (s[i, j] >= 0.1 and token_sort_of(names[i], names[j]) >= 88):
+                want[f"k{i}", f"k{j}"] = s[i, j]
+    rows = similar.hybrid_pairs(d, 0.9, 0.1, 88).collect()
+    got = {(r.a, r.b): r.sim for r in rows}
+    assert got.keys() == want.keys() and len(rows) == len(got) and all(abs(got[k] - want[k]) < 2e-6 for k in got)
+    scored = []
+    real = similar.ratio_matches
+    monkeypatch.setattr(similar, "ratio_matches", lambda x, y, *rest: scored.append(x.count()) or real(x, y, *rest))
+    similar.hybrid_pairs(d, 0.9, 0.1, 88)
+    assert scored == [len({" ".join(sorted((n or "").lower().split())) for n in base})]
+
+
+def test_pairs_leave_a_task_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HELD", 100)
+    monkeypatch.setattr(similar, "PRODUCTS", 512)
+    v = vectors(8, 300, dims=4)
+    s = cosines(v)
+    got = {(r.a, r.b) for r in similar.cosine_pairs(frame(spark, v), 0.3).collect()}
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.3}
