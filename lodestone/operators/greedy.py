@@ -19,11 +19,13 @@ Rows with equal vectors are compared once.  Null and zero vectors lead themselve
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lineage import cut
 from .graph import components
-from .similar import cosine_pairs
+from .similar import _matrix, cosine_links, cosine_pairs
 
 SLACK = 1e-5
 
@@ -79,33 +81,37 @@ def leaders(rows: DataFrame, least: float, vector: str = "embedding", order: tup
 
 def _by_centroid(own: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     import numpy as np
-    import pandas as pd
 
-    group = components(cosine_pairs(heads, least * least - SLACK, "block", "x")).toDF("id", "group")
+    group = components(cosine_links(heads, least * least - SLACK, "block", "x")).toDF("id", "group")
     placed = heads.join(group, "id", "left").select("block", "x", F.coalesce("group", "id").alias("group"))
     kind = own.schema["id"].dataType.simpleString()
+    parts = [f.name for f in own.schema["key"].dataType.fields]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["key"].tolist()
-        at = sorted(range(len(keys)), key=lambda i: tuple(keys[i].values()))
-        ids, v = [pdf["id"].iloc[i] for i in at], np.array([pdf["x"].iloc[i] for i in at], float)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(["x", *parts])
+        order = pa.table({c: table.column(c) for c in parts})
+        table = table.take(pc.sort_indices(order, sort_keys=[(c, "ascending") for c in parts], null_placement="at_start"))
+        v = _matrix(table.column("x"))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        sums, leader, similarity = np.empty((0, v.shape[1])), [], []
-        head: list[int] = []
+        sums, norms, n = np.empty((64, v.shape[1])), np.empty(64), 0
+        leader, similarity, head = np.empty(len(v), np.int64), np.ones(len(v)), np.empty(len(v), np.int64)
         for i, x in enumerate(v):
-            sims = np.round(sums @ x / np.maximum(np.linalg.norm(sums, axis=1), 1e-12), 6) if head else np.empty(0)
-            k = int(np.argmax(sims)) if head else -1
+            sims = np.round(sums[:n] @ x / np.maximum(norms[:n], 1e-12), 6)
+            k = int(np.argmax(sims)) if n else -1
             if k >= 0 and sims[k] >= least:
                 sums[k] += x
-                leader.append(ids[head[k]])
-                similarity.append(float(sims[k]))
+                similarity[i] = sims[k]
             else:
-                head.append(i)
-                sums = np.vstack([sums, x])
-                leader.append(ids[i])
-                similarity.append(1.0)
-        return pd.DataFrame({"id": ids, "leader": leader, "similarity": similarity})
+                if n == len(sums):
+                    sums, norms = np.concatenate([sums, np.empty_like(sums)]), np.concatenate([norms, np.empty_like(norms)])
+                k, n = n, n + 1
+                sums[k], head[k] = x, i
+            norms[k] = np.linalg.norm(sums[k : k + 1], axis=1)[0]
+            leader[i] = head[k]
+        ids = table.column("id").combine_chunks()
+        return pa.table({"id": ids, "leader": ids.take(pa.array(leader)), "similarity": similarity})
 
     member = own.join(placed, ["block", "x"], "left")
     alone = member.where("group IS NULL").select("id", F.col("id").alias("leader"), F.lit(1.0).alias("similarity"))
-    return member.where("group IS NOT NULL").groupBy("block", "group").applyInPandas(run, f"id {kind}, leader {kind}, similarity double").unionByName(alone)
+    grouped = member.where("group IS NOT NULL").select("block", "group", "id", "x", *[F.col(f"key.{c}").alias(c) for c in parts if c != "id"])
+    return grouped.groupBy("block", "group").applyInArrow(run, f"id {kind}, leader {kind}, similarity double").unionByName(alone)

@@ -186,3 +186,12 @@ def test_pairs_leave_a_task_in_parts(spark, monkeypatch):
     s = cosines(v)
     got = {(r.a, r.b) for r in similar.cosine_pairs(frame(spark, v), 0.3).collect()}
     assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.3}
+
+
+def test_centroid_clusters_need_no_pairs(spark, monkeypatch):
+    v = vectors(9, 300, dims=4, spread=0.5)
+    d = frame(spark, v).withColumn("block", F.lit(0))
+    edges, real = [], greedy.components
+    monkeypatch.setattr(greedy, "components", lambda e: edges.append(e.count()) or real(e))
+    got = {r.id: r.leader for r in greedy.leaders(d, 0.6, centroid=True).collect()}
+    assert got == one_by_one(range(300), v, 0.6, True) and edges[0] < 2 * 300 * 2
