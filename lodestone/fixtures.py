@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.terms import hash_share
+from .plans.lineage import cut
 
 #: table -> (class, name, key column, [(predicate, column, kind, target name)])
 STAR = {
@@ -41,14 +42,24 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quads.select(F.lit("trusted").alias("graph"), "s", "p", "o", "o_kind", F.round(0.35 + 0.65 * hash_share("s", "p", "o"), 6).alias("confidence"))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """(token, kc:usedBy, source) with a confidence below 0.75 from each document that has the token."""
     token = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("s")  # a plain explode would match twice, for a filter on the size
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", token).where("s IS NOT NULL")
+    docs = (read(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "source", token).where("s IS NOT NULL")
     confidence = F.round(0.7499 * hash_share(F.col("doc_id").cast("string"), F.lit("|"), "s"), 6)
     return docs.select("s", F.lit("kc:usedBy").alias("p"), F.col("source").alias("o"), confidence.alias("confidence"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_iri"))
 
 
+def claims_by_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The claims in two parts: of documents whose id other rows have too, and of the others, which state no key twice (tokens of a row differ)."""
+    docs = read(spark, sf_dir, "documents")
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return claims(spark, sf_dir, docs.limit(0)), claims(spark, sf_dir, docs)
+    same = docs["doc_id"].eqNullSafe(again["doc_id"])
+    return tuple(claims(spark, sf_dir, docs.join(again, same, how)) for how in ("left_semi", "left_anti"))
+
+
 LETTERS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 

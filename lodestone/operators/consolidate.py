@@ -14,14 +14,19 @@ def normal_key(x) -> Column:
     return F.lower(F.trim(F.col(x)))
 
 
-def noisy_or(claims: DataFrame, key: tuple[str, ...] = KEY, normalise: bool = True) -> DataFrame:
+def noisy_or(claims: DataFrame, key: tuple[str, ...] = KEY, normalise: bool = True, once: DataFrame | None = None) -> DataFrame:
     """Per key: 1 - product(1 - best confidence of each source), rounded to six places, and the number of sources.
 
     A source counts once.  Both steps combine before their shuffle; with hot keys
-    the second sees at most one row a source.
+    the second sees at most one row a source.  ``once``: more claims, of other sources, which state no key twice: these
+    need no first step, so that they are combined by key where they are.
     """
-    keyed = claims.select(*[(normal_key(k) if normalise else F.col(k)).alias(k) for k in key], "source_iri", "confidence")
-    best = keyed.groupBy(*key, "source_iri").agg(F.max("confidence").alias("c"))
+
+    def keyed(rows: DataFrame, *more) -> DataFrame:
+        return rows.select(*[(normal_key(k) if normalise else F.col(k)).alias(k) for k in key], *more)
+
+    best = keyed(claims, "source_iri", "confidence").groupBy(*key, "source_iri").agg(F.max("confidence").alias("c")).drop("source_iri")
+    best = best if once is None else best.unionByName(keyed(once, F.col("confidence").alias("c")))
     out = best.groupBy(*key).agg(F.product(1 - F.col("c")).alias("miss"), F.count("*").alias("n_sources"))
     return out.select(*key, F.round(F.least(F.greatest(1 - F.col("miss"), F.lit(0.0)), F.lit(1.0)), 6).alias("final_confidence"), "n_sources")
 
@@ -38,10 +43,10 @@ def provenance(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*KEY).agg(sources.alias("sources")).withColumn("n_sources", F.size("sources").cast("long"))
 
 
-def promotion_candidates(claims: DataFrame, tentative: float = 0.35, trusted: float = 0.75) -> DataFrame:
-    """Tentative claims whose confidence over all sources reaches the trusted threshold."""
-    rows = claims.where((F.col("confidence") >= tentative) & (F.col("confidence") < trusted))
-    return noisy_or(rows).where(F.col("final_confidence") >= trusted)
+def promotion_candidates(claims: DataFrame, tentative: float = 0.35, trusted: float = 0.75, once: DataFrame | None = None) -> DataFrame:
+    """Tentative claims whose confidence over all sources reaches the trusted threshold; ``once`` as in ``noisy_or``."""
+    rows = lambda d: d.where((F.col("confidence") >= tentative) & (F.col("confidence") < trusted))
+    return noisy_or(rows(claims), once=None if once is None else rows(once)).where(F.col("final_confidence") >= trusted)
 
 
 def promote(quads: DataFrame, candidates: DataFrame, move: bool = False) -> DataFrame:

@@ -96,3 +96,20 @@ def test_rows_of_a_small_file_are_spread(spark, sf_dir):
     assert lineage.spread(spark.range(100), "id", 10).rdd.getNumPartitions() == 11
     for name in ("fn36_answers", "tx19_decompose"):
         assert "REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, sf_dir))
+
+
+def test_claims_of_a_document_are_combined_where_they_are(spark, sf_dir):
+    for name in ("ag01_noisy_or", "tk05_consolidated_order"):
+        sent = re.findall(r"hashpartitioning\(([^)]*)\)", plan(queries.QUERIES[name](spark, sf_dir), "optimizedPlan") + plan(queries.QUERIES[name](spark, sf_dir)))
+        assert sent and not any("source_iri" in x for x in sent)
+
+
+def test_claims_of_documents_with_one_id_count_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "aaaa bbbb", "x"), (1, "aaaa cccc", "x"), (2, "aaaa aaaa", "x"), (None, "aaaa", "x"), (None, "aaaa", "x"), (3, None, "x"), (4, "aaaa", None)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create table documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    text = lambda rows: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    want = con.sql(queries.ORACLE["ag01_noisy_or"]).fetchall()
+    got = queries.QUERIES["ag01_noisy_or"](spark, str(tmp_path)).select("s", "p", "o", "final_confidence", "n_sources").collect()
+    assert text(map(tuple, got)) == text(want) and len(want) == 4
