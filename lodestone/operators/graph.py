@@ -91,14 +91,14 @@ def new_facts(closed: DataFrame, quads: DataFrame, most: int | None = None) -> D
 
 def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(iri, rank) of a directed graph (a, b); the rank of nodes without a way out is lost, as usual for fixed rounds."""
-    edges = cut(edges.select("a", "b").distinct())
-    out = edges.groupBy("a").agg(F.count("*").alias("n"))
-    links = cut(edges.join(out, "a"))
-    nodes = cut(edges.select(F.col("a").alias("iri")).union(edges.select("b")).distinct())
-    rank = nodes.withColumn("rank", F.lit(1.0))
+    each = F.count("*").over(Window.partitionBy("a"))
+    links = cut(edges.select("a", "b").repartition("a").distinct().withColumn("n", each))
+    nodes = cut(links.select(F.col("a").alias("iri")).union(links.select("b")).distinct())
+    none, rank = nodes.select("iri", F.lit(0.0).alias("x")), nodes.withColumn("rank", F.lit(1.0))
     for i in range(rounds):
-        given = links.join(rank.withColumnRenamed("iri", "a"), "a").groupBy(F.col("b").alias("iri")).agg(F.sum(F.col("rank") / F.col("n")).alias("x"))
-        rank = nodes.join(given, "iri", "left").select("iri", ((1 - damping) + damping * F.coalesce("x", F.lit(0.0))).alias("rank"))
+        ranked = links.join(rank.withColumnRenamed("iri", "a"), "a") if i else links.withColumn("rank", F.lit(1.0))
+        given = ranked.select(F.col("b").alias("iri"), (F.col("rank") / F.col("n")).alias("x"))
+        rank = given.unionByName(none).groupBy("iri").agg(F.sum("x").alias("x")).select("iri", ((1 - damping) + damping * F.col("x")).alias("rank"))
         if i % 3 == 2:
             rank = cut(rank)
     return rank
@@ -135,18 +135,18 @@ def suggestions(names: DataFrame, most: int = 3, k: int = 5) -> DataFrame:
 def rank_duplicates(rank: DataFrame, labels: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
     """a, b, label, similarity: nodes of one label whose neighbours overlap (Jaccard); the better ranked one first.
 
-    A label of many nodes is joined on (label, neighbour), so only nodes that share a neighbour meet.
+    A label of many nodes is joined on (label, neighbour), so only nodes that share a neighbour meet.  A node takes its number of
+    neighbours and its rank along, so that pairs are joined with nothing, and two whose numbers differ too much do not meet.
     """
-    neighbours = edges.select(F.col("a").alias("iri"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("iri"), F.col("a").alias("near"))).distinct()
-    own = neighbours.join(labels.select("iri", F.lower("label").alias("label")).distinct(), "iri")
-    size = own.groupBy("iri", "label").agg(F.count("*").alias("n"))
-    common = own.alias("x").join(own.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.near") == F.col("y.near")) & (F.col("x.iri") < F.col("y.iri")))
-    common = common.groupBy(F.col("x.iri").alias("i"), F.col("y.iri").alias("j"), F.col("x.label").alias("label")).agg(F.count("*").alias("c"))
-    sized = lambda name: size.select(F.col("iri").alias(name), "label", F.col("n").alias(name + "_n")).join(rank.select(F.col("iri").alias(name), F.col("rank").alias(name + "_rank")), name)
-    both = common.join(sized("i"), ["i", "label"]).join(sized("j"), ["j", "label"])
-    sim = F.round(F.col("c") / (F.col("i_n") + F.col("j_n") - F.col("c")), 6)
-    first = F.col("i_rank") >= F.col("j_rank")
-    return both.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"), "label", sim.alias("similarity")).where(F.col("similarity") >= least)
+    neighbours = edges.select(F.col("a").alias("iri"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("iri"), F.col("a").alias("near"))).repartition("iri").distinct()
+    own = neighbours.join(labels.select("iri", F.lower("label").alias("label")).distinct(), "iri").withColumn("n", F.count("*").over(Window.partitionBy("iri", "label")))
+    own = cut(own.join(rank.select("iri", "rank"), "iri"))
+    x, y = (own.select("label", "near", *[F.col(c).alias(f"{name}{c}") for c in ("iri", "n", "rank")]) for name in "xy")
+    fits = (F.col("xiri") < F.col("yiri")) & (F.least("xn", "yn") >= (least - 1e-6) * F.greatest("xn", "yn"))
+    common = x.join(y, ["label", "near"]).where(fits).groupBy("xiri", "yiri", "label", "xn", "yn", "xrank", "yrank").agg(F.count("*").alias("c"))
+    sim = F.round(F.col("c") / (F.col("xn") + F.col("yn") - F.col("c")), 6)
+    first = F.col("xrank") >= F.col("yrank")
+    return common.select(F.when(first, F.col("xiri")).otherwise(F.col("yiri")).alias("a"), F.when(first, F.col("yiri")).otherwise(F.col("xiri")).alias("b"), "label", sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def trigram_matches(query: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone import fixtures as fx, queries
-from lodestone.operators import coreference, evaluate as ev, knowledge as kn, provider, text as tx, vocab as vo
+from lodestone.operators import coreference, evaluate as ev, graph as gr, knowledge as kn, provider, text as tx, vocab as vo
 from lodestone.plans import lineage
 
 
@@ -125,3 +125,14 @@ def test_semantic_fragments_take_a_batch_in_slices(spark):
     done = tx.semantic_fragments(d)
     assert "MapInArrow" in plan(done)
     assert [tuple(r) for r in done.orderBy("source_iri", "fragment_key").collect()] == [("1", "semantic_chunk_0", "A b. A b. A b."), ("1", "semantic_chunk_1", "C d! E f?"), ("3", "semantic_chunk_0", "One two. Three.")]
+
+
+def test_pairs_by_rank_are_joined_with_nothing(spark):
+    edges = spark.createDataFrame([("p", "x"), ("p", "y"), ("p", "z"), ("q", "x"), ("q", "y"), ("q", "y"), ("r", "x"), ("w", "w")], "a string, b string")
+    labels = spark.createDataFrame([("p", "L"), ("q", "l"), ("q", "M"), ("r", "l"), ("r", "m"), ("w", "l")], "iri string, label string")
+    done = gr.rank_duplicates(gr.page_rank(edges, 3), labels, edges)
+    assert plan(done, "optimizedPlan").count("Join") == 1
+    got = sorted((min(r.a, r.b), max(r.a, r.b), r.label, r.similarity) for r in done.collect())
+    assert got == [("p", "q", "l", 0.666667), ("q", "r", "l", 0.5), ("q", "r", "m", 0.5)]
+    ranks = {r.iri: round(r["rank"], 6) for r in gr.page_rank(edges, 2).collect()}
+    assert ranks["p"] == 0.15 and ranks["w"] == 1.0 and ranks["x"] == round(0.15 + 0.85 * (0.05 + 0.075 + 0.15), 6)
