@@ -53,7 +53,7 @@ _NAME = rf"(?:{_TITLE})?{_WORD}(?: (?:of |de |van |von )?{_WORD}){{0,5}}"
 _PRONOUN = rf"(?:{'|'.join(f'[{p[0].upper()}{p[0]}]{p[1:]}' for p in sorted(PRONOUNS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}_])"
 _PIECE = rf"(?s)(.*?)((?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{_PRONOUN}|{_NAME})|[.!?]+(?=\s|\z)|\n[^\S\n]*\n|\z)"
 
-PART = 4_000_000  # characters of a partition's texts
+PART = 1_000_000  # characters of a partition's texts
 EDIT = "struct<start:int,end:int,new_start:int,new_end:int,pronoun:string,name:string>"
 
 
@@ -167,7 +167,10 @@ def by_rules(docs: DataFrame, text: str = "text", reach: int = 2, passes: int =
     keyed = docs.drop("edits").withColumn(key, F.sha2(text, 256))
     once = keyed.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text")).dropDuplicates([key])
     size = once.agg(F.sum(F.length("text"))).first()[0] or 0
-    once = once.repartition(parts(once, size, PART), key)  # windows keep a partition's mentions in memory, several times
+    if size > PART:  # windows keep a partition's mentions in memory, several times
+        n = parts(once, size, PART)
+        # by the session's own number the shuffle before would do, and Spark joins that one's partitions
+        once = once.repartition(n + (n == parts(once, 0, PART)), key)
     m = edits(mentions(once, key), key, reach, passes)
     put = F.coalesce("new", "m")
     w = Window.partitionBy(key).orderBy("pos")

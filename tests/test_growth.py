@@ -83,6 +83,14 @@ def test_partitions_grow_with_rows(spark, monkeypatch):
     assert {r.text for r in done.collect()} == {f"Mrs Smith{i} is here. Mrs Smith{i} is new." for i in range(10)}
 
 
+def test_texts_keep_their_partitions(spark, monkeypatch):
+    rows = [(i, f"Mrs Smith{i} is here. She is new.") for i in range(10)]
+    monkeypatch.setattr(coreference, "PART", sum(len(t) for _, t in rows) // 3)  # 4, the session's number
+    done = coreference.resolve(spark.createDataFrame(rows, "id int, text string"), "rules")
+    assert re.search(r"hashpartitioning\(_text_key#\d+, 5\), REPARTITION_BY_NUM", plan(done))
+    assert {r.text for r in done.collect()} == {f"Mrs Smith{i} is here. Mrs Smith{i} is new." for i in range(10)}
+
+
 def test_answers_are_read_once(spark):
     rows = spark.createDataFrame([("x",)], "answer string").select(F.explode_outer(provider.answered_triples("answer")).alias("t"))
     assert plan(rows, "optimizedPlan").count("(?:json)?") <= 2
